@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from gazelark.llm import licences, sharding
+from gazelark.llm import flac, licences, personal, sharding
 
 QUERIES = {
     "op2_license_scan": licences.query,
+    "op7_pii": personal.query,
     "op9_sharding": sharding.query,
+    "op10_media_columns": flac.query,
 }
 ORACLE_SQL = {
     "op2_license_scan": licences.ORACLE_SQL,

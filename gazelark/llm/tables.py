@@ -24,3 +24,35 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
         context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="gazelark-"))
     return df.checkpoint()
+
+
+def map_texts(docs: DataFrame, key: str, text: str, fields: list, compute) -> DataFrame:
+    """docs' key (as it is) and the columns that compute(list of texts or None) gives, a list each.
+
+    Works on Arrow batches, SLICE_CHARS characters at a time; a longer text goes alone.
+    """
+    import pyarrow as pa
+    from pyspark.sql import types as T
+
+    chosen = docs.select(key, text)
+    schema = T.StructType([chosen.schema[0], *fields])
+
+    def run(batches):
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        kinds = to_arrow_schema(schema)
+        for batch in batches:
+            texts, at = batch.column(1).to_pylist(), 0
+            while at < len(texts):
+                end, chars = at, 0
+                while end < len(texts) and (end == at or chars + len(texts[end] or "") <= SLICE_CHARS):
+                    chars += len(texts[end] or "")
+                    end += 1
+                columns = compute(texts[at:end])
+                yield pa.RecordBatch.from_arrays([batch.column(0)[at:end].cast(kinds[0].type), *[pa.array(c, kinds[k].type) for k, c in enumerate(columns, 1)]], schema=kinds)
+                at = end
+
+    return chosen.mapInArrow(run, schema)
+
+
+SLICE_CHARS = 2_000_000
