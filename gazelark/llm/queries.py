@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from gazelark.llm import flac, licences, personal, sharding
+from gazelark.llm import flac, language, licences, packing, personal, sharding
 
 QUERIES = {
     "op2_license_scan": licences.query,
     "op7_pii": personal.query,
+    "op6_packing": packing.query,
+    "op8_language_id": language.query,
     "op9_sharding": sharding.query,
     "op10_media_columns": flac.query,
 }
