@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from gazelark.llm import chat, flac, language, licences, packing, personal, sharding
+from gazelark.llm import chat, flac, language, licences, neighbours, packing, personal, sharding
 
 QUERIES = {
     "op2_license_scan": licences.query,
     "op3_chat_format": chat.query,
+    "op4_nearest_neighbours": neighbours.query,
     "op7_pii": personal.query,
     "op6_packing": packing.query,
     "op8_language_id": language.query,
