@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from gazelark.llm import chat, flac, language, licences, neighbours, packing, personal, sharding
+from gazelark.llm import chat, flac, language, licences, near_duplicates, neighbours, packing, personal, sharding
 
 QUERIES = {
+    "op1_minhash_dedup": near_duplicates.query,
     "op2_license_scan": licences.query,
     "op3_chat_format": chat.query,
     "op4_nearest_neighbours": neighbours.query,
