@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from gazelark.llm import chat, flac, language, licences, near_duplicates, neighbours, packing, personal, sharding
+from gazelark.llm import chat, flac, language, licences, near_duplicates, neighbours, packing, personal, segmentation, sharding
 
 QUERIES = {
     "op1_minhash_dedup": near_duplicates.query,
     "op2_license_scan": licences.query,
     "op3_chat_format": chat.query,
     "op4_nearest_neighbours": neighbours.query,
-    "op7_pii": personal.query,
+    "op5_sentencepiece": segmentation.query,
     "op6_packing": packing.query,
+    "op7_pii": personal.query,
     "op8_language_id": language.query,
     "op9_sharding": sharding.query,
     "op10_media_columns": flac.query,
