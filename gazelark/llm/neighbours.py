@@ -145,8 +145,8 @@ def search(vectors: DataFrame, is_query, key: str = "vec_id", column: str = "emb
 
     is_query: a condition on `key`, under the name id.
     """
-    own = hashed(vectors, key, column, tables, 1)
-    asked = hashed(vectors.where(F.col(key).isNotNull() & is_query(F.col(key))), key, column, tables, probes)
+    own = checkpointed(hashed(vectors, key, column, tables, 1))
+    asked = checkpointed(hashed(vectors.where(F.col(key).isNotNull() & is_query(F.col(key))), key, column, tables, probes))
     vector = ["id", "dim", "wide", "vec"]
     posted = own.select(*vector, F.posexplode("codes").alias("table", "code"))
     sizes = own.select("dim", F.posexplode("codes").alias("table", "code")).groupBy("dim", "table", "code").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
