@@ -39,7 +39,7 @@ from gazelark.llm.tables import checkpointed, map_texts, read
 
 COORDINATES, MATCHES, SEED = 64, 40, 7
 LONG_LIST = 4096
-BLOCK_SHINGLES = 1_000_000
+BLOCK_SHINGLES = 100_000
 WIDTH, PERCENT = 2, 80  # the query's; operators and stages without a contract take five words
 STAGE_WIDTH = 5
 
