@@ -38,7 +38,7 @@ from gazelark.llm.shingles import shingle_sets, signature, signature_coefficient
 from gazelark.llm.tables import checkpointed, map_texts, read
 
 COORDINATES, MATCHES, SEED = 64, 40, 7
-LONG_LIST = 4096
+LONG_LIST = 1000
 BLOCK_SHINGLES = 100_000
 WIDTH, PERCENT = 2, 80  # the query's; operators and stages without a contract take five words
 STAGE_WIDTH = 5
@@ -175,7 +175,8 @@ def near_duplicates(docs: DataFrame, width: int = STAGE_WIDTH, percent: int = PE
     confirmed = tasks.groupBy("component", "low", "high").applyInArrow(_confirm(percent), _LINK)
     # members to their class; a doc_id may be in several classes
     own = members.select("set_key", F.col("id").alias("b")).join(classes.select("set_key", F.col("id").alias("a")), "set_key").where("a <> b").select("a", "b")
-    links = checkpointed(confirmed.unionByName(own).distinct())
+    # apart from each other, so that Spark may split a hot class's part of the join
+    links = checkpointed(checkpointed(confirmed.distinct()).unionByName(checkpointed(own)).distinct())
     parts = connected_components(links)
     out = features.select("id", "n_shingles").join(parts, "id", "left")
     component = F.coalesce("component", "id")
