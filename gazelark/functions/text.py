@@ -26,9 +26,8 @@ def collapse(c: Column) -> Column:
 
 def unescape(c: Column) -> Column:
     """Common HTML entities; unescape_all has every one of them."""
-    for entity, text in _ENTITIES.items():
-        c = F.replace(c, F.lit(entity), F.lit(text))
-    return c
+    pairs = F.array(*[F.struct(F.lit(entity).alias("entity"), F.lit(text).alias("text")) for entity, text in _ENTITIES.items()])
+    return F.when(F.contains(c, F.lit("&")), F.aggregate(pairs, c, lambda out, p: F.replace(out, p["entity"], p["text"]))).otherwise(c)
 
 
 def unescape_all(c: Column) -> Column:

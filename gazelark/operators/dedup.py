@@ -80,23 +80,23 @@ def signature_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
 _KEPT = T.StructType([T.StructField("ord", T.LongType()), T.StructField("kept", T.BooleanType())])
 
 
-def components(edges: DataFrame, nodes: DataFrame, folder_rounds: int = 20) -> DataFrame:
+def components(edges: DataFrame, nodes: DataFrame, rounds: int = 20) -> DataFrame:
     """ord, part (the least ord reachable) for edges (a, b) over nodes(ord)."""
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    labels = nodes.select("ord", F.col("ord").alias("part"))
-    for _ in range(folder_rounds):
+    both = written(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels = written(nodes.select("ord", F.col("ord").alias("part")))
+    for _ in range(rounds):
         near = both.join(labels, both["a"] == labels["ord"]).groupBy("b").agg(F.min("part").alias("near"))
         moved = labels.join(near, labels["ord"] == near["b"], "left").select("ord", F.col("part").alias("old"), F.least("part", F.coalesce("near", "part")).alias("part"))
         own = moved.select(F.col("ord").alias("of"), F.col("part").alias("further"))
         moved = moved.join(own, moved["part"] == own["of"]).select("ord", "old", F.least("part", "further").alias("part"))
-        moved = _written(moved)
+        moved = written(moved)
         labels = moved.select("ord", "part")
         if moved.where("part <> old").isEmpty():
             break
     return labels
 
 
-def _written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame) -> DataFrame:
     """Checkpointed in the session's shared folder; one of this machine only where none is set."""
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
@@ -112,6 +112,7 @@ def greedy_fold(nodes: DataFrame, edges: DataFrame, order: list[str]) -> DataFra
     Not row_number() = 1: what a dropped row would have blocked stays open. Each connected
     component is folded in one task; rows without edges are kept without a fold.
     """
+    edges = written(edges)
     touched = edges.select(F.col("a").alias("ord")).unionByName(edges.select(F.col("b").alias("ord"))).distinct()
     parts = components(edges, touched)
     neighbours = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy("a").agg(F.collect_set("b").alias("near"))
@@ -139,10 +140,10 @@ def dedup_in_run(items: DataFrame) -> DataFrame:
     Rows of equal keys fall to their first one before anything is grouped.
     """
     keyed = items.select("ord", X.keys_for(F.col("url"), F.col("title")).alias("keys"))
-    first = keyed.groupBy("keys").agg(F.min("ord").alias("ord"))
+    first = written(keyed.groupBy("keys").agg(F.min("ord").alias("ord")))
     each = first.select("ord", F.explode("keys").alias("key"))
     lead = each.groupBy("key").agg(F.min("ord").alias("a"))
-    edges = each.join(lead, "key").where("a <> ord").select("a", F.col("ord").alias("b")).distinct()
+    edges = written(each.join(lead, "key").where("a <> ord").select("a", F.col("ord").alias("b")).distinct())
     parts = components(edges, edges.select(F.col("a").alias("ord")).unionByName(edges.select(F.col("b").alias("ord"))).distinct())
 
     def fold(pdf):
@@ -164,6 +165,7 @@ def dedup_in_run(items: DataFrame) -> DataFrame:
 def dedup_cross_outlet(items: DataFrame, recent: DataFrame | None = None) -> DataFrame:
     """ord, kept: in order of (effective_date, ord), dropped if similar to a recent or a kept item of another outlet."""
     own = items.select("ord", "outlet", "effective_date", X.title_words(F.col("title")).alias("words"), X.money_amounts(F.col("title")).alias("money"), X.proper_nouns(F.col("title")).alias("names"))
+    own = written(own)
     edges = similar_pairs(own, own).select("l_ord", "r_ord").unionByName(signature_pairs(own, own)).where("l_ord < r_ord").select(F.col("l_ord").alias("a"), F.col("r_ord").alias("b")).distinct()
     if recent is not None:
         blocked = similar_pairs(own, recent).select("l_ord").unionByName(signature_pairs(own, recent).select("l_ord")).distinct()

@@ -42,11 +42,13 @@ class Tick:
                 "fresh": P.fresh(F.coalesce("effective_date", "published"), self.now, F.lit(self.window_minutes)),
                 "relevant": F.col("stream").isNotNull() & ~P.url_path_veto(F.col("url"), self.lexicon.url_paths),
             }
-        )
-        passing = flagged.where("fresh AND relevant")
-        new = passing if self.backfill else dedup.already_posted(passing, seen)
-        in_run = dedup.dedup_in_run(new).withColumnRenamed("kept", "unseen")
-        left = new.join(in_run.where("unseen").select("ord"), "ord", "left_semi").withColumn("effective_date", F.coalesce("effective_date", "published"))
+        ).drop(*[s.name for s in self.lexicon.streams])
+        # scored once: the gates below read the written rows several times
+        flagged = dedup.written(flagged)
+        passing = flagged.where("fresh AND relevant").select("ord", "url", "title", "outlet", F.coalesce("effective_date", "published").alias("effective_date"))
+        new = dedup.written(passing if self.backfill else dedup.already_posted(passing, seen))
+        in_run = dedup.written(dedup.dedup_in_run(new).withColumnRenamed("kept", "unseen"))
+        left = new.join(in_run.where("unseen").select("ord"), "ord", "left_semi")
         unique = dedup.dedup_cross_outlet(left, recent).withColumnRenamed("kept", "unique")
         out = flagged.join(in_run, "ord", "left").join(unique, "ord", "left")
         return out.withColumns({"unseen": F.coalesce("unseen", F.lit(False)), "unique": F.coalesce("unique", F.lit(False))})
@@ -89,11 +91,11 @@ def events(pages: DataFrame, today: Column, sector: Column | None = None) -> Dat
     from gazelark.sources import markup
 
     described = markup.jsonld_events(pages)
-    rest = pages.join(described.select("url").distinct(), "url", "left_anti")
+    rest = pages.join(described.select(F.col("page").alias("url")).distinct(), "url", "left_anti")
     found = described.unionByName(markup.dated_events(rest, today)).where(P.in_horizon(F.col("date"), today))
     scored = found.withColumns({"org": X.host_of(F.col("url")), "news_score": scoring.newsworthy(F.col("title"), sector if sector is not None else F.lit(""))})
     key = lambda n: F.concat_ws("|", F.col("date").cast("string"), X.event_title_key(F.col("title"), n))
-    by_page = dedup.first_by(scored, F.concat_ws("|", "url", key(60)), F.desc("news_score"), "title")
+    by_page = dedup.first_by(scored, F.concat_ws("|", "page", key(60)), F.desc("news_score"), "title")
     return dedup.first_by(by_page, key(50), "date", "org", "title")
 
 

@@ -20,7 +20,7 @@ SCHEMA = "source_key string, url string, status int, body string, error string"
 def scan_bodies(spark: SparkSession, path: str) -> DataFrame:
     """source_key (the file's name), body of every file under a path, wherever Spark can read."""
     files = spark.read.format("binaryFile").load(path)
-    return files.select(F.regexp_extract("path", r"([^/]+?)(?:\.[^./]*)?$", 1).alias("source_key"), F.decode("content", F.lit("UTF-8")).alias("body"))
+    return files.select(F.regexp_extract("path", r"([^/]+?)(?:\.[^./]*)?$", 1).alias("source_key"), F.decode("content", "UTF-8").alias("body"))
 
 
 class Fetched(InputPartition):

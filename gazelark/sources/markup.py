@@ -121,7 +121,7 @@ def dated_events(pages: DataFrame, today: Column) -> DataFrame:
     longest = F.reduce(fit, F.lit(""), lambda best, n: F.when(F.length(n) > F.length(best), n).otherwise(best))
     rest = F.regexp_replace(F.regexp_replace("line", fixed.TEXT_DATE, ""), r"^[ \-–—,|]+|[ \-–—,|]+$", "")
     title = F.coalesce(F.nullif(longest, F.lit("")), F.when(F.length(rest) > 12, rest))
-    out = rows.select(date.alias("date"), X.truncate(title, 180).alias("title"), F.lit("").alias("place"), F.col("doc").alias("url"), F.lit("html-heuristic").alias("how"), F.lit("low").alias("confidence"))
+    out = rows.select(date.alias("date"), X.truncate(title, 180).alias("title"), F.lit("").alias("place"), F.col("doc").alias("url"), F.lit("html-heuristic").alias("how"), F.lit("low").alias("confidence"), F.col("doc").alias("page"))
     return out.where(F.col("title").isNotNull() & P.in_horizon(F.col("date"), today))
 
 
@@ -178,13 +178,13 @@ def jsonld_udtf():
 
 
 def jsonld_events(pages: DataFrame) -> DataFrame:
-    """date, title, place, url, how, confidence of events that pages(url, html) describe as JSON-LD."""
+    """date, title, place, url, how, confidence, page of events that pages(url, html) describe as JSON-LD."""
     spark = pages.sparkSession
     spark.udtf.register("gazelark_jsonld_events", jsonld_udtf())
     some = pages.where(F.col("html").contains("ld+json")).select("url", "html")
     rows = spark.sql("SELECT p.url AS page, e.* FROM {p} AS p, LATERAL gazelark_jsonld_events(p.html) AS e", p=some)
     out = rows.select(
         X.parse_date(F.col("date")).alias("date"), X.truncate(X.clean(F.col("title")), 180).alias("title"), X.truncate(X.collapse(F.col("place")), 80).alias("place"),
-        F.when(F.col("link") != "", X.url_join(F.col("page"), F.col("link"))).otherwise(F.col("page")).alias("url"), F.lit("schema.org").alias("how"), F.lit("high").alias("confidence"),
+        F.when(F.col("link") != "", X.url_join(F.col("page"), F.col("link"))).otherwise(F.col("page")).alias("url"), F.lit("schema.org").alias("how"), F.lit("high").alias("confidence"), "page",
     )
     return out.where("date IS NOT NULL AND title <> ''")
