@@ -1,0 +1,463 @@
+"""The ten operators and the pipeline: brute force, round trips, edge cases."""
+
+import hashlib
+import re
+import zlib
+from collections import defaultdict
+from itertools import chain
+
+import duckdb
+import numpy as np
+import pandas as pd
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from gazelark.llm import chat, components, flac, language, licences, near_duplicates, neighbours, packing, personal, queries, segmentation, sharding, shingles, template
+
+SF = "/root/testdata/sf0.001"
+LONG = " ".join(f"word{i % 977} la der the" for i in range(20_000))
+EDGES = [
+    (1, None), (2, ""), (3, "  \n\t "), (4, "!!! 123 ###"), (5, "word"), (6, LONG), (7, LONG + " tail"), (8, "same text in two rows here"), (9, "same text in two rows here"), (9, "same text in two rows here"), (None, "a text without an id"), (None, None),
+    (10, "Licensed under the Apache License, Version 2.0."), (11, "mail a.b@c.org or +1 (212) 555-0100, card 4111 1111 1111 1111, 1985-02-28, 10.0.0.1"), (12, "été naïve ▁ 😀 \x00   end"),
+]
+CLASHES = ["words", "row", "own", "shard", "id", "key", "signature", "component", "found", "kept", "label", "bucket"]
+
+
+@pytest.fixture(scope="module")
+def folder(spark, tmp_path_factory):
+    """Tables of edge cases: doc_id, text, lang, source, n_chars and columns whose names clash with the operators' own."""
+    path = tmp_path_factory.mktemp("edges")
+    df = spark.createDataFrame([(i, t, "en" if (i or 0) % 2 else None, "src0", None if t is None else len(t)) for i, t in EDGES], "doc_id long, text string, lang string, source string, n_chars long")
+    df.withColumns({c: F.lit("clash") for c in CLASHES}).coalesce(2).write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame([(0, 0, "user", None), (0, 1, "assistant", "ok"), (1, 0, None, "x"), (1, 0, None, "x"), (None, 0, "tool", "y"), (2, 0, "assistant", LONG)], "conv_id long, turn long, role string, text string").withColumn("messages", F.lit(1)).write.parquet(f"{path}/conversations.parquet")
+    rows = [(0, [1.0, 0.0]), (1, [1.0, 0.1]), (2, None), (3, [0.0, 0.0]), (4, [float("nan"), 1.0]), (5, [-1.0, 0.0]), (6, [1.0, 2.0, 3.0]), (0, [1.0, 0.0]), (50, [None, 1.0]), (None, [1.0, 1.0]), (100, [1.0, 0.1]), (7, [])]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("id", F.lit("clash")).write.parquet(f"{path}/embeddings.parquet")
+    return str(path)
+
+
+@pytest.fixture(scope="module")
+def empty(spark, folder, tmp_path_factory):
+    path = tmp_path_factory.mktemp("empty")
+    for t in ("documents", "conversations", "embeddings"):
+        spark.read.parquet(f"{folder}/{t}.parquet").limit(0).write.parquet(f"{path}/{t}.parquet")
+    return str(path)
+
+
+@pytest.fixture(scope="module")
+def docs():
+    return pd.read_parquet(f"{SF}/documents.parquet")
+
+
+@pytest.mark.parametrize("name", sorted(queries.QUERIES))
+def test_edges_keep_every_document(spark, folder, name):
+    rows = queries.QUERIES[name](spark, folder).collect()
+    if name not in ("op3_chat_format", "op4_nearest_neighbours"):
+        ids = [r["doc_id"] for r in rows]
+        expected = [i for i, _ in EDGES]
+        if name == "op6_packing":
+            ids, expected = list(set(ids)), list(set(expected))
+        assert sorted(ids, key=str) == sorted(expected, key=str)
+
+
+@pytest.mark.parametrize("name", sorted(queries.QUERIES))
+def test_empty_tables(spark, empty, name):
+    rows = queries.QUERIES[name](spark, empty).collect()
+    assert [r["conv_id"] for r in rows] == [-1] if name == "op3_chat_format" else rows == []
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+@pytest.mark.parametrize("table", ["given", "edges"])
+def test_same_as_sql(spark, folder, name, table):
+    path = SF if table == "given" else folder
+    con = duckdb.connect()
+    files = f"{path}/documents.parquet" + ("" if table == "given" else "/*.parquet")
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{files}')" + ("" if table == "given" else " WHERE doc_id IS NULL OR doc_id NOT IN (6, 7)"))
+    ours = queries.QUERIES[name](spark, path)
+    columns = sorted(ours.columns)
+    keep = [tuple(r) for r in ours.select(*columns).collect()]
+    theirs = con.sql(f"SELECT {', '.join(columns)} FROM ({queries.ORACLE_SQL[name]})").fetchall()
+    if table == "edges":  # SQL's loops are too slow for the long texts; slots count them
+        drop = [i for i, c in enumerate(columns) if c == "slot"]
+        cut = lambda r: tuple(x for i, x in enumerate(r) if i not in drop)
+        keep = [cut(r) for r in keep if r[columns.index("doc_id")] not in (6, 7)]
+        theirs = [cut(r) for r in theirs]
+    rounded = lambda rows: sorted((tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in rows), key=repr)
+    assert rounded(keep) == rounded(theirs)
+
+
+# --- 1 ---
+
+
+def python_shingles(text, width):
+    low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    words = re.findall(r"[^\x20\x09-\x0D]+", low)
+    return {tuple(words[i : i + width]) for i in range(len(words) - width + 1)} if len(words) >= width else {tuple(words)} if words else set()
+
+
+def brute_components(rows, width, percent=80):
+    """doc_id -> least reachable doc_id, by comparing all pairs that share a shingle."""
+    sets = {i: python_shingles(t, width) for i, t in rows}
+    parent = {i: i for i in sets}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    index, seen = defaultdict(list), set()
+    for i, s in sets.items():
+        for near in {j for x in s for j in index[x]}:
+            if (near, i) not in seen:
+                seen.add((near, i))
+                both = len(s & sets[near])
+                if 100 * both >= percent * (len(s) + len(sets[near]) - both):
+                    a, b = sorted((find(i), find(near)))
+                    parent[b] = a
+        for x in s:
+            index[x].append(i)
+    return {i: find(i) for i in sets}, {i: len(s) for i, s in sets.items()}
+
+
+@pytest.mark.parametrize("width", [2, 5])
+def test_near_duplicates_against_all_pairs(spark, docs, width):
+    rows = list(zip(docs.doc_id, docs.text))
+    base = rows[0][1].split()
+    near = [(10_000 + k, " ".join(w if (j * 7 + k) % 97 else f"new{k}" for j, w in enumerate(base))) for k in range(60)]
+    expected, sizes = brute_components(rows + near, width)
+    got = near_duplicates.near_duplicates(spark.createDataFrame(rows + near, "doc_id long, text string"), width).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == expected
+    assert {r["doc_id"]: r["n_shingles"] for r in got} == sizes
+    assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)
+
+
+def test_near_duplicates_in_blocks_and_long_lists(spark, docs, monkeypatch):
+    monkeypatch.setattr(near_duplicates, "BLOCK_SHINGLES", 2_000)
+    monkeypatch.setattr(near_duplicates, "LONG_LIST", 10)
+    base = " ".join(docs.text[:5]).split()[:300]
+    rows = [(k, " ".join(w if (j * 13 + k) % 61 else f"n{k}" for j, w in enumerate(base))) for k in range(40)] + [(100, "on its own")]
+    expected, _ = brute_components(rows, 2)
+    got = near_duplicates.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == expected
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text(alphabet="aB \n\té", max_size=30), min_size=1, max_size=6), st.integers(1, 3))
+def test_shingle_sets(texts, width):
+    assert [len(s) for s in shingles.shingle_sets(texts, width)] == [len(python_shingles(t, width)) for t in texts]
+    sets = [s.tobytes() for s in shingles.shingle_sets(texts, width)]
+    plain = [python_shingles(t, width) for t in texts]
+    assert all((sets[i] == sets[j]) == (plain[i] == plain[j]) for i in range(len(texts)) for j in range(i))
+
+
+def test_components_of_a_chain(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (7, 7)], "a long, b long")
+    assert {r["id"]: r["component"] for r in components.connected_components(edges).collect()} == {**dict.fromkeys(range(41), 0), 100: 100, 101: 100}
+
+
+# --- 2 ---
+
+
+def test_licence_labels(spark):
+    texts = {
+        1: "Text. Licensed under the Apache License, Version 2.0. More", 2: "Released under the MIT License", 3: "CC BY and CC-BY 4.0; all rights reserved", 4: "the license of the apache tribe", 5: "This work is licensed under the GNU General Public License, version 3.",
+        6: "ALL RIGHTS RESERVED all rights reserved", 7: "licensed under CC BY-NC 4.0",
+    }
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    counts = {r["word"]: r["df"] for r in licences.document_counts(df).collect()}
+    found = {r["doc_id"]: {f["label"]: f["start"] for f in r["found"]} for r in licences.scan(df, counts).collect()}
+    assert found[1] == {"apache-2.0": 1} and set(found[2]) == {"mit"} and found[4] == {} and "gpl-3.0" in found[5] and "cc-by-nc-4.0" in found[7] and "proprietary" in found[6]
+
+
+# --- 3 ---
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(["user", "assistant", "system", "tool", "[ROLE]", ""]), st.text(alphabet="<>[]/\\sINSTROLEYU|a", max_size=40)), max_size=5))
+def test_chat_round_trip(messages):
+    out = chat.render([{"role": r, "text": t} for r, t in messages])
+    assert chat.turns(out.text) == messages
+    assert "".join(chat.unescape(out.text[a:b]) for a, b in out.spans) == "".join(t for r, t in messages if r == "assistant")
+
+
+def test_template_folds_and_is_sandboxed():
+    assert template.fold(template.parse("a{{ 1 + 2 }}b{% if 'x' == 'y' %}n{% else %}k{% endif %}{{ 'q'|upper ~ 3 }}")) == (template.Text("a3bkQ3"),)
+    render = template.compile_template("{% for m in ms %}{{ loop.index }}{% if not loop.last %},{% endif %}{% endfor %}{% set x = 2 %}{{ x * 3 if x in [1, 2] else 0 }}" if False else "{% for m in ms %}{{ loop.index }}{% if not loop.last %},{% endif %}{% endfor %}{% set x = 2 %}{{ x * 3 if x > 1 else 0 }}")
+    assert render(ms=["a", "b"]).text == "1,26"
+    assert template.compile_template("{% generation %}ab{% endgeneration %}c{% generation %}{{ x }}{% endgeneration %}")(x="dé").spans == [(0, 2), (3, 5)]
+    for bad, values in (("{{ x.__class__ }}", {"x": "s"}), ("{{ y }}", {}), ("{% for i in 3 %}{% endfor %}", {}), ("{{ 'a' * 9 }}", {}), ("{{ 1 % 0 }}", {})):
+        with pytest.raises(template.TemplateError):
+            template.compile_template(bad)(**values)
+    for bad in ("{{ f() }}", "{% for %}", "{% if x %}", "{{ x|nope }}", "{% include 'x' %}"):
+        with pytest.raises(template.TemplateError):
+            template.compile_template(bad)
+
+
+def test_chat_query_digests(spark):
+    got = {r["conv_id"]: r for r in chat.query(spark, SF).collect()}
+    table = pd.read_parquet(f"{SF}/conversations.parquet").sort_values(["conv_id", "turn"])
+    assert set(got) == set(table.conv_id) | {-1}
+    for conv, rows in table.groupby("conv_id"):
+        said = "".join(f"{r}\n{t}\n" for r, t in zip(rows.role, rows.text))
+        loss = "".join(rows.text[rows.role == "assistant"])
+        assert (got[conv]["n_turns"], got[conv]["turns_sha256"], got[conv]["loss_chars"], got[conv]["loss_sha256"]) == (len(rows), hashlib.sha256(said.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest())
+    probe = "</s>[INST] ok [/INST]"
+    assert got[-1]["loss_sha256"] == hashlib.sha256(probe.encode()).hexdigest() and got[-1]["formatted_chars"] > 2 * len(probe)
+
+
+# --- 4 ---
+
+
+def test_recall_and_exact_scores(spark):
+    found = neighbours.query(spark, "/root/testdata/sf0.01").toPandas()
+    table = pd.read_parquet("/root/testdata/sf0.01/embeddings.parquet")
+    x = np.array(table.embedding.tolist(), float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    place = {v: i for i, v in enumerate(table.vec_id)}
+    hit = 0
+    for q, rows in found.groupby("query_id"):
+        s = x @ x[place[q]]
+        s[place[q]] = -2
+        hit += len(set(table.vec_id.iloc[np.argsort(-s)[:5]]) & set(rows.vec_id))
+        assert rows["rank"].tolist() == [1, 2, 3, 4, 5] and rows.score.is_monotonic_decreasing
+        assert np.allclose([s[place[v]] for v in rows.vec_id], rows.score, atol=1e-12)
+    assert found.query_id.nunique() == (table.vec_id % 50 == 0).sum() and hit / len(found) >= 0.9
+
+
+def test_vectors_that_take_no_part(spark, folder):
+    got = [(r["query_id"], r["rank"], r["vec_id"]) for r in neighbours.query(spark, folder).orderBy("query_id", "rank").collect()]
+    assert got == [(0, 1, 1), (0, 2, 100), (0, 3, 5), (100, 1, 1), (100, 2, 0), (100, 3, 5)]
+
+
+def test_hadamard_keeps_lengths():
+    x = np.random.default_rng(0).standard_normal((5, 32))
+    y = neighbours.transform(x)
+    assert np.allclose((x * x).sum(axis=1), (y * y).sum(axis=1)) and np.allclose(neighbours.transform(y), x)
+
+
+# --- 5 ---
+
+
+def test_n_best_against_exhaustive_search():
+    own = segmentation.encoder()
+    v = own.vocabulary
+
+    def all_paths(text):
+        if not text:
+            return [(0.0, [])]
+        return [(before + score, ids + tail) for start, score, tail in v.edges(text, len(text)) for before, ids in all_paths(text[:start])]
+
+    rng = np.random.default_rng(0)
+    for _ in range(120):
+        text = "".join(rng.choice(list(" theanioéß▁x.😀\n"), rng.integers(1, 10)))
+        best = sorted((s for s, _ in all_paths(text)), reverse=True)[:4]
+        found = v.n_best(text, 4)
+        assert np.allclose([s for s, _ in found], best) and all(v.decode(ids).decode() == text for _, ids in found)
+        if len(text) > 1 and text[0] == " ":
+            ids, scores, changes = own([text[1:]], 4)[0]
+            assert np.allclose(scores, best) and own.decode(ids) == text[1:]
+
+
+def test_segmentation_query(spark, docs):
+    got = {r["doc_id"]: r for r in segmentation.query(spark, SF).collect()}
+    v = segmentation.encoder().vocabulary
+    for i, text in list(zip(docs.doc_id, docs.text))[:40]:
+        alone = [v.n_best(p, 1)[0] for p in segmentation.encoder().cut(" " + text)] if text else []
+        ids = list(chain.from_iterable(x for _, x in alone))
+        assert got[i]["n_pieces"] == len(ids) and got[i]["ids_crc32"] == zlib.crc32(np.array(ids, "<u2").tobytes()) and got[i]["round_trip"]
+        scores = [float(s) for s in got[i]["scores"].split()]
+        assert scores == sorted(scores, reverse=True) and abs(scores[0] - sum(s for s, _ in alone)) < 1e-5
+
+
+# --- 6 ---
+
+
+def test_packing_invariants(spark, folder):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    reference = Tokenizer.from_file(public_tokenizers.path(packing.TOKENIZER))
+    for path in (SF, folder):
+        table = spark.read.parquet(f"{path}/documents.parquet").select("doc_id", "text").where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).toPandas()
+        ids = {i: [*reference.encode(t or "", add_special_tokens=False).ids, 0] for i, t in zip(table.doc_id, table.text)}
+        pieces = packing.pack(spark.createDataFrame(table, "doc_id long, text string")).toPandas()
+        for i, rows in pieces.sort_values(["doc_id", "start"]).groupby("doc_id"):
+            assert (rows.start == rows.length.cumsum() - rows.length).all() and rows.length.sum() == len(ids[i]) == rows.doc_tokens.iloc[0]
+            for r in rows.itertuples():
+                assert r.ids_crc32 == zlib.crc32(np.array(ids[i][r.start : r.start + r.length], "<u4").tobytes())
+        assert set(pieces.doc_id) == set(ids)
+        for _, rows in pieces.sort_values(["sequence_id", "offset"]).groupby("sequence_id"):
+            total = int(rows.length.sum())
+            assert (rows.offset == rows.length.cumsum() - rows.length).all() and total <= 1024 and total & (total - 1) == 0
+
+
+def test_hilbert_order_is_a_walk():
+    grid = np.array([[a, b, c] for a in range(8) for b in range(8) for c in range(8)])
+    keys = packing.hilbert_keys(grid, 3)
+    assert sorted(keys) == list(range(512)) and (np.abs(np.diff(grid[np.argsort(keys)], axis=0)).sum(axis=1) == 1).all()
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.text(alphabet="ab '.,\n\t \x1cé中12<|endoftext|>", max_size=60))
+def test_ranks_agree_with_the_tokenizer(text):
+    own = packing.encoder(packing.TOKENIZER)
+    assert np.frombuffer(own([text])[0], "<u4").tolist() == own.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+# --- 7 ---
+
+
+def python_feistel(a, b, of_a, of_b, key, tweak):
+    for i in range(personal.ROUNDS):
+        other = b if i % 2 == 0 else a
+        value = int(hashlib.sha256(f"{key}|{tweak}|{i}|{other}".encode()).hexdigest()[:14], 16)
+        if i % 2 == 0:
+            a = (a + value % of_a) % of_a
+        else:
+            b = (b + value % of_b) % of_b
+    return a, b
+
+
+def python_digits(digits, key, kind):
+    n, u = len(digits), len(digits) // 2
+    a, b = python_feistel(int(digits[:u]), int(digits[u:]), 10**u, 10 ** (n - u), key, f"{kind}|{n}")
+    return f"{a:0{u}d}{b:0{n - u}d}"
+
+
+def luhn(digits):
+    return sum(d if i % 2 == 0 else d * 2 - 9 * (d > 4) for i, d in enumerate(map(int, reversed(digits)))) % 10
+
+
+def test_pseudonyms_against_python(spark):
+    rng = np.random.default_rng(1)
+    cards = []
+    for _ in range(30):
+        body = "".join(map(str, rng.integers(0, 10, int(rng.integers(12, 18)))))
+        cards.append(body + str((10 - luhn(body + "0")) % 10))
+    df = spark.createDataFrame(list(enumerate(cards)), "doc_id long, text string")
+    key = personal.KEY
+    for r in personal.pseudonymise(df).collect():
+        body = r["text"][0] + python_digits(r["text"][1:-1], key, "card" + r["text"][0])
+        assert r["pseudonymised"]["text"] == body + str((10 - luhn(body + "0")) % 10) and luhn(r["pseudonymised"]["text"]) == 0
+    rows = {1: "10.1.2.3", 2: "1985-02-28", 3: "+1 (212) 555-0100", 4: "123-45-6789", 5: "4111111111111112", 6: "1985-02-30", 7: "x@y.org", 8: "version 1.2 of 2024", 9: "300.1.1.1"}
+    got = {r["doc_id"]: r["pseudonymised"] for r in personal.pseudonymise(spark.createDataFrame(list(rows.items()), "doc_id long, text string")).collect()}
+    a, b = python_feistel(10 * 256 + 1, 2 * 256 + 3, 65536, 65536, key, "ip")
+    assert got[1]["text"] == f"{a // 256}.{a % 256}.{b // 256}.{b % 256}"
+    n = (pd.Timestamp("1985-02-28") - pd.Timestamp(personal.FIRST_DAY)).days
+    a, b = python_feistel(n // 270, n % 270, 270, 270, key, "date")
+    assert got[2]["text"] == str((pd.Timestamp(personal.FIRST_DAY) + pd.Timedelta(days=a * 270 + b)).date())
+    new = python_digits("2125550100", key, "phone")
+    assert got[3]["text"] == f"+1 ({new[:3]}) {new[3:6]}-{new[6:]}"
+    assert re.fullmatch(r"(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}", got[4]["text"]) and got[4]["text"] != rows[4]
+    assert all(got[i]["text"] == rows[i] and got[i]["kinds"] == [] for i in (5, 6, 8, 9)) and re.fullmatch(r"u[0-9a-f]{16}@example\.com", got[7]["text"])
+
+
+def test_pseudonyms_are_a_permutation(spark):
+    df = spark.range(1000).select(F.col("id").alias("doc_id"), F.format_string("10.0.%d.%d", F.floor(F.col("id") / 250).cast("long"), F.col("id") % 250).alias("text"))
+    out = personal.pseudonymise(df).select("pseudonymised.text")
+    assert out.distinct().count() == 1000
+
+
+# --- 8 ---
+
+
+def test_language_held_out_accuracy(spark):
+    got = language.query(spark, "/root/testdata/sf0.01").toPandas().set_index("doc_id")
+    table = pd.read_parquet("/root/testdata/sf0.01/documents.parquet").set_index("doc_id")
+    held = table.index.map(lambda i: zlib.crc32(str(i).encode()) % 3 == 1)
+    assert (got.held_out.loc[table.index].values == held).all()
+    assert (got.lang_pred.loc[table.index[held]] == table.lang[held]).mean() > 0.97
+    assert got.score.between(0, 1).all()
+
+
+def test_language_presence_kernel():
+    sets = language.presence(["Abc abd", "abc ABD!", None, "123 !", "", "日本"])
+    assert sets[0].tolist() == sets[1].tolist() and sets[2] is None and sets[3] is None and sets[4] is None and len(sets[5]) > 0
+    model = language.Model.fit(language.presence(["the cat of the house"] * 3 + ["der hund und die katze"] * 3), ["en"] * 3 + ["de"] * 3)
+    names, scores = model.predict(["the house", "die katze und der", None, "77"])
+    assert names == ["en", "de", "und", "und"] and scores[2:] == [0.0, 0.0]
+
+
+def test_nothing_learned_from_held_out_rows(spark):
+    df = spark.createDataFrame([(i, "the text", "en") for i in range(60)], "doc_id long, text string, lang string")
+    assert all(zlib.crc32(str(r["doc_id"]).encode()) % 3 != 1 for r in language.sample(df).collect())
+
+
+# --- 9 ---
+
+
+def test_shards_grow_only_into_the_new_one(spark):
+    df = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))
+    out = sharding.shard_documents(df, sharding.tree(8), sharding.tree(8, 1)).toPandas()
+    assert (out.grown_shard[out.grown_shard != 8] == out.shard[out.grown_shard != 8]).all()
+    assert 300 < (out.grown_shard == 8).sum() < 600 and out.groupby("shard").size().between(350, 650).all()
+    for _, rows in out.groupby("shard"):
+        assert sorted(rows.slot) == list(range(len(rows)))
+
+
+def test_weights_move_only_their_subtree(spark):
+    base = sharding.tree(8)
+    heavier = [sharding.Shard(s.region, s.rack, s.shard, 3.0 if s.shard == 5 else 1.0) for s in base]
+    out = sharding.shard_documents(spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text")), base, heavier).toPandas()
+    moved = out[out.shard != out.grown_shard]
+    assert len(moved) and (moved.grown_shard // 4 == 1).all()
+
+
+# --- 10 ---
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.binary(max_size=700), min_size=1, max_size=4))
+def test_flac_round_trip(raws):
+    payloads = [r + b" " * (-len(r) % flac.BLOCK if r else flac.BLOCK) for r in raws]
+    streams = flac.encode(payloads)
+    assert flac.decode(streams) == payloads and [flac.encode([p])[0] for p in payloads] == streams
+
+
+def test_flac_shapes_and_damage():
+    shapes = [b"\x00" * 384, bytes(range(192)), (np.sin(np.arange(19_200) / 9) * 100 + 128).astype(np.uint8).tobytes(), np.random.default_rng(0).integers(0, 256, 1920, dtype=np.uint8).tobytes(), b"\x00\xff" * 960]
+    streams = flac.encode(shapes)
+    assert flac.decode(streams) == shapes and len(streams[0]) < 100 and len(streams[2]) < len(shapes[2]) // 2
+    for at in (-3, -40, len(streams[3]) // 2, 30):
+        bad = bytearray(streams[3])
+        bad[at] ^= 0x10
+        with pytest.raises(flac.CorruptStream):
+            flac.decode([bytes(bad)])
+
+
+def test_flac_query_and_blocks(spark, docs):
+    got = {r["doc_id"]: r for r in flac.query(spark, SF).collect()}
+    for i, text in zip(docs.doc_id, docs.text):
+        raw = (text or "").encode()
+        whole = raw + b" " * (-len(raw) % 192 if raw else 192)
+        r = got[i]
+        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(whole), hashlib.sha256(whole).hexdigest(), zlib.crc32(whole[-16:]))
+    media = flac.media_column(spark.read.parquet(f"{SF}/documents.parquet"))
+    blocks = flac.pcm_blocks(media).toPandas().sort_values(["doc_id", "first_sample"])
+    for i, rows in blocks.groupby("doc_id"):
+        assert b"".join(rows.pcm) == flac.payload(docs.text[docs.doc_id == i].iloc[0]) and (rows.first_sample == rows.n_samples.cumsum() - rows.n_samples).all()
+
+
+# --- the pipeline ---
+
+
+def test_pipeline_against_its_stages_by_brute_force(spark, folder):
+    import corpus_pipeline
+
+    for path in (SF, folder):
+        table = spark.read.parquet(f"{path}/documents.parquet")
+        columns = ["doc_id", "text", "lang", "source", "n_chars"]
+        identified = corpus_pipeline.identify_language(spark, table, path)
+        assert identified.columns == table.columns
+        own = identified.select(*columns).toPandas()
+        assert not own.text.isna().any() and own.text.map(lambda t: any(c.isalpha() for c in t)).all()
+        kept = corpus_pipeline.remove_near_duplicates(spark, identified, path)
+        known = own[own.doc_id.notna()].drop_duplicates("doc_id")
+        expected, _ = brute_components([(int(i), t) for i, t in zip(known.doc_id, known.text)], 5)
+        assert sorted(r["doc_id"] for r in kept.where("doc_id IS NOT NULL").collect()) == sorted(i for i, c in expected.items() if i == c)
+        assert kept.columns == table.columns
+        clean = corpus_pipeline.pseudonymise(spark, kept, path)
+        assert clean.columns == table.columns and clean.count() == kept.count()
+        pieces = corpus_pipeline.run(spark, path)
+        assert {r["doc_id"] for r in pieces.select("doc_id").distinct().collect()} == {r["doc_id"] for r in kept.select("doc_id").distinct().collect()}
