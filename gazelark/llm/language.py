@@ -176,6 +176,5 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents but those whose language is `und` or scores under LEAST_SCORE, as they are."""
     model = fit(docs)
-    whole = docs.select(F.struct(*docs.columns).alias("row"), "text")
-    scored = predictions(whole, model, "row")
+    scored = predictions(docs.select(F.struct(*docs.columns).alias("row")), model, "row", "row.text")
     return scored.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select("row.*")

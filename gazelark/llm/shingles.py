@@ -19,7 +19,7 @@ _IS_WORD[[0x20, *range(0x09, 0x0E)]] = False
 _BYTE = _SEED.integers(1, 2**63, 256, dtype=np.uint64)[_LOWER] * _IS_WORD.astype(np.uint64)
 _BASE = int(_SEED.integers(2**60, 2**62)) | 5
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 

@@ -29,12 +29,16 @@ def checkpointed(df: DataFrame) -> DataFrame:
 def map_texts(docs: DataFrame, key: str, text: str, fields: list, compute) -> DataFrame:
     """docs' key (as it is) and the columns that compute(list of texts or None) gives, a list each.
 
+    text: a column, or key.field where the key is a struct that holds it, so that it travels once.
     Works on Arrow batches, SLICE_CHARS characters at a time; a longer text goes alone.
     """
     import pyarrow as pa
+    import pyarrow.compute as pc
     from pyspark.sql import types as T
 
-    chosen = docs.select(key, text)
+    small_batches(docs.sparkSession)
+    inside = text.removeprefix(f"{key}.") if text.startswith(f"{key}.") else None
+    chosen = docs.select(key) if inside else docs.select(key, text)
     schema = T.StructType([chosen.schema[0], *fields])
 
     def run(batches):
@@ -42,17 +46,27 @@ def map_texts(docs: DataFrame, key: str, text: str, fields: list, compute) -> Da
 
         kinds = to_arrow_schema(schema)
         for batch in batches:
-            texts, at = batch.column(1).to_pylist(), 0
-            while at < len(texts):
+            column = batch.column(0).field(inside) if inside else batch.column(1)
+            sizes, at = pc.fill_null(pc.utf8_length(column), 0).to_pylist(), 0
+            while at < len(sizes):
                 end, chars = at, 0
-                while end < len(texts) and (end == at or chars + len(texts[end] or "") <= SLICE_CHARS):
-                    chars += len(texts[end] or "")
+                while end < len(sizes) and (end == at or chars + sizes[end] <= SLICE_CHARS):
+                    chars += sizes[end]
                     end += 1
-                columns = compute(texts[at:end])
+                columns = compute(column[at:end].to_pylist())
                 yield pa.RecordBatch.from_arrays([batch.column(0)[at:end].cast(kinds[0].type), *[pa.array(c, kinds[k].type) for k, c in enumerate(columns, 1)]], schema=kinds)
                 at = end
 
     return chosen.mapInArrow(run, schema)
 
 
-SLICE_CHARS = 2_000_000
+def small_batches(spark: SparkSession) -> None:
+    """Whole texts make large rows: Arrow batches of BATCH_ROWS of them, unless the session says otherwise.
+
+    Both sides of a Python task hold a batch and its copy, so this bounds an executor's memory.
+    """
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
+SLICE_CHARS, BATCH_ROWS = 500_000, 1_000
