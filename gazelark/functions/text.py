@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,6 +17,11 @@ _ENTITIES = {
 }
 
 
+def let(c: Column, body: Callable[[Column], Column]) -> Column:
+    """body(c) with c computed once, however often it is used; expressions stay small."""
+    return F.get(F.transform(F.array(c), body), 0)
+
+
 def strip(c: Column) -> Column:
     """Without white space of any kind at the ends."""
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
@@ -59,16 +66,19 @@ def canonical_url(c: Column) -> Column:
     return F.lower(F.regexp_replace(F.regexp_replace(strip(F.coalesce(c, F.lit(""))), r"(?s)[#?].*$", ""), "/+$", ""))
 
 
+def _without_tail(c: Column, tail: Column, named: Column) -> Column:
+    return let(c, lambda x: F.when(named & F.lower(x).endswith(tail), strip(F.substring(x, F.lit(1), F.length(x) - F.length(tail)))).otherwise(x))
+
+
 def strip_publisher(title: Column, publisher: Column) -> Column:
     """Without a leading date and up to three closing publishers; empty when little is left."""
     t = F.regexp_replace(strip(title), r"^\[\d{4}-\d{2}-\d{2}\]\s*", "")
     low = F.lower(F.coalesce(publisher, F.lit("")))
     for _ in range(3):
         for mark in (" - ", " | "):
-            tail = F.concat(F.lit(mark), low)
-            t = F.when((low != "") & F.lower(t).endswith(tail), strip(F.substring(t, F.lit(1), F.length(t) - F.length(tail)))).otherwise(t)
+            t = _without_tail(t, F.concat(F.lit(mark), low), low != "")
     t = strip(F.regexp_replace(t, r"\s+[-|]\s+[^-|]{3,40}$", ""))
-    return F.when(F.length(t) < 15, "").otherwise(t)
+    return let(t, lambda x: F.when(F.length(x) < 15, "").otherwise(x))
 
 
 def publisher_from_title(title: Column, default: str = "Google News") -> Column:
