@@ -26,8 +26,8 @@ def stemmed(term: str) -> str:
 
 def term_pattern(terms: list[str]) -> str:
     """One case-insensitive pattern for all terms, bounded and tolerant of inflections."""
-    own = [fixed.TERM_LEFT + quote(stemmed(t)) + fixed.TERM_RIGHT for t in terms if str(t).strip()]
-    return "(?i)" + "|".join(own) if own else _NEVER
+    own = [quote(stemmed(t)) for t in terms if str(t).strip()]
+    return f"(?i){fixed.TERM_LEFT}(?:{'|'.join(own)}){fixed.TERM_RIGHT}" if own else _NEVER
 
 
 def consuming_pattern(terms: list[str]) -> str:

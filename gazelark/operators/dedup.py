@@ -80,20 +80,49 @@ def signature_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
 _KEPT = T.StructType([T.StructField("ord", T.LongType()), T.StructField("kept", T.BooleanType())])
 
 
-def components(edges: DataFrame, nodes: DataFrame, rounds: int = 20) -> DataFrame:
-    """ord, part (the least ord reachable) for edges (a, b) over nodes(ord)."""
-    both = written(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = written(nodes.select("ord", F.col("ord").alias("part")))
+_PART = T.StructType([T.StructField("ord", T.LongType()), T.StructField("part", T.LongType())])
+FEW_EDGES = 200_000
+
+
+def _joined(pdf):
+    """ord, part of all edges of a small table: union and find in one task."""
+    import pandas as pd
+
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while parent.setdefault(x, x) != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for a, b in zip(pdf["a"].tolist(), pdf["b"].tolist()):
+        low, high = sorted((root(a), root(b)))
+        parent[high] = low
+    return pd.DataFrame({"ord": list(parent), "part": [root(x) for x in list(parent)]})
+
+
+def components(edges: DataFrame, nodes: DataFrame, rounds: int = 60, few: int = FEW_EDGES) -> DataFrame:
+    """ord, part (the least ord reachable) for edges (a, b) over nodes(ord).
+
+    Up to `few` edges are joined in one task; more go by least labels and pointer jumping, which
+    gives the same parts.
+    """
+    edges = written(edges.select("a", "b"))
+    if edges.count() <= few:
+        found = edges.groupBy().applyInPandas(_joined, _PART)
+        return nodes.select("ord").distinct().join(found, "ord", "left").select("ord", F.coalesce("part", "ord").alias("part"))
+    both = written(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels = written(nodes.select("ord", F.col("ord").alias("part")).distinct())
     for _ in range(rounds):
         near = both.join(labels, both["a"] == labels["ord"]).groupBy("b").agg(F.min("part").alias("near"))
         moved = labels.join(near, labels["ord"] == near["b"], "left").select("ord", F.col("part").alias("old"), F.least("part", F.coalesce("near", "part")).alias("part"))
         own = moved.select(F.col("ord").alias("of"), F.col("part").alias("further"))
-        moved = moved.join(own, moved["part"] == own["of"]).select("ord", "old", F.least("part", "further").alias("part"))
-        moved = written(moved)
+        moved = written(moved.join(own, moved["part"] == own["of"]).select("ord", "old", F.least("part", "further").alias("part")))
         labels = moved.select("ord", "part")
         if moved.where("part <> old").isEmpty():
-            break
-    return labels
+            return labels
+    raise RuntimeError(f"components didn't settle in {rounds} rounds")
 
 
 def written(df: DataFrame) -> DataFrame:

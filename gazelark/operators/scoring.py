@@ -25,26 +25,42 @@ def byline_bypass(author: Column, lexicon: Lexicon) -> Column:
     return F.coalesce(*[F.when(F.contains(low, F.lit(b)), F.lit(b)) for b in lexicon.bylines]) if lexicon.bylines else F.lit(None).cast("string")
 
 
-def score_stream(stream: Stream, lexicon: Lexicon, title: Column, body: Column, author: Column) -> Column:
-    """struct(score, axes, title_axes, matched, vetoed, bypass). A veto leaves nothing else."""
+def _hits(lexicon: Lexicon, title: Column, body: Column) -> dict[str, Column]:
+    """What patterns find, by name: each axis in the text and in the headline, money, and the veto."""
     headline, text = _plain(title), F.concat_ws(" ", _plain(title), _plain(body))
-    money = text.rlike("(?i)" + lexicon.money)
-    hits = [(a, text.rlike(a.pattern)) for a in stream.axes]
-    score = sum((F.when(hit, a.points).otherwise(0) for a, hit in hits), F.when(money, lexicon.money_points).otherwise(0))
-    axes = F.concat(_names([(a.name, hit) for a, hit in hits]), F.when(money, F.array(F.lit("money"))).otherwise(F.array().cast("array<string>")))
-    title_axes = _names([(a.name, headline.rlike(a.pattern)) for a in stream.axes])
-    found = [F.slice(F.regexp_extract_all(text, F.lit(a.pattern), F.lit(0)), 1, 3) for a in stream.axes]
-    matched = F.slice(F.array_distinct(F.transform(F.concat(*found), lambda m: F.lower(F.trim(m)))), 1, 6) if found else F.array().cast("array<string>")
     veto = F.coalesce(
         F.nullif(F.regexp_extract(headline, term_pattern(lexicon.noise), 0), F.lit("")),
         F.when(P.short_title_veto(title), F.lit("short headline")),
         F.when(P.question_veto(title), F.lit("question headline")),
     )
+    out = {"_gz_money": text.rlike("(?i)" + lexicon.money), "_gz_veto": veto}
+    for s in lexicon.streams:
+        for a in s.axes:
+            out[f"_gz_{s.name}_{a.name}"] = text.rlike(a.pattern)
+            out[f"_gz_{s.name}_{a.name}_title"] = headline.rlike(a.pattern)
+    return out
+
+
+def score_stream(stream: Stream, lexicon: Lexicon, title: Column, body: Column, author: Column, known: dict[str, Column] | None = None) -> Column:
+    """struct(score, axes, title_axes, matched, vetoed, bypass). A veto leaves nothing else.
+
+    known: what _hits gives, computed already.
+    """
+    known = known or _hits(lexicon, title, body)
+    text = F.concat_ws(" ", _plain(title), _plain(body))
+    money, veto = known["_gz_money"], known["_gz_veto"]
+    hits = [(a, known[f"_gz_{stream.name}_{a.name}"]) for a in stream.axes]
+    score = sum((F.when(hit, a.points).otherwise(0) for a, hit in hits), F.when(money, lexicon.money_points).otherwise(0))
+    axes = F.concat(_names([(a.name, hit) for a, hit in hits]), F.when(money, F.array(F.lit("money"))).otherwise(F.array().cast("array<string>")))
+    title_axes = _names([(a.name, known[f"_gz_{stream.name}_{a.name}_title"]) for a in stream.axes])
+    found = [F.slice(F.regexp_extract_all(text, F.lit(a.pattern), F.lit(0)), 1, 3) for a in stream.axes]
+    matched = F.slice(F.array_distinct(F.transform(F.concat(*found), lambda m: F.lower(F.trim(m)))), 1, 6) if found else F.array().cast("array<string>")
     promise = next((a for a in stream.axes if a.name == stream.promise_axis), None)
     if promise and lexicon.promises:
         giving = F.regexp_extract_all(text, F.lit(promise.pattern), F.lit(0))
-        only = ~money & (F.size(giving) > 0) & F.forall(giving, lambda g: g.rlike(term_pattern(lexicon.promises)))
-        promise_veto = F.when(only, F.lit("promise without a figure"))
+        only = F.forall(giving, lambda g: g.rlike(term_pattern(lexicon.promises)))
+        possible = known[f"_gz_{stream.name}_{promise.name}"] & ~money
+        promise_veto = F.when(possible, F.when(only, F.lit("promise without a figure")))
     else:
         promise_veto = F.lit(None).cast("string")
     none = F.array().cast("array<string>")
@@ -76,15 +92,41 @@ def admits_stream(stream: Stream, verdict: Column, source_threshold: Column) ->
     return verdict["vetoed"].isNull() & (verdict["bypass"].isNotNull() | ok)
 
 
-def scored(items: DataFrame, lexicon: Lexicon) -> DataFrame:
-    """items with a verdict struct for each stream, named after it."""
-    return items.withColumns({s.name: score_stream(s, lexicon, F.col("title"), F.col("body"), F.col("author")) for s in lexicon.streams})
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt to all cores where the input has too few partitions for work that is mostly matching."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.isStreaming or df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
+def verdicts(lexicon: Lexicon) -> Column:
+    """struct of a verdict for each stream and `stream`, the first that admits, or null.
+
+    Bound step by step, so that each pattern is matched once a row and the plan stays small even
+    where a filter on the outcome is pushed down.
+    """
+    title, body, author = F.col("title"), F.col("body"), F.col("author")
+    hits = F.struct(*[c.alias(name) for name, c in _hits(lexicon, title, body).items()])
+
+    def judged(h: Column) -> Column:
+        known = {name: h[name] for name in _hits(lexicon, title, body)}
+        return F.struct(*[score_stream(s, lexicon, title, body, author, known).alias(s.name) for s in lexicon.streams])
+
+    def routed(v: Column) -> Column:
+        first = F.coalesce(*[F.when(admits_stream(s, v[s.name], F.col("threshold")), F.lit(s.name)) for s in lexicon.streams])
+        return F.struct(*[v[s.name].alias(s.name) for s in lexicon.streams], first.alias("stream"))
+
+    return X.let(X.let(hits, judged), routed)
 
 
 def route(items: DataFrame, lexicon: Lexicon) -> DataFrame:
-    """scored items with `stream`, the first that admits, or null."""
-    out = scored(items, lexicon)
-    return out.withColumn("stream", F.coalesce(*[F.when(admits_stream(s, F.col(s.name), F.col("threshold")), F.lit(s.name)) for s in lexicon.streams]))
+    """items with a verdict struct for each stream, named after it, and `stream`."""
+    out = spread(items).withColumn("_gz_verdicts", verdicts(lexicon))
+    return out.withColumns({name: F.col("_gz_verdicts")[name] for name in [*[s.name for s in lexicon.streams], "stream"]}).drop("_gz_verdicts")
+
+
+def scored(items: DataFrame, lexicon: Lexicon) -> DataFrame:
+    """items with a verdict struct for each stream, named after it."""
+    return route(items, lexicon).drop("stream")
 
 
 def loose_gate(lexicon: Lexicon, stream: Column) -> Column:

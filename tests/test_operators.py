@@ -43,6 +43,13 @@ def test_in_run_dedup_is_the_greedy_fold(spark, keys):
     assert {r["ord"]: r["kept"] for r in dedup.dedup_in_run(items(spark, rows)).collect()} == expected
 
 
+@pytest.mark.parametrize("few", [0, 100])
+def test_components_either_way(spark, few):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(20)] + [(50, 51)], "a long, b long")
+    nodes = spark.createDataFrame([(i,) for i in [*range(21), 50, 51, 99]], "ord long")
+    assert {r["ord"]: r["part"] for r in dedup.components(edges, nodes, few=few).collect()} == {**dict.fromkeys(range(21), 0), 50: 50, 51: 50, 99: 99}
+
+
 def test_cross_outlet_fold(spark):
     t0 = dt.datetime(2024, 1, 1)
     rows = [
