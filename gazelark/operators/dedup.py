@@ -81,7 +81,7 @@ _KEPT = T.StructType([T.StructField("ord", T.LongType()), T.StructField("kept",
 
 
 _PART = T.StructType([T.StructField("ord", T.LongType()), T.StructField("part", T.LongType())])
-FEW_EDGES = 200_000
+FEW_EDGES = 1_000_000
 
 
 def _joined(pdf):
@@ -195,7 +195,9 @@ def dedup_cross_outlet(items: DataFrame, recent: DataFrame | None = None) -> Dat
     """ord, kept: in order of (effective_date, ord), dropped if similar to a recent or a kept item of another outlet."""
     own = items.select("ord", "outlet", "effective_date", X.title_words(F.col("title")).alias("words"), X.money_amounts(F.col("title")).alias("money"), X.proper_nouns(F.col("title")).alias("names"))
     own = written(own)
-    edges = similar_pairs(own, own).select("l_ord", "r_ord").unionByName(signature_pairs(own, own)).where("l_ord < r_ord").select(F.col("l_ord").alias("a"), F.col("r_ord").alias("b")).distinct()
+    # written before they are filtered: the comparison pushed into the join would spoil its plan
+    pairs = written(similar_pairs(own, own).select("l_ord", "r_ord").unionByName(signature_pairs(own, own)))
+    edges = pairs.where("l_ord < r_ord").select(F.col("l_ord").alias("a"), F.col("r_ord").alias("b")).distinct()
     if recent is not None:
         blocked = similar_pairs(own, recent).select("l_ord").unionByName(signature_pairs(own, recent).select("l_ord")).distinct()
         free = own.join(blocked, own["ord"] == blocked["l_ord"], "left_anti")
