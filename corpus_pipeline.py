@@ -11,25 +11,30 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 from gazelark.llm import language, near_duplicates, packing, personal
+from gazelark.ship import ship
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without letters or without a clear language go."""
+    ship(spark)
     return language.stage(spark, docs, sf_dir)
 
 
 def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates (five words, similarity 0.8) stays."""
+    ship(spark)
     return near_duplicates.stage(spark, docs, sf_dir)
 
 
 def pseudonymise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Validated numbers, dates and addresses are replaced in the texts."""
+    ship(spark)
     return personal.stage(spark, docs, sf_dir)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents in sequences of 1,024 tokens along the curve."""
+    ship(spark)
     return packing.stage(spark, docs, sf_dir)
 
 
