@@ -525,7 +525,7 @@ SIGNED = Inline("ord long, outlet string, title string, at long", (
 ))
 
 
-@register("j04_signature_pairs", "SELECT * FROM (VALUES (1, 2), (2, 1), (2, 4), (4, 2), (6, 7), (7, 6)) AS t(l_ord, r_ord)")
+@register("j04_signature_pairs", "SELECT l::BIGINT AS l_ord, r::BIGINT AS r_ord FROM (VALUES (1, 2), (2, 1), (2, 4), (4, 2), (6, 7), (7, 6)) AS t(l, r)")
 def _(t):
     rows = SIGNED.frame(t).select("ord", "outlet", X.money_amounts(F.col("title")).alias("money"), X.proper_nouns(F.col("title")).alias("names"))
     return dedup.signature_pairs(rows, rows)
@@ -632,7 +632,7 @@ def _(t):
 # --- aggregates and telemetry ----------------------------------------------------------------
 
 
-@register("a01_gate_counts", f"SELECT count(*) AS fetched, count_if(fresh) AS fresh, count_if(fresh AND relevant) AS relevant FROM (SELECT epoch({NOW_SQL} - published) / 60.0 <= 900 AS fresh, stream IS NOT NULL AS relevant FROM ({SCORED}))")
+@register("a01_gate_counts", f"SELECT count(*) AS fetched, count(CASE WHEN fresh THEN 1 END) AS fresh, count(CASE WHEN fresh AND relevant THEN 1 END) AS relevant FROM (SELECT epoch({NOW_SQL} - published) / 60.0 <= 900 AS fresh, stream IS NOT NULL AS relevant FROM ({SCORED}))")
 def _(t):
     flags = scoring.route(t.items, TOY).select(P.fresh(F.col("published"), now(), F.lit(900)).alias("fresh"), F.col("stream").isNotNull().alias("relevant"))
     return observe.gate_counts(flags, ["fresh", "relevant"])
@@ -641,14 +641,14 @@ def _(t):
 RUNS_SQL = "SELECT user_id AS source_key, event_id, ts, event_type <> 'error' AS ok FROM events"
 
 
-@register("a02_source_outcomes", "SELECT user_id AS source_key, count_if(value > 50) AS items_in_window, count_if(event_type <> 'error') AS entries_in_feed, CASE WHEN count_if(event_type <> 'error') = 0 THEN 1 + user_id % 4 ELSE 0 END::BIGINT AS consecutive_empty FROM events GROUP BY user_id")
+@register("a02_source_outcomes", "SELECT user_id AS source_key, count(CASE WHEN value > 50 THEN 1 END) AS items_in_window, count(CASE WHEN event_type <> 'error' THEN 1 END) AS entries_in_feed, CASE WHEN count(CASE WHEN event_type <> 'error' THEN 1 END) = 0 THEN 1 + user_id % 4 ELSE 0 END::BIGINT AS consecutive_empty FROM events GROUP BY user_id")
 def _(t):
     fetched = t("events").select(F.col("user_id").alias("source_key"), (F.col("value") > 50).alias("in_window"), F.when(F.col("event_type") != "error", "ok").otherwise("error").alias("status"))
     before = t("events").select(F.col("user_id").alias("source_key")).distinct().select("source_key", (F.col("source_key") % 4).cast("int").alias("consecutive_empty"), F.lit(0).alias("consecutive_parse_fail"))
     return observe.source_outcomes(fetched, before).select("source_key", "items_in_window", "entries_in_feed", F.col("consecutive_empty").cast("long").alias("consecutive_empty"))
 
 
-@register("a03_streaks", f"WITH r AS ({RUNS_SQL}), l AS (SELECT source_key, max(CASE WHEN ok THEN (ts, event_id) END) AS last_ok FROM r GROUP BY ALL) SELECT source_key, count_if(last_ok IS NULL OR (ts, event_id) > last_ok) AS streak FROM r JOIN l USING (source_key) GROUP BY source_key")
+@register("a03_streaks", f"WITH r AS ({RUNS_SQL}), l AS (SELECT source_key, max(CASE WHEN ok THEN (ts, event_id) END) AS last_ok FROM r GROUP BY ALL) SELECT source_key, count(CASE WHEN last_ok IS NULL OR (ts, event_id) > last_ok THEN 1 END) AS streak FROM r JOIN l USING (source_key) GROUP BY source_key")
 def _(t):
     return observe.streaks(t("events").withColumnRenamed("user_id", "source_key"), "source_key", ["ts", "event_id"], F.col("event_type") != "error")
 
@@ -674,7 +674,7 @@ AUDIT_NOW = "2024-01-30 00:00:00"
 
 @register(
     "a08_audit_source",
-    f"WITH f AS (SELECT user_id AS source_key, count(*) AS entries, count_if(event_type = 'view' AND epoch(TIMESTAMP '{AUDIT_NOW}' - ts) / 3600.0 <= 336) AS kept, count_if(event_type = 'view') AS accepted, min(epoch(TIMESTAMP '{AUDIT_NOW}' - ts) / 3600.0) AS freshest FROM events GROUP BY 1) SELECT source_key, entries, kept, CASE WHEN entries = 0 THEN 'EMPTY' WHEN accepted = 0 THEN 'ALL DROPPED' WHEN kept = 0 THEN 'NOTHING RECENT' WHEN freshest > 24 THEN 'STALE' ELSE 'ok' END AS verdict FROM f",
+    f"WITH f AS (SELECT user_id AS source_key, count(*) AS entries, count(CASE WHEN event_type = 'view' AND epoch(TIMESTAMP '{AUDIT_NOW}' - ts) / 3600.0 <= 336 THEN 1 END) AS kept, count(CASE WHEN event_type = 'view' THEN 1 END) AS accepted, min(epoch(TIMESTAMP '{AUDIT_NOW}' - ts) / 3600.0) AS freshest FROM events GROUP BY 1) SELECT source_key, entries, kept, CASE WHEN entries = 0 THEN 'EMPTY' WHEN accepted = 0 THEN 'ALL DROPPED' WHEN kept = 0 THEN 'NOTHING RECENT' WHEN freshest > 24 THEN 'STALE' ELSE 'ok' END AS verdict FROM f",
 )
 def _(t):
     entries = t("events").select(F.col("user_id").alias("source_key"), (F.col("event_type") == "view").alias("accepted"), F.col("ts").alias("published"))
@@ -692,7 +692,7 @@ def _(t):
     return observe.counter_topk(t("lineitem").join(t("supplier"), F.col("l_suppkey") == F.col("s_suppkey")).select(F.col("s_name").alias("name")), "name", 400)
 
 
-@register("a12_queue_state", "SELECT count(*) AS queued, min(ts) AS oldest, true AS due, count_if(epoch(TIMESTAMP '2024-01-30 12:00:00' - ts) / 3600.0 >= 6) AS overdue FROM events WHERE ts >= TIMESTAMP '2024-01-29 00:00:00' AND ts < TIMESTAMP '2024-01-30 12:00:00'")
+@register("a12_queue_state", "SELECT count(*) AS queued, min(ts) AS oldest, true AS due, count(CASE WHEN epoch(TIMESTAMP '2024-01-30 12:00:00' - ts) / 3600.0 >= 6 THEN 1 END) AS overdue FROM events WHERE ts >= TIMESTAMP '2024-01-29 00:00:00' AND ts < TIMESTAMP '2024-01-30 12:00:00'")
 def _(t):
     queue = t("events").where("ts >= '2024-01-29' AND ts < '2024-01-30 12:00:00'").select(F.col("ts").alias("queued_at"))
     return observe.queue_state(queue, F.lit("2024-01-30 12:00:00").cast("timestamp"), fixed.QUEUE_DUE, fixed.QUEUE_DUE_MINUTES, fixed.QUEUE_OVERDUE_HOURS)
@@ -704,7 +704,7 @@ def _(t):
     return observe.unhealthy_list(users.select("source_key", (F.col("source_key") % 5 * 96).alias("consecutive_empty"), (F.col("source_key") % 7 * 96).alias("consecutive_parse_fail")), users.select("source_key", (1 + F.col("source_key") % 3).alias("stale_days")))
 
 
-@register("a14_fetch_summary", "SELECT count(*) AS pages, count_if(event_type = 'error') AS errors, count_if(value > 50) AS cache_hits, count_if(event_type = 'purchase') AS high_confidence FROM events")
+@register("a14_fetch_summary", "SELECT count(*) AS pages, count(CASE WHEN event_type = 'error' THEN 1 END) AS errors, count(CASE WHEN value > 50 THEN 1 END) AS cache_hits, count(CASE WHEN event_type = 'purchase' THEN 1 END) AS high_confidence FROM events")
 def _(t):
     return observe.fetch_summary(t("events").select(F.when(F.col("event_type") == "error", "x").alias("error"), (F.col("value") > 50).alias("cached"), F.when(F.col("event_type") == "purchase", "high").alias("confidence")))
 

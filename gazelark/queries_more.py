@@ -201,7 +201,7 @@ def _(t):
 # --- scoring ---------------------------------------------------------------------------------
 
 
-@register("c01_compiled_terms", " UNION ALL ".join(f"SELECT '{s.name}.{a.name}' AS axis, count_if(regexp_matches(replace(title || ' ' || body, '’', ''''), '{consuming_pattern(a.terms)}')) AS items FROM ({ITEMS})" for s in TOY.streams for a in s.axes))
+@register("c01_compiled_terms", " UNION ALL ".join(f"SELECT '{s.name}.{a.name}' AS axis, count(CASE WHEN regexp_matches(replace(title || ' ' || body, '’', ''''), '{consuming_pattern(a.terms)}') THEN 1 END) AS items FROM ({ITEMS})" for s in TOY.streams for a in s.axes))
 def _(t):
     axes = [(f"{s.name}.{a.name}", a.pattern) for s in TOY.streams for a in s.axes]
     text = F.replace(F.concat_ws(" ", "title", "body"), F.lit("’"), F.lit("'"))
@@ -322,7 +322,7 @@ def _(t):
 # --- telemetry and rendering -----------------------------------------------------------------
 
 
-@register("a09_healthy_ratio", "SELECT count_if(ok) AS healthy, count(*) AS total, string_agg(CASE WHEN NOT ok THEN n_name END, ',' ORDER BY n_name) AS unhealthy FROM (SELECT n_name, n_regionkey <> 2 AS ok FROM nation)")
+@register("a09_healthy_ratio", "SELECT count(CASE WHEN ok THEN 1 END) AS healthy, count(*) AS total, string_agg(CASE WHEN NOT ok THEN n_name END, ',' ORDER BY n_name) AS unhealthy FROM (SELECT n_name, n_regionkey <> 2 AS ok FROM nation)")
 def _(t):
     return observe.healthy_ratio(t("nation").select(F.col("n_name").alias("source_key"), F.when(F.col("n_regionkey") != 2, "ok").otherwise("STALE").alias("verdict")))
 
