@@ -35,6 +35,7 @@ from gazelark.llm.tables import map_texts, read
 MODEL = "piece_bpe_32k.model"
 N_BEST = 4
 CACHE_ENTRIES = 200_000
+SLICE_CHARS = 2_000_000  # so that many new parts go through the batch together
 LONGEST_TOGETHER = 24  # characters of a part that goes through the batch
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -223,8 +224,13 @@ class Encoder:
 
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
-        self.parts: dict[str, tuple[bytes, float, float]] = {}
         self.others: dict[tuple[str, int], list[tuple[float, list[int]]]] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        self.places: dict[str, int] = {}  # of a part in the columns below
+        self.ids: list[bytes] = []
+        self.scores, self.margins = np.empty(1024), np.empty(1024)
 
     def cut(self, text: str) -> list[str]:
         v = self.vocabulary
@@ -232,43 +238,47 @@ class Encoder:
         at = (np.flatnonzero(~v.together[c[:-1], c[1:]]) + 1).tolist()
         return [text[a:b] for a, b in zip([0, *at], [*at, len(text)])]
 
+    def _add(self, parts: list[str], found: list[tuple[bytes, float, float]]) -> None:
+        start, end = len(self.ids), len(self.ids) + len(parts)
+        if end > len(self.scores):
+            room = np.empty(2 * end - len(self.scores))
+            self.scores, self.margins = np.concatenate([self.scores, room]), np.concatenate([self.margins, room])
+        ids, self.scores[start:end], self.margins[start:end] = zip(*found)
+        self.ids += ids
+        self.places.update(zip(parts, range(start, end)))
+
     def _learn(self, new: set[str]) -> None:
-        if len(self.parts) + len(new) > CACHE_ENTRIES:
-            self.parts.clear()
         by_length: dict[int, list[str]] = {}
         for p in new:
             by_length.setdefault(len(p), []).append(p)
         for length, own in sorted(by_length.items()):
             if length <= LONGEST_TOGETHER:
                 for a in range(0, len(own), 20_000):
-                    self.parts.update(zip(own[a : a + 20_000], self.vocabulary.together_best(own[a : a + 20_000])))
+                    self._add(own[a : a + 20_000], self.vocabulary.together_best(own[a : a + 20_000]))
             else:
-                self.parts.update((p, self.vocabulary.alone(p)) for p in own)
+                self._add(own, [self.vocabulary.alone(p) for p in own])
 
     def __call__(self, texts: list[str | None], n: int) -> list[tuple[bytes, list[float], list[list[tuple[str, list[int]]]]]]:
         """For each text: ids of the best as 16-bit bytes, the scores of the n best, and each one's
         changes against the best: (part, ids in its place)."""
         cuts = [self.cut(" " + t) if t else [] for t in texts]
         needed = set(chain.from_iterable(cuts))
-        new = needed - self.parts.keys()
-        if new:
-            if len(self.parts) + len(new) > CACHE_ENTRIES:
-                new = needed
-            self._learn(new)
+        new = needed - self.places.keys()
+        if len(self.ids) + len(new) > CACHE_ENTRIES:
+            self._forget()
+            new = needed
+        self._learn(new)
         out = []
         for parts in cuts:
-            found = list(map(self.parts.__getitem__, parts))
-            ids = b"".join([f[0] for f in found])
-            total = float(np.sum([f[1] for f in found])) if found else 0.0
-            margins = np.array([f[2] for f in found])
-            k = min(n - 1, len(margins))
-            near = np.lexsort((np.arange(len(margins)), margins))[:k].tolist() if k else []
+            at = list(map(self.places.__getitem__, parts))
+            ids = b"".join(map(self.ids.__getitem__, at))
+            total, margins = float(self.scores[at].sum()), self.margins[at]
             ranked: list[tuple[float, list]] = [(0.0, [])]
-            for at in near:
-                if margins[at] == np.inf:
-                    continue
-                options = self._alternatives(parts[at], n)
-                more = [(gap + g, [*changes, (parts[at], own)]) for gap, changes in ranked for g, own in options]
+            for k in np.argsort(margins, kind="stable")[: n - 1].tolist():
+                if margins[k] == np.inf:
+                    break
+                options = self._alternatives(parts[k], n)
+                more = [(gap + g, [*changes, (parts[k], own)]) for gap, changes in ranked for g, own in options]
                 ranked = sorted(ranked + more, key=lambda x: x[0])[:n]
             out.append((ids, [total - gap for gap, _ in ranked], [changes for _, changes in ranked]))
         return out
@@ -327,10 +337,10 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", model: str
     def compute(texts: list[str | None]) -> list[list]:
         return [[np.frombuffer(ids, "<u2").tolist() for ids, _, _ in encoder(model)(texts, 1)]]
 
-    return map_texts(docs, key, text, [T.StructField("ids", T.ArrayType(T.IntegerType()))], compute)
+    return map_texts(docs, key, text, [T.StructField("ids", T.ArrayType(T.IntegerType()))], compute, SLICE_CHARS)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The four best segmentations of every text, and whether each decodes to the text."""
-    out = map_texts(read(spark, sf_dir, "documents"), "doc_id", "text", FIELDS, _digests(MODEL, N_BEST))
+    out = map_texts(read(spark, sf_dir, "documents"), "doc_id", "text", FIELDS, _digests(MODEL, N_BEST), SLICE_CHARS)
     return out.withColumn("scores", F.array_join(F.transform("scores", lambda s: F.format_string("%.6f", s)), " "))

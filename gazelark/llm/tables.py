@@ -26,17 +26,18 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def map_texts(docs: DataFrame, key: str, text: str, fields: list, compute) -> DataFrame:
+def map_texts(docs: DataFrame, key: str, text: str, fields: list, compute, slice_chars: int | None = None) -> DataFrame:
     """docs' key (as it is) and the columns that compute(list of texts or None) gives, a list each.
 
     text: a column, or key.field where the key is a struct that holds it, so that it travels once.
-    Works on Arrow batches, SLICE_CHARS characters at a time; a longer text goes alone.
+    Works on Arrow batches, slice_chars (SLICE_CHARS) characters at a time; a longer text goes alone.
     """
     import pyarrow as pa
     import pyarrow.compute as pc
     from pyspark.sql import types as T
 
     small_batches(docs.sparkSession)
+    most = slice_chars or SLICE_CHARS
     inside = text.removeprefix(f"{key}.") if text.startswith(f"{key}.") else None
     chosen = docs.select(key) if inside else docs.select(key, text)
     schema = T.StructType([chosen.schema[0], *fields])
@@ -50,7 +51,7 @@ def map_texts(docs: DataFrame, key: str, text: str, fields: list, compute) -> Da
             sizes, at = pc.fill_null(pc.utf8_length(column), 0).to_pylist(), 0
             while at < len(sizes):
                 end, chars = at, 0
-                while end < len(sizes) and (end == at or chars + sizes[end] <= SLICE_CHARS):
+                while end < len(sizes) and (end == at or chars + sizes[end] <= most):
                     chars += sizes[end]
                     end += 1
                 columns = compute(column[at:end].to_pylist())
