@@ -1,9 +1,10 @@
 """Licence scan by a positional index of rare words.
 
-A file's licence words of highest IDF (over all documents) are looked up in the templates'
-postings; each place of such a word fixes a template and the place of its first word, and a
-template stands where enough of its words and all words of its key phrase agree. Everything is
-one projection over the word array, without a shuffle but for the words' document counts.
+Each template is looked up by the word of its key phrase that has the highest IDF (over all
+documents). A place of that word fixes the place of the notice's first word, and a template stands
+where enough of its words and all words of its key phrase agree; as the key phrase must be whole,
+no place is missed, however many notices a text holds. Everything is one projection over the word
+array, without a shuffle but for the words' document counts.
 
 Edge cases: a null or empty text has no words, no places, empty labels and score 0; texts of any
 length are scanned whole; repeated rows give repeated results; an empty table gives an empty
@@ -40,7 +41,7 @@ TEMPLATES = {
     "proprietary": ("all rights reserved", "all rights reserved"),
     "unlicense": ("this is free and unencumbered software released into the public domain", "free and unencumbered software"),
 }
-RARE_WORDS = 4
+RARE_WORDS = 4  # of the SQL only, which looks up no more words of a text than these
 LEAST_SHARE = 0.6
 _SHIFT = 1000  # templates are shorter; starts before the text's first word stay positive
 
@@ -84,9 +85,9 @@ def scan(docs: DataFrame, counts: dict[str, int], text: str = "text") -> DataFra
     counts: document counts of the licence words, a bounded vocabulary.
     """
     labels, notices, keys = _templates()
-    by_rarity = sorted(vocabulary(), key=lambda w: (counts.get(w, 0), w))
-    anchors = sorted({notices[t][at] for t, (at, _) in enumerate(keys)})
-    postings = {w: [t * _SHIFT + p for t, n in enumerate(notices) for p, x in enumerate(n) if x == w] for w in by_rarity}
+    anchored = [min(range(at, at + n), key=lambda p: (counts.get(notices[t][p], 0), notices[t][p], p)) for t, (at, n) in enumerate(keys)]
+    anchors = sorted({notices[t][p] for t, p in enumerate(anchored)})
+    postings = {w: [t * _SHIFT + p for t, p in enumerate(anchored) if notices[t][p] == w] for w in anchors}
     postings_map = F.create_map(*[x for w, ps in postings.items() for x in (F.lit(w), F.array(*[F.lit(p).cast("long") for p in ps]))])
     texts = F.array(*[_strings(n) for n in notices])
     key_at = F.array(*[F.lit(at) for at, _ in keys])
@@ -106,7 +107,7 @@ def scan(docs: DataFrame, counts: dict[str, int], text: str = "text") -> DataFra
 
         return F.when(F.array_contains(words, parts[0]) & F.array_contains(words, parts[-1]), F.filter(places, here)).otherwise(none)
 
-    rare = F.slice(F.array_intersect(_strings(by_rarity), words), 1, RARE_WORDS)
+    held = F.array_intersect(_strings(anchors), words)
 
     def starts(w: Column) -> Column:
         at = F.filter(places, lambda i: F.get(words, i) == w)
@@ -126,7 +127,7 @@ def scan(docs: DataFrame, counts: dict[str, int], text: str = "text") -> DataFra
             (agree(F.get(key_at, t), F.get(key_len, t)) == F.get(key_len, t)).alias("key"),
         )
 
-    candidates = F.array_distinct(F.flatten(F.transform(rare, starts)))
+    candidates = F.flatten(F.transform(held, starts))
     found = F.filter(F.transform(candidates, verified), lambda v: v["key"] & (v["share"] >= LEAST_SHARE))
     empty = F.array().cast("array<struct<label:string,start:int,share:double,key:boolean>>")
     out = docs.withColumn("words", words_of(F.col(text)))
