@@ -189,13 +189,16 @@ def bucket_rank(bucket: Column, order: list[str]) -> Column:
 def known_people(items: DataFrame, people: DataFrame, most: int = 3) -> DataFrame:
     """items with known_person: up to three names of the dimension anywhere within the title, by name.
 
-    Names are met by their first three characters among the title's, then verified, so neither
-    side is multiplied with the other. Names of fewer than three characters don't count.
+    Names are met by that run of three of their characters which the fewest names hold, then
+    verified, so neither side is multiplied with the other, also where all names begin alike.
+    Names of fewer than three characters don't count.
     """
-    names = people.select(F.lower("name").alias("person")).where(F.length("person") >= 3).distinct().withColumn("part", F.substring("person", 1, 3))
+    parts = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 2, F.lit(1))), lambda i: F.substring(c, i, F.lit(3))))
+    names = people.select(F.lower("name").alias("person")).where(F.length("person") >= 3).distinct()
+    split = names.select("person", F.explode(parts(F.col("person"))).alias("part"))
+    names = split.join(split.groupBy("part").count(), "part").groupBy("person").agg(F.min(F.struct("count", "part"))["part"].alias("part"))
     low = F.lower(F.coalesce("title", F.lit("")))
-    parts = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(low) - 2, F.lit(1))), lambda i: F.substring(low, i, F.lit(3))))
-    hits = items.select("ord", low.alias("low"), F.explode(parts).alias("part")).join(names, "part").where(F.contains("low", "person"))
+    hits = items.select("ord", low.alias("low"), F.explode(parts(low)).alias("part")).join(names, "part").where(F.contains("low", "person"))
     found = hits.groupBy("ord").agg(F.slice(F.array_sort(F.collect_set("person")), 1, most).alias("known_person"))
     return items.join(found, "ord", "left").withColumn("known_person", F.coalesce("known_person", F.array().cast("array<string>")))
 

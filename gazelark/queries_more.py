@@ -40,7 +40,11 @@ def _(t):
 
 
 def _search(t):
-    p = t("part").where("p_partkey <= 500").select(F.concat(F.lit("s"), F.col("p_partkey") % 10).alias("source_key"), "p_partkey", F.when(F.col("p_partkey") % 7 == 0, "Reddit").otherwise("Gulf Herald").alias("publisher"))
+    return _search_bodies(t("part").where("p_partkey <= 500"), F.concat(F.lit("s"), F.col("p_partkey") % 10))
+
+
+def _search_bodies(part, key):
+    p = part.select(key.alias("source_key"), "p_partkey", F.when(F.col("p_partkey") % 7 == 0, "Reddit").otherwise("Gulf Herald").alias("publisher"))
     item = F.concat(F.lit("<item><title>Report of the harbour authority number "), F.col("p_partkey").cast("string"), F.lit(" - "), "publisher", F.lit("</title><link>https://x.org/"), F.col("p_partkey").cast("string"), F.lit('</link><source url="y">'), "publisher", F.lit("</source></item>"))
     bodies = p.groupBy("source_key").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", item.alias("item")))), lambda x: x["item"]), "").alias("body"))
     odd = F.substring("source_key", 2, 1).cast("int") % 2 == 1
@@ -63,18 +67,26 @@ def _(t):
     return markup.listing_links(listings, r'href="(/n/\d+)"', 3).select(F.col("source_key").alias("region"), F.col("ord").cast("long").alias("ord"), "url")
 
 
+def _calendars(orders, file):
+    block = F.concat(F.lit("BEGIN:VEVENT\r\nSUMMARY:Order\\, number "), F.col("o_orderkey").cast("string"), F.lit("\r\nDTSTART;VALUE=DATE:"), F.date_format("o_orderdate", "yyyyMMdd"), F.lit("\r\nLOCATION:Hall "), F.col("o_custkey").cast("string"), F.lit("\r\nEND:VEVENT\r\n"))
+    return orders.groupBy(file.cast("string").alias("url")).agg(F.array_join(F.collect_list(block), "").alias("body"))
+
+
 @register("s09_ics_events", "SELECT o_orderdate::DATE AS date, 'Order, number ' || o_orderkey AS title, 'Hall ' || o_custkey AS place FROM orders WHERE o_orderkey < 3000")
 def _(t):
-    block = F.concat(F.lit("BEGIN:VEVENT\r\nSUMMARY:Order\\, number "), F.col("o_orderkey").cast("string"), F.lit("\r\nDTSTART;VALUE=DATE:"), F.date_format("o_orderdate", "yyyyMMdd"), F.lit("\r\nLOCATION:Hall "), F.col("o_custkey").cast("string"), F.lit("\r\nEND:VEVENT\r\n"))
-    files = t("orders").where("o_orderkey < 3000").groupBy((F.col("o_orderkey") % 50).cast("string").alias("url")).agg(F.array_join(F.collect_list(block), "").alias("body"))
+    files = _calendars(t("orders").where("o_orderkey < 3000"), F.col("o_orderkey") % 50)
     return markup.ics_events(files).select("date", "title", "place")
 
 
-@register("s10_dated_pages", "SELECT (DATE '2024-01-01' + (p_partkey % 200)::INTEGER) AS date, 'Concert of the old town band ' || p_partkey AS title FROM part WHERE p_partkey <= 400 AND p_partkey % 200 <= 120")
-def _(t):
+def _concerts(part):
     day = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("p_partkey") % 200).cast("int"))
     html = F.concat(F.lit("<p>Concert of the old town band "), F.col("p_partkey").cast("string"), F.lit("</p><p>"), F.date_format(day, "MMMM d, yyyy"), F.lit("</p>"))
-    pages = t("part").where("p_partkey <= 400").select(F.concat(F.lit("https://h.org/"), F.col("p_partkey").cast("string")).alias("url"), html.alias("html"))
+    return part.select(F.concat(F.lit("https://h.org/"), F.col("p_partkey").cast("string")).alias("url"), html.alias("html"))
+
+
+@register("s10_dated_pages", "SELECT (DATE '2024-01-01' + (p_partkey % 200)::INTEGER) AS date, 'Concert of the old town band ' || p_partkey AS title FROM part WHERE p_partkey <= 400 AND p_partkey % 200 <= 120")
+def _(t):
+    pages = _concerts(t("part").where("p_partkey <= 400"))
     return markup.dated_events(pages, F.lit("2024-01-01").cast("date")).select("date", "title")
 
 
@@ -371,3 +383,61 @@ def _(t):
 def _(t):
     titles = POOL.frame(t).select("title").unionByName(EVENT_TITLES.frame(t).select("title"))
     return titles.where(~F.col("title").rlike(fixed.CONVENED)).dropDuplicates(["title"])
+
+
+# --- whole tables ----------------------------------------------------------------------------
+#
+# c10, d08, j09, r11, s02_s03, s09, s10, t01 and w03 of fixed parts of their tables have their
+# counterparts here, whose work grows with the tables.
+
+
+@register("c10_known_people_whole")
+def _(t):
+    rows = t("orders").join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).select(F.col("o_orderkey").alias("ord"), F.concat(F.lit("Order for "), "c_name", F.lit(" was placed")).alias("title"))
+    return scoring.known_people(rows, t("customer").select(F.col("c_name").alias("name"))).select("ord", F.array_join("known_person", ",").alias("people"))
+
+
+@register("d08_union_streams_whole", f"SELECT ord FROM ({ITEMS}) WHERE ord % 3 <> 0 UNION ALL SELECT ord FROM ({ITEMS}) WHERE ord % 2 = 0 OR ord % 3 = 0")
+def _(t):
+    return t.items.where("ord % 3 <> 0").unionByName(t.items.where("ord % 2 = 0 OR ord % 3 = 0")).select("ord")
+
+
+@register("j09_queue_whole", f"SELECT url FROM ({ITEMS}) WHERE ord % 5 <> 1")
+def _(t):
+    queue = joins.queue_add(t.items.where("ord % 3 <> 0").select("url", "title"), t.items.where("ord % 2 = 0 OR ord % 3 = 0").select("url", "title"))
+    return joins.queue_remove(queue, t.items.where("ord % 5 = 1").select("url")).select("url")
+
+
+@register("r11_screened_whole", "SELECT doc_id AS ord, doc_id % 3 = 0 AS kept FROM documents")
+def _(t):
+    return screen.screened(t("documents").select(F.col("doc_id").alias("ord")), lambda batch: {r["ord"] for r in batch if r["ord"] % 3 == 0}).select("ord", "kept")
+
+
+@register("s02_s03_search_items_whole", "SELECT 's' || p_partkey % 10 || '.' || p_partkey // 500 AS source_key, 'Report of the harbour authority number ' || p_partkey AS title, CASE WHEN p_partkey % 2 = 1 THEN 'Gulf Herald' ELSE 'Desk' END AS outlet FROM part WHERE p_partkey % 7 <> 0")
+def _(t):
+    key = F.concat(F.lit("s"), (F.col("p_partkey") % 10).cast("string"), F.lit("."), F.floor(F.col("p_partkey") / 500).cast("string"))
+    bodies, sources = _search_bodies(t("part"), key)
+    return markup.search_items(bodies, sources, F.lit("2000-01-01").cast("timestamp"), ["own.org"]).select("source_key", "title", "outlet")
+
+
+@register("s09_ics_events_whole", "SELECT o_orderdate::DATE AS date, 'Order, number ' || o_orderkey AS title, 'Hall ' || o_custkey AS place FROM orders")
+def _(t):
+    return markup.ics_events(_calendars(t("orders"), F.floor(F.col("o_orderkey") / 1000))).select("date", "title", "place")
+
+
+@register("s10_dated_pages_whole", "SELECT (DATE '2024-01-01' + (p_partkey % 200)::INTEGER) AS date, 'Concert of the old town band ' || p_partkey AS title FROM part WHERE p_partkey % 200 <= 120")
+def _(t):
+    return markup.dated_events(_concerts(t("part")), F.lit("2024-01-01").cast("date")).select("date", "title")
+
+
+@register("t01_digest_order_whole", f"SELECT ord, row_number() OVER (ORDER BY published DESC, ord) AS place FROM ({ITEMS})")
+def _(t):
+    from pyspark.sql import Window
+
+    return t.items.select("ord", F.row_number().over(Window.orderBy(rank.effective(now()).desc(), "ord")).cast("long").alias("place"))
+
+
+@register("w03_neighbour_lines_whole", "SELECT doc, pos, coalesce(array_to_string([list(line) OVER (PARTITION BY doc ORDER BY pos ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING), list(line) OVER (PARTITION BY doc ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND 2 FOLLOWING)].flatten(), '|'), '') AS near FROM (SELECT doc_id AS doc, generate_subscripts(l, 1) - 1 AS pos, unnest(l) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))")
+def _(t):
+    lines = t("documents").select(F.col("doc_id").alias("doc"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
+    return rank.neighbour_lines(lines).select("doc", F.col("pos").cast("long").alias("pos"), F.array_join("near", "|").alias("near"))

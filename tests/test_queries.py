@@ -48,3 +48,21 @@ def test_entry(spark):
 
     assert entry.entry(spark).columns == ["ord", "source_key", "title", "stream", "published"]
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+@pytest.mark.parametrize("name, table, rows", [
+    ("c10_known_people_whole", "orders", "count(*)"), ("d08_union_streams_whole", "documents", "count(CASE WHEN doc_id % 3 <> 0 THEN 1 END) + count(CASE WHEN doc_id % 2 = 0 OR doc_id % 3 = 0 THEN 1 END)"), ("j09_queue_whole", "documents", "count(CASE WHEN doc_id % 5 <> 1 THEN 1 END)"),
+    ("r11_screened_whole", "documents", "count(*)"), ("s02_s03_search_items_whole", "part", "count(CASE WHEN p_partkey % 7 <> 0 THEN 1 END)"), ("s09_ics_events_whole", "orders", "count(*)"), ("s10_dated_pages_whole", "part", "count(CASE WHEN p_partkey % 200 <= 120 THEN 1 END)"),
+    ("t01_digest_order_whole", "documents", "count(*)"), ("w03_neighbour_lines_whole", "documents", "sum(len(string_split(text, chr(10))))"),
+])
+def test_every_row_reaches_the_operator(spark, duck, name, table, rows):
+    assert queries.QUERIES[name](spark, SF).count() == duck.sql(f"SELECT {rows} FROM {table}").fetchall()[0][0]
+
+
+def test_known_people_that_begin_alike(spark):
+    from gazelark.operators import scoring
+
+    names = [f"Customer {i:03d}" for i in range(200)] + ["Ana", "An", "Customer"]
+    titles = [(i, f"Order of customer {i:03d} and CUSTOMER {(i * 7) % 200:03d} by Ana") for i in range(200)] + [(200, None), (201, "")]
+    got = {r["ord"]: r["known_person"] for r in scoring.known_people(spark.createDataFrame(titles, "ord long, title string"), spark.createDataFrame([(n,) for n in names], "name string")).collect()}
+    assert got == {i: sorted(n.lower() for n in names if len(n) >= 3 and n.lower() in (title or "").lower())[:3] for i, title in titles}
