@@ -387,8 +387,8 @@ def _(t):
 
 # --- whole tables ----------------------------------------------------------------------------
 #
-# c10, d08, j09, r11, s02_s03, s09, s10, t01 and w03 of fixed parts of their tables have their
-# counterparts here, whose work grows with the tables.
+# c10, d08, j09, r11, s02_s03, s09, s10, t01 and w03 of fixed parts of their tables, and f27 of
+# fixed parts of its pages, have their counterparts here, whose work grows with the tables.
 
 
 @register("c10_known_people_whole")
@@ -441,3 +441,8 @@ def _(t):
 def _(t):
     lines = t("documents").select(F.col("doc_id").alias("doc"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
     return rank.neighbour_lines(lines).select("doc", F.col("pos").cast("long").alias("pos"), F.array_join("near", "|").alias("near"))
+
+
+@register("f27_escape_whole", "SELECT page_id, replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS escaped FROM pages")
+def _(t):
+    return t("pages").select("page_id", X.escape_markup(F.col("html")).alias("escaped"))

@@ -66,3 +66,11 @@ def test_known_people_that_begin_alike(spark):
     titles = [(i, f"Order of customer {i:03d} and CUSTOMER {(i * 7) % 200:03d} by Ana") for i in range(200)] + [(200, None), (201, "")]
     got = {r["ord"]: r["known_person"] for r in scoring.known_people(spark.createDataFrame(titles, "ord long, title string"), spark.createDataFrame([(n,) for n in names], "name string")).collect()}
     assert got == {i: sorted(n.lower() for n in names if len(n) >= 3 and n.lower() in (title or "").lower())[:3] for i, title in titles}
+
+
+def test_escape_keeps_whole_pages(spark):
+    import html
+
+    got = {r["page_id"]: r["escaped"] for r in queries.QUERIES["f27_escape_whole"](spark, SF).collect()}
+    pages = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
+    assert got == {i: None if p is None else html.escape(p, quote=False) for i, p in pages.items()} and max(map(len, pages.values())) > 300
