@@ -1,11 +1,17 @@
-"""FLAC streams of 8-bit mono samples: a vectorised writer and reader, all frames of a batch together.
+"""FLAC: a vectorised writer and reader of 8-bit mono samples, all frames of a batch together, and a
+reader of any other stream.
 
-Profile: fixed blocks of 192 samples, sample b - 128 for byte b, one subframe (constant, verbatim,
+Profile of the writer: fixed blocks of 192 samples, sample b - 128 for byte b, one subframe (constant, verbatim,
 fixed predictor of order 0 to 4 or linear predictor), one Rice partition, CRC-8 on headers and
 CRC-16 on frames, stream info with the MD5 of the samples and a seek table. The reader finds the
 frames by their checked headers, verifies every checksum, decodes one sample of each frame at a
 time and raises CorruptStream where something disagrees.
 
+Streams outside the profile are read a frame at a time: any block size, also varying and with a
+short last block, 4 to 32 bits, 1 to 8 channels and their stereo forms, wasted bits, both Rice
+methods with partitions and escapes. Samples come out as in WAV files: interleaved, unsigned up
+to 8 bits, above that signed and little-endian in whole bytes.
+
 Edge cases of the operator: a null or empty text is 192 spaces; texts of any length are stored
 whole; repeated texts give the same stream; an empty table gives an empty result; other columns
 are ignored; a null doc_id stays null.
@@ -15,6 +21,8 @@ from __future__ import annotations
 
 import hashlib
 import zlib
+from dataclasses import dataclass
+from operator import mul
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -336,8 +344,8 @@ def _decode_frames(data: np.ndarray, starts: np.ndarray, headers: np.ndarray) ->
     return x.T
 
 
-def decode(streams: list[bytes]) -> list[bytes]:
-    """The payload of each stream; every CRC-8, CRC-16 and MD5 is verified."""
+def _decode_profile(streams: list[bytes]) -> list[bytes]:
+    """The payloads of streams of the writer's profile; every CRC-8, CRC-16 and MD5 is verified."""
     out: list[bytes] = []
     if not streams:
         return out
@@ -370,6 +378,234 @@ def decode(streams: list[bytes]) -> list[bytes]:
     return out
 
 
+@dataclass(frozen=True)
+class Info:
+    """Stream info; `at` is the first byte after the metadata, `samples` is 0 where unknown."""
+
+    at: int
+    least: int
+    most: int
+    rate: int
+    channels: int
+    bits: int
+    samples: int
+    digest: bytes
+
+    @property
+    def sample_bytes(self) -> int:
+        """Of one sample of all channels."""
+        return self.channels * ((self.bits + 7) // 8)
+
+
+def stream_info(stream: bytes) -> Info:
+    at = 0
+    if stream[:3] == b"ID3" and len(stream) >= 10:
+        at = 10 + sum((stream[6 + j] & 127) << (21 - 7 * j) for j in range(4))
+    if stream[at : at + 4] != b"fLaC":
+        raise CorruptStream("not a FLAC stream")
+    at, last, info = at + 4, False, b""
+    while not last:
+        if at + 4 > len(stream):
+            raise CorruptStream("the metadata has no end")
+        last, kind, size = bool(stream[at] >> 7), stream[at] & 127, int.from_bytes(stream[at + 1 : at + 4], "big")
+        if kind == 0:
+            info = stream[at + 4 : at + 4 + size]
+        at += 4 + size
+    if len(info) != 34:
+        raise CorruptStream("no stream info")
+    v = int.from_bytes(info[10:18], "big")
+    return Info(at, int.from_bytes(info[:2], "big"), int.from_bytes(info[2:4], "big"), v >> 44, (v >> 41 & 7) + 1, (v >> 36 & 31) + 1, v & ((1 << 36) - 1), info[18:])
+
+
+def _in_profile(info: Info) -> bool:
+    return (info.least, info.most, info.rate, info.channels, info.bits) == (BLOCK, BLOCK, RATE, 1, 8) and info.samples > 0 and info.samples % BLOCK == 0
+
+
+class _Bits:
+    """The bits of a stream from one byte on; a frame's worth at a time is unpacked."""
+
+    def __init__(self, data: np.ndarray, at: int, size: int):
+        self.data, self.first, self.at = data, at * 8, 0
+        self.length = (min(len(data) - 8, at + size) - at) * 8
+        ones = np.flatnonzero(np.unpackbits(data[at : at + self.length // 8]))
+        self.next = np.full(self.length + 1, -1, np.int64)  # place of the next 1
+        edges = np.concatenate([[-1], ones])
+        self.next[: int(edges[-1]) + 1] = np.repeat(ones, np.diff(edges))
+        self.next_list: list[int] = self.next.tolist()
+
+    def gather(self, places: np.ndarray, width: int) -> np.ndarray:
+        """`width` bits, 0 to 33, from each place."""
+        if not width:
+            return np.zeros(len(places), np.int64)
+        if len(places) and int(places.max()) + width > self.length:
+            raise CorruptStream("a frame beyond the data")
+        p = places + self.first
+        byte, v = p >> 3, np.zeros(len(places), np.int64)
+        for j in range(5):
+            v = (v << 8) | self.data[byte + j]
+        return (v >> (40 - (p & 7) - width)) & ((1 << width) - 1)
+
+    def take(self, width: int) -> int:
+        if self.at + width > self.length:
+            raise CorruptStream("a frame beyond the data")
+        v = int(self.gather(np.array([self.at]), width)[0])
+        self.at += width
+        return v
+
+    def array(self, n: int, width: int) -> np.ndarray:
+        """n signed numbers."""
+        v = self.gather(self.at + width * np.arange(n), width)
+        self.at += n * width
+        return v - ((v >> max(width - 1, 0)) << width)
+
+    def unary(self) -> int:
+        end = self.next_list[self.at] if self.at < self.length else -1
+        if end < 0:
+            raise CorruptStream("a code beyond the data")
+        n = end - self.at
+        self.at = end + 1
+        return n
+
+    def rice(self, n: int, k: int) -> np.ndarray:
+        following, at, ends = self.next_list, self.at, []
+        for _ in range(n):
+            end = following[at] if at < self.length else -1
+            if end < 0:
+                raise CorruptStream("a code beyond the data")
+            ends.append(end)
+            at = end + 1 + k
+        e = np.array(ends, np.int64)
+        begins = np.concatenate([[self.at], e[:-1] + 1 + k])[:n]
+        self.at = at
+        code = ((e - begins) << k) | self.gather(e + 1, k)
+        return (code >> 1) ^ -(code & 1)
+
+
+def _residual(r: _Bits, size: int, order: int) -> np.ndarray:
+    method, partitions = r.take(2), r.take(4)
+    if method > 1 or size % (1 << partitions) or size >> partitions < order:
+        raise CorruptStream("a reserved residual")
+    width, parts = 4 + method, []
+    for j in range(1 << partitions):
+        k, n = r.take(width), (size >> partitions) - (0 if j else order)
+        parts.append(r.array(n, r.take(5)) if k == (1 << width) - 1 else r.rice(n, k))
+    return np.concatenate(parts)
+
+
+def _subframe(r: _Bits, size: int, bits: int) -> np.ndarray:
+    head = r.take(8)
+    kind, wasted = head >> 1, r.unary() + 1 if head & 1 else 0
+    width = bits - wasted
+    if head >> 7 or width < 1:
+        raise CorruptStream("a reserved subframe")
+    if kind == _CONSTANT:
+        x = np.repeat(r.array(1, width), size)
+    elif kind == _VERBATIM:
+        x = r.array(size, width)
+    elif _FIXED <= kind <= _FIXED + 4 or kind >= _LPC:
+        order = kind - _LPC + 1 if kind >= _LPC else kind - _FIXED
+        if order > size:
+            raise CorruptStream("a predictor longer than its block")
+        warm = r.array(order, width).tolist()
+        weights, shift = _FIXED_COEFFICIENTS[kind - _FIXED] if kind < _LPC else [], 0
+        if kind >= _LPC:
+            precision, shift = r.take(4) + 1, int(r.array(1, 5)[0])
+            if precision == 16 or shift < 0:
+                raise CorruptStream("a reserved predictor")
+            weights = r.array(order, precision).tolist()
+        y, last_first = warm, weights[::-1]
+        for e in _residual(r, size, order).tolist():
+            y.append(e + (sum(map(mul, last_first, y[len(y) - order :])) >> shift))
+        x = np.array(y, np.int64)
+    else:
+        raise CorruptStream("a reserved subframe type")
+    return x << wasted
+
+
+def _frame(stream: bytes, data: np.ndarray, at: int, info: Info, index: int, first: int) -> tuple[np.ndarray, int]:
+    """(samples of each channel, place after the frame) of the frame at a byte; the CRC-16 is left to the caller."""
+    h = stream[at : at + 16]
+    if len(h) < 6 or h[0] != 0xFF or h[1] & 0xFE != 0xF8 or h[3] & 1:
+        raise CorruptStream(f"no header of frame {index}")
+    more = 0 if h[4] < 0x80 else next((n for n in range(1, 7) if h[4] >> (6 - n) == (1 << (n + 2)) - 2), 7)
+    number, p = h[4] if not more else h[4] & ((1 << (6 - more)) - 1) if more < 6 else 0, 5 + more
+    for c in h[5:p]:
+        if c >> 6 != 2:
+            raise CorruptStream(f"no number of frame {index}")
+        number = number << 6 | c & 63
+    size_code, rate_code, channel_code, bits_code = h[2] >> 4, h[2] & 15, h[3] >> 4, h[3] >> 1 & 7
+    extra = {6: 1, 7: 2}.get(size_code, 0)
+    size = 192 if size_code == 1 else 576 << (size_code - 2) if size_code < 6 else int.from_bytes(h[p : p + extra], "big") + 1 if extra else 256 << (size_code - 8)
+    p += extra + {12: 1, 13: 2, 14: 2}.get(rate_code, 0)
+    crc = 0
+    for b in h[: p + 1]:
+        crc = int(_CRC8[crc ^ b])
+    bits = (info.bits, 8, 12, 0, 16, 20, 24, 32)[bits_code]
+    channels = channel_code + 1 if channel_code < 8 else 2
+    if crc or more == 7 or not size_code or rate_code == 15 or channel_code > 10 or channels != info.channels or bits != info.bits or number != (first if h[1] & 1 else index):
+        raise CorruptStream(f"the header of frame {index} disagrees")
+    start = at + p + 1
+    likely = channels * (size * (bits + 2) // 8 + 4_096)
+    for most in (likely, len(stream) - start):
+        r = _Bits(data, start, most)
+        try:
+            x = np.stack([_subframe(r, size, bits + (channel_code in (8, 10) and c == 1 or channel_code == 9 and c == 0)) for c in range(channels)])
+            break
+        except OverflowError:
+            raise CorruptStream(f"the samples of frame {index} are too large") from None
+        except CorruptStream:
+            if likely >= len(stream) - start or most > likely:
+                raise
+    if channel_code == 8:
+        x[1] = x[0] - x[1]
+    elif channel_code == 9:
+        x[0] = x[0] + x[1]
+    elif channel_code == 10:
+        middle, side = x[0] << 1 | x[1] & 1, x[1].copy()
+        x[0], x[1] = (middle + side) >> 1, (middle - side) >> 1
+    return x, start + (r.at + 7) // 8 + 2
+
+
+def _decode_any(stream: bytes, info: Info) -> bytes:
+    """The samples of a stream of any profile, interleaved."""
+    data = np.concatenate([np.frombuffer(stream, np.uint8), np.zeros(8, np.uint8)])
+    at, first, blocks, starts, ends = info.at, 0, [], [], []
+    while first < info.samples if info.samples else at < len(stream):
+        x, end = _frame(stream, data, at, info, len(starts), first)
+        if end > len(stream):
+            raise CorruptStream("a frame beyond the data")
+        starts.append(at)
+        ends.append(end)
+        blocks.append(x)
+        at, first = end, first + x.shape[1]
+    if info.samples and first != info.samples or at != len(stream) and not (stream[at : at + 3] == b"TAG" and len(stream) - at == 128):
+        raise CorruptStream("the number of samples disagrees")
+    if starts and crc16(data, np.array(starts), np.array(ends) - np.array(starts)).any():
+        raise CorruptStream("a frame's CRC-16 disagrees")
+    whole = np.concatenate(blocks, axis=1).T if blocks else np.zeros((0, info.channels), np.int64)
+    width = (info.bits + 7) // 8
+
+    def packed(v: np.ndarray) -> bytes:
+        return np.ascontiguousarray(v).astype("<i8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+
+    signed = packed(whole)
+    if any(info.digest) and hashlib.md5(signed).digest() != info.digest:
+        raise CorruptStream("the samples' MD5 disagrees")
+    return packed(whole + (1 << (info.bits - 1))) if width == 1 else signed
+
+
+def decode(streams: list[bytes]) -> list[bytes]:
+    """The samples of each stream; every CRC-8, CRC-16 and MD5 is verified."""
+    infos = [stream_info(s) for s in streams]
+    near = [i for i, info in enumerate(infos) if _in_profile(info)]
+    out: dict[int, bytes] = {}
+    try:
+        out = dict(zip(near, _decode_profile([streams[i] for i in near])))
+    except CorruptStream:  # damaged, or of another writer; the general reader tells which
+        pass
+    return [out[i] if i in out else _decode_any(streams[i], infos[i]) for i in range(len(streams))]
+
+
 def payload(text: str | None) -> bytes:
     raw = (text or "").encode("utf-8", "surrogatepass")
     return raw + b" " * (-len(raw) % BLOCK if raw else BLOCK)
@@ -381,18 +617,28 @@ def feature(samples: bytes) -> str:
     return f"frames={len(v) // BLOCK};rms={np.sqrt((v * v).sum() / len(v)):.4f};peak={np.abs(v).max()};crossings={int((np.diff(v < 0)).sum())}"
 
 
+def _parts(streams: list[bytes], blocks: int) -> list[list[tuple[int, int, bytes]]]:
+    """(first sample, samples, pcm) of every `blocks` times BLOCK samples of each stream."""
+    out = []
+    for stream, pcm in zip(streams, decode(streams)):
+        width, size = stream_info(stream).sample_bytes, blocks * BLOCK
+        out.append([(a // width, len(p) // width, p) for a in range(0, len(pcm), size * width) for p in [pcm[a : a + size * width]]])
+    return out
+
+
 def _digests(texts: list[str | None]) -> list[list]:
     rows = []
     payloads = [payload(t) for t in texts]
     streams = encode(payloads)
-    for text, stream, back in zip(texts, streams, decode(streams)):
+    for text, stream, parts in zip(texts, streams, _parts(streams, SEEK_EVERY)):
+        back = b"".join(p for _, _, p in parts)
         n = len((text or "").encode("utf-8", "surrogatepass"))
         rows.append((n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(stream), hashlib.sha256(stream).hexdigest(), feature(back)))
     return [list(c) for c in zip(*rows)] if rows else [[] for _ in range(7)]
 
 
 def pcm_blocks(docs: DataFrame, media: str = "media", key: str = "doc_id", blocks: int = SEEK_EVERY) -> DataFrame:
-    """key, first_sample, n_samples, pcm: `blocks` decoded FLAC blocks in a row, which readers seek by first_sample.
+    """key, first_sample, n_samples, pcm: `blocks` times BLOCK decoded samples in a row, which readers seek by first_sample.
 
     A null stream gives no rows; a damaged one fails the task with CorruptStream.
     """
@@ -405,11 +651,10 @@ def pcm_blocks(docs: DataFrame, media: str = "media", key: str = "doc_id", block
             for i, stream in enumerate(streams):
                 if stream is None:
                     continue
-                pcm = decode([stream])[0]
-                size = blocks * BLOCK
-                parts = [pcm[a : a + size] for a in range(0, len(pcm), size)]
+                parts = _parts([stream], blocks)[0]
+                first, n, pcm = zip(*parts) if parts else ((), (), ())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([keys[i].as_py()] * len(parts), keys.type), pa.array([a * size for a in range(len(parts))], pa.int64()), pa.array([len(p) for p in parts], pa.int32()), pa.array(parts, pa.binary())],
+                    [pa.array([keys[i].as_py()] * len(pcm), keys.type), pa.array(first, pa.int64()), pa.array(n, pa.int32()), pa.array(pcm, pa.binary())],
                     names=[key, "first_sample", "n_samples", "pcm"],
                 )
 

@@ -437,6 +437,98 @@ def test_flac_shapes_and_damage():
             flac.decode([bytes(bad)])
 
 
+
+def flac_frame(x, number, bits, stereo="", kind="fixed2", partitions=0, escape=(), wasted=0, method=0, variable=False):
+    """A frame of samples (channels x size), bit by bit."""
+    out = []
+
+    def put(v, width):
+        out.extend((int(v) >> (width - 1 - j)) & 1 for j in range(width))
+
+    size = x.shape[1]
+    first, width, code = x.astype(object), [bits] * len(x), len(x) - 1
+    if stereo:
+        left, right = first
+        first, width, code = {"left": ([left, left - right], [bits, bits + 1], 8), "right": ([left - right, right], [bits + 1, bits], 9), "middle": ([(left + right) >> 1, left - right], [bits, bits + 1], 10)}[stereo]
+    n = number.to_bytes(1, "big") if number < 128 else chr(number).encode()
+    head = bytes([0xFF, 0xF8 | variable, 0x70, code << 4 | {8: 1, 12: 2, 16: 4, 20: 5, 24: 6, 32: 7}[bits] << 1]) + n + (size - 1).to_bytes(2, "big")
+    crc8 = 0
+    for b in head:
+        crc8 = int(flac._CRC8[crc8 ^ b])
+    for v, w in zip(first, width):
+        v, w = [int(s) >> wasted for s in v], w - wasted
+        order, weights, shift = {"fixed0": (0, [], 0), "fixed2": (2, [2, -1], 0), "lpc3": (3, [700, -300, 90], 9), "verbatim": (0, [], 0)}[kind]
+        put({"fixed0": 8, "fixed2": 10, "lpc3": 34, "verbatim": 1}[kind], 7)
+        put(wasted > 0, 1)
+        if wasted:
+            put(1, wasted)
+        for s in v[: size if kind == "verbatim" else order]:
+            put(s, w)
+        if kind == "verbatim":
+            continue
+        if kind == "lpc3":
+            put(11, 4), put(shift, 5), [put(c, 12) for c in weights]
+        residual = [v[i] - (sum(c * v[i - 1 - j] for j, c in enumerate(weights)) >> shift) for i in range(order, size)]
+        put(method, 2), put(partitions, 4)
+        each = size >> partitions
+        for j in range(1 << partitions):
+            part = residual[max(j * each - order, 0) : (j + 1) * each - order]
+            if j in escape:
+                put(31 if method else 15, 4 + method), put(28, 5), [put(e, 28) for e in part]
+                continue
+            k = max(1, (sum(map(abs, part)) // max(len(part), 1)).bit_length())
+            put(k, 4 + method)
+            for e in part:
+                u = 2 * e if e >= 0 else -2 * e - 1
+                put(1, (u >> k) + 1), put(u, k)
+    out += [0] * (-len(out) % 8)
+    frame = head + bytes([crc8]) + np.packbits(np.array(out, np.uint8)).tobytes()
+    crc = flac.crc16(np.frombuffer(frame, np.uint8), np.array([0]), np.array([len(frame)]))[0]
+    return frame + int(crc).to_bytes(2, "big")
+
+
+def flac_stream(x, bits, sizes, rate=44_100, known=True, variable=False, **how):
+    """(stream, its samples as decode gives them)."""
+    frames, at = [], 0
+    for i, size in enumerate(sizes):
+        frames.append(flac_frame(x[:, at : at + size], at if variable else i, bits, variable=variable, **how))
+        at += size
+    width = (bits + 7) // 8
+    pcm = lambda v: np.ascontiguousarray(v.T).astype("<i8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+    info = max(sizes).to_bytes(2, "big") * 2 + bytes(6) + (rate << 44 | len(x) - 1 << 41 | bits - 1 << 36 | (at if known else 0)).to_bytes(8, "big") + (hashlib.md5(pcm(x)).digest() if known else bytes(16))
+    return b"fLaC\x80" + len(info).to_bytes(3, "big") + info + b"".join(frames), pcm(x + 128) if bits == 8 else pcm(x)
+
+
+def ordinary_streams():
+    rng = np.random.default_rng(7)
+    wave = lambda channels, n, bits: (np.sin(np.arange(n) / 30 + np.arange(channels)[:, None]) * 2 ** (bits - 2) + rng.normal(0, 2 ** (bits / 2 - 2), (channels, n))).astype(np.int64)
+    yield flac_stream(wave(2, 4_096 * 2 + 500, 16), 16, [4_096, 4_096, 500], stereo="middle", partitions=2)
+    yield flac_stream(wave(2, 5_000, 16), 16, [4_096, 904], stereo="left", kind="lpc3", partitions=3, escape=(0, 5))
+    yield flac_stream(wave(2, 1_000, 24), 24, [576, 424], stereo="right", method=1, partitions=1, escape=(1,))
+    yield flac_stream(wave(1, 3_000, 16) << 3, 16, [1_000, 600, 1_400], wasted=3, variable=True, known=False)
+    yield flac_stream(wave(6, 300, 20), 20, [200, 100], kind="verbatim")
+    yield flac_stream(wave(2, 700, 32), 32, [700], stereo="middle", kind="verbatim")
+    yield flac_stream(wave(1, 2 * 192, 8), 8, [192, 192], rate=8_000, kind="fixed2", partitions=2)
+    yield flac_stream(wave(1, 192 * 150, 8), 8, [192] * 150, rate=8_000, kind="fixed0", known=True)
+
+
+def test_flac_of_other_writers(spark):
+    streams, samples = zip(*ordinary_streams())
+    assert flac.decode(list(streams)) == list(samples)
+    own = flac.encode([b"x" * 192])
+    assert flac.decode([own[0], streams[0]]) == [b"x" * 192, samples[0]]
+    rng = np.random.default_rng(3)
+    for stream in streams[:3]:
+        for at in rng.integers(42, len(stream), 12):
+            with pytest.raises(flac.CorruptStream):
+                flac.decode([stream[:at] + bytes([stream[at] ^ 1 << int(at) % 8]) + stream[at + 1 :]])
+        with pytest.raises(flac.CorruptStream):
+            flac.decode([stream[:-40]])
+    rows = flac.pcm_blocks(spark.createDataFrame([(i, bytearray(s)) for i, s in enumerate(streams)], "doc_id long, media binary"), blocks=4).toPandas().sort_values(["doc_id", "first_sample"])
+    for i, own in rows.groupby("doc_id"):
+        assert b"".join(own.pcm) == samples[i] and (own.first_sample == own.n_samples.cumsum() - own.n_samples).all() and own.n_samples.max() <= 4 * flac.BLOCK
+
+
 def test_flac_query_and_blocks(spark, docs):
     got = {r["doc_id"]: r for r in flac.query(spark, SF).collect()}
     for i, text in zip(docs.doc_id, docs.text):
