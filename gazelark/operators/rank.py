@@ -82,6 +82,17 @@ def pool_cap(items: DataFrame, most: int = fixed.POOL_LIMIT) -> DataFrame:
     return items.orderBy(F.col("published").desc_nulls_last(), "ord").limit(most)
 
 
+def queue_cap(queue: DataFrame, most: int = fixed.QUEUE_ENTRIES) -> DataFrame:
+    """The entries added last."""
+    return queue.orderBy(F.desc("ord")).limit(most)
+
+
+def log_cap(log: DataFrame, now: Column, days: int = fixed.LOG_DAYS, most: int = fixed.LOG_ENTRIES) -> DataFrame:
+    """The entries added last, of the last days; those without a time stay."""
+    recent = F.coalesce(F.col("at") >= now - F.make_dt_interval(F.lit(days)), F.lit(True))
+    return log.where(recent).orderBy(F.desc("ord")).limit(most)
+
+
 def org_query_batches(orgs: DataFrame, most: int = 120, size: int = 10) -> DataFrame:
     """batch, query: the largest organisations once by name, ten quoted names to a disjunction."""
     once = first_n(orgs.where("name <> ''").withColumn("_gz_low", F.lower("name")), 1, ["_gz_low"], F.desc("revenue"), "name").drop("_gz_low")

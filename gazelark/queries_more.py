@@ -331,6 +331,16 @@ def _(t):
     return rank.events_listing(_ordered(t), F.lit("1996-01-15").cast("date")).select("title")
 
 
+@register("t07_queue_cap", f"SELECT ord FROM ({ITEMS}) ORDER BY ord DESC LIMIT 60")
+def _(t):
+    return rank.queue_cap(t.items).select("ord")
+
+
+@register("t07_log_cap", f"SELECT ord FROM ({ITEMS}) WHERE published >= TIMESTAMP '2024-01-15 01:00:00' - INTERVAL 14 DAY ORDER BY ord DESC LIMIT 3000")
+def _(t):
+    return rank.log_cap(t.items.withColumn("at", F.col("published")), F.lit("2024-01-15 01:00:00").cast("timestamp")).select("ord")
+
+
 # --- telemetry and rendering -----------------------------------------------------------------
 
 

@@ -74,3 +74,14 @@ def test_escape_keeps_whole_pages(spark):
     got = {r["page_id"]: r["escaped"] for r in queries.QUERIES["f27_escape_whole"](spark, SF).collect()}
     pages = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
     assert got == {i: None if p is None else html.escape(p, quote=False) for i, p in pages.items()} and max(map(len, pages.values())) > 300
+
+
+def test_caps_of_queue_and_log(spark):
+    from gazelark.operators import rank
+
+    at = lambda day: datetime.datetime(2024, 1, day)
+    log = spark.createDataFrame([(0, at(1)), (1, at(2)), (2, None), (3, at(16)), (4, at(15))], "ord long, at timestamp")
+    now = queries.F.lit("2024-01-16").cast("timestamp")
+    kept = lambda df: {r["ord"] for r in df.collect()}
+    assert kept(rank.log_cap(log, now)) == {1, 2, 3, 4} and kept(rank.log_cap(log, now, most=2)) == {3, 4}
+    assert kept(rank.queue_cap(log, 2)) == {3, 4} and kept(rank.queue_cap(spark.range(100).withColumnRenamed("id", "ord"))) == set(range(40, 100))
