@@ -6,7 +6,8 @@ within its own format, so that equal values get equal pseudonyms in every docume
 - card numbers of 13 to 19 digits with a right check digit keep length, first digit and validity;
 - telephone numbers keep their punctuation and country code, their national digits are permuted;
 - social security numbers are permuted among valid ones (walking the cycle);
-- dates of 1900-01-01 plus 72,900 days are permuted among these days and keep their pattern;
+- dates of 1900-01-01 plus 72,900 days are permuted among these days and keep their pattern
+  (dd/MM/yyyy, or MM/dd/yyyy where the day is over 12);
 - IPv4 addresses are permuted among all addresses;
 - e-mail addresses have no numeric format: a keyed digest replaces the local part and the host.
 
@@ -33,12 +34,12 @@ PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
     "ip": rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?![\d]|\.\d)",
     "date": r"(?<![\d/.-])(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})(?![\d/-]|\.\d)",
-    "phone": r"\+\d{1,3}[ .-]?\(?\d{2,4}\)?[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\d)|(?<!\d)\([2-9]\d{2}\) ?[2-9]\d{2}[-. ]\d{4}(?!\d)|(?<![\d-])[2-9]\d{2}([-.])[2-9]\d{2}\1\d{4}(?![\d-])",
+    "phone": r"\+\d{1,3}[ .-]?\(?\d{2,4}\)?[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\d)|(?<!\d)\([2-9]\d{2}\) ?[2-9]\d{2}[-. ]\d{4}(?!\d)|(?<![\d-])[2-9]\d{2}([-. ])[2-9]\d{2}\1\d{4}(?![\d-])",
     "ssn": r"(?<![\d-])(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}(?![\d-])",
-    "card": r"(?<!\d)(?:\d{13,19}|\d{4}([ -])\d{4}\2\d{4}\2\d{1,7})(?!\d)",
+    "card": r"(?<!\d)(?:\d{13,19}|\d{4}([ -])\d{4}\2\d{4}\2\d{1,7}|\d{4}([ -])\d{6}\3\d{5})(?!\d)",
 }
 ALL = "|".join(PATTERNS.values())
-_DATE_FORMATS = {r"^\d{4}-": "yyyy-MM-dd", r"^\d{4}/": "yyyy/MM/dd", r"^\d{2}/": "dd/MM/yyyy", r"^\d{2}\.": "dd.MM.yyyy"}
+_DATE_FORMATS = {r"^\d{4}-": "yyyy-MM-dd", r"^\d{4}/": "yyyy/MM/dd", r"^\d{2}/(?:1[3-9]|[23]\d)/": "MM/dd/yyyy", r"^\d{2}/": "dd/MM/yyyy", r"^\d{2}\.": "dd.MM.yyyy"}
 
 
 def _round(key: str, tweak: Column, i: Column, other: Column, modulus: Column) -> Column:
@@ -167,7 +168,7 @@ def replaced(value: Column, key: str) -> Column:
     """struct(kind, text): the pseudonym, or the value itself with a null kind where it isn't valid."""
     kind, new = None, None
     for name, pattern in PATTERNS.items():
-        whole = value.rlike("^(?:" + pattern.replace(r"\2", r"\1") + ")$")
+        whole = value.rlike("^(?:" + pattern.replace(r"\2", r"\1").replace(r"\3", r"\2") + ")$")
         kind = F.when(whole, F.lit(name)) if kind is None else kind.when(whole, F.lit(name))
         new = F.when(whole, _PERMUTE[name](value, key)) if new is None else new.when(whole, _PERMUTE[name](value, key))
     return _let(F.struct(kind.alias("kind"), new.alias("text")), lambda x: F.struct(F.when(x["text"].isNotNull(), x["kind"]).alias("kind"), F.coalesce(x["text"], value).alias("text")))

@@ -545,6 +545,16 @@ def test_flac_query_and_blocks(spark, docs):
 # --- the pipeline ---
 
 
+def test_other_forms_of_personal_data(spark):
+    rows = {1: ("card 3782 822463 10005.", r"card \d{4} \d{6} \d{5}\.", "card"), 2: ("card 3782-822463-10005.", r"card \d{4}-\d{6}-\d{5}\.", "card"), 3: ("born 12/25/1985 here", r"born \d\d/\d\d/\d{4} here", "date"), 4: ("call 212 555 0100 now", r"call \d{3} \d{3} \d{4} now", "phone")}
+    kept = {5: "card 3782 822463 10006.", 6: "born 13/25/1985 here", 7: "call 212 555-0100 now"}
+    df = spark.createDataFrame([(i, r[0]) for i, r in rows.items()] + list(kept.items()), "doc_id long, text string")
+    got = {r["doc_id"]: r["pseudonymised"] for r in personal.pseudonymise(df).collect()}
+    for i, (text, form, kind) in rows.items():
+        assert got[i]["kinds"] == [kind] and got[i]["text"] != text and re.fullmatch(form, got[i]["text"])
+    assert {i: got[i]["text"] for i in kept} == kept
+
+
 def test_pipeline_against_its_stages_by_brute_force(spark, folder):
     import corpus_pipeline
 
