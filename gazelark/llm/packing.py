@@ -2,7 +2,11 @@
 
 A document's token counts are hashed to a vector, scaled to unit length and projected to three
 fixed random directions; the Hilbert key of the projection range-sorts the documents, and each
-range is packed as one stream, so that neighbours on the curve share sequences.
+range is packed as one stream, so that neighbours on the curve share sequences. The ranges begin
+at quantiles of (key, tie) over a sample of RANGE_SAMPLE documents a range; the tie, a hash of id
+and text, cuts a large group of copies. The sample's size decides how even the ranges are, and
+nothing else: every document is packed. Over the same files and number of ranges it is the same
+sample, so that sequence_id is reproducible.
 
 Whole sequences of a document's own tokens are cut off first; what is left (under a sequence) joins
 the stream, which is cut where a sequence is full. The open end of a range is cut into powers of
@@ -17,7 +21,6 @@ from __future__ import annotations
 
 import base64
 import os
-import re
 import zlib
 
 import numpy as np
@@ -25,20 +28,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gazelark.llm.tables import checkpointed, map_texts, read, shuffle_partitions
+from gazelark.llm.tables import map_texts, read, shuffle_partitions
 
 SEQUENCE = 1024
 END = 0
 TOKENIZER = "byte_bpe_50k.json"
 VECTOR_SIZE, DIMENSIONS, BITS = 4096, 3, 16
-_LONG_RUN = re.compile(r"\S{2000}|\s{2000}")
+RANGE_SAMPLE = 40
 
 
 class Encoder:
     """A tokenizer's ids, by its own library or by the same vocabulary as ranks, which is faster.
 
     The ranks are used where the file has a sibling of them (checked against the tokenizer when
-    loaded); a text with a very long run without white space goes to the tokenizer.
+    loaded, and over whole tables in the tests); a text whose runs of blanks their pattern can't
+    match goes to the tokenizer, which gives the same ids.
     """
 
     def __init__(self, path: str):
@@ -65,10 +69,12 @@ class Encoder:
     def __call__(self, texts: list[str]) -> list[bytes]:
         out = []
         for text in texts:
-            if self.ranks is None or _LONG_RUN.search(text):
+            try:
+                ids = self.ranks.encode_to_numpy(text, allowed_special="all") if self.ranks else None
+            except ValueError:  # the pattern's matcher is out of room
+                ids = None
+            if ids is None:
                 ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids)
-            else:
-                ids = self.ranks.encode_to_numpy(text, allowed_special="all")
             out.append(ids.astype("<u4").tobytes())
         return out
 
@@ -130,14 +136,40 @@ def document_points(ids: list[np.ndarray]) -> np.ndarray:
     return np.clip((out + 4) / 8 * (1 << BITS), 0, (1 << BITS) - 1).astype(np.int64)
 
 
-def _tokenised(name: str, sequence: int):
-    def compute(texts: list[str | None]) -> list[list]:
-        raw = [b + END.to_bytes(4, "little") for b in encoder(name)([t or "" for t in texts])]
-        keys = hilbert_keys(document_points([np.frombuffer(b, "<u4") for b in raw])).tolist()
+def _ids_and_keys(name: str, texts: list[str | None]) -> tuple[list[bytes], np.ndarray]:
+    raw = [b + END.to_bytes(4, "little") for b in encoder(name)([t or "" for t in texts])]
+    return raw, hilbert_keys(document_points([np.frombuffer(b, "<u4") for b in raw]))
+
+
+_PLACE = np.dtype([("key", "<i8"), ("tie", "<i8")])
+
+
+def _places(keys: np.ndarray, ties: np.ndarray) -> np.ndarray:
+    out = np.empty(len(keys), _PLACE)
+    out["key"], out["tie"] = keys, ties
+    return out
+
+
+def _range_starts(own: DataFrame, tokenizer: str, ranges: int) -> np.ndarray:
+    """(key, tie) at which the second to the last range begin. At most about RANGE_SAMPLE pairs of
+    numbers a range reach the driver. own: rows (own: struct(key, tie), text)."""
+    wanted = RANGE_SAMPLE * ranges
+    share = min(1.0, wanted / max(1, own.count()))
+    chosen = own if share == 1.0 else own.where(F.rand(5) < share)
+    fields = [T.StructField("curve_key", T.LongType())]
+    found = map_texts(chosen, "own", "text", fields, lambda texts: [_ids_and_keys(tokenizer, texts)[1].tolist()]).select("curve_key", "own.tie").toArrow()
+    places = np.sort(_places(found.column(0).to_numpy(), found.column(1).to_numpy()), order=["key", "tie"])
+    return places[(np.arange(1, ranges) * len(places)) // ranges] if len(places) else places
+
+
+def _tokenised(name: str, sequence: int, shared):
+    def compute(texts: list[str | None], ties: np.ndarray) -> list[list]:
+        raw, keys = _ids_and_keys(name, texts)
         size = sequence * 4
         full = [len(b) // size for b in raw]
         return [
-            keys,
+            np.searchsorted(shared.value, _places(keys, ties), "right").tolist(),
+            keys.tolist(),
             [len(b) // 4 for b in raw],
             [[zlib.crc32(b[k * size : (k + 1) * size]) for k in range(n)] for b, n in zip(raw, full)],
             # two bytes an id while they fit
@@ -148,6 +180,7 @@ def _tokenised(name: str, sequence: int):
 
 
 _TOKENISED = [
+    T.StructField("range", T.IntegerType()),
     T.StructField("curve_key", T.LongType()),
     T.StructField("doc_tokens", T.LongType()),
     T.StructField("full_crcs", T.ArrayType(T.LongType())),
@@ -221,33 +254,37 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", tokenizer: st
 
     sequence must be a power of two; the tokenizer must have at most 65,536 ids.
     """
-    tokens = checkpointed(map_texts(docs, key, text, _TOKENISED, _tokenised(tokenizer, sequence)))
-    ordered = tokens.repartitionByRange(shuffle_partitions(docs.sparkSession), "curve_key", key, "doc_tokens", F.crc32("rest")).sortWithinPartitions("curve_key", key, "doc_tokens", "rest")
-    schema = T.StructType([tokens.schema[0], *_PIECE])
+    ranges = shuffle_partitions(docs.sparkSession)
+    own = docs.select(F.struct(F.col(key).alias("doc"), F.xxhash64(key, text).alias("tie")).alias("own"), F.col(text).alias("text"))
+    starts = docs.sparkSession.sparkContext.broadcast(_range_starts(own, tokenizer, ranges))  # 16 bytes a range
+    tokens = map_texts(own, "own", "text", _TOKENISED, _tokenised(tokenizer, sequence, starts), beside="tie")
+    ordered = tokens.repartitionById(ranges, F.col("range")).sortWithinPartitions("range", "curve_key", "own.tie")
+    narrow = ordered.select("range", F.col("own.doc").alias(key), "doc_tokens", "full_crcs", "rest")
+    schema = T.StructType([narrow.schema[1], *_PIECE])
 
     def run(batches):
         import pyarrow as pa
-        from pyspark import TaskContext
         from pyspark.sql.pandas.types import to_arrow_schema
 
         kinds = to_arrow_schema(schema)
-        stream = _Stream(TaskContext.get().partitionId() << 40, sequence)
+        stream, at = _Stream(0, sequence), None
 
         def out():
             columns = list(zip(*stream.drain()))
-            return pa.RecordBatch.from_arrays([pa.array(c, k.type) for c, k in zip(columns, kinds)], schema=kinds) if columns else None
+            return [pa.RecordBatch.from_arrays([pa.array(c, k.type) for c, k in zip(columns, kinds)], schema=kinds)] if columns else []
 
         for batch in batches:
             for a in range(0, batch.num_rows, 1000):
-                for doc, _, n, crcs, rest in zip(*[c.to_pylist() for c in batch[a : a + 1000].columns]):
+                for place, doc, n, crcs, rest in zip(*[c.to_pylist() for c in batch[a : a + 1000].columns]):
+                    if place != at:
+                        stream.finish()
+                        at, stream.next = place, place << 40
                     stream.document(doc, n, crcs, rest)
-                if (ready := out()) is not None:
-                    yield ready
+                yield from out()
         stream.finish()
-        if (ready := out()) is not None:
-            yield ready
+        yield from out()
 
-    return ordered.mapInArrow(run, schema)
+    return narrow.mapInArrow(run, schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,10 +26,11 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def map_texts(docs: DataFrame, key: str, text: str, fields: list, compute, slice_chars: int | None = None) -> DataFrame:
+def map_texts(docs: DataFrame, key: str, text: str, fields: list, compute, slice_chars: int | None = None, beside: str | None = None) -> DataFrame:
     """docs' key (as it is) and the columns that compute(list of texts or None) gives, a list each.
 
     text: a column, or key.field where the key is a struct that holds it, so that it travels once.
+    beside: a long field of a struct key, handed to compute after the texts, as an array.
     Works on Arrow batches, slice_chars (SLICE_CHARS) characters at a time; a longer text goes alone.
     """
     import pyarrow as pa
@@ -54,7 +55,8 @@ def map_texts(docs: DataFrame, key: str, text: str, fields: list, compute, slice
                 while end < len(sizes) and (end == at or chars + sizes[end] <= most):
                     chars += sizes[end]
                     end += 1
-                columns = compute(column[at:end].to_pylist())
+                more = [batch.column(0).field(beside)[at:end].to_numpy(zero_copy_only=False)] if beside else []
+                columns = compute(column[at:end].to_pylist(), *more)
                 yield pa.RecordBatch.from_arrays([batch.column(0)[at:end].cast(kinds[0].type), *[pa.array(c, kinds[k].type) for k, c in enumerate(columns, 1)]], schema=kinds)
                 at = end
 

@@ -316,6 +316,35 @@ def test_ranks_agree_with_the_tokenizer(text):
     assert np.frombuffer(own([text])[0], "<u4").tolist() == own.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_ranks_agree_on_whole_tables_and_long_runs():
+    own = packing.encoder(packing.TOKENIZER)
+    rng = np.random.default_rng(2)
+    texts = [t or "" for t in pd.read_parquet("/root/testdata/sf0.01/documents.parquet").text]
+    texts += pd.read_parquet("/root/testdata/sf0.01/pages.parquet").html.fillna("").tolist()
+    texts += [c * n + end for c in ("a", " ", "\n", "-", "7", "é", "中", "\u3000") for n in (1, 2_000, 20_000, 300_000) for end in ("", "x")]
+    texts += ["".join(rng.choice(list("abcdefgh"), 50_000)), "".join(rng.choice(list(" \n\t"), 50_000)) + "x"]
+    assert own.ranks is not None
+    assert [np.frombuffer(b, "<u4").tolist() for b in own(texts)] == [own.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_ranges_follow_the_curve(spark, docs):
+    """Along the sequences the keys of the documents rise, within and across ranges."""
+    texts = [t or "" for t in docs.text]
+    _, keys = packing._ids_and_keys(packing.TOKENIZER, texts)
+    key = dict(zip(docs.doc_id, keys.tolist()))
+    found = packing.query(spark, SF).toPandas()
+    assert found.sort_values(list(found.columns)).reset_index(drop=True).equals(packing.query(spark, SF).toPandas().sort_values(list(found.columns)).reset_index(drop=True))
+    # a document's own full sequences come before the one that its rest is in
+    at = found[found.length < packing.SEQUENCE].assign(key=found.doc_id.map(key)).sort_values(["sequence_id", "offset"])
+    assert at.key.is_monotonic_increasing and at.sequence_id.floordiv(2**40).nunique() > 1
+
+
+def test_copies_are_dealt_over_ranges(spark):
+    df = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("the same words in every text " * 20).alias("text"))
+    found = packing.pack(df).toPandas()
+    assert found.doc_id.nunique() == 3000 and found.groupby(found.sequence_id.floordiv(2**40)).doc_id.nunique().max() < 1500
+
+
 # --- 7 ---
 
 
