@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from gazelark import fixed
 from gazelark.functions import text as X
+from gazelark.shared import checkpointed as written
 
 
 def already_posted(items: DataFrame, seen: DataFrame) -> DataFrame:
@@ -125,16 +126,6 @@ def components(edges: DataFrame, nodes: DataFrame, rounds: int = 60, few: int =
     raise RuntimeError(f"components didn't settle in {rounds} rounds")
 
 
-def written(df: DataFrame) -> DataFrame:
-    """Checkpointed in the session's shared folder; one of this machine only where none is set."""
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        import tempfile
-
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="gazelark-"))
-    return df.checkpoint()
-
-
 def greedy_fold(nodes: DataFrame, edges: DataFrame, order: list[str]) -> DataFrame:
     """ord, kept: in the given order, a row is dropped if it has an edge (a, b) with one kept before.
 
