@@ -2,9 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
 from gazelark.llm import chat, flac, language, licences, near_duplicates, neighbours, packing, personal, segmentation, sharding
+from gazelark.llm.tables import own_session
+
+
+def _apart(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: query(own_session(spark), sf_dir)
+
 
-QUERIES = {
+_QUERIES = {
     "op1_minhash_dedup": near_duplicates.query,
     "op2_license_scan": licences.query,
     "op3_chat_format": chat.query,
@@ -16,6 +26,7 @@ QUERIES = {
     "op9_sharding": sharding.query,
     "op10_media_columns": flac.query,
 }
+QUERIES = {name: _apart(query) for name, query in _QUERIES.items()}
 ORACLE_SQL = {
     "op2_license_scan": licences.ORACLE_SQL,
     "op9_sharding": sharding.ORACLE_SQL,

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from gazelark.shared import checkpointed  # noqa: F401 - the operators' own
+
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
@@ -13,19 +15,6 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Written to the shared checkpoint folder, so that lost executors cost no recomputation.
-
-    The folder is the session's spark.checkpoint.dir; a local one is set only where it is unset.
-    """
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        import tempfile
-
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="gazelark-"))
-    return df.checkpoint()
-
-
 def map_texts(docs: DataFrame, key: str, text: str, fields: list, compute, slice_chars: int | None = None, beside: str | None = None) -> DataFrame:
     """docs' key (as it is) and the columns that compute(list of texts or None) gives, a list each.
 
@@ -37,7 +26,6 @@ def map_texts(docs: DataFrame, key: str, text: str, fields: list, compute, slice
     import pyarrow.compute as pc
     from pyspark.sql import types as T
 
-    small_batches(docs.sparkSession)
     most = slice_chars or SLICE_CHARS
     inside = text.removeprefix(f"{key}.") if text.startswith(f"{key}.") else None
     chosen = docs.select(key) if inside else docs.select(key, text)
@@ -63,13 +51,25 @@ def map_texts(docs: DataFrame, key: str, text: str, fields: list, compute, slice
     return chosen.mapInArrow(run, schema)
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Whole texts make large rows: Arrow batches of BATCH_ROWS of them, unless the session says otherwise.
+#: Whole texts make large rows. What a reader, and both sides of a Python task, hold at once is bounded by these.
+WHOLE_TEXTS = {"spark.sql.execution.arrow.maxBytesPerBatch": "4m", "spark.sql.parquet.columnarReaderBatchSize": "512"}
 
-    Both sides of a Python task hold a batch and its copy, so this bounds an executor's memory.
-    """
-    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+def bound_batches(session: SparkSession, given: dict[str, str]) -> None:
+    """WHOLE_TEXTS for a session of our own, but for what is in the settings given."""
+    for name, value in WHOLE_TEXTS.items():
+        if name not in given:
+            session.conf.set(name, value)
+
+
+def own_session(spark: SparkSession) -> SparkSession:
+    """A session with the caller's settings and WHOLE_TEXTS; the caller's own stays as it is."""
+    own, given = spark.newSession(), dict(spark.conf.getAll)
+    for name, value in given.items():
+        if own.conf.isModifiable(name) and own.conf.get(name, None) != value:
+            own.conf.set(name, value)
+    bound_batches(own, given)
+    return own
 
 
-SLICE_CHARS, BATCH_ROWS = 500_000, 1_000
+SLICE_CHARS = 500_000
