@@ -11,27 +11,37 @@ within its own format, so that equal values get equal pseudonyms in every docume
 - IPv4 addresses are permuted among all addresses;
 - e-mail addresses have no numeric format: a keyed digest replaces the local part and the host.
 
-Numbers that fail validation stay. Edge cases: a null text stays null and counts no value; an
+Numbers that fail validation stay. A walk among social security numbers ends after 64 steps; one
+step in eight meets an invalid number, so that one value in 10**57 would need more.
+
+The key is a secret: it is the session's spark.gazelark.pseudonym.secret (a name that Spark hides
+in its logs), or else a random one for each Spark application, so that equal values are linked
+within it and nowhere else. It enters the plan as a subquery over a table of one row, of which
+plans and event logs show no value.
+
+Edge cases: a null text stays null and counts no value; an
 empty or very long text is treated whole; repeated rows give repeated results; an empty table
 gives an empty result; other columns are ignored by the query and kept by `pseudonymise`.
 """
 
 from __future__ import annotations
 
+import secrets
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gazelark.llm.tables import read
 
 ROUNDS = 8
-KEY_CONF = "spark.gazelark.pseudonym.key"
-KEY = "an example key; set spark.gazelark.pseudonym.key in production"
+KEY_CONF = "spark.gazelark.pseudonym.secret"
 DAYS, HALF = 72_900, 270
 FIRST_DAY = "1900-01-01"
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
+    # a host has at most 127 labels; the matcher goes a level deeper with each
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]++\.){1,127}[A-Za-z]{2,}",
     "ip": rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?![\d]|\.\d)",
     "date": r"(?<![\d/.-])(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})(?![\d/-]|\.\d)",
     "phone": r"\+\d{1,3}[ .-]?\(?\d{2,4}\)?[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\d)|(?<!\d)\([2-9]\d{2}\) ?[2-9]\d{2}[-. ]\d{4}(?!\d)|(?<![\d-])[2-9]\d{2}([-. ])[2-9]\d{2}\1\d{4}(?![\d-])",
@@ -42,12 +52,12 @@ ALL = "|".join(PATTERNS.values())
 _DATE_FORMATS = {r"^\d{4}-": "yyyy-MM-dd", r"^\d{4}/": "yyyy/MM/dd", r"^\d{2}/(?:1[3-9]|[23]\d)/": "MM/dd/yyyy", r"^\d{2}/": "dd/MM/yyyy", r"^\d{2}\.": "dd.MM.yyyy"}
 
 
-def _round(key: str, tweak: Column, i: Column, other: Column, modulus: Column) -> Column:
-    digest = F.sha2(F.concat_ws("|", F.lit(key), tweak, i.cast("string"), other.cast("string")), 256)
+def _round(key: Column, tweak: Column, i: Column, other: Column, modulus: Column) -> Column:
+    digest = F.sha2(F.concat_ws("|", key, tweak, i.cast("string"), other.cast("string")), 256)
     return F.conv(F.substring(digest, 1, 14), 16, 10).cast("long") % modulus
 
 
-def feistel(a: Column, b: Column, of_a: Column, of_b: Column, key: str, tweak: Column) -> Column:
+def feistel(a: Column, b: Column, of_a: Column, of_b: Column, key: Column, tweak: Column) -> Column:
     """struct(a, b) permuted within [0, of_a) x [0, of_b): the halves take turns."""
     start = F.struct(a.cast("long").alias("a"), b.cast("long").alias("b"))
 
@@ -61,7 +71,7 @@ def feistel(a: Column, b: Column, of_a: Column, of_b: Column, key: str, tweak: C
     return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, step)
 
 
-def permuted_digits(digits: Column, key: str, kind: Column) -> Column:
+def permuted_digits(digits: Column, key: Column, kind: Column) -> Column:
     """A digit string of 2 to 20 digits, permuted among those of its length."""
     n = F.length(digits)
     u = F.floor(n / 2).cast("int")
@@ -103,7 +113,7 @@ def _let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), 0)
 
 
-def _card(value: Column, key: str) -> Column:
+def _card(value: Column, key: Column) -> Column:
     def body(digits: Column) -> Column:
         inner = F.substring(digits, F.lit(2), F.length(digits) - 2)
         new = F.concat(F.substring(digits, 1, 1), permuted_digits(inner, key, F.concat(F.lit("card"), F.substring(digits, 1, 1))))
@@ -113,7 +123,7 @@ def _card(value: Column, key: str) -> Column:
     return _let(F.regexp_replace(value, "[^0-9]", ""), body)
 
 
-def _phone(value: Column, key: str) -> Column:
+def _phone(value: Column, key: Column) -> Column:
     def body(digits: Column) -> Column:
         kept = F.when(value.startswith("+"), F.greatest(F.length(digits) - 10, F.lit(1))).otherwise(0)
         tail = F.substring(digits, kept + 1, F.length(digits))
@@ -122,7 +132,7 @@ def _phone(value: Column, key: str) -> Column:
     return _let(F.regexp_replace(value, "[^0-9]", ""), body)
 
 
-def _ssn(value: Column, key: str) -> Column:
+def _ssn(value: Column, key: Column) -> Column:
     def step(digits: Column) -> Column:
         return permuted_digits(digits, key, F.lit("ssn"))
 
@@ -131,7 +141,7 @@ def _ssn(value: Column, key: str) -> Column:
     return refilled(value, walked)
 
 
-def _date(value: Column, key: str) -> Column:
+def _date(value: Column, key: Column) -> Column:
     first = F.lit(FIRST_DAY).cast("date")
     half = F.lit(HALF).cast("long")
 
@@ -149,7 +159,7 @@ def _date(value: Column, key: str) -> Column:
     return out
 
 
-def _ip(value: Column, key: str) -> Column:
+def _ip(value: Column, key: Column) -> Column:
     o = F.split(value, r"\.")
     part = [F.get(o, k).cast("long") for k in range(4)]
     size = F.lit(65_536).cast("long")
@@ -157,14 +167,14 @@ def _ip(value: Column, key: str) -> Column:
     return _let(halves, lambda h: F.concat_ws(".", *[x.cast("string") for half in (h["a"], h["b"]) for x in (F.floor(half / 256), half % 256)]))
 
 
-def _email(value: Column, key: str) -> Column:
-    return F.concat(F.lit("u"), F.substring(F.sha2(F.concat(F.lit(f"{key}|email|"), F.lower(value)), 256), 1, 16), F.lit("@example.com"))
+def _email(value: Column, key: Column) -> Column:
+    return F.concat(F.lit("u"), F.substring(F.sha2(F.concat(key, F.lit("|email|"), F.lower(value)), 256), 1, 16), F.lit("@example.com"))
 
 
 _PERMUTE = {"email": _email, "ip": _ip, "date": _date, "phone": _phone, "ssn": _ssn, "card": _card}
 
 
-def replaced(value: Column, key: str) -> Column:
+def replaced(value: Column, key: Column) -> Column:
     """struct(kind, text): the pseudonym, or the value itself with a null kind where it isn't valid."""
     kind, new = None, None
     for name, pattern in PATTERNS.items():
@@ -174,27 +184,43 @@ def replaced(value: Column, key: str) -> Column:
     return _let(F.struct(kind.alias("kind"), new.alias("text")), lambda x: F.struct(F.when(x["text"].isNotNull(), x["kind"]).alias("kind"), F.coalesce(x["text"], value).alias("text")))
 
 
-def pseudonymise(docs: DataFrame, text: str = "text", key: str = KEY, out: str = "pseudonymised") -> DataFrame:
-    """docs with a column `out`: struct(text, kinds array<string>), one kind for each value replaced."""
+def session_key(spark: SparkSession) -> str:
+    """The session's secret, or a random one of this application."""
+    given = spark.conf.get(KEY_CONF, None)
+    return given or _random.setdefault(spark.sparkContext.applicationId, secrets.token_hex(32))
+
+
+_random: dict[str, str] = {}
+
+
+def pseudonymise(docs: DataFrame, key: str, text: str = "text", out: str = "pseudonymised") -> DataFrame:
+    """docs with a column `out`: struct(text, kinds array<string>), one kind for each value replaced.
+
+    Names that start with _gz_ are the operator's own; docs' other columns may have any.
+    """
+    if not key:
+        raise ValueError("a key is needed")
     column = F.col(text)
+    hidden = docs.sparkSession.createDataFrame([(key,)], "key string").scalar()
+    secret = F.col("_gz_key")
     pieces = F.split(column, ALL, -1)
-    values = F.transform(F.regexp_extract_all(column, F.lit(ALL), F.lit(0)), lambda v: replaced(v, key))
+    values = F.transform(F.regexp_extract_all(column, F.lit(ALL), F.lit(0)), lambda v: replaced(v, secret))
     whole = F.struct(
         F.array_join(F.zip_with(F.col("_gz_pieces"), F.col("_gz_values"), lambda p, v: F.concat(p, F.coalesce(v["text"], F.lit("")))), "").alias("text"),
         F.filter(F.transform("_gz_values", lambda v: v["kind"]), lambda k: k.isNotNull()).alias("kinds"),
     )
     # a text without digits or @ holds no value
     some = column.rlike("[0-9@]") & column.rlike(ALL)
-    cut = docs.withColumn("_gz_some", some)
+    cut = docs.withColumns({"_gz_some": some, "_gz_key": hidden})
     cut = cut.withColumns({"_gz_pieces": F.when(F.col("_gz_some"), pieces), "_gz_values": F.when(F.col("_gz_some"), values)})
     plain = F.struct(column.alias("text"), F.array().cast("array<string>").alias("kinds"))
-    return cut.withColumn(out, F.when(F.col("_gz_some"), whole).otherwise(plain)).drop("_gz_some", "_gz_pieces", "_gz_values")
+    return cut.withColumn(out, F.when(F.col("_gz_some"), whole).otherwise(plain)).drop("_gz_some", "_gz_key", "_gz_pieces", "_gz_values")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's text with pseudonyms, the number of values replaced and their kinds."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    out = pseudonymise(docs, key=spark.conf.get(KEY_CONF, KEY))
+    out = pseudonymise(docs, session_key(spark))
     return out.select(
         "doc_id",
         F.col("pseudonymised.text").alias("text"),
@@ -205,7 +231,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents with pseudonymised texts; n_chars follows a text that changes."""
-    out = pseudonymise(docs, key=spark.conf.get(KEY_CONF, KEY), out="_gz_out")
+    out = pseudonymise(docs, session_key(spark), out="_gz_out")
     changed = F.size("_gz_out.kinds") > 0
     replaced_columns = {"text": F.col("_gz_out.text"), "n_chars": F.when(changed, F.length("_gz_out.text").cast("long")).otherwise(F.col("n_chars"))}
     return out.select(*[replaced_columns.get(c, F.col(c)).alias(c) for c in docs.columns])

@@ -2,10 +2,13 @@
 
 A forward Viterbi pass gives the best score of every prefix; a backward A* search from the end
 takes these scores as its heuristic, which is exact, so it reaches the start with the best
-segmentation first, then the second best, and so on.
+segmentation first, then the second best, and so on. A place is left at most N times, as none of
+the N best can need it more often, and equal totals go on from the place nearest the start, so
+the work is linear in the text also where very many segmentations score the same.
 
 The public vocabulary holds merge ranks, no probabilities; a piece's score here is its log
-probability under Zipf's law on that rank. Text gets a blank in front, blanks belong to pieces
+probability under Zipf's law on that rank, rounded to a multiple of 2**-24, so that sums are exact
+and equal scores are equal, in whatever order they were added. Text gets a blank in front, blanks belong to pieces
 like other characters, and a character that no piece is gets its UTF-8 bytes as byte pieces, so
 that decoding gives the text back exactly.
 
@@ -15,7 +18,8 @@ Viterbi together, forward for the scores and backward for the margin of the seco
 parts with the least margins can differ among a text's N best, and A* runs on these.
 
 Edge cases: a null or empty text has no pieces, score 0 and one segmentation; texts of any length
-are encoded whole; equal scores go by the longer last piece; repeated rows give repeated results;
+are encoded whole; of equal scores, the one with the longer last piece (then the one before it,
+and so on) is the best; repeated rows give repeated results;
 an empty table gives an empty result; other columns are ignored; a null doc_id stays null.
 """
 
@@ -40,6 +44,11 @@ LONGEST_TOGETHER = 24  # characters of a part that goes through the batch
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
+def exact(score: float) -> float:
+    """The nearest multiple of 2**-24: sums of such numbers up to 2**29 have no rounding error."""
+    return float(round(float(score) * 2**24)) / 2**24
+
+
 class Vocabulary:
     """Pieces (with blanks as blanks), their scores, byte pieces and the certain boundaries."""
 
@@ -74,7 +83,7 @@ class Vocabulary:
         total = np.log(sum(1 / r for r in range(1, len(own) + 1)))
         scores, pieces = [0.0] * n, [None] * n
         for rank, i in enumerate(sorted(own, key=lambda i: (-model.get_score(i), i)), 1):
-            scores[i] = float(-np.log(rank) - total)
+            scores[i] = exact(-np.log(rank) - total)
             pieces[i] = model.id_to_piece(i).replace("▁", " ")
         return Vocabulary(pieces, scores, [byte_ids[b] for b in range(256)])
 
@@ -138,10 +147,11 @@ class Vocabulary:
     def n_best(self, text: str, n: int) -> list[tuple[float, list[int]]]:
         """The n best (score, ids), best first: backward A* on the forward scores."""
         best = self.viterbi(text)
-        heap: list[tuple] = [(-best[-1], 0, len(text), 0.0, None)]
-        out, pushed = [], 1
+        # total score, place, number (no two are equal), score from the place to the end, pieces from there
+        heap: list[tuple] = [(-best[-1], len(text), 0, 0.0, None)]
+        out, pushed, left = [], 1, [0] * (len(text) + 1)
         while heap and len(out) < n:
-            total, _, end, after, path = heapq.heappop(heap)
+            total, end, _, after, path = heapq.heappop(heap)
             if end == 0:
                 ids = []
                 while path is not None:
@@ -149,8 +159,11 @@ class Vocabulary:
                     path = path[1]
                 out.append((-total, ids))
                 continue
+            left[end] += 1
+            if left[end] > n:
+                continue
             for start, score, ids in self.edges(text, end):
-                heapq.heappush(heap, (-(best[start] + (score + after)), pushed, start, score + after, (ids, path)))
+                heapq.heappush(heap, (-(best[start] + (score + after)), start, pushed, score + after, (ids, path)))
                 pushed += 1
         return out
 

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 import zlib
 from collections import defaultdict
 from itertools import chain
@@ -270,6 +271,30 @@ def test_n_best_against_exhaustive_search():
             assert np.allclose(scores, best) and own.decode(ids) == text[1:]
 
 
+def test_runs_of_one_character():
+    own = segmentation.encoder()
+    began = time.perf_counter()
+    for c in ("a", " ", "-", "=", "é", "0", "ab"):
+        for n in (1, 2, 23, 24, 25, 1_500, 1_800, 4_000, 20_000):
+            ids, scores, _ = own([c * n], 4)[0]
+            assert own.decode(ids) == c * n and scores == sorted(scores, reverse=True)
+    assert time.perf_counter() - began < 60
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.text(alphabet="a -=0", min_size=1, max_size=11))
+def test_ties_are_exact_in_both_searches(text):
+    v = segmentation.encoder().vocabulary
+    assert v.together_best([text])[0] == v.alone(text)
+
+    def all_paths(end):
+        return [(before + score, [(end - start, *ids), *tail]) for start, score, ids in v.edges(text, end) for before, tail in all_paths(start)] if end else [(0.0, [])]
+
+    every = sorted(((-score, [-length for length, *_ in path], [i for _, *ids in reversed(path) for i in ids]) for score, path in all_paths(len(text))), key=lambda x: x[:2])
+    found = v.n_best(text, 4)
+    assert [s for s, _ in found] == [-s for s, _, _ in every[:4]] and found[0][1] == every[0][2]
+
+
 def test_segmentation_query(spark, docs):
     got = {r["doc_id"]: r for r in segmentation.query(spark, SF).collect()}
     v = segmentation.encoder().vocabulary
@@ -365,6 +390,9 @@ def python_digits(digits, key, kind):
     return f"{a:0{u}d}{b:0{n - u}d}"
 
 
+KEY = "a key of the tests"
+
+
 def luhn(digits):
     return sum(d if i % 2 == 0 else d * 2 - 9 * (d > 4) for i, d in enumerate(map(int, reversed(digits)))) % 10
 
@@ -376,12 +404,12 @@ def test_pseudonyms_against_python(spark):
         body = "".join(map(str, rng.integers(0, 10, int(rng.integers(12, 18)))))
         cards.append(body + str((10 - luhn(body + "0")) % 10))
     df = spark.createDataFrame(list(enumerate(cards)), "doc_id long, text string")
-    key = personal.KEY
-    for r in personal.pseudonymise(df).collect():
+    key = KEY
+    for r in personal.pseudonymise(df, KEY).collect():
         body = r["text"][0] + python_digits(r["text"][1:-1], key, "card" + r["text"][0])
         assert r["pseudonymised"]["text"] == body + str((10 - luhn(body + "0")) % 10) and luhn(r["pseudonymised"]["text"]) == 0
     rows = {1: "10.1.2.3", 2: "1985-02-28", 3: "+1 (212) 555-0100", 4: "123-45-6789", 5: "4111111111111112", 6: "1985-02-30", 7: "x@y.org", 8: "version 1.2 of 2024", 9: "300.1.1.1"}
-    got = {r["doc_id"]: r["pseudonymised"] for r in personal.pseudonymise(spark.createDataFrame(list(rows.items()), "doc_id long, text string")).collect()}
+    got = {r["doc_id"]: r["pseudonymised"] for r in personal.pseudonymise(spark.createDataFrame(list(rows.items()), "doc_id long, text string"), KEY).collect()}
     a, b = python_feistel(10 * 256 + 1, 2 * 256 + 3, 65536, 65536, key, "ip")
     assert got[1]["text"] == f"{a // 256}.{a % 256}.{b // 256}.{b % 256}"
     n = (pd.Timestamp("1985-02-28") - pd.Timestamp(personal.FIRST_DAY)).days
@@ -393,9 +421,33 @@ def test_pseudonyms_against_python(spark):
     assert all(got[i]["text"] == rows[i] and got[i]["kinds"] == [] for i in (5, 6, 8, 9)) and re.fullmatch(r"u[0-9a-f]{16}@example\.com", got[7]["text"])
 
 
+def test_long_hosts_and_chains_of_digits(spark):
+    long = {1: "x@" + "a." * 50_000 + "com", 2: "x@" + "ab." * 50_000 + "com", 3: "7" * 100_000, 4: "7-" * 50_000, 5: "a" * 100_000 + "@b.org", 6: "a@" * 50_000, 7: "x@" + "a" * 100_000, 8: "1." * 50_000, 9: "x@" + "ab." * 127 + "com and more"}
+    got = {r["doc_id"]: r["pseudonymised"] for r in personal.pseudonymise(spark.createDataFrame(list(long.items()), "doc_id long, text string"), KEY).collect()}
+    assert all(got[i]["text"] == long[i] and got[i]["kinds"] == [] for i in (1, 3, 4, 6, 7, 8))
+    assert all(got[i]["kinds"] == ["email"] for i in (2, 5, 9)) and re.fullmatch(r"u[0-9a-f]{16}@example\.com and more", got[9]["text"]) and got[2]["text"].endswith(".ab.com")
+
+
+def test_the_key_is_not_shown(spark, capsys):
+    spark.conf.set(personal.KEY_CONF, "dont-show-this")
+    try:
+        out = personal.query(spark, SF)
+        out.collect()
+        out.explain("extended")
+        shown = capsys.readouterr().out + out._jdf.queryExecution().toString()
+        assert "dont-show-this" not in shown and "subquery" in shown
+        first = out.toPandas()
+        assert first.equals(personal.query(spark, SF).toPandas())
+    finally:
+        spark.conf.unset(personal.KEY_CONF)
+    assert personal.session_key(spark) == personal.session_key(spark) and len(personal.session_key(spark)) == 64
+    with pytest.raises(ValueError):
+        personal.pseudonymise(spark.range(1), "")
+
+
 def test_pseudonyms_are_a_permutation(spark):
     df = spark.range(1000).select(F.col("id").alias("doc_id"), F.format_string("10.0.%d.%d", F.floor(F.col("id") / 250).cast("long"), F.col("id") % 250).alias("text"))
-    out = personal.pseudonymise(df).select("pseudonymised.text")
+    out = personal.pseudonymise(df, KEY).select("pseudonymised.text")
     assert out.distinct().count() == 1000
 
 
@@ -578,7 +630,7 @@ def test_other_forms_of_personal_data(spark):
     rows = {1: ("card 3782 822463 10005.", r"card \d{4} \d{6} \d{5}\.", "card"), 2: ("card 3782-822463-10005.", r"card \d{4}-\d{6}-\d{5}\.", "card"), 3: ("born 12/25/1985 here", r"born \d\d/\d\d/\d{4} here", "date"), 4: ("call 212 555 0100 now", r"call \d{3} \d{3} \d{4} now", "phone")}
     kept = {5: "card 3782 822463 10006.", 6: "born 13/25/1985 here", 7: "call 212 555-0100 now"}
     df = spark.createDataFrame([(i, r[0]) for i, r in rows.items()] + list(kept.items()), "doc_id long, text string")
-    got = {r["doc_id"]: r["pseudonymised"] for r in personal.pseudonymise(df).collect()}
+    got = {r["doc_id"]: r["pseudonymised"] for r in personal.pseudonymise(df, KEY).collect()}
     for i, (text, form, kind) in rows.items():
         assert got[i]["kinds"] == [kind] and got[i]["text"] != text and re.fullmatch(form, got[i]["text"])
     assert {i: got[i]["text"] for i in kept} == kept
