@@ -23,25 +23,55 @@ BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 # Phrases that the base labels are defined by.
 BASE = {"cc-by": "cc by", "gpl": "general public license", "reserved": "all rights reserved"}
 
-# Label, (opening words of the notice, mandatory key phrase within them).
-TEMPLATES = {
-    "apache-2.0": ("licensed under the apache license version 2 0", "apache license version 2"),
-    "bsd": ("redistribution and use in source and binary forms with or without modification are permitted", "redistribution and use in source and binary forms"),
-    "bsd-licence": ("licensed under the bsd license", "bsd license"),
-    "cc-by-4.0": ("licensed under cc by 4 0", "cc by 4"),
-    "cc-by-nc-4.0": ("licensed under cc by nc 4 0", "cc by nc 4"),
-    "cc-by-sa-4.0": ("licensed under cc by sa 4 0", "cc by sa 4"),
-    "creative-commons": ("this work is licensed under a creative commons attribution license", "creative commons attribution"),
-    "gpl-2.0": ("this work is licensed under the gnu general public license version 2", "general public license version 2"),
-    "gpl-3.0": ("this work is licensed under the gnu general public license version 3", "general public license version 3"),
-    "lgpl": ("licensed under the gnu lesser general public license", "lesser general public license"),
-    "mit": ("released under the mit license", "mit license"),
-    "mit-text": ("permission is hereby granted free of charge to any person obtaining a copy of this software", "permission is hereby granted free of charge"),
-    "mpl-2.0": ("subject to the terms of the mozilla public license v 2 0", "mozilla public license"),
-    "proprietary": ("all rights reserved", "all rights reserved"),
-    "unlicense": ("this is free and unencumbered software released into the public domain", "free and unencumbered software"),
-}
-RARE_WORDS = 4  # of the SQL only, which looks up no more words of a text than these
+# Label, opening words of a notice, mandatory key phrase within them. A label may have several.
+TEMPLATES = [
+    ("afl-3.0", "licensed under the academic free license version 3 0", "academic free license"),
+    ("agpl-3.0", "under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license", "gnu affero general public license"),
+    ("apache-2.0", "licensed under the apache license version 2 0", "apache license version 2"),
+    ("apache-2.0", "you may not use this file except in compliance with the license you may obtain a copy of the license at", "you may not use this file except in compliance with the license"),
+    ("artistic-2.0", "this is free software licensed under the artistic license 2 0", "artistic license 2"),
+    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted", "redistribution and use in source and binary forms"),
+    ("bsd-3-clause", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", "may be used to endorse or promote products derived from this software"),
+    ("bsd-4-clause", "all advertising materials mentioning features or use of this software must display the following acknowledgement", "all advertising materials mentioning features"),
+    ("bsd-licence", "licensed under the bsd license", "bsd license"),
+    ("bsl-1.0", "distributed under the boost software license version 1 0", "boost software license"),
+    ("bsl-1.0", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license", "any person or organization obtaining a copy of the software"),
+    ("cc-by-4.0", "licensed under cc by 4 0", "cc by 4"),
+    ("cc-by-nc-4.0", "licensed under cc by nc 4 0", "cc by nc 4"),
+    ("cc-by-nc-nd", "this work is licensed under the creative commons attribution noncommercial noderivatives 4 0 international license", "creative commons attribution noncommercial noderivatives"),
+    ("cc-by-nc-sa", "this work is licensed under the creative commons attribution noncommercial sharealike 4 0 international license", "creative commons attribution noncommercial sharealike"),
+    ("cc-by-nd", "this work is licensed under the creative commons attribution noderivatives 4 0 international license", "creative commons attribution noderivatives"),
+    ("cc-by-sa", "this work is licensed under the creative commons attribution sharealike 4 0 international license", "creative commons attribution sharealike"),
+    ("cc-by-sa-4.0", "licensed under cc by sa 4 0", "cc by sa 4"),
+    ("cc0-1.0", "to the extent possible under law the person who associated cc0 with this work has waived all copyright and related or neighboring rights to this work", "to the extent possible under law"),
+    ("cddl-1.0", "the contents of this file are subject to the terms of the common development and distribution license", "common development and distribution license"),
+    ("cpl-1.0", "made available under the terms of the common public license v1 0 which accompanies this distribution", "common public license"),
+    ("creative-commons", "this work is licensed under a creative commons attribution license", "creative commons attribution"),
+    ("epl", "this program and the accompanying materials are made available under the terms of the eclipse public license", "eclipse public license"),
+    ("eupl-1.2", "licensed under the eupl version 1 2 or as soon they will be approved by the european commission subsequent versions of the eupl", "licensed under the eupl"),
+    ("gfdl-1.3", "permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license version 1 3", "gnu free documentation license"),
+    ("gpl-2.0", "this work is licensed under the gnu general public license version 2", "general public license version 2"),
+    ("gpl-2.0-or-later", "under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version", "general public license as published by the free software foundation either version 2 of the license"),
+    ("gpl-3.0", "this work is licensed under the gnu general public license version 3", "general public license version 3"),
+    ("gpl-3.0-or-later", "under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version", "general public license as published by the free software foundation either version 3 of the license"),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies", "for any purpose with or without fee is hereby granted"),
+    ("lgpl", "licensed under the gnu lesser general public license", "lesser general public license"),
+    ("lgpl-2.1-or-later", "under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version", "lesser general public license as published by the free software foundation either version 2 1 of the license"),
+    ("mit", "released under the mit license", "mit license"),
+    ("mit-text", "permission is hereby granted free of charge to any person obtaining a copy of this software", "permission is hereby granted free of charge"),
+    ("mpl-2.0", "subject to the terms of the mozilla public license v 2 0", "mozilla public license"),
+    ("ms-pl", "this license governs use of the accompanying software if you use the software you accept this license", "this license governs use of the accompanying software"),
+    ("ncsa", "distributed under the university of illinois ncsa open source license", "university of illinois ncsa open source license"),
+    ("ofl-1.1", "this font software is licensed under the sil open font license version 1 1", "sil open font license"),
+    ("openssl", "this product includes software developed by the openssl project for use in the openssl toolkit", "developed by the openssl project"),
+    ("osl-3.0", "licensed under the open software license version 3 0", "open software license"),
+    ("postgresql", "permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted", "without a written agreement is hereby granted"),
+    ("proprietary", "all rights reserved", "all rights reserved"),
+    ("psf-2.0", "licensed under the python software foundation license version 2", "python software foundation license"),
+    ("unlicense", "this is free and unencumbered software released into the public domain", "free and unencumbered software"),
+    ("wtfpl", "everyone is permitted to copy and distribute verbatim or modified copies of this license document and changing it is allowed as long as the name is changed", "changing it is allowed as long as the name is changed"),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software", "in no event will the authors be held liable"),
+]
 LEAST_SHARE = 0.6
 _SHIFT = 1000  # templates are shorter; starts before the text's first word stay positive
 
@@ -60,7 +90,7 @@ def _strings(values: list[str]) -> Column:
 
 def _templates() -> tuple[list[str], list[list[str]], list[tuple[int, int]]]:
     labels, words, keys = [], [], []
-    for label, (notice, key) in TEMPLATES.items():
+    for label, notice, key in TEMPLATES:
         w, k = notice.split(), key.split()
         at = next(i for i in range(len(w)) if w[i : i + len(k)] == k)
         labels.append(label)
@@ -70,19 +100,21 @@ def _templates() -> tuple[list[str], list[list[str]], list[tuple[int, int]]]:
 
 
 def vocabulary() -> list[str]:
-    return sorted({w for words in _templates()[1] for w in words})
+    """The words of the key phrases."""
+    return sorted({w for _, _, key in TEMPLATES for w in key.split()})
 
 
 def document_counts(docs: DataFrame, text: str = "text") -> DataFrame:
-    """word, df: in how many documents each licence word stands."""
+    """word, df: in how many documents each word of a key phrase stands."""
     held = F.array_intersect(words_of(F.col(text)), _strings(vocabulary()))
     return docs.select(F.explode(held).alias("word")).groupBy("word").agg(F.count("*").alias("df"))
 
 
-def scan(docs: DataFrame, counts: dict[str, int], text: str = "text") -> DataFrame:
-    """docs' columns and words, base_starts, base_labels, found (label, start, share).
+def scan(docs: DataFrame, counts: dict[str, int], text: str = "text", out: str = "licences") -> DataFrame:
+    """docs with a column `out`: struct(n_words, base_starts, base_hits, found (label, start, share, key)).
 
-    counts: document counts of the licence words, a bounded vocabulary.
+    counts: document counts of the key phrases' words, a bounded vocabulary. Names that start with
+    _gz_ are the operator's own; docs' other columns may have any.
     """
     labels, notices, keys = _templates()
     anchored = [min(range(at, at + n), key=lambda p: (counts.get(notices[t][p], 0), notices[t][p], p)) for t, (at, n) in enumerate(keys)]
@@ -92,7 +124,7 @@ def scan(docs: DataFrame, counts: dict[str, int], text: str = "text") -> DataFra
     texts = F.array(*[_strings(n) for n in notices])
     key_at = F.array(*[F.lit(at) for at, _ in keys])
     key_len = F.array(*[F.lit(n) for _, n in keys])
-    words = F.col("words")
+    words = F.col("_gz_words")
     places = F.sequence(F.lit(0), F.size(words) - 1)
     none = F.array().cast("array<int>")
 
@@ -130,11 +162,16 @@ def scan(docs: DataFrame, counts: dict[str, int], text: str = "text") -> DataFra
     candidates = F.flatten(F.transform(held, starts))
     found = F.filter(F.transform(candidates, verified), lambda v: v["key"] & (v["share"] >= LEAST_SHARE))
     empty = F.array().cast("array<struct<label:string,start:int,share:double,key:boolean>>")
-    out = docs.withColumn("words", words_of(F.col(text)))
-    out = out.withColumns({f"at_{k}": base(p) for k, p in enumerate(BASE.values())})
-    out = out.withColumn("found", F.when(F.arrays_overlap(words, _strings(anchors)), found).otherwise(empty))
-    hits = F.array_compact(F.array(*[F.when(F.size(f"at_{k}") > 0, F.lit(label)) for k, label in enumerate(BASE)]))
-    return out.withColumns({"base_starts": F.concat(*[F.col(f"at_{k}") for k in range(len(BASE))]), "base_hits": hits}).drop(*[f"at_{k}" for k in range(len(BASE))])
+    cut = docs.withColumn("_gz_words", words_of(F.col(text)))
+    cut = cut.withColumns({f"_gz_at_{k}": base(p) for k, p in enumerate(BASE.values())})
+    hits = F.array_compact(F.array(*[F.when(F.size(f"_gz_at_{k}") > 0, F.lit(label)) for k, label in enumerate(BASE)]))
+    whole = F.struct(
+        F.size(words).cast("long").alias("n_words"),
+        F.concat(*[F.col(f"_gz_at_{k}") for k in range(len(BASE))]).alias("base_starts"),
+        hits.alias("base_hits"),
+        F.when(F.arrays_overlap(words, _strings(anchors)), found).otherwise(empty).alias("found"),
+    )
+    return cut.withColumn(out, whole).drop("_gz_words", *[f"_gz_at_{k}" for k in range(len(BASE))])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -142,24 +179,25 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     counts = {r["word"]: r["df"] for r in document_counts(docs).collect()}  # at most the vocabulary's size
     found = scan(docs, counts)
-    labels = F.array_sort(F.array_distinct(F.concat("base_hits", F.transform("found", lambda v: v["label"]))))
-    score = F.greatest(F.when(F.size("base_starts") > 0, 1.0).otherwise(0.0), F.coalesce(F.array_max(F.transform("found", lambda v: v["share"])), F.lit(0.0)))
+    starts, hits, notices = F.col("licences.base_starts"), F.col("licences.base_hits"), F.col("licences.found")
+    labels = F.array_sort(F.array_distinct(F.concat(hits, F.transform(notices, lambda v: v["label"]))))
+    score = F.greatest(F.when(F.size(starts) > 0, 1.0).otherwise(0.0), F.coalesce(F.array_max(F.transform(notices, lambda v: v["share"])), F.lit(0.0)))
     return found.select(
         "doc_id",
-        F.size("words").cast("long").alias("n_words"),
-        F.size("base_starts").cast("long").alias("n_base"),
-        F.array_min("base_starts").cast("long").alias("first_word"),
-        F.array_max("base_starts").cast("long").alias("last_word"),
-        F.array_join(F.array_sort("base_hits"), ",").alias("base_labels"),
+        "licences.n_words",
+        F.size(starts).cast("long").alias("n_base"),
+        F.array_min(starts).cast("long").alias("first_word"),
+        F.array_max(starts).cast("long").alias("last_word"),
+        F.array_join(F.array_sort(hits), ",").alias("base_labels"),
         F.array_join(labels, ",").alias("labels"),
         score.alias("score"),
     )
 
 
 def _oracle() -> str:
+    """By brute force: every place of every word of every key phrase starts a comparison of whole notices."""
     labels, notices, keys = _templates()
     rows = ", ".join(f"({t}, '{labels[t]}', {p}, '{w}', {'true' if keys[t][0] <= p < keys[t][0] + keys[t][1] else 'false'})" for t in range(len(labels)) for p, w in enumerate(notices[t]))
-    anchors = ", ".join(f"'{a}'" for a in sorted({notices[t][at] for t, (at, _) in enumerate(keys)}))
     base = " UNION ALL ".join(
         f"SELECT a.rid, a.p, '{label}' AS label FROM w a" + "".join(f" JOIN w w{k} ON w{k}.rid = a.rid AND w{k}.p = a.p + {k} AND w{k}.word = '{x}'" for k, x in enumerate(phrase.split()) if k) + f" WHERE a.word = '{phrase.split()[0]}'"
         for label, phrase in BASE.items()
@@ -169,10 +207,7 @@ WITH t AS (SELECT row_number() OVER () AS rid, doc_id, translate(coalesce(text,
 d AS (SELECT rid, doc_id, list_filter(regexp_split_to_array(text, '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS words FROM t),
 w AS (SELECT rid, unnest(words) AS word, unnest(range(len(words))) AS p FROM d),
 n(t, label, p, word, is_key) AS (VALUES {rows}),
-df AS (SELECT word, count(DISTINCT rid) AS df FROM w WHERE word IN (SELECT word FROM n) GROUP BY word),
-held AS (SELECT DISTINCT rid, word FROM w WHERE word IN (SELECT word FROM n) AND rid IN (SELECT rid FROM w WHERE word IN ({anchors}))),
-rare AS (SELECT rid, word FROM held JOIN df USING (word) QUALIFY row_number() OVER (PARTITION BY rid ORDER BY df, word) <= {RARE_WORDS}),
-c AS (SELECT DISTINCT w.rid, n.t, w.p - n.p AS start FROM rare JOIN w USING (rid, word) JOIN n USING (word)),
+c AS (SELECT DISTINCT w.rid, n.t, w.p - n.p AS start FROM w JOIN n USING (word) WHERE n.is_key),
 v AS (SELECT c.rid, n.label, c.start, count(w.word) / count(*) AS share, bool_and(w.word IS NOT NULL OR NOT is_key) AS whole_key
   FROM c JOIN n ON n.t = c.t LEFT JOIN w ON w.rid = c.rid AND w.p = c.start + n.p AND w.word = n.word GROUP BY ALL),
 f AS (SELECT * FROM v WHERE whole_key AND share >= {LEAST_SHARE}),

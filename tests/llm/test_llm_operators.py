@@ -167,19 +167,19 @@ def test_licence_labels(spark):
     }
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     counts = {r["word"]: r["df"] for r in licences.document_counts(df).collect()}
-    found = {r["doc_id"]: {f["label"]: f["start"] for f in r["found"]} for r in licences.scan(df, counts).collect()}
+    found = {r["doc_id"]: {f["label"]: f["start"] for f in r["licences"]["found"]} for r in licences.scan(df, counts).collect()}
     assert found[1] == {"apache-2.0": 1} and set(found[2]) == {"mit"} and found[4] == {} and "gpl-3.0" in found[5] and "cc-by-nc-4.0" in found[7] and "proprietary" in found[6]
 
 
 def test_licence_labels_of_many_notices(spark):
-    notices = [n for n, _ in licences.TEMPLATES.values()]
+    notices = [n for _, n, _ in licences.TEMPLATES]
     rows = [(1, " ; ".join(notices)), (2, " ; ".join(reversed(notices))), (3, " filler ".join(notices * 3))]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     few = {"2": 57, "apache": 57, "4": 63, "cc": 63, "released": 63, "gnu": 79}
     for counts in ({}, {r["word"]: r["df"] for r in licences.document_counts(df).collect()}, {w: few.get(w, 500) for w in licences.vocabulary()}):
-        found = {r["doc_id"]: [f["label"] for f in r["found"]] for r in licences.scan(df, counts).collect()}
-        assert all(set(labels) == set(licences.TEMPLATES) for labels in found.values())
-        assert all(found[3].count(label) >= 3 for label in licences.TEMPLATES)
+        found = {r["doc_id"]: [f["label"] for f in r["licences"]["found"]] for r in licences.scan(df, counts).collect()}
+        assert all(set(labels) == {label for label, _, _ in licences.TEMPLATES} for labels in found.values())
+        assert all(found[3].count(label) >= 3 for label, _, _ in licences.TEMPLATES)
 
 
 # --- 3 ---
