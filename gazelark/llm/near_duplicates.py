@@ -1,27 +1,29 @@
 """MinHash near-duplicates by an inverted join on signature coordinates.
 
 1. Every text's set of word shingles gives COORDINATES MinHash values. Texts of equal sets are one
-   class from here on, under its smallest doc_id.
+   class from here on.
 2. The (coordinate, value) pairs are counted. A pair of classes with at least MATCHES equal
    coordinates has one in common among each one's COORDINATES - MATCHES + 1 rarest (prefix), and
    values that only one class has are no use (skip): what is left is posted.
-3. Posting lists are merged: within a list, members not reached yet are compared with the one
-   at hand by counting equal coordinates, and those reached (>= MATCHES) are linked; members of a
-   reached group aren't compared with each other. A list longer than LONG_LIST is linked whole
-   without comparing. Components of these links are clusters: no pair above the match threshold
-   lies in two of them.
-4. Within a cluster the full sets, recomputed from the texts, are compared exactly, again only
-   with members not reached yet. A cluster of more than BLOCK_SHINGLES shingles is cut into blocks
-   of about that many, and each two blocks are compared in one task.
+3. Posting lists are merged: within a list, the collisions of the member at hand with those not
+   reached yet are counted over all coordinates, and those with MATCHES or more are linked.
+   Components of these links are clusters: no pair above the match threshold lies in two of them.
+4. Within a cluster the full sets, recomputed from the texts, are compared exactly.
 5. Components of the confirmed links are the result.
 
-So no list, cluster or group of copies is expanded into pairs, and none is ever in one task whole.
-A pair with similarity 0.8 has fewer than MATCHES equal coordinates with probability 2e-4.
+Steps 3 and 4 work alike (links_in_groups): a list or cluster is cut into chunks of a fixed size.
+First every chunk is merged together with the group's first member; members that it doesn't reach
+then meet all chunks. Members of a reached group aren't compared with each other, so a group of
+near-copies of any size costs one pass over it, and only the members unlike its first one (the
+rest) cost rest x group. No list, cluster or group of copies is expanded into pairs or ever in
+one task whole, and all pairs that could add a link are compared. A pair with similarity 0.8 has
+fewer than MATCHES equal coordinates with probability 2e-4.
 
 Edge cases: null, empty and wordless texts have the empty set and are linked with nothing;
-repeated rows of a doc_id are reported each, under the same component; a null doc_id is linked
-with nothing, has a null component and is kept; an empty table gives an empty result; texts of any
-length are taken whole; other columns are ignored.
+repeated rows of a doc_id are reported each, and its texts' classes count as linked; a null doc_id
+is linked with nothing, has a null component and is kept; an empty table gives an empty result;
+texts of any length are taken whole; other columns are ignored. `stage` keeps different texts of
+one doc_id apart: each is a document, and of those alike one row stays.
 """
 
 from __future__ import annotations
@@ -38,8 +40,8 @@ from gazelark.llm.shingles import shingle_sets, signature, signature_coefficient
 from gazelark.llm.tables import checkpointed, map_texts, read
 
 COORDINATES, MATCHES, SEED = 64, 40, 7
-LONG_LIST = 1000
-BLOCK_SHINGLES = 100_000
+LIST_CHUNK = 512  # members of a posting list in one task
+CHUNK_SHINGLES = 25_000  # shingles of a cluster in one task, about
 WIDTH, PERCENT = 2, 80  # the query's; operators and stages without a contract take five words
 STAGE_WIDTH = 5
 
@@ -71,23 +73,16 @@ def _tokens(classes: DataFrame) -> DataFrame:
 
 
 def postings(classes: DataFrame) -> DataFrame:
-    """id, signature, token: each class's rarest pairs, but for those that no other class has."""
+    """id, payload (the signature), token, df: each class's rarest pairs, but for those that no other class has."""
     tokens = _tokens(classes)
     shared = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
     ranked = tokens.join(shared, "token").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("shared"))  # at most COORDINATES a class
     room = F.lit(COORDINATES - MATCHES + 1 - COORDINATES) + F.size("shared")  # the prefix less the pairs of its own
     prefix = ranked.where(room > 0).select("id", F.explode(F.slice("shared", F.lit(1), room)).alias("own")).select("id", "own.token", "own.df")
-    return prefix.join(classes.select("id", "signature"), "id")
+    return prefix.join(classes.select("id", F.col("signature").alias("payload")), "id")
 
 
-_LINK = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
-
-
-def _link_table(pairs: list[tuple[np.ndarray, np.ndarray]]):
-    import pyarrow as pa
-
-    a, b = (np.concatenate(x) for x in zip(*pairs)) if pairs else (np.empty(0, np.int64), np.empty(0, np.int64))
-    return pa.Table.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+_LINK = T.StructType([T.StructField("team", T.LongType()), T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 
 
 def reached(n: int, links) -> np.ndarray:
@@ -107,36 +102,38 @@ def reached(n: int, links) -> np.ndarray:
     return group
 
 
-def _merge_list(table):
-    """Links between the members of one posting list with at least MATCHES equal coordinates."""
-    ids = table.column("id").to_numpy()
-    if len(ids) < 2:
-        return _link_table([])
-    order = np.argsort(ids, kind="stable")
-    ids = ids[order]
-    signatures = np.frombuffer(b"".join(table.column("signature").to_pylist()), "<u4").reshape(len(ids), COORDINATES)[order]
-    group = reached(len(ids), lambda i, rest: (signatures[rest] == signatures[i]).sum(axis=1) >= MATCHES)
-    at = np.flatnonzero(group != np.arange(len(ids)))
-    return _link_table([(ids[group[at]], ids[at])])
+def _merger(prepare):
+    """For Arrow tables (team, id, payload) of one team: a link from the first of each group to the others.
 
+    prepare(payloads) gives the function `links` of reached.
+    """
 
-def clusters(posted: DataFrame) -> DataFrame:
-    """id, component: groups within which all pairs of classes above the match threshold lie."""
-    short = posted.where(F.col("df") <= LONG_LIST).select("token", "id", "signature").groupBy("token").applyInArrow(_merge_list, _LINK)
-    long = posted.where(F.col("df") > LONG_LIST).select("token", "id")
-    first = long.groupBy("token").agg(F.min("id").alias("a"))
-    whole = long.join(first, "token").where("a <> id").select("a", F.col("id").alias("b"))
-    return connected_components(checkpointed(short.unionByName(whole).distinct()))
-
-
-def _confirm(percent: int):
-    def confirm(table):
-        """Links by the exact similarity within the texts' sets of one task."""
-        ids = table.column("id").to_numpy()
-        order = np.argsort(ids, kind="stable")
-        raw = table.column("shingles").to_pylist()
-        sets = [np.frombuffer(raw[i], "<u8") for i in order]
-        ids = ids[order]
+    def merge(table):
+        import pyarrow as pa
+
+        ids, first = np.unique(table.column("id").to_numpy(), return_index=True)
+        team = table.column("team")[0].as_py()
+        at = np.empty(0, np.int64)
+        if len(ids) > 1:
+            group = reached(len(ids), prepare(table.column("payload").take(pa.array(first)).to_pylist()))
+            at = np.flatnonzero(group != np.arange(len(ids)))
+        a = ids[group[at]] if len(at) else at
+        return pa.Table.from_arrays([pa.array(np.full(len(at), team), pa.int64()), pa.array(a, pa.int64()), pa.array(ids[at], pa.int64())], names=["team", "a", "b"])
+
+    return merge
+
+
+def _by_signature(payloads: list[bytes]):
+    """Linked by MATCHES or more equal coordinates."""
+    signatures = np.frombuffer(b"".join(payloads), "<u4").reshape(len(payloads), COORDINATES)
+    return lambda i, rest: (signatures[rest] == signatures[i]).sum(axis=1) >= MATCHES
+
+
+def _by_sets(percent: int):
+    """Linked by the exact similarity of shingle sets."""
+
+    def prepare(payloads: list[bytes]):
+        sets = [np.frombuffer(p, "<u8") for p in payloads]
         sizes = np.array([len(s) for s in sets])
         everything, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
         by_hash = np.argsort(everything, kind="stable")
@@ -149,38 +146,109 @@ def _confirm(percent: int):
             both = np.bincount(owner[at], minlength=len(sets))[rest]
             return 100 * both >= percent * (sizes[i] + sizes[rest] - both)
 
-        group = reached(len(ids), links)
-        at = np.flatnonzero(group != np.arange(len(ids)))
-        return _link_table([(ids[group[at]], ids[at])])
+        return links
+
+    return prepare
 
-    return confirm
+
+def links_in_groups(rows: DataFrame, prepare) -> DataFrame:
+    """a, b: links that connect the members of each team as all its pairs would.
+
+    rows: team, id, chunks (how many its team is cut into), payload; written already.
+    """
+    merge = _merger(prepare)
+    chunk = F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk")
+    cut = rows.where("chunks > 1")
+    roots = checkpointed(cut.groupBy("team").agg(F.min("id").alias("root")))
+    leading = cut.join(roots, "team").where("id = root").select("team", "id", every, "payload")
+    tasks = rows.select("team", "id", chunk.alias("chunk"), "payload").unionByName(leading)
+    first = checkpointed(tasks.groupBy("team", "chunk").applyInArrow(lambda table: merge(table), _LINK))
+    near = first.join(roots, "team").where("a = root").select("team", F.col("b").alias("id"))
+    rest = cut.join(near, ["team", "id"], "left_anti").join(roots, "team").where("id <> root").select("team", "id")
+    rest = checkpointed(rest)  # of large teams, those unlike their first
+    sizes = cut.groupBy("team").agg(F.count("*").alias("n"), F.first("chunks").alias("chunks"))
+    parts = rest.groupBy("team").agg(F.count("*").alias("left")).join(sizes, "team").select("team", F.ceil(F.col("left") * F.col("chunks") / F.col("n")).cast("int").alias("parts"))
+    wide = cut.join(checkpointed(parts), "team")
+    part = F.pmod(F.xxhash64("id", F.lit(1)), F.col("parts")).cast("int").alias("part")
+    all_parts = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")
+    one = wide.select("team", "id", chunk.alias("chunk"), all_parts, "payload")
+    other = wide.join(rest, ["team", "id"], "left_semi").select("team", "id", every, part, "payload")
+    second = one.unionByName(other).groupBy("team", "chunk", "part").applyInArrow(lambda table: merge(table), _LINK)
+    return first.unionByName(second).select("a", "b")
+
+
+def clusters(posted: DataFrame) -> DataFrame:
+    """id, component: groups within which all pairs of classes above the match threshold lie."""
+    rows = checkpointed(posted.select(F.col("token").alias("team"), "id", F.ceil(F.col("df") / LIST_CHUNK).cast("int").alias("chunks"), "payload"))
+    return connected_components(checkpointed(links_in_groups(rows, _by_signature).distinct()))
+
+
+def _grouped(docs: DataFrame, width: int, percent: int, key: str, text: str, by_id: bool) -> tuple[DataFrame, DataFrame]:
+    """(doc, n_shingles, set_key of every row; set_key, least, lead of every set that has several rows or
+    links: the least doc_id of its component, and whether it is the set that stands for it).
+
+    by_id: whether texts of one doc_id count as linked.
+    """
+    rows = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))
+    features = checkpointed(map_texts(rows, "doc", "text", _FEATURES, _features(width)))
+    members = features.where("set_key IS NOT NULL AND doc IS NOT NULL")
+    whole = members.groupBy("set_key").agg(F.min("doc").alias("doc"), F.first("signature").alias("signature"), F.first("n_shingles").alias("n_shingles"), F.count("*").alias("rows"))
+    whole = checkpointed(whole)
+    # a class goes by its least doc_id; where that has several classes, all but one by a hash
+    several = whole.groupBy("doc").agg(F.min("set_key").alias("own"), F.count("*").alias("n")).where("n > 1").select("doc", "own")
+    named = whole.join(checkpointed(several), "doc", "left")
+    classes = checkpointed(named.withColumn("id", F.when(F.col("set_key") != F.col("own"), F.xxhash64("set_key", "doc")).otherwise(F.col("doc"))).drop("own"))
+    found = clusters(postings(classes))
+    sized = found.join(classes.select("id", "doc", "n_shingles", "set_key"), "id")
+    blocks = sized.groupBy("component").agg(F.ceil(F.sum("n_shingles") / CHUNK_SHINGLES).cast("int").alias("chunks"), F.count("*").alias("n"))
+    chosen = checkpointed(sized.join(blocks.where("n > 1"), "component").select("id", "doc", "component", "set_key", "chunks"))
+    texts = rows.join(chosen, "doc").select(F.struct("id", "component", "set_key", "chunks").alias("own"), "text")
+    sets = map_texts(texts, "own", "text", [T.StructField("shingles", T.BinaryType()), T.StructField("key_now", T.BinaryType())], _sets(width)).where("key_now = own.set_key")
+    sets = checkpointed(sets.select(F.col("own.component").alias("team"), "own.id", "own.chunks", F.col("shingles").alias("payload")))
+    links = links_in_groups(sets, _by_sets(percent))
+    if by_id:
+        several = members.groupBy("doc").agg(F.min("set_key").alias("low"), F.max("set_key").alias("high")).where("low <> high")
+        nodes = members.join(checkpointed(several), "doc", "left_semi").select("doc", "set_key").distinct().join(classes.select("set_key", "id"), "set_key")
+        same = nodes.join(nodes.groupBy("doc").agg(F.min("id").alias("a")), "doc").where("a <> id").select("a", F.col("id").alias("b"))
+        links = links.unionByName(same)
+    parts = connected_components(checkpointed(links.distinct()))
+    linked = checkpointed(parts.join(classes.select("id", "doc", "set_key"), "id").select("component", "doc", "set_key"))
+    first = linked.groupBy("component").agg(F.min(F.struct("doc", "set_key")).alias("first"))
+    linked = checkpointed(linked.join(first, "component").select("set_key", F.col("first.doc").alias("least"), (F.col("set_key") == F.col("first.set_key")).alias("lead")))
+    copies = classes.where("rows > 1").join(linked, "set_key", "left_anti").select("set_key", F.col("doc").alias("least"), F.lit(True).alias("lead"))
+    return features.select("doc", "n_shingles", "set_key"), checkpointed(linked.unionByName(copies))
+
+
+def _labelled(features: DataFrame, labels: DataFrame) -> DataFrame:
+    """features with least and lead, null where a row is alone."""
+    some = F.col("set_key").isNotNull() & F.col("doc").isNotNull()
+    alone = features.where(~some).withColumns({"least": F.lit(None).cast("long"), "lead": F.lit(None).cast("boolean")})
+    return features.where(some).join(labels, "set_key", "left").select(*alone.columns).unionByName(alone)
 
 
 def near_duplicates(docs: DataFrame, width: int = STAGE_WIDTH, percent: int = PERCENT, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_shingles, component_id, kept."""
-    rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    features = checkpointed(map_texts(rows, "id", "text", _FEATURES, _features(width)))
-    members = features.where("set_key IS NOT NULL AND id IS NOT NULL")
-    # a doc_id with several texts stands for all of them: its classes meet in its id
-    classes = members.groupBy("set_key").agg(F.min("id").alias("id"), F.first("signature").alias("signature"), F.first("n_shingles").alias("n_shingles"))
-    classes = checkpointed(classes)
-    grouped = clusters(postings(classes))
-    sized = grouped.join(classes.select("id", "n_shingles", "set_key"), "id")
-    blocks = grouped.join(classes.select("id", "n_shingles"), "id").groupBy("component").agg(F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES).cast("int").alias("blocks"), F.count("*").alias("n"))
-    chosen = checkpointed(sized.join(blocks.where("n > 1"), "component").select("id", "component", "set_key", "blocks", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block")))
-    texts = rows.join(chosen, "id").select(F.struct("id", "component", "set_key", "blocks", "block").alias("own"), "text")
-    sets = map_texts(texts, "own", "text", [T.StructField("shingles", T.BinaryType()), T.StructField("key_now", T.BinaryType())], _sets(width)).where("key_now = own.set_key").select("own.*", "shingles")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    tasks = sets.select("id", "component", "block", "shingles", other.alias("other")).select("id", "shingles", "component", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
-    confirmed = tasks.groupBy("component", "low", "high").applyInArrow(_confirm(percent), _LINK)
-    # members to their class; a doc_id may be in several classes
-    own = members.select("set_key", F.col("id").alias("b")).join(classes.select("set_key", F.col("id").alias("a")), "set_key").where("a <> b").select("a", "b")
-    # apart from each other, so that Spark may split a hot class's part of the join
-    links = checkpointed(checkpointed(confirmed.distinct()).unionByName(checkpointed(own)).distinct())
-    parts = connected_components(links)
-    out = features.select("id", "n_shingles").join(parts, "id", "left")
-    component = F.coalesce("component", "id")
-    return out.select(F.col("id").alias(key), "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
+    out = _labelled(*_grouped(docs, width, percent, key, text, by_id=True))
+    component = F.coalesce("least", "doc")
+    return out.select(F.col("doc").alias(key), "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc"), F.lit(True)).alias("kept"))
+
+
+def _kept(docs: DataFrame, features: DataFrame, labels: DataFrame) -> DataFrame:
+    """docs' rows that stand for their component."""
+    known = features.where("doc IS NOT NULL")
+    several = checkpointed(known.groupBy("doc").count().where("count > 1").select("doc"))
+    chosen = _labelled(known, labels).where("lead IS NULL OR (lead AND least = doc)")
+    once = chosen.join(several, "doc", "left_anti").select(F.col("doc").alias("doc_id"))
+    out = docs.join(checkpointed(once), "doc_id", "left_semi").select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
+    if several.isEmpty():
+        return out
+    again = docs.join(several.withColumnRenamed("doc", "doc_id"), "doc_id", "left_semi").select(F.struct(*docs.columns).alias("row"))
+    keyed = checkpointed(map_texts(again, "row", "row.text", [T.StructField("key_now", T.BinaryType())], lambda texts: [_sets(STAGE_WIDTH)(texts)[1]]))
+    own = chosen.join(several, "doc", "left_semi").select("doc", F.col("set_key").alias("key_now")).distinct()
+    worded = keyed.withColumn("doc", F.col("row.doc_id").cast("long")).join(own, ["doc", "key_now"], "left_semi")
+    empty = keyed.where(F.col("key_now") == F.lit(hashlib.blake2b(b"", digest_size=16).digest())).select("row.*")
+    return out.unionByName(worded.groupBy("doc", "key_now").agg(F.min_by("row", F.struct(F.xxhash64("row.text"), "row.text")).alias("row")).select("row.*")).unionByName(empty)
 
 
 def _sets(width: int):
@@ -197,9 +265,9 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group, the one of the smallest doc_id, as it is; null doc_ids stay."""
-    found = near_duplicates(docs)
-    kept = found.where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    own = docs.where("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi")
-    once = own.dropDuplicates(["doc_id"]).select(*docs.columns)
-    return once.unionByName(docs.where("doc_id IS NULL"))
+    """One document of each group, the one of the smallest doc_id, as it is.
+
+    Rows without a doc_id or without words stay. Of rows that share a doc_id, different texts are
+    documents of their own; of those with the same shingles one stays, by the least hash of its text.
+    """
+    return _kept(docs, *_grouped(docs, STAGE_WIDTH, PERCENT, "doc_id", "text", by_id=False))

@@ -133,14 +133,50 @@ def test_near_duplicates_against_all_pairs(spark, docs, width):
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)
 
 
-def test_near_duplicates_in_blocks_and_long_lists(spark, docs, monkeypatch):
-    monkeypatch.setattr(near_duplicates, "BLOCK_SHINGLES", 2_000)
-    monkeypatch.setattr(near_duplicates, "LONG_LIST", 10)
+def test_near_duplicates_in_many_chunks(spark, docs, monkeypatch):
+    monkeypatch.setattr(near_duplicates, "CHUNK_SHINGLES", 1_000)
+    monkeypatch.setattr(near_duplicates, "LIST_CHUNK", 4)
     base = " ".join(docs.text[:5]).split()[:300]
     rows = [(k, " ".join(w if (j * 13 + k) % 61 else f"n{k}" for j, w in enumerate(base))) for k in range(40)] + [(100, "on its own")]
-    expected, _ = brute_components(rows, 2)
-    got = near_duplicates.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2).collect()
-    assert {r["doc_id"]: r["component_id"] for r in got} == expected
+    # a chain, each alike to its neighbours only, behind a first member that none but one is near
+    rows += [(200 + k, " ".join(base[: 120 - 6 * k] + [f"c{j}" for j in range(6 * k)] + base[120:200])) for k in range(20)]
+    rows += [(300 + k, " ".join(base[:90] + [f"own{k}x{j}" for j in range(30)])) for k in range(30)]
+    for width in (2, 5):
+        expected, _ = brute_components(rows, width)
+        got = near_duplicates.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width).collect()
+        assert {r["doc_id"]: r["component_id"] for r in got} == expected
+
+
+def test_links_in_groups_connect_as_all_pairs_do(spark):
+    """Teams of random sets in chunks of a few members: the same components as by all pairs."""
+    rng = np.random.default_rng(4)
+    rows = []
+    for team in range(6):
+        centre = [rng.integers(0, 2**60, 40) for _ in range(3)]
+        for k in range(30):
+            own = centre[rng.integers(3)].copy()
+            own[: rng.integers(0, 7)] = rng.integers(0, 2**60, 1)
+            rows.append((team, team * 100 + k, 1 + 5 * (team > 0), np.unique(own).astype("<u8").tobytes()))
+    got = near_duplicates.links_in_groups(spark.createDataFrame(rows, "team long, id long, chunks int, payload binary"), near_duplicates._by_sets(80))
+    parts = {r["id"]: r["component"] for r in components.connected_components(got).collect()}
+    sets = {i: set(np.frombuffer(p, "<u8").tolist()) for _, i, _, p in rows}
+    label = {i: i for i in sets}
+    for i in sorted(sets):
+        for j in sorted(sets):
+            if i // 100 == j // 100 and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                low, high = sorted((label[i], label[j]))
+                label = {k: low if v == high else v for k, v in label.items()}
+    assert {i: parts.get(i, i) for i in sets} == label and len(set(label.values())) > 12
+
+
+def test_stage_keeps_unlike_texts_of_one_id(spark):
+    words = [f"w{i}" for i in range(40)]
+    rows = [(1, " ".join(words)), (1, "another text of six words here"), (1, " ".join(words)), (1, "  " + " ".join(words)), (2, " ".join([*words, "x"])), (3, "another text of six words here"), (4, "alone with its five words"), (None, "no id"), (None, "no id"), (5, ""), (5, None), (6, "another text of six  WORDS here")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit("clash") for c in CLASHES + ["doc", "least", "lead", "set_key"]})
+    got = sorted(((r["doc_id"], r["text"]) for r in near_duplicates.stage(spark, df, "").collect()), key=repr)
+    first = next(t for i, t in got if i == 1 and "w0" in t)
+    assert first.strip() == " ".join(words)
+    assert got == sorted([(1, first), (1, "another text of six words here"), (4, "alone with its five words"), (None, "no id"), (None, "no id"), (5, ""), (5, None)], key=repr)
 
 
 @settings(max_examples=60, deadline=None)
