@@ -73,16 +73,15 @@ def _tokens(classes: DataFrame) -> DataFrame:
 
 
 def postings(classes: DataFrame) -> DataFrame:
-    """id, payload (the signature), token, df: each class's rarest pairs, but for those that no other class has."""
+    """id, token, df: each class's rarest pairs, but for those that no other class has."""
     tokens = _tokens(classes)
     shared = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
     ranked = tokens.join(shared, "token").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("shared"))  # at most COORDINATES a class
     room = F.lit(COORDINATES - MATCHES + 1 - COORDINATES) + F.size("shared")  # the prefix less the pairs of its own
-    prefix = ranked.where(room > 0).select("id", F.explode(F.slice("shared", F.lit(1), room)).alias("own")).select("id", "own.token", "own.df")
-    return prefix.join(classes.select("id", F.col("signature").alias("payload")), "id")
+    return ranked.where(room > 0).select("id", F.explode(F.slice("shared", F.lit(1), room)).alias("own")).select("id", "own.token", "own.df")
 
 
-_LINK = T.StructType([T.StructField("team", T.LongType()), T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
+_LINK = T.StructType([T.StructField("team", T.LongType()), T.StructField("a", T.LongType()), T.StructField("b", T.LongType()), T.StructField("near", T.BooleanType())])
 
 
 def reached(n: int, links) -> np.ndarray:
@@ -103,7 +102,8 @@ def reached(n: int, links) -> np.ndarray:
 
 
 def _merger(prepare):
-    """For Arrow tables (team, id, payload) of one team: a link from the first of each group to the others.
+    """For Arrow tables (team, id, payload) of one team: a link from the first of each group to the others,
+    and whether that is the first of the table.
 
     prepare(payloads) gives the function `links` of reached.
     """
@@ -118,7 +118,7 @@ def _merger(prepare):
             group = reached(len(ids), prepare(table.column("payload").take(pa.array(first)).to_pylist()))
             at = np.flatnonzero(group != np.arange(len(ids)))
         a = ids[group[at]] if len(at) else at
-        return pa.Table.from_arrays([pa.array(np.full(len(at), team), pa.int64()), pa.array(a, pa.int64()), pa.array(ids[at], pa.int64())], names=["team", "a", "b"])
+        return pa.Table.from_arrays([pa.array(np.full(len(at), team), pa.int64()), pa.array(a, pa.int64()), pa.array(ids[at], pa.int64()), pa.array(a == ids[0])], names=["team", "a", "b", "near"])
 
     return merge
 
@@ -151,37 +151,46 @@ def _by_sets(percent: int):
     return prepare
 
 
-def links_in_groups(rows: DataFrame, prepare) -> DataFrame:
+def links_in_groups(rows: DataFrame, cut: DataFrame, prepare) -> DataFrame:
     """a, b: links that connect the members of each team as all its pairs would.
 
-    rows: team, id, chunks (how many its team is cut into), payload; written already.
+    rows: team, id, chunks (how many its team is cut into), payload; cut: those of them with more than one.
     """
     merge = _merger(prepare)
-    chunk = F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")
+    at = F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int").alias("chunk")
     every = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk")
-    cut = rows.where("chunks > 1")
-    roots = checkpointed(cut.groupBy("team").agg(F.min("id").alias("root")))
-    leading = cut.join(roots, "team").where("id = root").select("team", "id", every, "payload")
-    tasks = rows.select("team", "id", chunk.alias("chunk"), "payload").unionByName(leading)
-    first = checkpointed(tasks.groupBy("team", "chunk").applyInArrow(lambda table: merge(table), _LINK))
-    near = first.join(roots, "team").where("a = root").select("team", F.col("b").alias("id"))
-    rest = cut.join(near, ["team", "id"], "left_anti").join(roots, "team").where("id <> root").select("team", "id")
-    rest = checkpointed(rest)  # of large teams, those unlike their first
-    sizes = cut.groupBy("team").agg(F.count("*").alias("n"), F.first("chunks").alias("chunks"))
-    parts = rest.groupBy("team").agg(F.count("*").alias("left")).join(sizes, "team").select("team", F.ceil(F.col("left") * F.col("chunks") / F.col("n")).cast("int").alias("parts"))
-    wide = cut.join(checkpointed(parts), "team")
+
+    # an exchange by all of the place: one by the team alone would do for Spark, and put a team in one task
+    def merged(tasks: DataFrame, *place: str) -> DataFrame:
+        return tasks.repartition(*place).groupBy(*place).applyInArrow(lambda table: merge(table), _LINK)
+
+    cut = checkpointed(cut)
+    tasks = rows.select("team", "id", at, "payload")
+    if cut.isEmpty():
+        return merged(tasks, "team", "chunk").select("a", "b")
+    teams = checkpointed(cut.groupBy("team").agg(F.min("id").alias("root"), F.count("*").alias("n"), F.first("chunks").alias("chunks")))
+    roots = teams.select("team", F.col("root").alias("id"))
+    leading = cut.join(roots, ["team", "id"], "left_semi").select("team", "id", every, "payload")
+    first = checkpointed(merged(tasks.unionByName(leading), "team", "chunk"))
+    # of large teams, those unlike their first
+    near = first.where("near").select("team", F.col("b").alias("id")).unionByName(roots)
+    rest = checkpointed(cut.select("team", "id").join(near, ["team", "id"], "left_anti"))
+    parts = rest.groupBy("team").agg(F.count("*").alias("left")).join(teams, "team").select("team", "chunks", F.ceil(F.col("left") * F.col("chunks") / F.col("n")).cast("int").alias("parts"))
+    placed = parts.select("team", every, "parts")  # by chunk, so that no join deals by the team alone
+    wide = cut.select("team", "id", at, "chunks", "payload").join(checkpointed(placed), ["team", "chunk"])
     part = F.pmod(F.xxhash64("id", F.lit(1)), F.col("parts")).cast("int").alias("part")
-    all_parts = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")
-    one = wide.select("team", "id", chunk.alias("chunk"), all_parts, "payload")
+    one = wide.select("team", "id", "chunk", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "payload")
     other = wide.join(rest, ["team", "id"], "left_semi").select("team", "id", every, part, "payload")
-    second = one.unionByName(other).groupBy("team", "chunk", "part").applyInArrow(lambda table: merge(table), _LINK)
-    return first.unionByName(second).select("a", "b")
+    second = merged(one.unionByName(other), "team", "chunk", "part")
+    return first.select("a", "b").unionByName(second.select("a", "b"))
 
 
-def clusters(posted: DataFrame) -> DataFrame:
+def clusters(classes: DataFrame) -> DataFrame:
     """id, component: groups within which all pairs of classes above the match threshold lie."""
-    rows = checkpointed(posted.select(F.col("token").alias("team"), "id", F.ceil(F.col("df") / LIST_CHUNK).cast("int").alias("chunks"), "payload"))
-    return connected_components(checkpointed(links_in_groups(rows, _by_signature).distinct()))
+    posted = checkpointed(postings(classes).select(F.col("token").alias("team"), "id", F.ceil(F.col("df") / LIST_CHUNK).cast("int").alias("chunks")))
+    signatures = classes.select("id", F.col("signature").alias("payload"))
+    links = links_in_groups(posted.join(signatures, "id"), posted.where("chunks > 1").join(signatures, "id"), _by_signature)
+    return connected_components(checkpointed(links.distinct()))
 
 
 def _grouped(docs: DataFrame, width: int, percent: int, key: str, text: str, by_id: bool) -> tuple[DataFrame, DataFrame]:
@@ -199,14 +208,17 @@ def _grouped(docs: DataFrame, width: int, percent: int, key: str, text: str, by_
     several = whole.groupBy("doc").agg(F.min("set_key").alias("own"), F.count("*").alias("n")).where("n > 1").select("doc", "own")
     named = whole.join(checkpointed(several), "doc", "left")
     classes = checkpointed(named.withColumn("id", F.when(F.col("set_key") != F.col("own"), F.xxhash64("set_key", "doc")).otherwise(F.col("doc"))).drop("own"))
-    found = clusters(postings(classes))
+    found = clusters(classes)
     sized = found.join(classes.select("id", "doc", "n_shingles", "set_key"), "id")
     blocks = sized.groupBy("component").agg(F.ceil(F.sum("n_shingles") / CHUNK_SHINGLES).cast("int").alias("chunks"), F.count("*").alias("n"))
     chosen = checkpointed(sized.join(blocks.where("n > 1"), "component").select("id", "doc", "component", "set_key", "chunks"))
-    texts = rows.join(chosen, "doc").select(F.struct("id", "component", "set_key", "chunks").alias("own"), "text")
-    sets = map_texts(texts, "own", "text", [T.StructField("shingles", T.BinaryType()), T.StructField("key_now", T.BinaryType())], _sets(width)).where("key_now = own.set_key")
-    sets = checkpointed(sets.select(F.col("own.component").alias("team"), "own.id", "own.chunks", F.col("shingles").alias("payload")))
-    links = links_in_groups(sets, _by_sets(percent))
+
+    def sets(of: DataFrame) -> DataFrame:
+        texts = rows.join(of, "doc").select(F.struct("id", "component", "set_key", "chunks").alias("own"), "text")
+        made = map_texts(texts, "own", "text", [T.StructField("payload", T.BinaryType()), T.StructField("key_now", T.BinaryType())], _sets(width))
+        return made.where("key_now = own.set_key").select(F.col("own.component").alias("team"), "own.id", "own.chunks", "payload")
+
+    links = links_in_groups(sets(chosen), sets(chosen.where("chunks > 1")), _by_sets(percent))
     if by_id:
         several = members.groupBy("doc").agg(F.min("set_key").alias("low"), F.max("set_key").alias("high")).where("low <> high")
         nodes = members.join(checkpointed(several), "doc", "left_semi").select("doc", "set_key").distinct().join(classes.select("set_key", "id"), "set_key")

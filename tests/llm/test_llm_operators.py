@@ -157,7 +157,8 @@ def test_links_in_groups_connect_as_all_pairs_do(spark):
             own = centre[rng.integers(3)].copy()
             own[: rng.integers(0, 7)] = rng.integers(0, 2**60, 1)
             rows.append((team, team * 100 + k, 1 + 5 * (team > 0), np.unique(own).astype("<u8").tobytes()))
-    got = near_duplicates.links_in_groups(spark.createDataFrame(rows, "team long, id long, chunks int, payload binary"), near_duplicates._by_sets(80))
+    df = spark.createDataFrame(rows, "team long, id long, chunks int, payload binary")
+    got = near_duplicates.links_in_groups(df, df.where("chunks > 1"), near_duplicates._by_sets(80))
     parts = {r["id"]: r["component"] for r in components.connected_components(got).collect()}
     sets = {i: set(np.frombuffer(p, "<u8").tolist()) for _, i, _, p in rows}
     label = {i: i for i in sets}
