@@ -5,10 +5,11 @@
 2. The (coordinate, value) pairs are counted. A pair of classes with at least MATCHES equal
    coordinates has one in common among each one's COORDINATES - MATCHES + 1 rarest (prefix), and
    values that only one class has are no use (skip): what is left is posted.
-3. Posting lists are merged: within a list, the collisions of the member at hand with those not
+3. Of lists with the same members one is kept, by two hashes over the members: near-copies share most
+   of their values. The lists are merged: within a list, the collisions of the member at hand with those not
    reached yet are counted over all coordinates, and those with MATCHES or more are linked.
    Components of these links are clusters: no pair above the match threshold lies in two of them.
-4. Within a cluster the full sets, recomputed from the texts, are compared exactly.
+4. Within a cluster the full sets, made from the texts again, are compared exactly.
 5. Components of the confirmed links are the result.
 
 Steps 3 and 4 work alike (links_in_groups): a list or cluster is cut into chunks of a fixed size.
@@ -29,6 +30,7 @@ one doc_id apart: each is a document, and of those alike one row stays.
 from __future__ import annotations
 
 import hashlib
+import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -38,6 +40,7 @@ from pyspark.sql import types as T
 from gazelark.llm.components import connected_components
 from gazelark.llm.shingles import shingle_sets, signature, signature_coefficients
 from gazelark.llm.tables import checkpointed, map_texts, read
+from gazelark.shared import remove_folder, shared_folder
 
 COORDINATES, MATCHES, SEED = 64, 40, 7
 LIST_CHUNK = 512  # members of a posting list in one task
@@ -129,11 +132,11 @@ def _by_signature(payloads: list[bytes]):
     return lambda i, rest: (signatures[rest] == signatures[i]).sum(axis=1) >= MATCHES
 
 
-def _by_sets(percent: int):
-    """Linked by the exact similarity of shingle sets."""
+def _by_sets(width: int, percent: int):
+    """Linked by the exact similarity of the texts' shingle sets."""
 
-    def prepare(payloads: list[bytes]):
-        sets = [np.frombuffer(p, "<u8") for p in payloads]
+    def prepare(payloads: list[str]):
+        sets = list(shingle_sets(payloads, width))
         sizes = np.array([len(s) for s in sets])
         everything, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
         by_hash = np.argsort(everything, kind="stable")
@@ -187,7 +190,10 @@ def links_in_groups(rows: DataFrame, cut: DataFrame, prepare) -> DataFrame:
 
 def clusters(classes: DataFrame) -> DataFrame:
     """id, component: groups within which all pairs of classes above the match threshold lie."""
-    posted = checkpointed(postings(classes).select(F.col("token").alias("team"), "id", F.ceil(F.col("df") / LIST_CHUNK).cast("int").alias("chunks")))
+    posted = checkpointed(postings(classes).select("id", "token"))
+    lists = posted.groupBy("token").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y")).where("n > 1")
+    kept = lists.groupBy("n", "x", "y").agg(F.min("token").alias("token")).select("token", F.ceil(F.col("n") / LIST_CHUNK).cast("int").alias("chunks"))
+    posted = checkpointed(posted.join(kept, "token").select(F.col("token").alias("team"), "id", "chunks"))
     signatures = classes.select("id", F.col("signature").alias("payload"))
     links = links_in_groups(posted.join(signatures, "id"), posted.where("chunks > 1").join(signatures, "id"), _by_signature)
     return connected_components(checkpointed(links.distinct()))
@@ -199,26 +205,25 @@ def _grouped(docs: DataFrame, width: int, percent: int, key: str, text: str, by_
 
     by_id: whether texts of one doc_id count as linked.
     """
-    rows = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))
-    features = checkpointed(map_texts(rows, "doc", "text", _FEATURES, _features(width)))
+    rows = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"), F.xxhash64(text).alias("text_hash"))
+    made = map_texts(rows.select(F.struct("doc", "text_hash").alias("own"), "text"), "own", "text", _FEATURES, _features(width))
+    features = checkpointed(made.select("own.*", *[f.name for f in _FEATURES]))
     members = features.where("set_key IS NOT NULL AND doc IS NOT NULL")
-    whole = members.groupBy("set_key").agg(F.min("doc").alias("doc"), F.first("signature").alias("signature"), F.first("n_shingles").alias("n_shingles"), F.count("*").alias("rows"))
-    whole = checkpointed(whole)
+    whole = members.groupBy("set_key").agg(F.min(F.struct("doc", "text_hash")).alias("least"), F.first("signature").alias("signature"), F.first("n_shingles").alias("n_shingles"), F.count("*").alias("rows"))
+    whole = checkpointed(whole.select("set_key", "least.*", "signature", "n_shingles", "rows"))
     # a class goes by its least doc_id; where that has several classes, all but one by a hash
     several = whole.groupBy("doc").agg(F.min("set_key").alias("own"), F.count("*").alias("n")).where("n > 1").select("doc", "own")
     named = whole.join(checkpointed(several), "doc", "left")
     classes = checkpointed(named.withColumn("id", F.when(F.col("set_key") != F.col("own"), F.xxhash64("set_key", "doc")).otherwise(F.col("doc"))).drop("own"))
     found = clusters(classes)
-    sized = found.join(classes.select("id", "doc", "n_shingles", "set_key"), "id")
+    sized = found.join(classes.select("id", "doc", "text_hash", "n_shingles"), "id")
     blocks = sized.groupBy("component").agg(F.ceil(F.sum("n_shingles") / CHUNK_SHINGLES).cast("int").alias("chunks"), F.count("*").alias("n"))
-    chosen = checkpointed(sized.join(blocks.where("n > 1"), "component").select("id", "doc", "component", "set_key", "chunks"))
-
-    def sets(of: DataFrame) -> DataFrame:
-        texts = rows.join(of, "doc").select(F.struct("id", "component", "set_key", "chunks").alias("own"), "text")
-        made = map_texts(texts, "own", "text", [T.StructField("payload", T.BinaryType()), T.StructField("key_now", T.BinaryType())], _sets(width))
-        return made.where("key_now = own.set_key").select(F.col("own.component").alias("team"), "own.id", "own.chunks", "payload")
-
-    links = links_in_groups(sets(chosen), sets(chosen.where("chunks > 1")), _by_sets(percent))
+    chosen = sized.join(blocks.where("n > 1"), "component").select("id", "doc", "text_hash", F.col("component").alias("team"), "chunks")
+    folder = f"{shared_folder(docs.sparkSession)}/texts-{uuid.uuid4().hex}"
+    rows.join(chosen, ["doc", "text_hash"]).select("team", "id", "chunks", F.col("text").alias("payload")).write.parquet(folder)
+    texts = docs.sparkSession.read.schema("team long, id long, chunks int, payload string").parquet(folder)
+    links = checkpointed(links_in_groups(texts, texts.where("chunks > 1"), _by_sets(width, percent)))
+    remove_folder(docs.sparkSession, folder)
     if by_id:
         several = members.groupBy("doc").agg(F.min("set_key").alias("low"), F.max("set_key").alias("high")).where("low <> high")
         nodes = members.join(checkpointed(several), "doc", "left_semi").select("doc", "set_key").distinct().join(classes.select("set_key", "id"), "set_key")
@@ -256,19 +261,15 @@ def _kept(docs: DataFrame, features: DataFrame, labels: DataFrame) -> DataFrame:
     if several.isEmpty():
         return out
     again = docs.join(several.withColumnRenamed("doc", "doc_id"), "doc_id", "left_semi").select(F.struct(*docs.columns).alias("row"))
-    keyed = checkpointed(map_texts(again, "row", "row.text", [T.StructField("key_now", T.BinaryType())], lambda texts: [_sets(STAGE_WIDTH)(texts)[1]]))
+    keyed = checkpointed(map_texts(again, "row", "row.text", [T.StructField("key_now", T.BinaryType())], _set_keys))
     own = chosen.join(several, "doc", "left_semi").select("doc", F.col("set_key").alias("key_now")).distinct()
     worded = keyed.withColumn("doc", F.col("row.doc_id").cast("long")).join(own, ["doc", "key_now"], "left_semi")
-    empty = keyed.where(F.col("key_now") == F.lit(hashlib.blake2b(b"", digest_size=16).digest())).select("row.*")
+    empty = keyed.where("key_now IS NULL").select("row.*")
     return out.unionByName(worded.groupBy("doc", "key_now").agg(F.min_by("row", F.struct(F.xxhash64("row.text"), "row.text")).alias("row")).select("row.*")).unionByName(empty)
 
 
-def _sets(width: int):
-    def compute(texts: list[str | None]) -> list[list]:
-        raw = [h.astype("<u8").tobytes() for h in shingle_sets(texts, width)]
-        return [raw, [hashlib.blake2b(r, digest_size=16).digest() for r in raw]]
-
-    return compute
+def _set_keys(texts: list[str | None]) -> list[list]:
+    return [[hashlib.blake2b(h.tobytes(), digest_size=16).digest() if len(h) else None for h in shingle_sets(texts, STAGE_WIDTH)]]
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

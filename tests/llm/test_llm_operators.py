@@ -148,19 +148,19 @@ def test_near_duplicates_in_many_chunks(spark, docs, monkeypatch):
 
 
 def test_links_in_groups_connect_as_all_pairs_do(spark):
-    """Teams of random sets in chunks of a few members: the same components as by all pairs."""
+    """Teams of random texts in chunks of a few members: the same components as by all pairs."""
     rng = np.random.default_rng(4)
     rows = []
     for team in range(6):
-        centre = [rng.integers(0, 2**60, 40) for _ in range(3)]
+        centre = [[f"t{team}c{c}w{j}" for j in range(40)] for c in range(3)]
         for k in range(30):
-            own = centre[rng.integers(3)].copy()
-            own[: rng.integers(0, 7)] = rng.integers(0, 2**60, 1)
-            rows.append((team, team * 100 + k, 1 + 5 * (team > 0), np.unique(own).astype("<u8").tobytes()))
-    df = spark.createDataFrame(rows, "team long, id long, chunks int, payload binary")
-    got = near_duplicates.links_in_groups(df, df.where("chunks > 1"), near_duplicates._by_sets(80))
+            own = list(centre[rng.integers(3)])
+            own[: rng.integers(0, 7)] = [f"n{rng.integers(1000)}"]
+            rows.append((team, team * 100 + k, 1 + 5 * (team > 0), " ".join(own)))
+    df = spark.createDataFrame(rows, "team long, id long, chunks int, payload string")
+    got = near_duplicates.links_in_groups(df, df.where("chunks > 1"), near_duplicates._by_sets(2, 80))
     parts = {r["id"]: r["component"] for r in components.connected_components(got).collect()}
-    sets = {i: set(np.frombuffer(p, "<u8").tolist()) for _, i, _, p in rows}
+    sets = {i: python_shingles(t, 2) for _, i, _, t in rows}
     label = {i: i for i in sets}
     for i in sorted(sets):
         for j in sorted(sets):
