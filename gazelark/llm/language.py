@@ -10,7 +10,8 @@ Learning reads text and language only, of at most SAMPLE_BUCKETS documents a lan
 the least hash in their bucket). lang, source and doc_id don't enter a prediction.
 
 Edge cases: a null text or one without letters is `und` with score 0; texts of any length are
-read whole; with no labelled documents every text is `und`; repeated rows give repeated results;
+read whole; with no labelled documents every text is `und`, and the stage keeps every text with
+letters; repeated rows give repeated results;
 an empty table gives an empty result; other columns are ignored; a null doc_id is not held out
 and not learned from.
 """
@@ -32,7 +33,7 @@ SAMPLE_BUCKETS = 400
 LANDMARKS = 96
 RIDGE = 1e-2
 SHARPNESS = 4.0
-LEAST_SCORE = 0.3
+LEAST_KNOWN = 0.25
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _letters: list[np.ndarray] = []
 
@@ -49,14 +50,14 @@ def _fold() -> np.ndarray:
 def presence(texts: list[str | None]) -> list[np.ndarray | None]:
     """The sorted places of each text's n-grams; None without letters."""
     fold = _fold()
-    lowered = [(t or "").lower() for t in texts]
+    lowered = ["", *[(t or "").lower() for t in texts]]  # a blank before the first as before the others
     raw = np.frombuffer(" ".join(lowered).encode("utf-32-le", "surrogatepass") + b" \0\0\0", np.uint32)
     code = fold[np.minimum(raw, 0x10FFFF)]
     blank = code == 32
     keep = ~(blank & np.concatenate([[False], blank[:-1]]))
     before = np.concatenate([[0], np.cumsum(keep)])
     ends = np.cumsum([len(t) + 1 for t in lowered])
-    limits = np.concatenate([[0], before[ends]])
+    limits = before[ends]
     c = code[keep].astype(np.uint64)
     shift = np.uint64(64 - COORDINATES.bit_length() + 1)
     grams, rolled = [], np.zeros(len(c), np.uint64)
@@ -95,7 +96,8 @@ class Model:
     @staticmethod
     def fit(sets: list[np.ndarray], labels: list[str]) -> Model:
         languages = sorted(set(labels))
-        order = [i for k in range(len(sets)) for i in _nth_of_each(labels, languages, k)]
+        examples = [[i for i, own in enumerate(labels) if own == name] for name in languages]
+        order = [own[k] for k in range(max(map(len, examples))) for own in examples if k < len(own)]  # landmarks go round the languages
         x = _rows([sets[i] for i in order])
         y = np.array([languages.index(labels[i]) for i in order])
         landmarks = x[:LANDMARKS]
@@ -110,27 +112,29 @@ class Model:
         return Model(languages, landmarks, (root @ solved[:-1]).astype(np.float32), solved[-1].astype(np.float32))
 
     def predict(self, texts: list[str | None]) -> list[list]:
-        """[languages, scores in 0 to 1]."""
-        names, scores = ["und"] * len(texts), [0.0] * len(texts)
-        if not self.languages:
-            return [names, scores]
+        """[languages, scores in 0 to 1, how well known the n-grams are].
+
+        The last is the share of the text's n-grams that a landmark has, from 0 where it is what
+        n-grams by chance would give, to 1 where it is all; null without letters.
+        """
+        names, scores, known = ["und"] * len(texts), [0.0] * len(texts), [None] * len(texts)
         sets = presence(texts)
-        known = [i for i, s in enumerate(sets) if s is not None]
-        for a in range(0, len(known), 256):
-            part = known[a : a + 256]
+        lettered = [i for i, s in enumerate(sets) if s is not None]
+        if not self.languages:
+            for i in lettered:
+                known[i] = 1.0
+            return [names, scores, known]
+        held = (self.landmarks > 0).any(axis=0)
+        chance = min(float(held.mean()), 0.99)
+        for a in range(0, len(lettered), 256):
+            part = lettered[a : a + 256]
             values = (_rows([sets[i] for i in part]) @ self.landmarks.T) @ self.weights + self.bias
             shares = np.exp(SHARPNESS * (values - values.max(axis=1, keepdims=True)).astype(np.float64))
             shares /= shares.sum(axis=1, keepdims=True)
             for i, row, k in zip(part, shares, values.argmax(axis=1)):
                 names[i], scores[i] = self.languages[k], float(row[k])
-        return [names, scores]
-
-
-def _nth_of_each(labels: list[str], languages: list[str], k: int) -> list[int]:
-    """Where each language's k-th example stands: landmarks go round the languages."""
-    if k == 0:
-        _nth_of_each.places = {name: [i for i, x in enumerate(labels) if x == name] for name in languages}
-    return [p[k] for p in _nth_of_each.places.values() if k < len(p)]
+                known[i] = max(0.0, (float(held[sets[i]].mean()) - chance) / (1 - chance))
+        return [names, scores, known]
 
 
 def sample(docs: DataFrame, buckets: int = SAMPLE_BUCKETS) -> DataFrame:
@@ -155,12 +159,11 @@ def fit(docs: DataFrame) -> Model:
     return Model.fit([np.flatnonzero(np.unpackbits(np.frombuffer(r[2], np.uint8))) for r in rows], [r[1] for r in rows])
 
 
-FIELDS = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
-_models: dict[int, Model] = {}
+FIELDS = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("known", T.DoubleType())]
 
 
 def predictions(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, lang_pred, score. The model, of a size fixed by LANDMARKS and COORDINATES, is broadcast."""
+    """key, lang_pred, score, known. The model, of a size fixed by LANDMARKS and COORDINATES, is broadcast."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     return map_texts(docs, key, text, FIELDS, lambda texts: shared.value.predict(texts))
 
@@ -174,7 +177,8 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents but those whose language is `und` or scores under LEAST_SCORE, as they are."""
+    """Documents as they are, but those without letters and those in no language that was learned:
+    their n-grams are hardly better known (LEAST_KNOWN) than by chance, however many languages there are."""
     model = fit(docs)
     scored = predictions(docs.select(F.struct(*docs.columns).alias("row")), model, "row", "row.text")
-    return scored.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select("row.*")
+    return scored.where(F.col("known") >= LEAST_KNOWN).select("row.*")

@@ -504,8 +504,64 @@ def test_language_presence_kernel():
     sets = language.presence(["Abc abd", "abc ABD!", None, "123 !", "", "日本"])
     assert sets[0].tolist() == sets[1].tolist() and sets[2] is None and sets[3] is None and sets[4] is None and len(sets[5]) > 0
     model = language.Model.fit(language.presence(["the cat of the house"] * 3 + ["der hund und die katze"] * 3), ["en"] * 3 + ["de"] * 3)
-    names, scores = model.predict(["the house", "die katze und der", None, "77"])
-    assert names == ["en", "de", "und", "und"] and scores[2:] == [0.0, 0.0]
+    names, scores, known = model.predict(["the house", "die katze und der", None, "77"])
+    assert names == ["en", "de", "und", "und"] and scores[2:] == [0.0, 0.0] and known[2:] == [None, None]
+
+
+def plain_grams(text):
+    """Distinct letter n-grams of one to three characters; runs of other characters are one blank."""
+    folded = "".join(c if c.isalpha() else " " for c in (text or "").lower()) + " "
+    folded = re.sub(" +", " ", folded).removeprefix(" ")
+    return {folded[i : i + n] for n in (1, 2, 3) for i in range(len(folded) - n + 1)} if folded.strip() else None
+
+
+def plain_place(gram):
+    rolled = 0
+    for c in gram:
+        rolled = (rolled + ord(c) + 1) * 0x9E3779B97F4A7C15 % 2**64
+        rolled ^= rolled >> 29
+    return (rolled * 0x9E3779B97F4A7C15 % 2**64) >> 50
+
+
+def test_presence_against_plain_strings(docs):
+    texts = ["", " 1 leading", "x", None, "  ", *docs.text[:30], "Été 12 ÀB", " a", "a"]
+    expected = [None if (g := plain_grams(t)) is None else sorted({plain_place(x) for x in g}) for t in texts]
+    assert [None if s is None else s.tolist() for s in language.presence(texts)] == expected
+    assert [None if s is None else s.tolist() for s in language.presence(texts[::-1])] == expected[::-1]
+
+
+def test_language_model_against_plain_kernels(docs):
+    """Kernels by set intersections, the map and the regressions as their formulas say, in double precision."""
+    known = docs[docs.lang.notna() & docs.text.notna()]
+    learned, asked = known.iloc[:110], docs.text[110:]
+    model = language.Model.fit(language.presence(learned.text.tolist()), learned.lang.tolist())
+    names = sorted(set(learned.lang))
+    queues = [[(t, name) for t, own in zip(learned.text, learned.lang) if own == name] for name in names]
+    order = [q[k] for k in range(max(map(len, queues))) for q in queues if k < len(q)]
+    sets = [{plain_place(g) for g in plain_grams(t)} for t, _ in order]
+    kernel = lambda a, b: len(a & b) / np.sqrt(len(a) * len(b))
+    marks = sets[: language.LANDMARKS]
+    values, vectors = np.linalg.eigh(np.array([[kernel(a, b) for b in marks] for a in marks]))
+    root = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-6))) @ vectors.T
+    x = np.hstack([np.array([[kernel(a, b) for b in marks] for a in sets]) @ root, np.ones((len(sets), 1))])
+    share = {name: sum(own == name for _, own in order) for name in names}
+    weight = np.diag([len(order) / len(names) / share[own] for _, own in order])
+    own = {i: {plain_place(g) for g in plain_grams(t)} for i, t in enumerate(asked) if plain_grams(t)}
+    z = np.hstack([np.array([[kernel(own[i], b) for b in marks] for i in own]) @ root, np.ones((len(own), 1))])
+    scores = np.column_stack([z @ np.linalg.solve(x.T @ weight @ x + language.RIDGE * len(order) / 100 * np.eye(x.shape[1]), x.T @ weight @ np.array([1.0 if o == name else -1.0 for _, o in order])) for name in names])
+    shares = np.exp(language.SHARPNESS * scores) / np.exp(language.SHARPNESS * scores).sum(axis=1, keepdims=True)
+    pred, score, _ = model.predict(asked.tolist())
+    assert [pred[i] for i in own] == [names[k] for k in scores.argmax(axis=1)]
+    assert np.allclose([score[i] for i in own], shares.max(axis=1), atol=2e-3)
+
+
+def test_stage_rejects_unknown_languages_only(spark, docs):
+    odd = ["Привет мир, это длинный русский текст о погоде и природе сегодня утром", "今天天气很好我们去公园散步吧然后回家吃饭", "1234 !!", "", None]
+    rows = list(zip(docs.doc_id.tolist(), docs.text, docs.lang)) + [(10_000 + i, t, None) for i, t in enumerate(odd)]
+    kept = {r["doc_id"] for r in language.stage(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string"), "").collect()}
+    assert kept == set(docs.doc_id)
+    unlabelled = spark.createDataFrame([(i, t, None) for i, t, _ in rows], "doc_id long, text string, lang string")
+    assert {r["doc_id"] for r in language.stage(spark, unlabelled, "").collect()} == set(docs.doc_id) | {10_000, 10_001}
 
 
 def test_nothing_learned_from_held_out_rows(spark):
