@@ -30,7 +30,7 @@ def _prepare(spark: SparkSession) -> None:
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without letters or without a clear language go."""
+    """Documents without letters, or in no language that was learned, go."""
     _prepare(spark)
     return language.stage(spark, docs, sf_dir)
 
