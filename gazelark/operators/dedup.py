@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from gazelark import fixed
 from gazelark.functions import text as X
@@ -39,24 +40,28 @@ def first_by_count(items: DataFrame, key: Column) -> DataFrame:
 def similar_pairs(left: DataFrame, right: DataFrame, threshold: float = fixed.SIMILARITY, other_outlet: bool = True) -> DataFrame:
     """l_ord, r_ord, overlap of rows (ord, outlet, words) whose word overlap reaches the threshold.
 
-    An inverted index: of n words, the rarest n - ceil(threshold * n) + 1 of the shorter side meet
-    all words of the longer one, on equal words and sides' sizes; what meets is verified.
+    An inverted index: of n words, the rarest n - ceil(threshold * n) + 1 of the shorter side (its
+    prefix) meet all words of the longer one; what meets is verified. A frequent word is in hardly any
+    prefix, and outside of prefixes it meets nothing.
     """
     def sided(df: DataFrame, p: str) -> DataFrame:
         return df.where(F.size("words") >= fixed.MIN_WORDS).select(F.col("ord").alias(f"{p}_ord"), F.lower("outlet").alias(f"{p}_outlet"), F.col("words").alias(f"{p}_words"), F.size("words").alias(f"{p}_n"))
 
-    l, r = sided(left, "l"), sided(right, "r")
-    df_words = l.select(F.explode("l_words").alias("word")).unionByName(r.select(F.explode("r_words").alias("word"))).groupBy("word").agg(F.count("*").alias("df"))
+    sides = {"l": sided(left, "l"), "r": sided(right, "r")}
+    df_words = sides["l"].select(F.explode("l_words").alias("word")).unionByName(sides["r"].select(F.explode("r_words").alias("word"))).groupBy("word").agg(F.count("*").alias("df"))
+
+    def prefix(p: str) -> DataFrame:
+        n = F.size("ranked")
+        words = sides[p].select(f"{p}_ord", F.explode(f"{p}_words").alias("word")).join(df_words, "word")
+        ranked = words.groupBy(f"{p}_ord").agg(F.array_sort(F.collect_list(F.struct("df", "word"))).alias("ranked"))  # a headline's words
+        rarest = ranked.select(f"{p}_ord", F.explode(F.slice("ranked", F.lit(1), (n - F.ceil(F.lit(threshold) * n) + 1).cast("int"))).alias("own"))
+        return rarest.select(f"{p}_ord", "own.word").join(sides[p], f"{p}_ord")
 
-    def indexed(side: DataFrame, p: str) -> DataFrame:
-        """A row for each word with `rare`: whether it is in the prefix."""
-        words = side.select(f"{p}_ord", F.explode(f"{p}_words").alias("word")).join(df_words, "word")
-        rank = F.row_number().over(Window.partitionBy(f"{p}_ord").orderBy("df", "word"))
-        return words.withColumn("rank", rank).join(side, f"{p}_ord").withColumn(f"{p}_rare", F.col("rank") <= F.col(f"{p}_n") - F.ceil(F.lit(threshold) * F.col(f"{p}_n")) + 1).drop("rank", "df")
+    def everything(p: str) -> DataFrame:
+        return sides[p].withColumn("word", F.explode(f"{p}_words"))
 
-    met = indexed(l, "l").join(indexed(r, "r"), "word").where(
-        (F.col("l_rare") & (F.col("l_n") <= F.col("r_n"))) | (F.col("r_rare") & (F.col("r_n") <= F.col("l_n")))
-    )
+    # equal lengths meet once
+    met = prefix("l").join(everything("r"), "word").where("l_n <= r_n").unionByName(prefix("r").join(everything("l"), "word").where("r_n < l_n"))
     if other_outlet:
         met = met.where("l_outlet <> r_outlet")
     pairs = met.where("l_ord <> r_ord").withColumn("overlap", X.overlap(F.col("l_words"), F.col("r_words"))).where(F.col("overlap") >= threshold)
@@ -78,107 +83,51 @@ def signature_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
     return met.where("l_ord <> r_ord").select("l_ord", "r_ord").distinct()
 
 
-_KEPT = T.StructType([T.StructField("ord", T.LongType()), T.StructField("kept", T.BooleanType())])
-
-
-_PART = T.StructType([T.StructField("ord", T.LongType()), T.StructField("part", T.LongType())])
-FEW_EDGES = 1_000_000
-
-
-def _joined(pdf):
-    """ord, part of all edges of a small table: union and find in one task."""
-    import pandas as pd
-
-    parent: dict[int, int] = {}
-
-    def root(x: int) -> int:
-        while parent.setdefault(x, x) != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    for a, b in zip(pdf["a"].tolist(), pdf["b"].tolist()):
-        low, high = sorted((root(a), root(b)))
-        parent[high] = low
-    return pd.DataFrame({"ord": list(parent), "part": [root(x) for x in list(parent)]})
+def greedy_fold(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """ord, kept: along the edges (a before b), a row is dropped if it has an edge from a kept one.
 
+    Not row_number() = 1: what a dropped row would have blocked stays open. It goes by rounds of
+    joins: rows without an open edge into them are kept, their neighbours are dropped and take their
+    edges along. A group of rows all alike is settled in one round, a chain in half its length.
+    """
+    edges = written(edges.select("a", "b").distinct())
+    dropped = []
+    while not edges.isEmpty():
+        kept = edges.select("a").join(edges.select(F.col("b").alias("a")), "a", "left_anti").distinct()
+        out = written(edges.join(kept, "a", "left_semi").select(F.col("b").alias("ord")).distinct())
+        dropped.append(out)
+        edges = written(edges.join(out, edges["b"] == out["ord"], "left_anti").join(out, F.col("a") == out["ord"], "left_anti"))
+    return _without(nodes, dropped)
 
-def components(edges: DataFrame, nodes: DataFrame, rounds: int = 60, few: int = FEW_EDGES) -> DataFrame:
-    """ord, part (the least ord reachable) for edges (a, b) over nodes(ord).
 
-    Up to `few` edges are joined in one task; more go by least labels and pointer jumping, which
-    gives the same parts.
-    """
-    edges = written(edges.select("a", "b"))
-    if edges.count() <= few:
-        found = edges.groupBy().applyInPandas(_joined, _PART)
-        return nodes.select("ord").distinct().join(found, "ord", "left").select("ord", F.coalesce("part", "ord").alias("part"))
-    both = written(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = written(nodes.select("ord", F.col("ord").alias("part")).distinct())
-    for _ in range(rounds):
-        near = both.join(labels, both["a"] == labels["ord"]).groupBy("b").agg(F.min("part").alias("near"))
-        moved = labels.join(near, labels["ord"] == near["b"], "left").select("ord", F.col("part").alias("old"), F.least("part", F.coalesce("near", "part")).alias("part"))
-        own = moved.select(F.col("ord").alias("of"), F.col("part").alias("further"))
-        moved = written(moved.join(own, moved["part"] == own["of"]).select("ord", "old", F.least("part", "further").alias("part")))
-        labels = moved.select("ord", "part")
-        if moved.where("part <> old").isEmpty():
-            return labels
-    raise RuntimeError(f"components didn't settle in {rounds} rounds")
-
-
-def greedy_fold(nodes: DataFrame, edges: DataFrame, order: list[str]) -> DataFrame:
-    """ord, kept: in the given order, a row is dropped if it has an edge (a, b) with one kept before.
-
-    Not row_number() = 1: what a dropped row would have blocked stays open. Each connected
-    component is folded in one task; rows without edges are kept without a fold.
-    """
-    edges = written(edges)
-    touched = edges.select(F.col("a").alias("ord")).unionByName(edges.select(F.col("b").alias("ord"))).distinct()
-    parts = components(edges, touched)
-    neighbours = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy("a").agg(F.collect_set("b").alias("near"))
-    rows = nodes.join(parts, "ord").join(neighbours, F.col("ord") == F.col("a")).select("ord", "part", "near", *[F.col(c).alias(f"_by{i}") for i, c in enumerate(order)])
-    by = [f"_by{i}" for i in range(len(order))]
-
-    def fold(pdf):
-        kept: set[int] = set()
-        out = []
-        for o, near in zip(*[pdf.sort_values(by, kind="stable")[c] for c in ("ord", "near")]):
-            ok = not any(n in kept for n in near)
-            if ok:
-                kept.add(o)
-            out.append(ok)
-        return pdf.sort_values(by, kind="stable")[["ord"]].assign(kept=out)
-
-    folded = rows.groupBy("part").applyInPandas(fold, _KEPT)
-    return nodes.select("ord").join(folded, "ord", "left").select("ord", F.coalesce("kept", F.lit(True)).alias("kept"))
+def _without(nodes: DataFrame, dropped: list[DataFrame]) -> DataFrame:
+    if not dropped:
+        return nodes.select("ord", F.lit(True).alias("kept"))
+    gone = reduce(DataFrame.unionByName, dropped).withColumn("gone", F.lit(True))
+    return nodes.select("ord").join(gone, "ord", "left").select("ord", F.col("gone").isNull().alias("kept"))
 
 
 def dedup_in_run(items: DataFrame) -> DataFrame:
     """ord, kept: greedy on url and headline keys, in the order of ord.
 
     A row is dropped if one of its keys is a kept row's; a dropped row's other key stays free.
-    Rows of equal keys fall to their first one before anything is grouped.
+    Rows of equal keys fall to their first one. The others go by rounds: a row that is the first of
+    all its keys is kept, the others of these keys are dropped.
     """
     keyed = items.select("ord", X.keys_for(F.col("url"), F.col("title")).alias("keys"))
     first = written(keyed.groupBy("keys").agg(F.min("ord").alias("ord")))
-    each = first.select("ord", F.explode("keys").alias("key"))
-    lead = each.groupBy("key").agg(F.min("ord").alias("a"))
-    edges = written(each.join(lead, "key").where("a <> ord").select("a", F.col("ord").alias("b")).distinct())
-    parts = components(edges, edges.select(F.col("a").alias("ord")).unionByName(edges.select(F.col("b").alias("ord"))).distinct())
-
-    def fold(pdf):
-        pdf = pdf.sort_values("ord")
-        used: set[str] = set()
-        out = []
-        for keys in pdf["keys"]:
-            ok = not any(k in used for k in keys)
-            if ok:
-                used.update(keys)
-            out.append(ok)
-        return pdf[["ord"]].assign(kept=out)
-
-    folded = first.join(parts, "ord").groupBy("part").applyInPandas(fold, _KEPT)
-    firsts = first.select("ord").join(folded, "ord", "left").select("ord", F.coalesce("kept", F.lit(True)).alias("kept"))
+    each = written(first.select("ord", F.explode("keys").alias("key")))
+    dropped = []
+    while True:
+        lead = each.groupBy("key").agg(F.min("ord").alias("lead"), F.count("*").alias("n")).where("n > 1")
+        led = each.join(lead, "key")
+        blocked = led.where("ord <> lead").select("ord").distinct()
+        out = written(led.join(blocked.withColumnRenamed("ord", "lead"), "lead", "left_anti").where("ord <> lead").select("ord").distinct())
+        if out.isEmpty():
+            break
+        dropped.append(out)
+        each = written(each.join(out, "ord", "left_anti"))
+    firsts = _without(first, dropped)
     return items.select("ord").join(firsts, "ord", "left").select("ord", F.coalesce("kept", F.lit(False)).alias("kept"))
 
 
@@ -188,14 +137,17 @@ def dedup_cross_outlet(items: DataFrame, recent: DataFrame | None = None) -> Dat
     own = written(own)
     # written before they are filtered: the comparison pushed into the join would spoil its plan
     pairs = written(similar_pairs(own, own).select("l_ord", "r_ord").unionByName(signature_pairs(own, own)))
-    edges = pairs.where("l_ord < r_ord").select(F.col("l_ord").alias("a"), F.col("r_ord").alias("b")).distinct()
+    at = own.select("ord", F.struct(F.col("effective_date").isNull(), "effective_date", "ord").alias("at"))
+    both = pairs.where("l_ord < r_ord").distinct().join(at.select(F.col("ord").alias("l_ord"), F.col("at").alias("l_at")), "l_ord").join(at.select(F.col("ord").alias("r_ord"), F.col("at").alias("r_at")), "r_ord")
+    earlier = F.col("l_at") < F.col("r_at")
+    edges = both.select(F.when(earlier, F.col("l_ord")).otherwise(F.col("r_ord")).alias("a"), F.when(earlier, F.col("r_ord")).otherwise(F.col("l_ord")).alias("b"))
     if recent is not None:
         blocked = similar_pairs(own, recent).select("l_ord").unionByName(signature_pairs(own, recent).select("l_ord")).distinct()
         free = own.join(blocked, own["ord"] == blocked["l_ord"], "left_anti")
         edges = edges.join(blocked, edges["a"] == blocked["l_ord"], "left_anti").join(blocked, edges["b"] == blocked["l_ord"], "left_anti")
-        folded = greedy_fold(free, edges, ["effective_date", "ord"])
+        folded = greedy_fold(free, edges)
         return own.select("ord").join(folded, "ord", "left").select("ord", F.coalesce("kept", F.lit(False)).alias("kept"))
-    return greedy_fold(own, edges, ["effective_date", "ord"])
+    return greedy_fold(own, edges)
 
 
 def merge_state(a: DataFrame, b: DataFrame) -> DataFrame:

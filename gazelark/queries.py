@@ -596,12 +596,37 @@ def _(t):
     return dedup.first_by(t.items, key, "outlet", "ord").select("ord")
 
 
-@register("d04_dedup_in_run")
+def _fold_sql(rows: str, blocked: str, adds: str, kind: str) -> str:
+    """A fold row by row: rows(i from 1, ord, ...); blocked and adds speak of f.held, a list, and of k's columns."""
+    return (
+        f"k AS ({rows}), f AS (SELECT 0::BIGINT AS i, 0::BIGINT AS ord, false AS kept, []::{kind}[] AS held UNION ALL "
+        f"SELECT k.i, k.ord, NOT ({blocked}), CASE WHEN {blocked} THEN f.held ELSE list_concat(f.held, {adds}) END FROM f JOIN k ON k.i = f.i + 1) SELECT ord, kept FROM f WHERE i > 0"
+    )
+
+
+D04_SQL = _fold_sql(f"SELECT row_number() OVER (ORDER BY ord) AS i, ord, list_filter([url_key, title_key], lambda x: x IS NOT NULL) AS keys FROM ({KEYED})", "list_has_any(f.held, k.keys)", "k.keys", "VARCHAR")
+
+
+@register("d04_dedup_in_run", f"WITH RECURSIVE {D04_SQL}")
 def _(t):
     return dedup.dedup_in_run(t.items)
 
 
-@register("d05_dedup_cross_outlet")
+AMOUNTS_SQL = (
+    f"(SELECT list(DISTINCT v) FROM (SELECT round_even(try_cast(replace(n, ',', '') AS DOUBLE) * CASE lower(u) {' '.join(f"WHEN '{u}' THEN {f}" for u, f in fixed.UNITS.items())} ELSE 1 END, 0)::BIGINT AS v "
+    f"FROM (SELECT unnest(regexp_extract_all(title, '{fixed.MONEY}', 1)) AS n, unnest(regexp_extract_all(title, '{fixed.MONEY}', 2)) AS u)) WHERE v IS NOT NULL)"
+)
+#: a before b: similar headlines of other outlets, or an amount and a name in common.
+EDGES_SQL = (
+    f"s AS (SELECT ord, lower(outlet) AS outlet, {AMOUNTS_SQL} AS money, {NAMES_SQL} AS names FROM ({ITEMS})), "
+    "e AS (SELECT l AS a, r AS b FROM p WHERE overlap >= 0.5 AND l < r UNION SELECT a.ord, b.ord FROM s a JOIN s b ON a.ord < b.ord AND a.outlet <> b.outlet AND list_has_any(a.money, b.money) AND list_has_any(a.names, b.names))"
+)
+D05_SQL = _fold_sql(
+    f"SELECT row_number() OVER (ORDER BY ord) AS i, ord, coalesce(near, []) AS near FROM ({ITEMS}) LEFT JOIN (SELECT b AS ord, list(a) AS near FROM e GROUP BY b) USING (ord)", "list_has_any(f.held, k.near)", "[k.ord]", "BIGINT"
+)
+
+
+@register("d05_dedup_cross_outlet", f"{PAIRS.replace('WITH w AS', 'WITH RECURSIVE w AS')}, {EDGES_SQL}, {D05_SQL}")
 def _(t):
     return dedup.dedup_cross_outlet(t.items.withColumn("effective_date", F.col("published")))
 

@@ -43,11 +43,32 @@ def test_in_run_dedup_is_the_greedy_fold(spark, keys):
     assert {r["ord"]: r["kept"] for r in dedup.dedup_in_run(items(spark, rows)).collect()} == expected
 
 
-@pytest.mark.parametrize("few", [0, 100])
-def test_components_either_way(spark, few):
+@few
+@given(st.lists(st.tuples(st.integers(0, 9), st.integers(0, 9)), max_size=20))
+def test_greedy_fold_of_random_edges(spark, pairs):
+    edges = {(min(a, b), max(a, b)) for a, b in pairs if a != b}
+    expected: dict = {}
+    for b in range(10):
+        expected[b] = not any(expected[a] for a, x in edges if x == b)
+    frame = spark.createDataFrame(list(edges), "a long, b long") if edges else spark.range(0).selectExpr("id AS a", "id AS b")
+    assert {r["ord"]: r["kept"] for r in dedup.greedy_fold(spark.range(10).withColumnRenamed("id", "ord"), frame).collect()} == expected
+
+
+def test_greedy_fold_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(20)] + [(50, 51)], "a long, b long")
     nodes = spark.createDataFrame([(i,) for i in [*range(21), 50, 51, 99]], "ord long")
-    assert {r["ord"]: r["part"] for r in dedup.components(edges, nodes, few=few).collect()} == {**dict.fromkeys(range(21), 0), 50: 50, 51: 50, 99: 99}
+    assert {r["ord"]: r["kept"] for r in dedup.greedy_fold(nodes, edges).collect()} == {**{i: i % 2 == 0 for i in range(21)}, 50: True, 51: False, 99: True}
+
+
+def test_similar_pairs_of_a_frequent_word(spark):
+    """A word of every headline meets none by itself; pairs are those of all comparisons."""
+    rows = [(i, f"o{i % 3}", ["common", "often"][: 1 + i % 2] + [f"w{i % 7}", f"x{i % 5}", f"y{i}"]) for i in range(60)]
+    df = spark.createDataFrame(rows, "ord long, outlet string, words array<string>")
+    got = {(r["l_ord"], r["r_ord"]): r["overlap"] for r in dedup.similar_pairs(df, df).collect()}
+    brute = {(a[0], b[0]): len(set(a[2]) & set(b[2])) / min(len(a[2]), len(b[2])) for a in rows for b in rows if a[1] != b[1]}
+    assert got == {k: v for k, v in brute.items() if v >= 0.5}
+    met = dedup.similar_pairs(df.limit(0), df)
+    assert met.isEmpty()
 
 
 def test_cross_outlet_fold(spark):
