@@ -125,6 +125,20 @@ def run_health(status: DataFrame, now: Column, silent_hours: int = 18) -> DataFr
     return status.select(F.explode(found).alias("f")).select("f.*")
 
 
+def health_text(findings: DataFrame, title: str, status_url: str | None = None) -> DataFrame:
+    """text, exit_code of findings(kind, severity, text): a line each, critical ones first; 1 if one is critical."""
+    mark = F.when(F.col("severity") == "critical", ":rotating_light:").otherwise(":warning:")
+    lines = F.array_sort(F.collect_list(F.struct((F.col("severity") != "critical").alias("later"), "kind", F.concat(mark, F.lit(" "), "text").alias("line"))))
+    tail = [F.lit(f"_status: {status_url}_")] if status_url else []
+    whole = F.concat(F.array(F.lit(f"*{title}*")), F.transform(lines, lambda x: x["line"]), F.array(*tail).cast("array<string>"))
+    return findings.agg(F.array_join(whole, "\n").alias("text"), F.coalesce(F.bool_or(F.col("severity") == "critical"), F.lit(False)).cast("int").alias("exit_code"))
+
+
+def last_brief(log: DataFrame) -> DataFrame:
+    """at: when the last briefing ran, by its entry in the log; null without one."""
+    return log.agg(F.max(F.when(F.col("kind") == "brief", F.col("at"))).alias("at"))
+
+
 def cooldown(findings: DataFrame, sent: DataFrame, now: Column, default_hours: int = 12) -> DataFrame:
     """findings(kind, hours) whose kind wasn't sent (kind, at) within its hours."""
     last = sent.groupBy("kind").agg(F.max("at").alias("_gz_at"))

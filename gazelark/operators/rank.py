@@ -9,6 +9,7 @@ from gazelark import fixed
 from gazelark.functions import predicates as P
 from gazelark.functions import text as X
 from gazelark.operators.scoring import bucket_rank
+from gazelark.shared import checkpointed as written
 
 
 def first_n(df: DataFrame, n: int, by: list[str], *order: Column | str) -> DataFrame:
@@ -42,16 +43,22 @@ def bucket_quota(rows: DataFrame, order: list[str], most: int = 14) -> DataFrame
     return rows.withColumn("bucket_rank", bucket_rank(F.col("bucket"), order)).orderBy("bucket_rank", "ord").limit(most)
 
 
-def batch_index(rows: DataFrame, size: int, order: list[str], groups: int = 1024) -> DataFrame:
-    """rows with `batch`: `size` consecutive rows each, in the order of columns `order`.
+def placed(rows: DataFrame, order: list[str]) -> DataFrame:
+    """rows with `place`, from 1, in the order of columns `order`.
 
-    Ranks come from ranges: each range is numbered by itself and starts after those before it.
+    Places come from ranges: each range is numbered by itself and starts after those before it, so no
+    task holds all rows. The ranges are written first, as the numbers must hold when a task is repeated.
     """
-    ranged = rows.repartitionByRange(*order).withColumn("_gz_range", F.spark_partition_id())
-    counts = ranged.groupBy("_gz_range").agg(F.count("*").alias("n"))
-    before = counts.select("_gz_range", F.coalesce(F.sum("n").over(Window.orderBy("_gz_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    ranged = written(rows.repartitionByRange(*order).withColumn("_gz_range", F.spark_partition_id()))
+    counts = ranged.groupBy("_gz_range").agg(F.count("*").alias("n"))  # a row a range
+    before = counts.select("_gz_range", F.coalesce(F.sum("n").over(Window.orderBy("_gz_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_gz_before"))
     within = F.row_number().over(Window.partitionBy("_gz_range").orderBy(*order))
-    return ranged.join(before, "_gz_range").withColumn("batch", F.floor((F.col("before") + within - 1) / size)).drop("_gz_range", "before")
+    return ranged.join(before, "_gz_range").withColumn("place", (F.col("_gz_before") + within).cast("long")).drop("_gz_range", "_gz_before")
+
+
+def batch_index(rows: DataFrame, size: int, order: list[str]) -> DataFrame:
+    """rows with `batch`: `size` consecutive rows each, in the order of columns `order`."""
+    return placed(rows, order).withColumn("batch", F.floor((F.col("place") - 1) / size)).drop("place")
 
 
 def last_titles(titles: DataFrame, most: int = fixed.TITLES_KEPT) -> DataFrame:
@@ -102,21 +109,42 @@ def org_query_batches(orgs: DataFrame, most: int = 120, size: int = 10) -> DataF
     return ranked.groupBy(F.floor((F.col("rank") - 1) / size).alias("batch")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(named)), lambda x: x["q"]), " OR ").alias("query"))
 
 
-def clean_org_name(name: Column, aliases: dict[str, str] | None = None) -> Column:
-    """Without legal suffixes, in title case but for small words, six words at most; short names are null."""
-    small = ["of", "the", "and", "for", "in", "at", "on"]
-    plain = X.collapse(F.regexp_replace(name, r"(?i)[,.]?\s+(inc|incorporated|llc|ltd|corp|corporation|co|trust)\.?$", ""))
-    words = F.slice(F.split(F.lower(plain), " "), 1, 6)
-    cased = F.transform(words, lambda w, i: F.when((i > 0) & w.isin(small), w).otherwise(F.initcap(w)))
-    joined = F.regexp_replace(F.array_join(cased, " "), r"(\s+(of|the|and|for|in|at|on))+$", "")
+def title_case(c: Column) -> Column:
+    """Every run of letters in title case."""
+    parts = F.split(F.lower(c), r"(?<=[^\p{L}])(?=\p{L})")
+    return F.array_join(F.transform(parts, lambda p: F.concat(F.upper(F.substring(p, 1, 1)), F.substring(p, F.lit(2), F.length(p)))), "")
+
+
+def clean_org_name(name: Column, aliases: dict[str, str] | None = None, acronyms: list[str] = fixed.ACRONYMS, generic: list[str] | None = None) -> Column:
+    """A name that is worth a quoted search, or null.
+
+    Without a legal suffix; an alias stands for its name; acronyms in capitals, other words in title
+    case but for small ones; without a leading The; six words at most, none of them a small one at the
+    end. Names under 8 letters, generic ones and those without a word in title case are null.
+    """
+    edge = lambda c, marks: F.regexp_replace(c, rf"^[{marks}]+|[{marks}]+$", "")
+    plain = edge(F.regexp_replace(X.collapse(name), fixed.LEGAL_SUFFIX, ""), r" ,.\-")
+    alias = F.lit(None).cast("string")
     for long, short in (aliases or {}).items():
-        joined = F.when(F.lower(joined) == long.lower(), short).otherwise(joined)
-    return F.when(F.length(joined) >= 8, joined)
+        alias = F.when(F.trim(F.lower(plain)) == long.lower(), short).otherwise(alias)
+
+    def cased(w: Column, i: Column) -> Column:
+        bare = edge(w, r".,&\-")
+        return F.when(F.upper(bare).isin(acronyms), F.upper(bare)).when((i > 0) & F.lower(bare).isin(fixed.SMALL_WORDS), F.lower(bare)).otherwise(title_case(w))
+
+    whole = edge(F.regexp_replace(F.array_join(F.transform(F.split(plain, " "), cased), " "), "^The ", ""), r" ,.\-&")
+    words = F.split(whole, " ")
+    cut = F.when(F.size(words) > 6, edge(F.array_join(F.slice(words, 1, 6), " "), r" ,.\-&")).otherwise(whole)
+    small = "|".join([*fixed.SMALL_ENDS, "&"])
+    ended = F.trim(F.regexp_replace(cut, rf"(?i)\s+\b({small})$", ""))
+    fit = ~ended.rlike(r"(?i)\b(of|the|and|for|&)$") & (F.length(ended) >= 8) & ended.rlike("[A-Z][a-z]+") & ~F.lower(ended).isin(list(generic or []) or [""])
+    return F.coalesce(alias, F.when(fit, ended))
 
 
-def standing_queries(recipients: DataFrame, templates: DataFrame) -> DataFrame:
-    """query: every recipient in every template (`{}`); both are short lists of a search job."""
-    return recipients.join(F.broadcast(templates), F.lit(True)).select(F.replace("template", F.lit("{}"), F.col("recipient")).alias("query"))
+def standing_queries(recipients: DataFrame, templates: list[str]) -> DataFrame:
+    """query: every recipient in every template (`{}`) of a job's list."""
+    each = F.explode(F.array(*[F.lit(t) for t in templates]))
+    return recipients.select("recipient", each.alias("template")).select(F.replace("template", F.lit("{}"), F.col("recipient")).alias("query"))
 
 
 def build_query(sources: DataFrame, self_domains: list[str]) -> DataFrame:

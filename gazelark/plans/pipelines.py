@@ -34,8 +34,12 @@ class Tick:
     backfill: bool = False
     max_items: int = fixed.MAX_ITEMS
 
-    def gates(self, fetched: DataFrame, seen: DataFrame, recent: DataFrame | None = None) -> DataFrame:
-        """fetched with a boolean for each gate: fresh, relevant, unseen, unique."""
+    def gates(self, fetched: DataFrame, seen: DataFrame, recent: DataFrame | None = None, shown: DataFrame | None = None) -> DataFrame:
+        """fetched with a boolean for each gate: fresh, relevant, unseen, unique.
+
+        A backfill leaves the claims alone and goes by shown(ord, outlet, words), remembered headlines:
+        what is nearly the same as one of them was posted.
+        """
         routed = scoring.route(fetched, self.lexicon)
         flagged = routed.withColumns(
             {
@@ -46,13 +50,21 @@ class Tick:
         # scored once: the gates below read the written rows several times
         flagged = dedup.written(flagged)
         passing = flagged.where("fresh AND relevant").select("ord", "url", "title", "outlet", F.coalesce("effective_date", "published").alias("effective_date"))
-        new = dedup.written(passing if self.backfill else dedup.already_posted(passing, seen))
+        new = dedup.written(self._unposted(passing, seen, shown))
         in_run = dedup.written(dedup.dedup_in_run(new).withColumnRenamed("kept", "unseen"))
         left = new.join(in_run.where("unseen").select("ord"), "ord", "left_semi")
         unique = dedup.dedup_cross_outlet(left, recent).withColumnRenamed("kept", "unique")
         out = flagged.join(in_run, "ord", "left").join(unique, "ord", "left")
         return out.withColumns({"unseen": F.coalesce("unseen", F.lit(False)), "unique": F.coalesce("unique", F.lit(False))})
 
+    def _unposted(self, passing: DataFrame, seen: DataFrame, shown: DataFrame | None) -> DataFrame:
+        if not self.backfill:
+            return dedup.already_posted(passing, seen)
+        if shown is None:
+            return passing
+        worded = passing.withColumn("words", X.title_words(F.col("title")))
+        return joins.already_shown(worded, shown, fixed.BACKFILL_SIMILARITY).drop("words")
+
     def digest(self, gated: DataFrame) -> DataFrame:
         from gazelark.plans.render import digest
 
@@ -61,7 +73,8 @@ class Tick:
 
 def flagship(documents: DataFrame, lexicon: Lexicon, now: Column, most: int = 25) -> DataFrame:
     """Items routed, once by headline, capped by source, newest first."""
-    routed = scoring.route(items(documents), lexicon).where("stream IS NOT NULL")
+    # written narrow: a filter on the verdict would be pushed below it, and score everything twice
+    routed = dedup.written(scoring.route(items(documents), lexicon).select("ord", "source_key", "title", "published", "effective_date", "stream")).where("stream IS NOT NULL")
     once = dedup.first_by(routed, X.norm_title(F.col("title")), "ord")
     return rank.digest_cap(once, now, most).select("ord", "source_key", "title", "stream", F.col("published"))
 
@@ -110,11 +123,11 @@ def screened_queue(spark: SparkSession, held: DataFrame, queue: DataFrame, now:
     from gazelark.operators.observe import queue_state
     from gazelark.operators.screen import screened
 
-    waiting = joins.queue_add(queue, held)
+    waiting = dedup.written(joins.queue_add(queue, held))
     age = X.hours_between(F.col("queued_at"), now)
     dropped, left = waiting.where(age >= fixed.QUEUE_OVERDUE_HOURS), waiting.where(age < fixed.QUEUE_OVERDUE_HOURS)
-    state = queue_state(left, now, fixed.QUEUE_DUE, fixed.QUEUE_DUE_MINUTES, fixed.QUEUE_OVERDUE_HOURS).first()
+    state = queue_state(left, now, fixed.QUEUE_DUE, fixed.QUEUE_DUE_MINUTES, fixed.QUEUE_OVERDUE_HOURS).first()  # one row
     if not state["due"] or judge is None:
         return left.where(F.lit(False)), left, dropped
-    verdicts = screened(left, judge, id_column="url")
+    verdicts = dedup.written(screened(left, judge, id_column="url"))  # the judge is asked once for the three results
     return verdicts.where("kept").drop("kept"), verdicts.where("kept IS NULL").drop("kept"), dropped.unionByName(verdicts.where("NOT kept").drop("kept"))

@@ -253,9 +253,9 @@ def _(t):
     return PREVIEWS.frame(t).select("id", X.preview_for(F.col("title"), F.col("body")).alias("preview"))
 
 
-@register("f27_escape", "SELECT page_id, replace(replace(replace(substr(html, 1, 300), '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS escaped FROM pages")
+@register("f27_escape", "SELECT page_id, replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS escaped FROM pages")
 def _(t):
-    return t("pages").select("page_id", X.escape_markup(F.substring("html", 1, 300)).alias("escaped"))
+    return t("pages").select("page_id", X.escape_markup(F.col("html")).alias("escaped"))
 
 
 @register("f28_is_english", f"SELECT ord, coalesce(length(regexp_replace(title, '[^A-Za-z]', '', 'g')) / nullif(length(regexp_replace(title, '\\P{{L}}', '', 'g')), 0) >= 0.5, true) AS english FROM ({ITEMS})")
@@ -458,9 +458,9 @@ def _(t):
     return rows.select("id", scoring.gift_bucket(known, hint, F.lit(False), X.max_amount(F.col("title"))).alias("bucket"))
 
 
-@register("c10_known_people", "WITH p AS (SELECT DISTINCT lower(c_name) AS person FROM customer), i AS (SELECT o_orderkey AS ord, lower('Order for ' || c_name || ' was placed') AS low FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey < 400) SELECT ord, string_agg(person, ',' ORDER BY person) AS people FROM i JOIN p ON contains(low, person) GROUP BY ord")
+@register("c10_known_people", "WITH p AS (SELECT DISTINCT lower(c_name) AS person FROM customer), i AS (SELECT o_orderkey AS ord, lower('Order for ' || c_name || ' was placed') AS low FROM orders JOIN customer ON o_custkey = c_custkey) SELECT ord, string_agg(person, ',' ORDER BY person) AS people FROM i JOIN p ON contains(low, person) GROUP BY ord")
 def _(t):
-    rows = t("orders").where("o_orderkey < 400").join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).select(F.col("o_orderkey").alias("ord"), F.concat(F.lit("Order for "), "c_name", F.lit(" was placed")).alias("title"))
+    rows = t("orders").join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).select(F.col("o_orderkey").alias("ord"), F.concat(F.lit("Order for "), "c_name", F.lit(" was placed")).alias("title"))
     return scoring.known_people(rows, t("customer").select(F.col("c_name").alias("name"))).select("ord", F.array_join("known_person", ",").alias("people"))
 
 
@@ -558,10 +558,10 @@ def _(t):
     return hit.select("page_id", F.lit(True).alias("cached")).unionByName(todo.select("page_id", F.lit(False).alias("cached")))
 
 
-@register("j09_queue", f"SELECT url FROM ({ITEMS}) WHERE (ord < 50 OR ord % 7 = 0) AND ord % 2 = 0")
+@register("j09_queue", f"SELECT url FROM ({ITEMS}) WHERE ord % 5 <> 1")
 def _(t):
-    queue = joins.queue_add(t.items.where("ord < 50").select("url", "title"), t.items.where("ord % 7 = 0").select("url", "title"))
-    return joins.queue_remove(queue, t.items.where("ord % 2 = 1")).select("url")
+    queue = joins.queue_add(t.items.where("ord % 3 <> 0").select("url", "title"), t.items.where("ord % 2 = 0 OR ord % 3 = 0").select("url", "title"))
+    return joins.queue_remove(queue, t.items.where("ord % 5 = 1").select("url")).select("url")
 
 
 @register("j11_live_keys", "SELECT user_id FROM (SELECT DISTINCT user_id FROM events) WHERE user_id IN (SELECT user_id FROM events WHERE event_type = 'error')")
@@ -648,10 +648,10 @@ def _(t):
     return t("events").groupBy("user_id").agg(F.array_join(F.array_sort(F.collect_set("event_type")), ",").alias("kinds"))
 
 
-@register("a04_corroboration", PAIRS.replace("WHERE a.outlet <> b.outlet AND a.ord <> b.ord", "WHERE a.ord % 3 = 1 AND b.ord % 3 = 0") + f", best AS (SELECT l, r FROM p QUALIFY row_number() OVER (PARTITION BY l ORDER BY stamp DESC, r DESC) = 1) SELECT i.ord, 1 + count(best.l) AS corroboration FROM ({ITEMS}) i LEFT JOIN best ON best.r = i.ord WHERE i.ord % 3 = 0 GROUP BY i.ord")
+@register("a04_corroboration", PAIRS.replace("WHERE a.outlet <> b.outlet AND a.ord <> b.ord", "WHERE a.ord % 3 <> 0 AND b.ord % 3 = 0") + f", best AS (SELECT l, r FROM p QUALIFY row_number() OVER (PARTITION BY l ORDER BY stamp DESC, r DESC) = 1) SELECT i.ord, 1 + count(best.l) AS corroboration FROM ({ITEMS}) i LEFT JOIN best ON best.r = i.ord WHERE i.ord % 3 = 0 GROUP BY i.ord")
 def _(t):
     log = _worded(t).where("ord % 3 = 0").withColumn("corroboration", F.lit(1).cast("long"))
-    return dedup.corroboration(log, _worded(t).where("ord % 3 = 1"))
+    return dedup.corroboration(log, _worded(t).where("ord % 3 <> 0"))
 
 
 # --- aggregates and telemetry ----------------------------------------------------------------
@@ -748,10 +748,11 @@ def _(t):
     return rows.select("status", observe.retry_decision(F.col("status"), F.lit(1)).alias("decision"))
 
 
-@register("r14_cooldown", "WITH l AS (SELECT event_type AS kind, max(ts) AS stamp FROM events WHERE user_id = 7 GROUP BY 1) SELECT k.kind FROM (SELECT DISTINCT event_type AS kind FROM events) k LEFT JOIN l USING (kind) WHERE stamp IS NULL OR epoch(TIMESTAMP '2024-01-30 00:00:00' - stamp) / 3600.0 >= 12")
+@register("r14_cooldown", "SELECT user_id || '.' || event_type AS kind FROM events GROUP BY user_id, event_type HAVING epoch(TIMESTAMP '2024-01-30 00:00:00' - max(ts)) / 3600.0 >= 12")
 def _(t):
-    findings = t("events").select(F.col("event_type").alias("kind"), F.lit(12).alias("hours")).distinct()
-    sent = t("events").where("user_id = 7").select(F.col("event_type").alias("kind"), F.col("ts").alias("at"))
+    kind = F.concat(F.col("user_id").cast("string"), F.lit("."), "event_type").alias("kind")
+    findings = t("events").select(kind, F.lit(12).alias("hours")).distinct()
+    sent = t("events").select(kind, F.col("ts").alias("at"))
     return observe.cooldown(findings, sent, F.lit("2024-01-30 00:00:00").cast("timestamp")).select("kind")
 
 
@@ -790,9 +791,9 @@ def _(t):
     return rank.first_n_entries(t.items).select("ord")
 
 
-@register("w03_neighbour_lines", "SELECT doc, pos, coalesce(array_to_string([list(line) OVER (PARTITION BY doc ORDER BY pos ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING), list(line) OVER (PARTITION BY doc ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND 2 FOLLOWING)].flatten(), '|'), '') AS near FROM (SELECT doc_id AS doc, generate_subscripts(l, 1) - 1 AS pos, unnest(l) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE source = 'src4'))")
+@register("w03_neighbour_lines", "SELECT doc, pos, coalesce(array_to_string([list(line) OVER (PARTITION BY doc ORDER BY pos ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING), list(line) OVER (PARTITION BY doc ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND 2 FOLLOWING)].flatten(), '|'), '') AS near FROM (SELECT doc_id AS doc, generate_subscripts(l, 1) - 1 AS pos, unnest(l) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))")
 def _(t):
-    lines = t("documents").where("source = 'src4'").select(F.col("doc_id").alias("doc"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
+    lines = t("documents").select(F.col("doc_id").alias("doc"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
     return rank.neighbour_lines(lines).select("doc", F.col("pos").cast("long").alias("pos"), F.array_join("near", "|").alias("near"))
 
 
@@ -816,11 +817,9 @@ def _(t):
     return t.items.where(X.hours_between(F.col("published"), now()) <= 8).select("ord")
 
 
-@register("t01_digest_order", f"SELECT ord, row_number() OVER (ORDER BY published DESC, ord) AS place FROM ({ITEMS}) WHERE ord < 200")
+@register("t01_digest_order", f"SELECT ord, row_number() OVER (ORDER BY published DESC, ord) AS place FROM ({ITEMS})")
 def _(t):
-    from pyspark.sql import Window
-
-    return t.items.where("ord < 200").select("ord", F.row_number().over(Window.orderBy(rank.effective(now()).desc(), "ord")).cast("long").alias("place"))
+    return rank.placed(t.items.withColumn("by", -F.unix_micros(rank.effective(now()))), ["by", "ord"]).select("ord", "place")
 
 
 CAPPED = f"SELECT * FROM ({ITEMS}) QUALIFY row_number() OVER (PARTITION BY source_key ORDER BY published DESC, ord) <= 4"
@@ -847,10 +846,9 @@ def _(t):
     return t.items.select("ord", F.regexp_extract(url, r"when%3A(\d+)d", 1).cast("long").alias("days"))
 
 
-@register("q03_standing_queries", "SELECT replace(x, '{}', r_name) AS query FROM region, (VALUES ('gift to {}'), ('{} donation')) AS t(x)")
+@register("q03_standing_queries", "SELECT replace(x, '{}', c_name) AS query FROM customer, (VALUES ('gift to {}'), ('{} donation')) AS t(x)")
 def _(t):
-    templates = t.spark.createDataFrame([("gift to {}",), ("{} donation",)], "template string")
-    return rank.standing_queries(t("region").select(F.col("r_name").alias("recipient")), templates)
+    return rank.standing_queries(t("customer").select(F.col("c_name").alias("recipient")), ["gift to {}", "{} donation"])
 
 
 # --- extraction, rendering, whole runs (SQL can't express these) -----------------------------

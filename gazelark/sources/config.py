@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from gazelark.shared import checkpointed, remove_folder
 
 SOURCE = "source_key string, outlet string, method string, url string, query string, publisher array<string>, threshold int, window_minutes int, stale_days int, enabled boolean, paywall boolean, desk string, category string, link_pattern string, base string"
 STATE = "key string, at timestamp"
@@ -27,8 +32,49 @@ def sources(spark: SparkSession, config: list[dict], only: list[str] | None = No
 def saved(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """JSON lines with a known schema; damaged lines are dropped, a missing folder is empty."""
     try:
-        return spark.read.schema(schema + ", _damaged string").option("columnNameOfCorruptRecord", "_damaged").json(path).where("_damaged IS NULL").drop("_damaged")
+        lines = spark.read.text(path).where("trim(value) <> ''")
+        parsed = F.from_json("value", f"{schema}, _damaged string", {"columnNameOfCorruptRecord": "_damaged"})
+        return lines.select(parsed.alias("row")).where("row._damaged IS NULL").select("row.*").drop("_damaged")
     except Exception as e:
         if "PATH_NOT_FOUND" in str(e):
             return spark.createDataFrame([], schema)
         raise
+
+
+def save(rows: DataFrame, path: str) -> None:
+    """rows as JSON lines in place of what is at the path, which they may come from.
+
+    They are written beside it and then moved, so a reader finds the old or the new document; a run
+    that is lost between the two steps leaves the new one under `path.next`, where recover() finds it.
+    """
+    spark = rows.sparkSession
+    recover(spark, path)
+    checkpointed(rows).write.mode("overwrite").option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").json(f"{path}.next")
+    _replace(spark, path)
+
+
+def recover(spark: SparkSession, path: str) -> None:
+    """Ends a save that was lost after its rows were whole."""
+    jvm = spark._jvm
+    done = jvm.org.apache.hadoop.fs.Path(f"{path}.next/_SUCCESS")
+    if done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
+        _replace(spark, path)
+
+
+def _replace(spark: SparkSession, path: str) -> None:
+    made = spark._jvm.org.apache.hadoop.fs.Path
+    fs = made(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    remove_folder(spark, path)
+    if not fs.rename(made(f"{path}.next"), made(path)):
+        raise OSError(f"{path}.next could not be moved to {path}")
+
+
+def feed_catalogue(spark: SparkSession, feeds: dict[str, str], own: list[str] = ()) -> DataFrame:
+    """source, url, own, key: a catalogue of feeds (name -> address); `own` ones serve only to leave out
+    what was published already. Names and addresses must be unique."""
+    twice = {u for u in feeds.values() if list(feeds.values()).count(u) > 1}
+    unknown = set(own) - set(feeds)
+    if twice or unknown:
+        raise ValueError(f"feeds that stand twice: {sorted(twice)}; unknown: {sorted(unknown)}")
+    rows = [(name, url, name in own, re.sub(r"[^a-z0-9]+", "_", name.lower()).strip("_")) for name, url in sorted(feeds.items())]
+    return spark.createDataFrame(rows, "source string, url string, own boolean, key string")

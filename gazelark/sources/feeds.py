@@ -86,7 +86,7 @@ def _local(path: str) -> tuple[int, str]:
 
 
 class FeedSource(DataSource):
-    """Options: catalogue, lines of `key<TAB>url`; attempts."""
+    """Options: catalogue, lines of `key<TAB>url`; attempts; local, whether paths of this machine may be read."""
 
     @classmethod
     def name(cls) -> str:
@@ -97,6 +97,9 @@ class FeedSource(DataSource):
 
     def reader(self, schema):
         rows = [tuple(line.split("\t", 1)) for line in self.options.get("catalogue", "").splitlines() if "\t" in line]
+        for _, url in rows:
+            if self.options.get("local") != "true" and not re.match("https?://", url):
+                raise ValueError(f"no web address, and files of one machine are read only where Spark runs on it alone: {url}")
         return FeedReader(rows, int(self.options.get("attempts", "3")))
 
 
@@ -107,4 +110,5 @@ def register(spark: SparkSession) -> None:
 
 def fetch(spark: SparkSession, catalogue: list[tuple[str, str]]) -> DataFrame:
     register(spark)
-    return spark.read.format("gazelark_feeds").option("catalogue", "\n".join(f"{k}\t{u}" for k, u in catalogue)).load()
+    alone = re.match(r"local(\[|$)", spark.sparkContext.master) is not None
+    return spark.read.format("gazelark_feeds").option("local", str(alone).lower()).option("catalogue", "\n".join(f"{k}\t{u}" for k, u in catalogue)).load()

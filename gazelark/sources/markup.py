@@ -51,11 +51,18 @@ def search_items(bodies: DataFrame, sources: DataFrame, since: Column, self_doma
 
 
 def listing_links(listings: DataFrame, pattern: str, most: int = fixed.LISTING_PAGES) -> DataFrame:
-    """source_key, ord, url: a listing's first distinct links (base, body); a listing without any has status parse_fail."""
+    """source_key, ord, url: a listing's first distinct links (base, body); see listing_outcomes for those without any."""
     links = F.slice(F.array_distinct(F.regexp_extract_all("body", F.lit(pattern), F.lit(1))), 1, most)
     return listings.select("source_key", "base", F.posexplode(links).alias("ord", "link")).select("source_key", "ord", X.url_join(F.col("base"), F.col("link")).alias("url"))
 
 
+def listing_outcomes(listings: DataFrame, pattern: str) -> DataFrame:
+    """source_key, status, links: error where there is no body, parse_fail for a listing without links, else ok."""
+    links = F.size(F.array_distinct(F.regexp_extract_all(F.coalesce("body", F.lit("")), F.lit(pattern), F.lit(1))))
+    status = F.when(F.col("body").isNull(), "error").when(links == 0, "parse_fail").otherwise("ok")
+    return listings.select("source_key", status.alias("status"), links.cast("long").alias("links"))
+
+
 def listing_items(links: DataFrame, pages: DataFrame, now: Column, mastheads: list[str]) -> DataFrame:
     """Undated items of listed pages(url, html) with a proper title, and dated within three days if at all."""
     rows = links.join(pages.select("url", "html"), "url").select("source_key", "ord", "url", X.page_title(F.col("html"), mastheads).alias("title"), X.page_date(F.col("html")).alias("dated"))
@@ -156,7 +163,7 @@ def jsonld_udtf():
         parts = [address.get("addressLocality"), address.get("addressRegion")] if isinstance(address, dict) else [address]
         return ", ".join(str(p) for p in [x.get("name"), *parts] if p)
 
-    @udtf(returnType=_EVENT)
+    @udtf(returnType=_EVENT, useArrow=True)
     class JsonLdEvents:
         def eval(self, html: str):
             for found in re.finditer(scripts, html or "", re.DOTALL | re.IGNORECASE):

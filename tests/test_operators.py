@@ -310,3 +310,68 @@ def test_plans_push_down_and_never_multiply(spark):
     for name in ("j03_similar_pairs", "j01_already_posted", "c10_known_people", "d01_first_by_title"):
         p = plan(name)
         assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p
+
+
+def test_saved_documents_survive_a_lost_run(spark, tmp_path):
+    path = str(tmp_path / "state")
+    at = dt.datetime(2024, 1, 2, 3, 4, 5, 678901)
+    first = spark.createDataFrame([("a", at)], config.STATE)
+    config.save(first, path)
+    config.save(config.saved(spark, path, config.STATE).unionByName(spark.createDataFrame([("b", None)], config.STATE)), path)
+    assert {r["key"]: r["at"] for r in config.saved(spark, path, config.STATE).collect()} == {"a": at, "b": None}
+    # lost after the new rows were whole, before they were moved
+    first.write.json(f"{path}.next")
+    config.recover(spark, path)
+    assert [r["key"] for r in config.saved(spark, path, config.STATE).collect()] == ["a"]
+    # lost while they were written
+    (tmp_path / "state.next").mkdir()
+    config.recover(spark, path)
+    config.save(first.limit(0), path)
+    assert config.saved(spark, path, config.STATE).isEmpty()
+
+
+def test_model_events_without_a_verdict_and_beyond_the_calls(spark):
+    pages = spark.createDataFrame([(f"https://h.org/{i:02d}", "Hall", "", f"text {i}", f"s{i}") for i in range(25)], "url string, org string, sector string, text string, sig string")
+
+    def extract(batch):
+        if batch[0]["url"].endswith("10"):
+            return None
+        return [{"source": i, "title": "t" * 300, "date": "2024-01-05", "kind": "gala", "scale": "moon"} for i in range(len(batch))] + [{"source": 0, "date": "2024-01-05"}, {"source": "0", "title": "x", "date": "2024-01-05"}, {"title": "x"}]
+
+    today = F.lit("2024-01-01").cast("date")
+    rows = {r["url"][-2:]: r for r in screen.model_events(pages, extract, today, calls=2).collect()}
+    assert len(rows) == 25 and all(r["read"] == (int(i) < 10) for i, r in rows.items())
+    assert all(len(r["events"]) == (1 if r["read"] else 0) for r in rows.values())
+    event = rows["03"]["events"][0]
+    assert (event["kind"], event["scale"], event["news_score"], len(event["title"])) == ("gala", "", 0, 180)
+    assert all(r["read"] for i, r in ((r["url"][-2:], r) for r in screen.model_events(pages, extract, today).collect()) if not 10 <= int(i) < 20)
+    assert screen.model_events(pages.limit(0), extract, today).isEmpty()
+
+
+def test_catalogues_refuse_what_they_cannot_mean(spark):
+    with pytest.raises(ValueError):
+        config.feed_catalogue(spark, {"a": "https://x", "b": "https://x"})
+    with pytest.raises(ValueError):
+        config.feed_catalogue(spark, {"a": "https://x"}, own=["c"])
+    feeds.register(spark)
+    with pytest.raises(Exception, match="no web address"):
+        spark.read.format("gazelark_feeds").option("catalogue", "one\t/etc/hosts").load().collect()
+
+
+def test_places_in_ranges(spark):
+    rows = spark.range(500).select((F.col("id") * 7919 % 501).alias("x"), F.lit("clash").alias("range"))
+    got = sorted((r["x"], r["place"]) for r in rank.placed(rows, ["x"]).collect())
+    assert [p for _, p in got] == list(range(1, 501))
+
+
+def test_the_judge_is_asked_once(spark, tmp_path):
+    queue = spark.createDataFrame([(f"u{i}", dt.datetime(2024, 1, 1, 10)) for i in range(10)], "url string, queued_at timestamp").repartition(1)
+    log = tmp_path / "calls"
+
+    def judge(rows):
+        with log.open("a") as f:
+            f.write("x")
+        return {r["url"] for r in rows[:4]}
+
+    parts = pipelines.screened_queue(spark, queue.limit(0), queue, F.lit("2024-01-01 12:00:00").cast("timestamp"), judge)
+    assert [p.count() for p in parts] == [4, 0, 6] and log.read_text() == "x"
