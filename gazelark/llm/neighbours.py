@@ -1,11 +1,16 @@
 """Approximate nearest neighbours by cross-polytope hashing.
 
-A unit vector goes through three rounds of random signs and a fast Hadamard transform; its code in
-a table is the nearest signed axis. A query looks up its own axis and the next best ones in every
-table, and what it finds there is ranked by the exact cosine in double precision. Buckets are cut
-into chunks of CHUNK vectors by a hash of the id, and a query visits every chunk of its buckets, so
-a bucket of any size is worked on in parallel. A query that finds fewer than it asks for is ranked
-against all vectors, in blocks.
+A unit vector goes through three rounds of random signs and a fast Hadamard transform; its axis in a
+rotation is the nearest signed one. A table's code joins the axes of as many rotations as give about
+a bucket for every BUCKET_ROWS vectors; the last rotation looks at fewer coordinates, so that the
+number of codes follows the number of vectors smoothly. A query looks up its PROBES nearest codes in
+every table, so the vectors that it meets are a falling share of a growing table.
+
+Buckets hold ids. Ids met are collected for each query and block of vectors, so vectors travel once,
+and a query's only to the blocks that it met; there the exact cosine in double precision ranks them.
+Of equal vectors the nearest + 1 smallest ids stand for all (no other can be a result), and equal
+queries are asked once, so a vector that a third of the rows have is no hot bucket. A query that
+finds fewer than it asks for is ranked against all vectors, in blocks.
 
 Edge cases: vectors that are null, empty, zero or hold null or non-finite components take no part,
 neither do null ids; vectors of different lengths are no candidates for each other; a query's own
@@ -20,11 +25,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gazelark.llm.tables import checkpointed, read, shuffle_partitions
+from gazelark.llm.tables import checkpointed, read
 
-TABLES, PROBES, ROUNDS = 20, 5, 3
+TABLES, PROBES, ROUNDS = 20, 64, 3
+BUCKET_ROWS = 4
 NEAREST = 5
-CHUNK = 1024
+BLOCK, BLOCK_PAIRS = 4096, 2_000_000  # vectors of a block at most, and pairs that it is to meet, about
 SEED = 11
 
 
@@ -40,18 +46,38 @@ def transform(x: np.ndarray) -> np.ndarray:
     return y / np.sqrt(d)
 
 
-def axes(vectors: np.ndarray, table: int, probes: int) -> np.ndarray:
-    """The `probes` nearest signed axes (2 * axis + sign) of each row in a table, nearest first."""
+def rotations(n: int, d: int) -> list[int]:
+    """How many coordinates each rotation of a table looks at, for n vectors of d numbers."""
+    width, left, out = 1 << max(0, d - 1).bit_length(), n / BUCKET_ROWS, []
+    while left > 1.5:
+        out.append(min(width, max(1, round(left / 2))))
+        left /= 2 * out[-1]
+    return out
+
+
+def codes(vectors: np.ndarray, table: int, looks: list[int], probes: int) -> np.ndarray:
+    """The `probes` nearest codes of each row in a table, the nearest first; -1 where there are no more."""
     n, d = vectors.shape
     width = 1 << max(0, d - 1).bit_length()
-    y = np.zeros((n, width))
-    y[:, :d] = vectors
-    rng = np.random.Generator(np.random.PCG64([SEED, table, d]))
-    for _ in range(ROUNDS):
-        y = transform(y * rng.choice([-1.0, 1.0], width))
-    size = np.abs(y)
-    best = np.argsort(-size, axis=1, kind="stable")[:, :probes] if probes > 1 else size.argmax(axis=1)[:, None]
-    return 2 * best + (np.take_along_axis(y, best, axis=1) < 0)
+    start = np.zeros((n, width))
+    start[:, :d] = vectors
+    best, nearness = np.zeros((n, 1), np.int64), np.zeros((n, 1))
+    for k, look in enumerate(looks):
+        rng = np.random.Generator(np.random.PCG64([SEED, table, k, d]))
+        y = start
+        for _ in range(ROUNDS):
+            y = transform(y * rng.choice([-1.0, 1.0], width))
+        signed = np.concatenate([y[:, :look], -y[:, :look]], axis=1)  # of axis 0.., then of the negative ones
+        m = min(probes, 2 * look)
+        near = np.argsort(-signed, axis=1, kind="stable")[:, :m] if m > 1 else signed.argmax(axis=1)[:, None]
+        joined = nearness[:, :, None] + np.take_along_axis(signed, near, axis=1)[:, None, :]
+        code = best[:, :, None] * (2 * look) + near[:, None, :]
+        joined, code = joined.reshape(n, -1), code.reshape(n, -1)
+        if joined.shape[1] > 1:
+            at = np.argsort(-joined, axis=1, kind="stable")[:, :probes]
+            joined, code = np.take_along_axis(joined, at, axis=1), np.take_along_axis(code, at, axis=1)
+        best, nearness = code, joined
+    return np.pad(best, ((0, 0), (0, probes - best.shape[1])), constant_values=-1)
 
 
 def _usable(column) -> tuple[dict[int, tuple[np.ndarray, np.ndarray]], np.dtype]:
@@ -77,63 +103,89 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def hashed(vectors: DataFrame, key: str, column: str, tables: int, probes: int) -> DataFrame:
-    """key, dim, wide, vec (its numbers' bytes), codes: for each table its `probes` axes, one after the other."""
+_USABLE = T.StructType([T.StructField("id", T.LongType()), T.StructField("dim", T.IntegerType()), T.StructField("wide", T.BooleanType()), T.StructField("vec", T.BinaryType())])
+
+
+def usable(vectors: DataFrame, key: str, column: str) -> DataFrame:
+    """id, dim, wide, vec (its numbers' bytes, of 64 bits where wide) of the vectors that take part."""
     chosen = vectors.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), column)
-    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("dim", T.IntegerType()), T.StructField("wide", T.BooleanType()), T.StructField("vec", T.BinaryType()), T.StructField("codes", T.ArrayType(T.IntegerType()))])
 
     def run(batches):
         import pyarrow as pa
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        kinds = to_arrow_schema(schema)
+        kinds = to_arrow_schema(_USABLE)
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            usable, kind = _usable(batch.column(1))
-            for d, (rows, x) in usable.items():
-                unit = _unit(x)
-                codes = np.hstack([axes(unit, t, probes) for t in range(tables)]).astype(np.int32)
+            found, kind = _usable(batch.column(1))
+            for d, (rows, x) in found.items():
                 n = len(rows)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[rows]), pa.array(np.full(n, d, np.int32)), pa.array(np.full(n, kind.itemsize == 8)), pa.array([v.tobytes() for v in x], pa.binary()), pa.array(list(codes), kinds[4].type)],
-                    schema=kinds,
-                )
+                yield pa.RecordBatch.from_arrays([pa.array(ids[rows]), pa.array(np.full(n, d, np.int32)), pa.array(np.full(n, kind.itemsize == 8)), pa.array([v.tobytes() for v in x], pa.binary())], schema=kinds)
 
-    return chosen.mapInArrow(run, schema)
+    return chosen.mapInArrow(run, _USABLE)
 
 
-_FOUND = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("vec_id", T.LongType()), T.StructField("score", T.DoubleType())])
+def _matrix(column, wide) -> np.ndarray:
+    return np.array([np.frombuffer(v, "<f8" if w else "<f4") for v, w in zip(column.to_pylist(), wide.to_pylist())], np.float64)
 
 
-def _ranker(nearest: int):
-    """For cogrouped Arrow tables (id, dim, wide, vec) of candidates and queries of one length."""
+def coded(rows: DataFrame, name: str, sizes: dict[int, int], tables: int, probes: int) -> DataFrame:
+    """name, dim, table, code: the nearest codes of each row (name, dim, wide, vec). sizes: vectors of each length."""
+    schema = T.StructType([T.StructField(name, T.LongType()), T.StructField("dim", T.IntegerType()), T.StructField("codes", T.ArrayType(T.LongType()))])
+
+    def run(batches):
+        import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_schema
 
-    def matrix(table) -> tuple[np.ndarray, np.ndarray]:
-        ids = table.column("id").to_numpy()
-        rows = [np.frombuffer(v, "<f8" if wide else "<f4") for v, wide in zip(table.column("vec").to_pylist(), table.column("wide").to_pylist())]
-        return ids, np.array(rows, np.float64)
+        kinds = to_arrow_schema(schema)
+        for whole in batches:
+            for a in range(0, whole.num_rows, 512):
+                batch = whole[a : a + 512]
+                dims = batch.column(1).to_numpy()
+                for d in np.unique(dims):
+                    part = batch.take(pa.array(np.flatnonzero(dims == d)))
+                    unit, looks = _unit(_matrix(part.column(3), part.column(2))), rotations(sizes[int(d)], int(d))
+                    own = np.hstack([codes(unit, t, looks, probes) for t in range(tables)])
+                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(list(own), kinds[2].type)], schema=kinds)
+
+    each = rows.select(name, "dim", "wide", "vec").mapInArrow(run, schema).select(name, "dim", F.posexplode("codes").alias("at", "code"))
+    return each.where("code >= 0").select(name, "dim", F.floor(F.col("at") / probes).cast("int").alias("table"), "code")
+
+
+_FOUND = T.StructType([T.StructField("asked", T.LongType()), T.StructField("vec_id", T.LongType()), T.StructField("score", T.DoubleType())])
+
+
+def _ranker(most: int):
+    """For cogrouped Arrow tables of one block: vectors (id, wide, vec), and queries (asked, wide, vec, ids).
+
+    A query is ranked against the vectors of its ids, or all where ids is null; the `most` best ids.
+    """
 
-    def rank(candidates, queries):
+    def rank(block, queries):
         import pyarrow as pa
         from pyspark.sql.pandas.types import to_arrow_schema
 
         kinds = to_arrow_schema(_FOUND)
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        if candidates.num_rows and queries.num_rows:
-            ids, x = matrix(candidates)
-            query_ids, q = matrix(queries)
+        if block.num_rows and queries.num_rows:
+            order = np.argsort(block.column("id").to_numpy(), kind="stable")
+            block = block.take(pa.array(order))
+            ids, x = block.column("id").to_numpy(), _matrix(block.column("vec"), block.column("wide"))
             lengths = np.sqrt((x * x).sum(axis=1))
-            near = (x / lengths[:, None]) @ _unit(q).T
-            for j, own in enumerate(query_ids):
-                column = np.where(ids == own, -np.inf, near[:, j])
-                k = min(nearest, len(column))
-                least = np.partition(column, len(column) - k)[len(column) - k]
-                at = np.flatnonzero((column >= least - 1e-9) & (ids != own))
-                score = (x[at] * q[j]).sum(axis=1) / (lengths[at] * np.sqrt((q[j] * q[j]).sum()))
-                best = np.lexsort((ids[at], -score))
-                _, first = np.unique(ids[at][best], return_index=True)  # a repeated id once
-                best = best[np.sort(first)][:nearest]
-                out.append((np.full(len(best), own), ids[at][best], np.clip(score[best], -1.0, 1.0)))
+            asked, q = queries.column("asked").to_numpy(), _matrix(queries.column("vec"), queries.column("wide"))
+            for j, met in enumerate(queries.column("ids").to_pylist()):
+                if met is None:
+                    rows = np.arange(len(ids))
+                else:
+                    met = np.unique(np.array(met, np.int64))
+                    low, high = np.searchsorted(ids, met, "left"), np.searchsorted(ids, met, "right")
+                    counts = high - low  # an id may have several vectors
+                    rows = np.repeat(low - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts) + np.arange(counts.sum())
+                score = (x[rows] * q[j]).sum(axis=1) / (lengths[rows] * np.sqrt((q[j] * q[j]).sum()))
+                best = np.lexsort((ids[rows], -score))
+                _, first = np.unique(ids[rows][best], return_index=True)  # a repeated id once
+                best = best[np.sort(first)][:most]
+                out.append((np.full(len(best), asked[j]), ids[rows][best], np.clip(score[best], -1.0, 1.0)))
         columns = [np.concatenate(c) for c in zip(*out)] if out else [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]
         return pa.Table.from_arrays([pa.array(c, k.type) for c, k in zip(columns, kinds)], schema=kinds)
 
@@ -145,26 +197,38 @@ def search(vectors: DataFrame, is_query, key: str = "vec_id", column: str = "emb
 
     is_query: a condition on `key`, under the name id.
     """
-    own = checkpointed(hashed(vectors, key, column, tables, 1))
-    asked = checkpointed(hashed(vectors.where(F.col(key).isNotNull() & is_query(F.col(key))), key, column, tables, probes))
-    vector = ["id", "dim", "wide", "vec"]
-    posted = own.select(*vector, F.posexplode("codes").alias("table", "code"))
-    sizes = own.select("dim", F.posexplode("codes").alias("table", "code")).groupBy("dim", "table", "code").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
-    sizes = checkpointed(sizes)  # at most tables x twice the padded length rows for each length
-    candidates = posted.join(sizes, ["dim", "table", "code"]).withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
-    probed = asked.select(*vector, F.posexplode("codes").alias("at", "code")).withColumn("table", F.floor(F.col("at") / probes).cast("int"))
-    visits = probed.join(sizes, ["dim", "table", "code"]).select(*vector, "table", "code", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
-    place = ["dim", "table", "code", "chunk"]
-    rank = _ranker(nearest)
-    found = candidates.select(*place, "id", "wide", "vec").groupBy(*place).cogroup(visits.select(*place, "id", "wide", "vec").groupBy(*place)).applyInArrow(lambda a, b: rank(a, b), _FOUND)
-    found = checkpointed(found)
+    most = nearest + 1  # as the query's own id goes
+    own = checkpointed(usable(vectors, key, column).withColumn("hash", F.xxhash64("dim", "vec")))
+    # of equal vectors the smallest ids; Spark limits groups before it deals them out
+    named = own.select("id", "dim", "hash").distinct()
+    first = named.withColumn("n", F.row_number().over(Window.partitionBy("dim", "hash").orderBy("id"))).where(F.col("n") <= most).select("id", "dim", "hash")
+    rows = checkpointed(own.dropDuplicates(["id", "dim", "hash"]).join(first, ["id", "dim", "hash"], "left_semi"))
+    # columns of their own, as they meet the rows' again
+    members = checkpointed(own.where(is_query(F.col("id"))).select(F.col("hash").alias("asked"), *[F.col(c).alias(c) for c in ("id", "dim", "wide", "vec")]))
+    queries = checkpointed(members.dropDuplicates(["asked", "dim"]).select("asked", "dim", "wide", "vec"))
+    sizes = {r["dim"]: r["count"] for r in rows.groupBy("dim").count().collect()}  # a row for each length of vector
+    n_queries = queries.count()
+    blocks = max(1, -(-sum(sizes.values()) // BLOCK), n_queries * tables * probes * BUCKET_ROWS // BLOCK_PAIRS)
+    block = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block")
+    posted = coded(rows, "id", sizes, tables, 1)
+    probed = coded(queries, "asked", sizes, tables, probes)
+    met = posted.join(probed, ["dim", "table", "code"]).groupBy("asked", "dim", block).agg(F.collect_set("id").alias("ids"))  # ids of one block
+    visits = met.join(queries, ["asked", "dim"]).select("dim", "block", "asked", "wide", "vec", "ids")
+    everything = rows.select("dim", block, "id", "wide", "vec")
+    rank = _ranker(most)
+
+    def ranked(asked: DataFrame) -> DataFrame:
+        return everything.groupBy("dim", "block").cogroup(asked.groupBy("dim", "block")).applyInArrow(lambda a, b: rank(a, b), _FOUND)
+
+    found = checkpointed(ranked(visits))
     # the rest: queries with fewer finds than asked for, against everything in blocks
-    enough = found.groupBy("query_id").agg(F.count_distinct("vec_id").alias("n")).where(F.col("n") >= nearest).select(F.col("query_id").alias("id"))
-    blocks = shuffle_partitions(vectors.sparkSession)
-    short = asked.select(*vector).join(enough, "id", "left_anti").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    everything = own.select(*vector).withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    rest = everything.groupBy("dim", "block").cogroup(short.groupBy("dim", "block")).applyInArrow(lambda a, b: rank(a, b), _FOUND)
-    best = found.unionByName(rest).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    enough = found.groupBy("asked").agg(F.count_distinct("vec_id").alias("n")).where(F.col("n") >= most).select("asked")
+    short = queries.join(enough, "asked", "left_anti").select("dim", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "asked", "wide", "vec", F.lit(None).cast("array<bigint>").alias("ids"))
+    scores = found.unionByName(ranked(short)).groupBy("asked", "vec_id").agg(F.max("score").alias("score"))
+    by_vector = Window.partitionBy("asked").orderBy(F.desc("score"), "vec_id")
+    top = scores.withColumn("n", F.row_number().over(by_vector)).where(F.col("n") <= most).select("asked", "vec_id", "score")
+    each = members.select("asked", F.col("id").alias("query_id")).distinct().join(top, "asked").where("vec_id <> query_id")
+    best = each.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))  # an id may have asked with several vectors
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= nearest).select("query_id", "rank", "vec_id", "score")
 

@@ -279,6 +279,46 @@ def test_vectors_that_take_no_part(spark, folder):
     assert got == [(0, 1, 1), (0, 2, 100), (0, 3, 5), (100, 1, 1), (100, 2, 0), (100, 3, 5)]
 
 
+def test_probes_are_the_nearest_codes():
+    """Codes by rotations as they stand, every combination ranked by the sum of its axes' values."""
+    rng = np.random.default_rng(1)
+    x = rng.standard_normal((6, 10))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    looks = [16, 3]
+    assert neighbours.rotations(4 * 2 * 16 * 2 * 3, 10) == looks and neighbours.rotations(5, 10) == []
+    for row, got in zip(x, neighbours.codes(x, 2, looks, 7)):
+        values = []
+        for k, look in enumerate(looks):
+            draw = np.random.Generator(np.random.PCG64([neighbours.SEED, 2, k, 10]))
+            y = np.pad(row, (0, 6))[None]
+            for _ in range(neighbours.ROUNDS):
+                y = neighbours.transform(y * draw.choice([-1.0, 1.0], 16))
+            values.append([*y[0][:look], *-y[0][:look]])
+        every = sorted(((-(values[0][a] + values[1][b]), a * 6 + b) for a in range(32) for b in range(6)))
+        assert got.tolist() == [c for _, c in every[:7]]
+    assert neighbours.codes(x, 0, [], 3).tolist() == [[0, -1, -1]] * 6
+
+
+def test_many_equal_vectors_and_lengths(spark):
+    """Against all pairs: a vector that a third of the rows have, other lengths, ids with several vectors."""
+    rng = np.random.default_rng(5)
+    rows = [(i, [1.0, 2.0, 3.0, 4.0]) for i in range(0, 120)] + [(200 + i, rng.standard_normal(4).tolist()) for i in range(240)] + [(600 + i, rng.standard_normal(3).tolist()) for i in range(4)]
+    rows += [(7, [4.0, 3.0, 2.0, 1.0]), (250, [1.0, 2.0, 3.0, 4.0]), (250, [0.0, 0.0, 1.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = defaultdict(list)
+    for r in neighbours.search(df, lambda key: key % 50 == 0, probes=100_000).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["vec_id"], r["score"]))
+    for q in {i for i, _ in rows if i % 50 == 0}:
+        best: dict = {}
+        for i, v in rows:
+            for w in (w for j, w in rows if j == q and len(w) == len(v)):
+                score = float(np.dot(v, w) / (np.linalg.norm(v) * np.linalg.norm(w)))
+                best[i] = max(best.get(i, -2.0), score)
+        best.pop(q, None)
+        expected = sorted(best.items(), key=lambda x: (-round(x[1], 12), x[0]))[:5]
+        assert [i for i, _ in got[q]] == [i for i, _ in expected] and np.allclose([s for _, s in got[q]], [s for _, s in expected], atol=1e-12)
+
+
 def test_hadamard_keeps_lengths():
     x = np.random.default_rng(0).standard_normal((5, 32))
     y = neighbours.transform(x)
