@@ -3,8 +3,8 @@
 A unit vector goes through three rounds of random signs and a fast Hadamard transform; its axis in a
 rotation is the nearest signed one. A table's code joins the axes of as many rotations as give about
 a bucket for every BUCKET_ROWS vectors; the last rotation looks at fewer coordinates, so that the
-number of codes follows the number of vectors smoothly. A query looks up its PROBES nearest codes in
-every table, so the vectors that it meets are a falling share of a growing table.
+number of codes follows the number of vectors smoothly. A query looks up its nearest codes in
+every table, PROBES * n**GROWTH of them, so the vectors that it meets grow far slower than the table.
 
 Buckets hold ids. Ids met are collected for each query and block of vectors, so vectors travel once,
 and a query's only to the blocks that it met; there the exact cosine in double precision ranks them.
@@ -27,7 +27,8 @@ from pyspark.sql import types as T
 
 from gazelark.llm.tables import checkpointed, read
 
-TABLES, PROBES, ROUNDS = 20, 64, 3
+TABLES, ROUNDS = 20, 3
+PROBES, GROWTH = 2.0, 0.36  # of n vectors, a query looks up PROBES * n**GROWTH codes a table
 BUCKET_ROWS = 4
 NEAREST = 5
 BLOCK, BLOCK_PAIRS = 4096, 2_000_000  # vectors of a block at most, and pairs that it is to meet, about
@@ -55,6 +56,10 @@ def rotations(n: int, d: int) -> list[int]:
     return out
 
 
+def probed_codes(n: int) -> int:
+    return max(1, round(PROBES * n**GROWTH))
+
+
 def codes(vectors: np.ndarray, table: int, looks: list[int], probes: int) -> np.ndarray:
     """The `probes` nearest codes of each row in a table, the nearest first; -1 where there are no more."""
     n, d = vectors.shape
@@ -129,8 +134,8 @@ def _matrix(column, wide) -> np.ndarray:
     return np.array([np.frombuffer(v, "<f8" if w else "<f4") for v, w in zip(column.to_pylist(), wide.to_pylist())], np.float64)
 
 
-def coded(rows: DataFrame, name: str, sizes: dict[int, int], tables: int, probes: int) -> DataFrame:
-    """name, dim, table, code: the nearest codes of each row (name, dim, wide, vec). sizes: vectors of each length."""
+def coded(rows: DataFrame, name: str, sizes: dict[int, int], tables: int, probes: dict[int, int]) -> DataFrame:
+    """name, dim, table, code: the nearest codes of each row (name, dim, wide, vec). sizes: vectors of each length; probes: codes for each."""
     schema = T.StructType([T.StructField(name, T.LongType()), T.StructField("dim", T.IntegerType()), T.StructField("codes", T.ArrayType(T.LongType()))])
 
     def run(batches):
@@ -145,11 +150,11 @@ def coded(rows: DataFrame, name: str, sizes: dict[int, int], tables: int, probes
                 for d in np.unique(dims):
                     part = batch.take(pa.array(np.flatnonzero(dims == d)))
                     unit, looks = _unit(_matrix(part.column(3), part.column(2))), rotations(sizes[int(d)], int(d))
-                    own = np.hstack([codes(unit, t, looks, probes) for t in range(tables)])
+                    own = np.hstack([codes(unit, t, looks, probes[int(d)]) for t in range(tables)])
                     yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(list(own), kinds[2].type)], schema=kinds)
 
-    each = rows.select(name, "dim", "wide", "vec").mapInArrow(run, schema).select(name, "dim", F.posexplode("codes").alias("at", "code"))
-    return each.where("code >= 0").select(name, "dim", F.floor(F.col("at") / probes).cast("int").alias("table"), "code")
+    each = rows.select(name, "dim", "wide", "vec").mapInArrow(run, schema).select(name, "dim", F.size("codes").alias("n"), F.posexplode("codes").alias("at", "code"))
+    return each.where("code >= 0").select(name, "dim", F.floor(F.col("at") * tables / F.col("n")).cast("int").alias("table"), "code")
 
 
 _FOUND = T.StructType([T.StructField("asked", T.LongType()), T.StructField("vec_id", T.LongType()), T.StructField("score", T.DoubleType())])
@@ -192,10 +197,10 @@ def _ranker(most: int):
     return rank
 
 
-def search(vectors: DataFrame, is_query, key: str = "vec_id", column: str = "embedding", nearest: int = NEAREST, tables: int = TABLES, probes: int = PROBES) -> DataFrame:
+def search(vectors: DataFrame, is_query, key: str = "vec_id", column: str = "embedding", nearest: int = NEAREST, tables: int = TABLES, probes: int | None = None) -> DataFrame:
     """query_id, rank, vec_id, score: for each row for which is_query holds, the nearest other rows found.
 
-    is_query: a condition on `key`, under the name id.
+    is_query: a condition on `key`, under the name id; probes: codes that a query looks up in each table.
     """
     most = nearest + 1  # as the query's own id goes
     own = checkpointed(usable(vectors, key, column).withColumn("hash", F.xxhash64("dim", "vec")))
@@ -208,10 +213,11 @@ def search(vectors: DataFrame, is_query, key: str = "vec_id", column: str = "emb
     queries = checkpointed(members.dropDuplicates(["asked", "dim"]).select("asked", "dim", "wide", "vec"))
     sizes = {r["dim"]: r["count"] for r in rows.groupBy("dim").count().collect()}  # a row for each length of vector
     n_queries = queries.count()
-    blocks = max(1, -(-sum(sizes.values()) // BLOCK), n_queries * tables * probes * BUCKET_ROWS // BLOCK_PAIRS)
+    lookups = {d: probes or probed_codes(n) for d, n in sizes.items()}
+    blocks = max(1, -(-sum(sizes.values()) // BLOCK), min(sum(sizes.values()), n_queries * tables * max(lookups.values(), default=1) * BUCKET_ROWS // BLOCK_PAIRS))
     block = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block")
-    posted = coded(rows, "id", sizes, tables, 1)
-    probed = coded(queries, "asked", sizes, tables, probes)
+    posted = coded(rows, "id", sizes, tables, dict.fromkeys(sizes, 1))
+    probed = coded(queries.repartition(max(1, n_queries // 256), "asked"), "asked", sizes, tables, lookups)
     met = posted.join(probed, ["dim", "table", "code"]).groupBy("asked", "dim", block).agg(F.collect_set("id").alias("ids"))  # ids of one block
     visits = met.join(queries, ["asked", "dim"]).select("dim", "block", "asked", "wide", "vec", "ids")
     everything = rows.select("dim", block, "id", "wide", "vec")
