@@ -213,11 +213,13 @@ def search(vectors: DataFrame, is_query, key: str = "vec_id", column: str = "emb
     queries = checkpointed(members.dropDuplicates(["asked", "dim"]).select("asked", "dim", "wide", "vec"))
     sizes = {r["dim"]: r["count"] for r in rows.groupBy("dim").count().collect()}  # a row for each length of vector
     n_queries = queries.count()
+    # written as dealt out: by the size of its queries alone Spark would take their many codes for a small table
+    queries = checkpointed(queries.repartition(max(1, n_queries // 256), "asked"))
     lookups = {d: probes or probed_codes(n) for d, n in sizes.items()}
     blocks = max(1, -(-sum(sizes.values()) // BLOCK), min(sum(sizes.values()), n_queries * tables * max(lookups.values(), default=1) * BUCKET_ROWS // BLOCK_PAIRS))
     block = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block")
     posted = coded(rows, "id", sizes, tables, dict.fromkeys(sizes, 1))
-    probed = coded(queries.repartition(max(1, n_queries // 256), "asked"), "asked", sizes, tables, lookups)
+    probed = coded(queries, "asked", sizes, tables, lookups)
     met = posted.join(probed, ["dim", "table", "code"]).groupBy("asked", "dim", block).agg(F.collect_set("id").alias("ids"))  # ids of one block
     visits = met.join(queries, ["asked", "dim"]).select("dim", "block", "asked", "wide", "vec", "ids")
     everything = rows.select("dim", block, "id", "wide", "vec")
