@@ -75,12 +75,12 @@ def codes(vectors: np.ndarray, table: int, looks: list[int], probes: int) -> np.
         signed = np.concatenate([y[:, :look], -y[:, :look]], axis=1)  # of axis 0.., then of the negative ones
         m = min(probes, 2 * look)
         near = np.argsort(-signed, axis=1, kind="stable")[:, :m] if m > 1 else signed.argmax(axis=1)[:, None]
-        joined = nearness[:, :, None] + np.take_along_axis(signed, near, axis=1)[:, None, :]
-        code = best[:, :, None] * (2 * look) + near[:, None, :]
-        joined, code = joined.reshape(n, -1), code.reshape(n, -1)
-        if joined.shape[1] > 1:
-            at = np.argsort(-joined, axis=1, kind="stable")[:, :probes]
-            joined, code = np.take_along_axis(joined, at, axis=1), np.take_along_axis(code, at, axis=1)
+        # of codes and axes, each the nearest first, the i-th with the j-th has i * j - 1 pairs before it
+        before = np.arange(1, best.shape[1] + 1)[:, None] * np.arange(1, m + 1) <= probes
+        i, j = np.nonzero(before)
+        joined, code = nearness[:, i] + np.take_along_axis(signed, near, axis=1)[:, j], best[:, i] * (2 * look) + near[:, j]
+        at = np.argsort(-joined, axis=1, kind="stable")[:, :probes]
+        joined, code = np.take_along_axis(joined, at, axis=1), np.take_along_axis(code, at, axis=1)
         best, nearness = code, joined
     return np.pad(best, ((0, 0), (0, probes - best.shape[1])), constant_values=-1)
 
