@@ -154,7 +154,7 @@ def max_amount(c: Column) -> Column:
 
 
 def proper_nouns(c: Column) -> Column:
-    found = F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(r"\b([A-Z][a-z]{3,})\b"), F.lit(1))
+    found = F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(r"(?<![\p{L}\p{N}_])([A-Z][a-z]{3,})(?![\p{L}\p{N}_])"), F.lit(1))
     return F.array_sort(F.array_except(found, F.array(*[F.lit(w) for w in fixed.NOT_A_NAME])))
 
 

@@ -63,6 +63,23 @@ class Inline:
         return f"SELECT {casts} FROM (VALUES {', '.join('(' + ', '.join(map(quoted, r)) + ')' for r in self.rows)}) AS t({', '.join(names)})"
 
 
+@dataclass(frozen=True)
+class Extended:
+    """Inline rows, and after them rows of a table that both engines make the same way."""
+
+    base: Inline
+    table_sql: str
+    table: Callable[[Tables], DataFrame]
+
+    def frame(self, t: Tables) -> DataFrame:
+        own = self.base.frame(t)
+        return own.unionByName(self.table(t).select(*own.columns))
+
+    @property
+    def sql(self) -> str:
+        return f"{self.base.sql} UNION ALL {self.table_sql}"
+
+
 def register(name: str, sql: str | None = None):
     def add(f: Callable[[Tables], DataFrame]):
         QUERIES[name] = lambda spark, folder: f(Tables(spark, folder))
@@ -100,11 +117,14 @@ KEYED = f"SELECT *, 'u:' || {sql_hash(sql_canonical('url'))} AS url_key, {TITLE_
 
 # --- scalar functions ------------------------------------------------------------------------
 
-HEADLINES = Inline("id long, title string", (
+HEADLINES = Extended(Inline("id long, title string", (
     (1, "Robert Kraftson pledges $2M to Museum of Tides"), (2, "Donor gives $2 million, then $1.5bn more"), (3, "A $1,000 grant and $750k for schools"), (4, "Prices of $2.5. and $, and $"),
     (5, "Only $5 mailboxes left"), (6, "$100 bequest for the library"), (7, "No figure here at all"), (8, "Foundation gives 3 million and $20 to hospital"), (9, None), (10, "Over $40 billion pledged; 12.5 million raised"),
     (11, "$7 Million gift from Elena Marchetti to Harbor University"), (12, "The GIFT of $3MM, says Norway"),
-))
+)),
+    f"SELECT ord + 1000, title || ' Kraftson pledges $' || ord % 97 || '.' || ord % 10 || ['', ' million', 'bn', 'k', ',000 grant'][ord % 5 + 1] || ' and ' || ord % 13 || ' million' FROM ({ITEMS})",
+    lambda t: t.items.select((F.col("ord") + 1000).alias("id"), F.concat("title", F.lit(" Kraftson pledges $"), (F.col("ord") % 97).cast("string"), F.lit("."), (F.col("ord") % 10).cast("string"), F.get(F.array(*[F.lit(u) for u in ("", " million", "bn", "k", ",000 grant")]), (F.col("ord") % 5).cast("int")), F.lit(" and "), (F.col("ord") % 13).cast("string"), F.lit(" million")).alias("title")),
+)
 
 
 @register("f03_canonical_url", f"SELECT page_id, {sql_canonical('url')} AS canonical, {sql_canonical('url || ' + chr(39) + '/?a=1#x' + chr(39))} AS with_query FROM pages")
@@ -137,6 +157,15 @@ def _(t):
     return a.join(b, "ord").select("ord", F.round(X.overlap(F.col("words"), F.col("next")), 6).alias("overlap"))
 
 
+def _amounts_sql(pattern: str) -> str:
+    """A headline's distinct amounts, a list or null."""
+    unit = " ".join(f"WHEN '{u}' THEN {f}" for u, f in fixed.UNITS.items())
+    return (
+        f"(SELECT list(DISTINCT v) FROM (SELECT round_even(try_cast(replace(n, ',', '') AS DOUBLE) * CASE lower(u) {unit} ELSE 1 END, 0)::BIGINT AS v "
+        f"FROM (SELECT unnest(regexp_extract_all(title, '{pattern}', 1)) AS n, unnest(regexp_extract_all(title, '{pattern}', 2)) AS u)) WHERE v IS NOT NULL)"
+    )
+
+
 def _money_sql(pattern: str) -> str:
     unit = " ".join(f"WHEN '{u}' THEN {f}" for u, f in fixed.UNITS.items())
     return (
@@ -169,7 +198,7 @@ def _(t):
     return HEADLINES.frame(t).select("id", X.max_amount(F.col("title")).alias("amount"))
 
 
-NAMES_SQL = f"list_sort(list_filter(list_distinct(regexp_extract_all(coalesce(title, ''), '\\b[A-Z][a-z]{{3,}}\\b')), lambda w: w NOT IN ({sql_list(fixed.NOT_A_NAME)})))"
+NAMES_SQL = f"list_sort(list_filter(list_distinct(list_filter(regexp_extract_all(coalesce(title, ''), '[\\p{{L}}\\p{{N}}_]+'), lambda w: regexp_full_match(w, '[A-Z][a-z]{{3,}}'))), lambda w: w NOT IN ({sql_list(fixed.NOT_A_NAME)})))"
 
 
 @register("f14_proper_nouns", f"SELECT id, array_to_string({NAMES_SQL}, ',') AS names FROM ({HEADLINES.sql})")
@@ -177,10 +206,10 @@ def _(t):
     return HEADLINES.frame(t).select("id", F.array_join(X.proper_nouns(F.col("title")), ",").alias("names"))
 
 
-@register("f15_signature")
+@register("f15_signature", f"SELECT id, coalesce(array_to_string(list_sort({_amounts_sql(fixed.MONEY)}), ','), '') AS money, array_to_string({NAMES_SQL}, ',') AS names FROM ({HEADLINES.sql})")
 def _(t):
     s = X.signature(F.col("title"))
-    return HEADLINES.frame(t).select("id", F.to_json(s).alias("signature"))
+    return HEADLINES.frame(t).select("id", F.array_join(s["money"].cast("array<string>"), ",").alias("money"), F.array_join(s["names"], ",").alias("names"))
 
 
 @register("f16_key_hash", f"SELECT ord, {sql_hash('outlet')} AS hash FROM ({ITEMS})")
@@ -208,7 +237,10 @@ def _(t):
     return t("pages").select("page_id", X.page_title(F.col("html")).alias("title"))
 
 
-DATES = Inline("id long, raw string", ((1, "2024-03-05"), (2, "20240305T101500Z"), (3, "2024-02-30"), (4, "2024-03-05T10:15:00+02:00"), (5, "soon"), (6, None), (7, "20241301"), (8, " 2023-12-31 23:00 ")))
+DATES = Extended(Inline("id long, raw string", ((1, "2024-03-05"), (2, "20240305T101500Z"), (3, "2024-02-30"), (4, "2024-03-05T10:15:00+02:00"), (5, "soon"), (6, None), (7, "20241301"), (8, " 2023-12-31 23:00 "))),
+    "SELECT o_orderkey + 1000, CASE o_orderkey % 3 WHEN 0 THEN strftime(o_orderdate, '%Y%m%d') WHEN 1 THEN strftime(o_orderdate, '%Y-%m-%dT10:00:00') ELSE 'on ' || strftime(o_orderdate, '%d.%m.%Y') END FROM orders",
+    lambda t: t("orders").select((F.col("o_orderkey") + 1000).alias("id"), F.when(F.col("o_orderkey") % 3 == 0, F.date_format("o_orderdate", "yyyyMMdd")).when(F.col("o_orderkey") % 3 == 1, F.date_format("o_orderdate", "yyyy-MM-dd'T10:00:00'")).otherwise(F.concat(F.lit("on "), F.date_format("o_orderdate", "dd.MM.yyyy"))).alias("raw")),
+)
 
 
 @register("f23_parse_date", f"SELECT id, coalesce(try_cast(regexp_extract(trim(raw), '^(\\d{{4}}-\\d{{2}}-\\d{{2}})', 1) AS DATE), try_strptime(regexp_extract(trim(raw), '^(\\d{{8}})', 1), '%Y%m%d')::DATE) AS day FROM ({DATES.sql})")
@@ -216,10 +248,13 @@ def _(t):
     return DATES.frame(t).select("id", X.parse_date(F.col("raw")).alias("day"))
 
 
-FEED_TIMES = Inline("id long, raw string, plain string", (
+FEED_TIMES = Extended(Inline("id long, raw string, plain string", (
     (1, "Mon, 01 Jan 2024 10:00:00 +0000", "2024-01-01 10:00:00"), (2, "Mon, 01 Jan 2024 10:00:00 GMT", "2024-01-01 10:00:00"), (3, "2024-01-01T10:00:00Z", "2024-01-01 10:00:00"),
     (4, "01 Jan 2024 10:00:00 +0530", "2024-01-01 04:30:00"), (5, "yesterday", None), (6, "", None), (7, None, None), (8, "2023-12-31T22:30:00", "2023-12-31 22:30:00"),
-))
+)),
+    "SELECT event_id + 1000, CASE event_id % 2 WHEN 0 THEN strftime(date_trunc('second', ts), '%a, %d %b %Y %H:%M:%S +0000') ELSE strftime(date_trunc('second', ts), '%Y-%m-%dT%H:%M:%SZ') END, CAST(date_trunc('second', ts) AS VARCHAR) FROM events",
+    lambda t: t("events").select((F.col("event_id") + 1000).alias("id"), F.when(F.col("event_id") % 2 == 0, F.date_format("ts", "EEE, dd MMM yyyy HH:mm:ss '+0000'")).otherwise(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")).alias("raw"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("plain")),
+)
 
 
 @register("f24_age_hours", f"SELECT id, round_even(epoch({NOW_SQL} - CAST(plain AS TIMESTAMP)) / 3600.0, 1)::DOUBLE AS age FROM ({FEED_TIMES.sql})")
@@ -268,7 +303,10 @@ def _(t):
     return t("pages").select("page_id", X.host_of(F.col("url")).alias("host"))
 
 
-MARKUP = Inline("id long, raw string", ((1, "<p>Fish &amp; chips</p>  <b>now</b>"), (2, "a&lt;b &quot;c&quot; &#39;d&#39;"), (3, None), (4, "  one\n\ntwo\t three "), (5, "<a href='x'>link</a>text")))
+MARKUP = Extended(Inline("id long, raw string", ((1, "<p>Fish &amp; chips</p>  <b>now</b>"), (2, "a&lt;b &quot;c&quot; &#39;d&#39;"), (3, None), (4, "  one\n\ntwo\t three "), (5, "<a href='x'>link</a>text"))),
+    "SELECT page_id + 1000, html FROM pages",
+    lambda t: t("pages").select((F.col("page_id") + 1000).alias("id"), F.col("html").alias("raw")),
+)
 
 
 def _clean_sql(blank: str) -> str:
@@ -596,29 +634,26 @@ def _(t):
     return dedup.first_by(t.items, key, "outlet", "ord").select("ord")
 
 
-def _fold_sql(rows: str, blocked: str, adds: str, kind: str) -> str:
-    """A fold row by row: rows(i from 1, ord, ...); blocked and adds speak of f.held, a list, and of k's columns."""
+def _fold_sql(rows: str, blocked: str, adds: str, kind: str, n: str = "") -> str:
+    """k and f: a fold row by row over rows(i from 1, ord, ...); blocked and adds speak of f.held, a list, and of k's columns."""
     return (
-        f"k AS ({rows}), f AS (SELECT 0::BIGINT AS i, 0::BIGINT AS ord, false AS kept, []::{kind}[] AS held UNION ALL "
-        f"SELECT k.i, k.ord, NOT ({blocked}), CASE WHEN {blocked} THEN f.held ELSE list_concat(f.held, {adds}) END FROM f JOIN k ON k.i = f.i + 1) SELECT ord, kept FROM f WHERE i > 0"
+        f"k{n} AS ({rows}), f{n} AS (SELECT 0::BIGINT AS i, 0::BIGINT AS ord, false AS kept, []::{kind}[] AS held UNION ALL "
+        f"SELECT k.i, k.ord, NOT ({blocked}), CASE WHEN {blocked} THEN f.held ELSE list_concat(f.held, {adds}) END FROM f{n} f JOIN k{n} k ON k.i = f.i + 1)"
     )
 
 
+FOLDED = "SELECT ord, kept FROM f WHERE i > 0"
 D04_SQL = _fold_sql(f"SELECT row_number() OVER (ORDER BY ord) AS i, ord, list_filter([url_key, title_key], lambda x: x IS NOT NULL) AS keys FROM ({KEYED})", "list_has_any(f.held, k.keys)", "k.keys", "VARCHAR")
 
 
-@register("d04_dedup_in_run", f"WITH RECURSIVE {D04_SQL}")
+@register("d04_dedup_in_run", f"WITH RECURSIVE {D04_SQL} {FOLDED}")
 def _(t):
     return dedup.dedup_in_run(t.items)
 
 
-AMOUNTS_SQL = (
-    f"(SELECT list(DISTINCT v) FROM (SELECT round_even(try_cast(replace(n, ',', '') AS DOUBLE) * CASE lower(u) {' '.join(f"WHEN '{u}' THEN {f}" for u, f in fixed.UNITS.items())} ELSE 1 END, 0)::BIGINT AS v "
-    f"FROM (SELECT unnest(regexp_extract_all(title, '{fixed.MONEY}', 1)) AS n, unnest(regexp_extract_all(title, '{fixed.MONEY}', 2)) AS u)) WHERE v IS NOT NULL)"
-)
 #: a before b: similar headlines of other outlets, or an amount and a name in common.
 EDGES_SQL = (
-    f"s AS (SELECT ord, lower(outlet) AS outlet, {AMOUNTS_SQL} AS money, {NAMES_SQL} AS names FROM ({ITEMS})), "
+    f"s AS (SELECT ord, lower(outlet) AS outlet, {_amounts_sql(fixed.MONEY)} AS money, {NAMES_SQL} AS names FROM ({ITEMS})), "
     "e AS (SELECT l AS a, r AS b FROM p WHERE overlap >= 0.5 AND l < r UNION SELECT a.ord, b.ord FROM s a JOIN s b ON a.ord < b.ord AND a.outlet <> b.outlet AND list_has_any(a.money, b.money) AND list_has_any(a.names, b.names))"
 )
 D05_SQL = _fold_sql(
@@ -626,7 +661,7 @@ D05_SQL = _fold_sql(
 )
 
 
-@register("d05_dedup_cross_outlet", f"{PAIRS.replace('WITH w AS', 'WITH RECURSIVE w AS')}, {EDGES_SQL}, {D05_SQL}")
+@register("d05_dedup_cross_outlet", f"{PAIRS.replace('WITH w AS', 'WITH RECURSIVE w AS')}, {EDGES_SQL}, {D05_SQL} {FOLDED}")
 def _(t):
     return dedup.dedup_cross_outlet(t.items.withColumn("effective_date", F.col("published")))
 
@@ -884,7 +919,20 @@ def _(t):
     return digest(scoring.route(t.items, TOY).where("stream IS NOT NULL"), now()).select("stream", "held", "text")
 
 
-@register("tick")
+TICK_SQL = (
+    f"WITH RECURSIVE g AS (SELECT s.ord, s.stream, epoch({NOW_SQL} - i.published) / 60.0 <= 1440 AS fresh, s.stream IS NOT NULL AND NOT (contains(lower(i.url), '/src3/') OR contains(lower(i.url), '/sport/')) AS relevant FROM ({SCORED}) s JOIN ({ITEMS}) i USING (ord)), "
+    f"y AS (SELECT ord, title, lower(outlet) AS outlet, words, list_filter([url_key, title_key], lambda x: x IS NOT NULL) AS keys FROM ({KEYED})), seen AS (SELECT list_distinct(flatten(list(keys))) AS keys FROM y WHERE ord % 10 = 0), "
+    "fetched AS (SELECT y.* FROM y JOIN g USING (ord), seen WHERE fresh AND relevant AND NOT list_has_any(y.keys, seen.keys)), "
+    + _fold_sql("SELECT row_number() OVER (ORDER BY ord) AS i, ord, keys FROM fetched", "list_has_any(f.held, k.keys)", "k.keys", "VARCHAR", "1")
+    + f", l AS (SELECT m.*, {_amounts_sql(fixed.MONEY)} AS money, {NAMES_SQL} AS names FROM fetched m WHERE ord IN (SELECT ord FROM f1 WHERE kept)), x AS (SELECT ord, outlet, len(words) AS n, unnest(words) AS word FROM l WHERE len(words) >= 3), "
+    "e AS (SELECT a.ord AS a, b.ord AS b FROM x a JOIN x b ON a.word = b.word AND a.ord < b.ord AND a.outlet <> b.outlet GROUP BY a.ord, b.ord, a.n, b.n HAVING count(*) / least(a.n, b.n) >= 0.5 "
+    "UNION SELECT a.ord, b.ord FROM l a JOIN l b ON a.ord < b.ord AND a.outlet <> b.outlet AND list_has_any(a.money, b.money) AND list_has_any(a.names, b.names)), "
+    + _fold_sql("SELECT row_number() OVER (ORDER BY ord) AS i, ord, coalesce(near, []) AS near FROM l LEFT JOIN (SELECT b AS ord, list(a) AS near FROM e GROUP BY b) USING (ord)", "list_has_any(f.held, k.near)", "[k.ord]", "BIGINT", "2")
+    + " SELECT g.ord, g.stream, g.fresh, g.relevant, coalesce(f1.kept, false) AS unseen, coalesce(f2.kept, false) AS unique FROM g LEFT JOIN f1 ON f1.ord = g.ord AND f1.i > 0 LEFT JOIN f2 ON f2.ord = g.ord AND f2.i > 0"
+)
+
+
+@register("tick", TICK_SQL)
 def _(t):
     run = pipelines.Tick(TOY, now())
     return run.gates(t.items, pipelines.baseline(t.items.where("ord % 10 = 0"))).select("ord", "stream", "fresh", "relevant", "unseen", "unique")
