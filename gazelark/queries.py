@@ -889,18 +889,22 @@ def _(t):
 # --- extraction, rendering, whole runs (SQL can't express these) -----------------------------
 
 
-@register("s13_calendar_links")
+@register("s13_calendar_links", "SELECT url, regexp_extract(url, '^https?://[^/]+') || '/event/' || page_id AS link, 15.8::DOUBLE AS score, 1 AS rank FROM pages UNION ALL SELECT url, regexp_extract(url, '^https?://[^/]+') || '/n/summit' || page_id, 9.2::DOUBLE, 2 FROM pages WHERE page_id % 2 = 0")
 def _(t):
     from gazelark.sources import markup
 
-    return markup.calendar_links(t("pages"))
+    own = F.concat(F.lit('<a href="/event/'), F.col("page_id").cast("string"), F.lit('">Our <b>calendar</b></a><a href="/about">About</a><a href="https://elsewhere.example/events">Events</a><a href="/event/flyer.pdf">Event</a>'))
+    more = F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("<a href='/n/summit"), F.col("page_id").cast("string"), F.lit("/'>More</a>"))).otherwise("")
+    return markup.calendar_links(t("pages").select("url", F.concat(own, more).alias("html"))).select("url", "link", F.col("score").cast("double").alias("score"), "rank")
 
 
-@register("s10_dated_events")
+@register("s10_dated_events", "SELECT DATE '2024-01-01' + (page_id % 90)::INTEGER AS date, 'Evening of chamber music number ' || page_id AS title, url FROM pages")
 def _(t):
     from gazelark.sources import markup
 
-    return markup.dated_events(t("pages"), F.lit("2024-01-01").cast("date"))
+    day = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("page_id") % 90).cast("int"))
+    html = F.concat(F.lit("<html><body><script>March 3, 2024</script><div>Evening of chamber music number "), F.col("page_id").cast("string"), F.lit("</div><div>"), F.date_format(day, "MMM d, yyyy"), F.lit("</div><p>June 31, 2024</p></body></html>"))
+    return markup.dated_events(t("pages").select("url", html.alias("html")), F.lit("2024-01-01").cast("date")).select("date", "title", "url")
 
 
 @register("s08_jsonld_events")

@@ -88,8 +88,8 @@ def calendar_links(pages: DataFrame) -> DataFrame:
 def calendar_files(pages: DataFrame) -> DataFrame:
     """url, file: up to three calendar exports that a page links to."""
     found = F.concat(
-        F.regexp_extract_all("html", F.lit(r'(?i)href=["\']([^"\']+\.ics[^"\']*)["\']'), F.lit(1)),
-        F.regexp_extract_all("html", F.lit(r'(?i)href=["\']([^"\']*(?:ical|icalendar|calendar/export)[^"\']*)["\']'), F.lit(1)),
+        F.regexp_extract_all("html", F.lit(fixed.CALENDAR_FILE), F.lit(1)),
+        F.regexp_extract_all("html", F.lit(fixed.CALENDAR_EXPORT), F.lit(1)),
     )
     return pages.select("url", F.explode(F.slice(F.array_distinct(F.transform(found, X.unescape)), 1, 3)).alias("file")).select("url", X.url_join(F.col("url"), F.col("file")).alias("file"))
 
@@ -107,7 +107,7 @@ def ics_events(files: DataFrame) -> DataFrame:
 
 def page_lines(pages: DataFrame) -> DataFrame:
     """doc, pos, line: a page's (url, html) lines that aren't empty."""
-    t = F.regexp_replace(F.coalesce("html", F.lit("")), r"(?is)<(script|style|noscript)\b.*?</\1>", " ")
+    t = F.regexp_replace(F.coalesce("html", F.lit("")), fixed.UNSEEN_MARKUP, " ")
     t = F.regexp_replace(t, r"(?i)</?(p|div|li|tr|h[1-6]|section|article|br|td|a)\b[^>]*>", "\n")
     lines = F.filter(F.transform(F.split(X.unescape(F.regexp_replace(t, "<[^>]+>", " ")), "\n"), X.collapse), lambda x: x != "")
     return pages.select(F.col("url").alias("doc"), F.posexplode(lines).alias("pos", "line"))
