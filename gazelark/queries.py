@@ -227,7 +227,17 @@ def _(t):
     return t("pages").select("page_id", X.page_signature(F.col("html")).alias("sig"))
 
 
-@register("f19_page_text")
+def _page_text_sql() -> str:
+    t = "html"
+    for tag in ("script", "style", "noscript", "svg"):
+        t = f"regexp_replace({t}, '(?is)<{tag}[^>]*>.*?</{tag}>', ' ', 'g')"
+    t = f"regexp_replace(regexp_replace({t}, '(?i)</?(p|div|li|br|h[1-6]|tr|td|section|article)[^>]*>', chr(10), 'g'), '<[^>]+>', ' ', 'g')"
+    for entity, c in (("&copy;", "©"), ("&middot;", "·"), ("&quot;", '"'), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
+        t = f"replace({t}, '{entity}', '{c}')"
+    return f"SELECT page_id, array_to_string(list_filter(list_transform(string_split({t}, chr(10)), lambda l: trim(regexp_replace(l, '\\s+', ' ', 'g'))), lambda l: length(l) > 2), chr(10)) AS text FROM pages"
+
+
+@register("f19_page_text", _page_text_sql())
 def _(t):
     return t("pages").select("page_id", X.page_text(F.col("html")).alias("text"))
 
@@ -907,13 +917,20 @@ def _(t):
     return markup.dated_events(t("pages").select("url", html.alias("html")), F.lit("2024-01-01").cast("date")).select("date", "title", "url")
 
 
-@register("s08_jsonld_events")
+@register(
+    "s08_jsonld_events",
+    "SELECT DATE '2024-05-01' + (page_id % 30)::INTEGER AS date, 'Gala & ball ' || page_id AS title, 'Hall, Rome' AS place, regexp_extract(url, '^https?://[^/]+') || '/g/' || page_id AS url, 'schema.org' AS how, 'high' AS confidence, url AS page FROM pages "
+    "UNION ALL SELECT DATE '2024-07-01', 'Talk', '', url, 'schema.org', 'high', url FROM pages WHERE page_id % 3 = 0",
+)
 def _(t):
     from gazelark.sources import markup
 
-    html = '<script type="application/ld+json">{"@graph": [{"@type": ["Event"], "name": {"@value": "Gala"}, "startDate": "2024-05-01", "location": {"name": "Hall", "address": {"addressLocality": "Rome"}}, "url": "/g"}]}</script>'
-    made = t("pages").select("url", F.when(F.col("page_id") % 50 == 0, F.lit(html)).otherwise(F.col("html")).alias("html"))
-    return markup.jsonld_events(made)
+    key = F.col("page_id").cast("string")
+    day = F.date_add(F.lit("2024-05-01").cast("date"), (F.col("page_id") % 30).cast("int")).cast("string")
+    event = F.concat(F.lit('{"@graph": [{"@type": ["Event"], "name": {"@value": "Gala &amp; ball '), key, F.lit('"}, "startDate": "'), day, F.lit('T19:00", "location": [{"name": "Hall", "address": {"addressLocality": "Rome"}}], "url": "/g/'), key, F.lit('"}, {"@type": "Thing", "name": "no event"}]}'))
+    more = F.when(F.col("page_id") % 3 == 0, '{"subEvent": {"@type": "EducationEvent", "name": "Talk", "startDate": "20240701"}}').otherwise('{"@type": "Event", broken')
+    html = F.concat(F.lit('<script type="application/ld+json">'), event, F.lit("</script><p>text</p><SCRIPT type='application/ld+json'>"), more, F.lit("</SCRIPT>"))
+    return markup.jsonld_events(t("pages").select("url", html.alias("html")))
 
 
 @register("k01_digest")
@@ -923,17 +940,22 @@ def _(t):
     return digest(scoring.route(t.items, TOY).where("stream IS NOT NULL"), now()).select("stream", "held", "text")
 
 
-TICK_SQL = (
-    f"WITH RECURSIVE g AS (SELECT s.ord, s.stream, epoch({NOW_SQL} - i.published) / 60.0 <= 1440 AS fresh, s.stream IS NOT NULL AND NOT (contains(lower(i.url), '/src3/') OR contains(lower(i.url), '/sport/')) AS relevant FROM ({SCORED}) s JOIN ({ITEMS}) i USING (ord)), "
-    f"y AS (SELECT ord, title, lower(outlet) AS outlet, words, list_filter([url_key, title_key], lambda x: x IS NOT NULL) AS keys FROM ({KEYED})), seen AS (SELECT list_distinct(flatten(list(keys))) AS keys FROM y WHERE ord % 10 = 0), "
-    "fetched AS (SELECT y.* FROM y JOIN g USING (ord), seen WHERE fresh AND relevant AND NOT list_has_any(y.keys, seen.keys)), "
-    + _fold_sql("SELECT row_number() OVER (ORDER BY ord) AS i, ord, keys FROM fetched", "list_has_any(f.held, k.keys)", "k.keys", "VARCHAR", "1")
-    + f", l AS (SELECT m.*, {_amounts_sql(fixed.MONEY)} AS money, {NAMES_SQL} AS names FROM fetched m WHERE ord IN (SELECT ord FROM f1 WHERE kept)), x AS (SELECT ord, outlet, len(words) AS n, unnest(words) AS word FROM l WHERE len(words) >= 3), "
-    "e AS (SELECT a.ord AS a, b.ord AS b FROM x a JOIN x b ON a.word = b.word AND a.ord < b.ord AND a.outlet <> b.outlet GROUP BY a.ord, b.ord, a.n, b.n HAVING count(*) / least(a.n, b.n) >= 0.5 "
-    "UNION SELECT a.ord, b.ord FROM l a JOIN l b ON a.ord < b.ord AND a.outlet <> b.outlet AND list_has_any(a.money, b.money) AND list_has_any(a.names, b.names)), "
-    + _fold_sql("SELECT row_number() OVER (ORDER BY ord) AS i, ord, coalesce(near, []) AS near FROM l LEFT JOIN (SELECT b AS ord, list(a) AS near FROM e GROUP BY b) USING (ord)", "list_has_any(f.held, k.near)", "[k.ord]", "BIGINT", "2")
-    + " SELECT g.ord, g.stream, g.fresh, g.relevant, coalesce(f1.kept, false) AS unseen, coalesce(f2.kept, false) AS unique FROM g LEFT JOIN f1 ON f1.ord = g.ord AND f1.i > 0 LEFT JOIN f2 ON f2.ord = g.ord AND f2.i > 0"
-)
+def tick_sql(also: str, unposted: str) -> str:
+    """A run over all items; also: more tables; unposted: which items of y weren't posted yet."""
+    return (
+        f"WITH RECURSIVE g AS (SELECT s.ord, s.stream, epoch({NOW_SQL} - i.published) / 60.0 <= 1440 AS fresh, s.stream IS NOT NULL AND NOT (contains(lower(i.url), '/src3/') OR contains(lower(i.url), '/sport/')) AS relevant FROM ({SCORED}) s JOIN ({ITEMS}) i USING (ord)), "
+        f"y AS (SELECT ord, title, lower(outlet) AS outlet, words, list_filter([url_key, title_key], lambda x: x IS NOT NULL) AS keys FROM ({KEYED})), {also}, "
+        f"fetched AS (SELECT y.* FROM y JOIN g USING (ord) WHERE fresh AND relevant AND {unposted}), "
+        + _fold_sql("SELECT row_number() OVER (ORDER BY ord) AS i, ord, keys FROM fetched", "list_has_any(f.held, k.keys)", "k.keys", "VARCHAR", "1")
+        + f", l AS (SELECT m.*, {_amounts_sql(fixed.MONEY)} AS money, {NAMES_SQL} AS names FROM fetched m WHERE ord IN (SELECT ord FROM f1 WHERE kept)), x AS (SELECT ord, outlet, len(words) AS n, unnest(words) AS word FROM l WHERE len(words) >= 3), "
+        "e AS (SELECT a.ord AS a, b.ord AS b FROM x a JOIN x b ON a.word = b.word AND a.ord < b.ord AND a.outlet <> b.outlet GROUP BY a.ord, b.ord, a.n, b.n HAVING count(*) / least(a.n, b.n) >= 0.5 "
+        "UNION SELECT a.ord, b.ord FROM l a JOIN l b ON a.ord < b.ord AND a.outlet <> b.outlet AND list_has_any(a.money, b.money) AND list_has_any(a.names, b.names)), "
+        + _fold_sql("SELECT row_number() OVER (ORDER BY ord) AS i, ord, coalesce(near, []) AS near FROM l LEFT JOIN (SELECT b AS ord, list(a) AS near FROM e GROUP BY b) USING (ord)", "list_has_any(f.held, k.near)", "[k.ord]", "BIGINT", "2")
+        + " SELECT g.ord, g.stream, g.fresh, g.relevant, coalesce(f1.kept, false) AS unseen, coalesce(f2.kept, false) AS unique FROM g LEFT JOIN f1 ON f1.ord = g.ord AND f1.i > 0 LEFT JOIN f2 ON f2.ord = g.ord AND f2.i > 0"
+    )
+
+
+TICK_SQL = tick_sql("seen AS (SELECT list_distinct(flatten(list(keys))) AS keys FROM y WHERE ord % 10 = 0)", "NOT list_has_any(y.keys, (SELECT keys FROM seen))")
 
 
 @register("tick", TICK_SQL)

@@ -16,7 +16,7 @@ from gazelark.functions import text as X
 from gazelark.lexicon import consuming_pattern, term_pattern
 from gazelark.operators import dedup, joins, observe, rank, scoring, screen
 from gazelark.plans import pipelines, render
-from gazelark.queries import EVENT_TITLES, ITEMS, KEYED, POOL, SCORED, TOY, Inline, now, register, sql_list, sql_words
+from gazelark.queries import EVENT_TITLES, ITEMS, KEYED, POOL, SCORED, TOY, Inline, now, register, sql_list, sql_words, tick_sql
 from gazelark.shared import shared_folder
 from gazelark.sources import config, markup
 
@@ -333,7 +333,7 @@ def _(t):
     return pipelines.Tick(TOY, now(), backfill=True)._unposted(worded.drop("words"), None, worded.where("ord % 4 = 0").select("ord", "outlet", "words")).select("ord")
 
 
-@register("r08_backfill")
+@register("r08_backfill", tick_sql(f"wd AS (SELECT ord, words FROM y), {SHOWN_SQL}", "ord NOT IN (SELECT ord FROM hit)").replace(", g.fresh, g.relevant", ""))
 def _(t):
     shown = t.items.where("ord % 4 = 0").select("ord", "outlet", X.title_words(F.col("title")).alias("words"))
     return pipelines.Tick(TOY, now(), backfill=True).gates(t.items, pipelines.baseline(t.items), shown=shown).select("ord", "stream", "unseen", "unique")
@@ -439,7 +439,10 @@ def _(t):
     return render.section_render(rows, degraded=True)
 
 
-@register("k07_status_document")
+@register(
+    "k07_status_document",
+    f"""SELECT '{{"items":{{"fetched":' || count(*) || ',"fresh":' || count(CASE WHEN ord % 2 = 0 THEN 1 END) || '}},"sources":{{' || (SELECT string_agg('"' || n_name || '":{{"status":"ok","items_in_window":1,"entries_in_feed":2}}', ',' ORDER BY n_name) FROM nation) || '}}}}' AS json FROM ({ITEMS})""",
+)
 def _(t):
     counts = observe.gate_counts(t.items.select((F.col("ord") % 2 == 0).alias("fresh")), ["fresh"])
     outcomes = t("nation").select(F.col("n_name").alias("source_key"), F.lit("ok").alias("status"), F.lit(1).alias("items_in_window"), F.lit(2).alias("entries_in_feed"))
