@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import html
+import html.entities
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -9,12 +11,9 @@ from pyspark.sql import functions as F
 
 from gazelark import fixed
 
-# Entities that feeds emit; the ampersand comes last, so that each text is unescaped once.
-_ENTITIES = {
-    "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#34;": '"', "&#39;": "'", "&#x27;": "'", "&apos;": "'", "&nbsp;": " ", "&#160;": " ",
-    "&ndash;": "–", "&#8211;": "–", "&mdash;": "—", "&#8212;": "—", "&lsquo;": "‘", "&#8216;": "‘", "&rsquo;": "’", "&#8217;": "’",
-    "&ldquo;": "“", "&#8220;": "“", "&rdquo;": "”", "&#8221;": "”", "&hellip;": "…", "&#8230;": "…", "&#038;": "&", "&#38;": "&", "&amp;": "&",
-}
+# The named entities of HTML 4, and the numbers that stand for Windows characters; a blank that doesn't break is a blank.
+_ENTITIES = {name: chr(code) for name, code in html.entities.name2codepoint.items()} | {f"#{n}": html.unescape(f"&#{n};") for n in range(128, 160)} | {"apos": "'", "nbsp": " ", "#160": " "}
+_ENTITY = r"&(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
 
 
 def let(c: Column, body: Callable[[Column], Column]) -> Column:
@@ -32,15 +31,22 @@ def collapse(c: Column) -> Column:
 
 
 def unescape(c: Column) -> Column:
-    """Common HTML entities; unescape_all has every one of them."""
-    pairs = F.array(*[F.struct(F.lit(entity).alias("entity"), F.lit(text).alias("text")) for entity, text in _ENTITIES.items()])
-    return F.when(F.contains(c, F.lit("&")), F.aggregate(pairs, c, lambda out, p: F.replace(out, p["entity"], p["text"]))).otherwise(c)
+    """HTML entities, each once: the names of HTML 4 and all numbers; others, and those without a semicolon, stay."""
+    known = F.create_map(*[F.lit(x) for pair in sorted(_ENTITIES.items()) for x in pair])
+
+    def character(e: Column) -> Column:
+        number = F.when(F.lower(e).startswith("#x"), F.conv(F.substring(e, 3, 6), 16, 10)).when(e.startswith("#"), F.substring(e, 2, 7)).cast("int")
+        by_number = let(number, lambda n: F.when(n.between(1, 0xD7FF) | n.between(0xE000, 0x10FFFF), F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")).when(n.isNotNull(), "\ufffd"))
+        return F.coalesce(F.try_element_at(known, e), by_number, F.concat(F.lit("&"), e, F.lit(";")))
+
+    def whole(text: Column) -> Column:
+        return F.array_join(F.zip_with(F.split(text, _ENTITY, -1), F.regexp_extract_all(text, F.lit(_ENTITY), F.lit(1)), lambda p, e: F.concat(p, F.coalesce(character(e), F.lit("")))), "")
+
+    return F.when(F.contains(c, F.lit("&")), let(c, whole)).otherwise(c)
 
 
 def unescape_all(c: Column) -> Column:
     """Every HTML entity, in Arrow batches; only texts with an ampersand are worth it."""
-    import html
-
     import pandas as pd
 
     @F.pandas_udf("string")

@@ -321,7 +321,7 @@ MARKUP = Extended(Inline("id long, raw string", ((1, "<p>Fish &amp; chips</p>  <
 
 def _clean_sql(blank: str) -> str:
     c = f"regexp_replace(coalesce(raw, ''), '<[^>]+>', '{blank}', 'g')"
-    for e, s in (("&lt;", "<"), ("&quot;", '"'), ("&#39;", "''"), ("&amp;", "&")):
+    for e, s in (("&lt;", "<"), ("&quot;", '"'), ("&#39;", "''"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
         c = f"replace({c}, '{e}', '{s}')"
     return f"trim(regexp_replace({c}, '\\s+', ' ', 'g'))"
 

@@ -375,3 +375,13 @@ def test_the_judge_is_asked_once(spark, tmp_path):
 
     parts = pipelines.screened_queue(spark, queue.limit(0), queue, F.lit("2024-01-01 12:00:00").cast("timestamp"), judge)
     assert [p.count() for p in parts] == [4, 0, 6] and log.read_text() == "x"
+
+
+def test_entities_as_the_standard_library_has_them(spark):
+    import html
+
+    rows = ["&copy; 2024 &middot; a &amp;copy; b", "&#169;&#xA9;&#XA9; &#8217; &#150; &eacute;&Eacute;", "no & entity; here &; &#; &#x; &unheard;", "&#128512; &#x1F600;", "plain", None, "", "&&amp;&lt;b&gt;&&", "&frac12;&euro;&apos;&quot;"]
+    got = [r["u"] for r in spark.createDataFrame(list(enumerate(rows)), "i int, t string").select("i", X.unescape(F.col("t")).alias("u")).orderBy("i").collect()]
+    assert got == [None if t is None else html.unescape(t) for t in rows]
+    odd = spark.range(1).select(X.unescape(F.lit("&#55296;|&#9999999;|&#0;|a&nbsp;b&#160;c")).alias("u")).first()["u"]
+    assert odd == "\ufffd|\ufffd|\ufffd|a b c"
