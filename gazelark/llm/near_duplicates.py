@@ -211,6 +211,9 @@ def _grouped(docs: DataFrame, width: int, percent: int, key: str, text: str, by_
     members = features.where("set_key IS NOT NULL AND doc IS NOT NULL")
     whole = members.groupBy("set_key").agg(F.min(F.struct("doc", "text_hash")).alias("least"), F.first("signature").alias("signature"), F.first("n_shingles").alias("n_shingles"), F.count("*").alias("rows"))
     whole = checkpointed(whole.select("set_key", "least.*", "signature", "n_shingles", "rows"))
+    # rows that share a doc_id: few in most tables, perhaps very many of one in others
+    repeated = checkpointed(members.groupBy("doc").agg(F.count("*").alias("n"), F.min("set_key").alias("low"), F.max("set_key").alias("high")).where("n > 1"))
+    any_repeated = not repeated.isEmpty()
     # a class goes by its least doc_id; where that has several classes, all but one by a hash
     several = whole.groupBy("doc").agg(F.min("set_key").alias("own"), F.count("*").alias("n")).where("n > 1").select("doc", "own")
     named = whole.join(checkpointed(several), "doc", "left")
@@ -220,13 +223,15 @@ def _grouped(docs: DataFrame, width: int, percent: int, key: str, text: str, by_
     blocks = sized.groupBy("component").agg(F.ceil(F.sum("n_shingles") / CHUNK_SHINGLES).cast("int").alias("chunks"), F.count("*").alias("n"))
     chosen = sized.join(blocks.where("n > 1"), "component").select("id", "doc", "text_hash", F.col("component").alias("team"), "chunks")
     folder = f"{shared_folder(docs.sparkSession)}/texts-{uuid.uuid4().hex}"
-    rows.join(chosen, ["doc", "text_hash"]).select("team", "id", "chunks", F.col("text").alias("payload")).write.parquet(folder)
+    wanted = rows.join(chosen, ["doc", "text_hash"]).select("team", "id", "chunks", F.col("text").alias("payload"))
+    if any_repeated:  # rows that are repeated as a whole, once
+        wanted = wanted.groupBy("team", "id", "chunks").agg(F.first("payload").alias("payload"))
+    wanted.write.parquet(folder)
     texts = docs.sparkSession.read.schema("team long, id long, chunks int, payload string").parquet(folder)
     links = checkpointed(links_in_groups(texts, texts.where("chunks > 1"), _by_sets(width, percent)))
     remove_folder(docs.sparkSession, folder)
-    if by_id:
-        several = members.groupBy("doc").agg(F.min("set_key").alias("low"), F.max("set_key").alias("high")).where("low <> high")
-        nodes = members.join(checkpointed(several), "doc", "left_semi").select("doc", "set_key").distinct().join(classes.select("set_key", "id"), "set_key")
+    if by_id and any_repeated:
+        nodes = members.join(repeated.where("low <> high"), "doc", "left_semi").select("doc", "set_key").distinct().join(classes.select("set_key", "id"), "set_key")
         same = nodes.join(nodes.groupBy("doc").agg(F.min("id").alias("a")), "doc").where("a <> id").select("a", F.col("id").alias("b"))
         links = links.unionByName(same)
     parts = connected_components(checkpointed(links.distinct()))

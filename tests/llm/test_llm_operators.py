@@ -147,6 +147,17 @@ def test_near_duplicates_in_many_chunks(spark, docs, monkeypatch):
         assert {r["doc_id"]: r["component_id"] for r in got} == expected
 
 
+def test_rows_repeated_under_one_id(spark):
+    """A third of all rows are one row; its near-copies and another text of its id are linked with it once."""
+    base = [f"w{i}" for i in range(60)]
+    rows = [(5, " ".join(base))] * 400 + [(9, " ".join([*base, "tail"]))] * 50 + [(5, "another text")] * 3 + [(2, "another text")] + [(100 + i, f"text {i} of its own") for i in range(300)]
+    got = near_duplicates.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2).collect()
+    assert len(got) == len(rows) and {(r["doc_id"], r["component_id"]) for r in got if r["doc_id"] < 100} == {(5, 2), (9, 2), (2, 2)}
+    assert sum(r["kept"] for r in got) == 301
+    kept = near_duplicates.stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    assert sorted(r["doc_id"] for r in kept if r["doc_id"] < 100) == [2, 5]
+
+
 def test_links_in_groups_connect_as_all_pairs_do(spark):
     """Teams of random texts in chunks of a few members: the same components as by all pairs."""
     rng = np.random.default_rng(4)
