@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gazelark.llm import chat, flac, language, licences, near_duplicates, neighbours, packing, personal, segmentation, sharding
+from gazelark.llm import alignment, chat, flac, language, licences, near_duplicates, neighbours, packing, pair_index, personal, segmentation, sharding, vector_codes
 from gazelark.llm.tables import own_session
 
 
@@ -25,6 +25,9 @@ _QUERIES = {
     "op8_language_id": language.query,
     "op9_sharding": sharding.query,
     "op10_media_columns": flac.query,
+    "op11_bpe": pair_index.query,
+    "op12_vector_codes": vector_codes.query,
+    "op13_token_alignment": alignment.query,
 }
 QUERIES = {name: _apart(query) for name, query in _QUERIES.items()}
 ORACLE_SQL = {

@@ -34,7 +34,7 @@ def folder(spark, tmp_path_factory):
     df.withColumns({c: F.lit("clash") for c in CLASHES}).coalesce(2).write.parquet(f"{path}/documents.parquet")
     spark.createDataFrame([(0, 0, "user", None), (0, 1, "assistant", "ok"), (1, 0, None, "x"), (1, 0, None, "x"), (None, 0, "tool", "y"), (2, 0, "assistant", LONG)], "conv_id long, turn long, role string, text string").withColumn("messages", F.lit(1)).write.parquet(f"{path}/conversations.parquet")
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.1]), (2, None), (3, [0.0, 0.0]), (4, [float("nan"), 1.0]), (5, [-1.0, 0.0]), (6, [1.0, 2.0, 3.0]), (0, [1.0, 0.0]), (50, [None, 1.0]), (None, [1.0, 1.0]), (100, [1.0, 0.1]), (7, [])]
-    spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("id", F.lit("clash")).write.parquet(f"{path}/embeddings.parquet")
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumns({"id": F.lit("clash"), "own": F.lit("clash"), "label": F.lit(1)}).write.parquet(f"{path}/embeddings.parquet")
     return str(path)
 
 
@@ -54,7 +54,7 @@ def docs():
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_edges_keep_every_document(spark, folder, name):
     rows = queries.QUERIES[name](spark, folder).collect()
-    if name not in ("op3_chat_format", "op4_nearest_neighbours"):
+    if name not in ("op3_chat_format", "op4_nearest_neighbours", "op12_vector_codes"):
         ids = [r["doc_id"] for r in rows]
         expected = [i for i, _ in EDGES]
         if name == "op6_packing":
