@@ -149,6 +149,12 @@ def first_seen(history: DataFrame, key: str, at: str) -> DataFrame:
     return history.groupBy(key).agg(F.min(at).alias("first_seen"))
 
 
+def stamped(rows: DataFrame, key: str, at: str) -> DataFrame:
+    """rows with first_seen, the earliest `at` of their key."""
+    first = rows.groupBy(F.col(key).alias("_gz_key")).agg(F.min(at).alias("first_seen"))
+    return rows.join(first, F.col(key).eqNullSafe(F.col("_gz_key"))).drop("_gz_key")
+
+
 def state_ttl(state: DataFrame, at: str, now: Column, hours: int) -> DataFrame:
     return state.where(X.hours_between(F.col(at), now) <= hours)
 

@@ -94,6 +94,11 @@ def queue_cap(queue: DataFrame, most: int = fixed.QUEUE_ENTRIES) -> DataFrame:
     return queue.orderBy(F.desc("ord")).limit(most)
 
 
+def waiting_cap(queue: DataFrame, most: int = fixed.QUEUE_ENTRIES) -> DataFrame:
+    """The entries that were queued last, of a queue without numbers."""
+    return queue.orderBy(F.desc("queued_at"), F.desc("url")).limit(most)
+
+
 def log_cap(log: DataFrame, now: Column, days: int = fixed.LOG_DAYS, most: int = fixed.LOG_ENTRIES) -> DataFrame:
     """The entries added last, of the last days; those without a time stay."""
     recent = F.coalesce(F.col("at") >= now - F.make_dt_interval(F.lit(days)), F.lit(True))

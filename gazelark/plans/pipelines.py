@@ -119,7 +119,7 @@ def baseline(fetched: DataFrame) -> DataFrame:
 
 def screened_queue(spark: SparkSession, held: DataFrame, queue: DataFrame, now: Column, judge=None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(released, queue left, dropped): held rows wait; once due, the judge's kept rows are released;
-    rows past their time are dropped and to be claimed. Without a verdict everything keeps waiting."""
+    rows past their time are dropped and to be claimed. Without a verdict the latest QUEUE_ENTRIES keep waiting."""
     from gazelark.operators.observe import queue_state
     from gazelark.operators.screen import screened
 
@@ -128,6 +128,6 @@ def screened_queue(spark: SparkSession, held: DataFrame, queue: DataFrame, now:
     dropped, left = waiting.where(age >= fixed.QUEUE_OVERDUE_HOURS), waiting.where(age < fixed.QUEUE_OVERDUE_HOURS)
     state = queue_state(left, now, fixed.QUEUE_DUE, fixed.QUEUE_DUE_MINUTES, fixed.QUEUE_OVERDUE_HOURS).first()  # one row
     if not state["due"] or judge is None:
-        return left.where(F.lit(False)), left, dropped
+        return left.where(F.lit(False)), rank.waiting_cap(left), dropped
     verdicts = dedup.written(screened(left, judge, id_column="url"))  # the judge is asked once for the three results
-    return verdicts.where("kept").drop("kept"), verdicts.where("kept IS NULL").drop("kept"), dropped.unionByName(verdicts.where("NOT kept").drop("kept"))
+    return verdicts.where("kept").drop("kept"), rank.waiting_cap(verdicts.where("kept IS NULL").drop("kept")), dropped.unionByName(verdicts.where("NOT kept").drop("kept"))

@@ -10,42 +10,39 @@ from pyspark.sql.streaming import StreamingQuery
 
 from gazelark import fixed
 from gazelark.functions import text as X
+from gazelark.shared import checkpointed
+from gazelark.sources.versioned import Versioned, live_keys
 
 
 class Claims:
-    """A claim table in files: a batch's keys are written before it is sent and taken back if it fails.
+    """A claim table: a batch's keys are written before it is sent and taken back if it fails.
 
-    Each batch has a folder of its own, which a repeated batch overwrites, so a batch is claimed once.
+    Each batch has a tag of its own under which it is committed once, also when it is repeated. Runs
+    that overlap commit to the same table; who comes second gets the keys that are left. Every
+    COMPACT_AT commits the live claims are put together, so neither their number nor their files grow
+    with the number of batches.
     """
 
-    SCHEMA = "key string, at timestamp"
-
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
-
-    def _folders(self) -> list[str]:
-        fs, root = self._fs()
-        return [str(s.getPath()) for s in fs.listStatus(root) if s.isDirectory()] if fs.exists(root) else []
-
-    def _fs(self, sub: str = ""):
-        jvm = self.spark._jvm
-        p = jvm.org.apache.hadoop.fs.Path(self.path + sub)
-        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
+    def __init__(self, spark: SparkSession, path: str, days: int = fixed.SEEN_DAYS):
+        self.table, self.days = Versioned(spark, path), days
 
     def read(self, but: int | None = None) -> DataFrame:
-        folders = [f for f in self._folders() if not f.endswith(f"/batch={but}")]
-        return self.spark.read.schema(self.SCHEMA).parquet(*folders) if folders else self.spark.createDataFrame([], self.SCHEMA)
+        return self.table.read(but_tag=None if but is None else f"batch {but}").where(live_keys(self.days))
 
-    def claim(self, batch_id: int, keys: DataFrame) -> None:
-        keys.select("key", F.current_timestamp().alias("at")).dropDuplicates(["key"]).write.mode("overwrite").parquet(f"{self.path}/batch={batch_id}")
+    def claim(self, batch_id: int, keys: DataFrame) -> DataFrame:
+        """Claims the keys; the result is what of them other runs have claimed since they were read."""
+        own = checkpointed(keys.select("key").distinct())
+        tag, stamped = f"batch {batch_id}", own.select("key", F.current_timestamp().alias("at"))
+        version = self.table.commit_decided(lambda state: stamped.join(state.where(live_keys(self.days)).select("key"), "key", "left_anti"), tag=tag)
+        mine = self.table._of([f["name"] for f in self.table.manifest(version).folders if f["tag"] == tag])
+        return own.join(mine.select("key"), "key", "left_anti")
 
     def release(self, batch_id: int) -> None:
-        fs, p = self._fs(f"/batch={batch_id}")
-        fs.delete(p, True)
+        self.table.withdraw(f"batch {batch_id}")
 
-    def compact(self, days: int = fixed.SEEN_DAYS) -> DataFrame:
-        """The live claims, earliest stamp each; the caller writes them as a batch of their own."""
-        return self.read().groupBy("key").agg(F.min("at").alias("at")).where(F.col("at") >= F.current_timestamp() - F.make_interval(days=F.lit(days)))
+    def compact_when_due(self, batch_id: int) -> bool:
+        """Puts the live claims together; the last batch's stay apart, as it may be repeated."""
+        return self.table.compact_when_due(live_keys(self.days), but_tag=f"batch {batch_id}")
 
 
 def run_stream(
@@ -60,12 +57,13 @@ def run_stream(
     def one(batch: DataFrame, batch_id: int) -> None:
         new = process(already_posted(batch, claims.read(but=batch_id))).persist()
         try:
-            claims.claim(batch_id, new.select(F.explode(X.keys_for(F.col("url"), F.col("title"))).alias("key")))
+            taken = claims.claim(batch_id, new.select(F.explode(X.keys_for(F.col("url"), F.col("title"))).alias("key")))
             try:
-                send(new, batch_id)
+                send(already_posted(new, taken), batch_id)
             except Exception:
                 claims.release(batch_id)
                 raise
+            claims.compact_when_due(batch_id)
         finally:
             new.unpersist()
 
