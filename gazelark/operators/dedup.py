@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gazelark import fixed
 from gazelark.functions import text as X
+from gazelark.operators import folds, rank
 from gazelark.shared import checkpointed as written
 
 
@@ -75,59 +74,50 @@ def cross_outlet_match(items: DataFrame, recent: DataFrame, threshold: float = f
 
 
 def signature_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
-    """l_ord, r_ord of rows (ord, outlet, money, names) of other outlets with an amount and a name in common."""
+    """l_ord, r_ord of rows (ord, outlet, money, names) of other outlets with an amount and a name in common.
+
+    Both in one posting: rows meet by amount and name together, so an amount that every headline has
+    meets nothing by itself. Postings that only one outlet has are left out before the join.
+    """
     def sided(df: DataFrame, p: str) -> DataFrame:
-        return df.where((F.size("money") > 0) & (F.size("names") > 0)).select(F.col("ord").alias(f"{p}_ord"), F.lower("outlet").alias(f"{p}_outlet"), F.col("names").alias(f"{p}_names"), F.explode("money").alias("amount"))
+        each = df.where((F.size("money") > 0) & (F.size("names") > 0)).select(F.col("ord").alias(f"{p}_ord"), F.lower("outlet").alias(f"{p}_outlet"), F.explode(F.array_distinct("money")).alias("amount"), "names")
+        return each.select(f"{p}_ord", f"{p}_outlet", "amount", F.explode(F.array_distinct("names")).alias("name"))
+
+    sides = {"l": sided(left, "l"), "r": sided(right, "r")}
+    outlets = sides["l"].select("amount", "name", F.col("l_outlet").alias("o")).unionByName(sides["r"].select("amount", "name", F.col("r_outlet").alias("o")))
+    shared = outlets.groupBy("amount", "name").agg(F.min("o").alias("low"), F.max("o").alias("high")).where("low <> high").select("amount", "name")
+    met = sides["l"].join(shared, ["amount", "name"], "left_semi").join(sides["r"], ["amount", "name"])
+    return met.where("l_outlet <> r_outlet AND l_ord <> r_ord").select("l_ord", "r_ord").distinct()
+
 
-    met = sided(left, "l").join(sided(right, "r"), "amount").where((F.col("l_outlet") != F.col("r_outlet")) & F.arrays_overlap("l_names", "r_names"))
-    return met.where("l_ord <> r_ord").select("l_ord", "r_ord").distinct()
+def _kept(nodes: DataFrame, dropped: DataFrame) -> DataFrame:
+    gone = dropped.select(F.col("place").alias("ord"), F.lit(True).alias("_gz_gone"))
+    return nodes.select("ord").join(gone, "ord", "left").select("ord", F.col("_gz_gone").isNull().alias("kept"))
 
 
 def greedy_fold(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """ord, kept: along the edges (a before b), a row is dropped if it has an edge from a kept one.
+    """ord, kept: along the edges (a before b, a < b), a row is dropped if it has an edge from a kept one.
 
-    Not row_number() = 1: what a dropped row would have blocked stays open. It goes by rounds of
-    joins: rows without an open edge into them are kept, their neighbours are dropped and take their
-    edges along. A group of rows all alike is settled in one round, a chain in half its length.
+    Not row_number() = 1: what a dropped row would have blocked stays open (folds.dropped_places).
     """
-    edges = written(edges.select("a", "b").distinct())
-    dropped = []
-    while not edges.isEmpty():
-        kept = edges.select("a").join(edges.select(F.col("b").alias("a")), "a", "left_anti").distinct()
-        out = written(edges.join(kept, "a", "left_semi").select(F.col("b").alias("ord")).distinct())
-        dropped.append(out)
-        edges = written(edges.join(out, edges["b"] == out["ord"], "left_anti").join(out, F.col("a") == out["ord"], "left_anti"))
-    return _without(nodes, dropped)
-
-
-def _without(nodes: DataFrame, dropped: list[DataFrame]) -> DataFrame:
-    if not dropped:
-        return nodes.select("ord", F.lit(True).alias("kept"))
-    gone = reduce(DataFrame.unionByName, dropped).withColumn("gone", F.lit(True))
-    return nodes.select("ord").join(gone, "ord", "left").select("ord", F.col("gone").isNull().alias("kept"))
+    ends = edges.select("a", "b").distinct()
+    holding = ends.select(F.col("a").alias("place"), F.col("a").alias("key"), F.lit(True).alias("holds"), F.lit(False).alias("checks"))
+    checked = ends.select(F.col("b").alias("place"), F.col("a").alias("key"), F.lit(False).alias("holds"), F.lit(True).alias("checks"))
+    return _kept(nodes, folds.dropped_places(holding.unionByName(checked)))
 
 
 def dedup_in_run(items: DataFrame) -> DataFrame:
     """ord, kept: greedy on url and headline keys, in the order of ord.
 
     A row is dropped if one of its keys is a kept row's; a dropped row's other key stays free.
-    Rows of equal keys fall to their first one. The others go by rounds: a row that is the first of
-    all its keys is kept, the others of these keys are dropped.
+    Rows of equal keys fall to their first one.
     """
     keyed = items.select("ord", X.keys_for(F.col("url"), F.col("title")).alias("keys"))
     first = written(keyed.groupBy("keys").agg(F.min("ord").alias("ord")))
-    each = written(first.select("ord", F.explode("keys").alias("key")))
-    dropped = []
-    while True:
-        lead = each.groupBy("key").agg(F.min("ord").alias("lead"), F.count("*").alias("n")).where("n > 1")
-        led = each.join(lead, "key")
-        blocked = led.where("ord <> lead").select("ord").distinct()
-        out = written(led.join(blocked.withColumnRenamed("ord", "lead"), "lead", "left_anti").where("ord <> lead").select("ord").distinct())
-        if out.isEmpty():
-            break
-        dropped.append(out)
-        each = written(each.join(out, "ord", "left_anti"))
-    firsts = _without(first, dropped)
+    each = first.select(F.col("ord").alias("place"), F.explode("keys").alias("key"))
+    common = each.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")  # the others decide nothing
+    claims = each.join(common, "key", "left_semi").select("place", F.xxhash64("key").alias("key"), F.lit(True).alias("holds"), F.lit(True).alias("checks"))
+    firsts = _kept(first, folds.dropped_places(claims))
     return items.select("ord").join(firsts, "ord", "left").select("ord", F.coalesce("kept", F.lit(False)).alias("kept"))
 
 
@@ -137,17 +127,16 @@ def dedup_cross_outlet(items: DataFrame, recent: DataFrame | None = None) -> Dat
     own = written(own)
     # written before they are filtered: the comparison pushed into the join would spoil its plan
     pairs = written(similar_pairs(own, own).select("l_ord", "r_ord").unionByName(signature_pairs(own, own)))
-    at = own.select("ord", F.struct(F.col("effective_date").isNull(), "effective_date", "ord").alias("at"))
-    both = pairs.where("l_ord < r_ord").distinct().join(at.select(F.col("ord").alias("l_ord"), F.col("at").alias("l_at")), "l_ord").join(at.select(F.col("ord").alias("r_ord"), F.col("at").alias("r_at")), "r_ord")
-    earlier = F.col("l_at") < F.col("r_at")
-    edges = both.select(F.when(earlier, F.col("l_ord")).otherwise(F.col("r_ord")).alias("a"), F.when(earlier, F.col("r_ord")).otherwise(F.col("l_ord")).alias("b"))
+    free = own.select("ord", F.col("effective_date").isNull().alias("undated"), "effective_date")
     if recent is not None:
-        blocked = similar_pairs(own, recent).select("l_ord").unionByName(signature_pairs(own, recent).select("l_ord")).distinct()
-        free = own.join(blocked, own["ord"] == blocked["l_ord"], "left_anti")
-        edges = edges.join(blocked, edges["a"] == blocked["l_ord"], "left_anti").join(blocked, edges["b"] == blocked["l_ord"], "left_anti")
-        folded = greedy_fold(free, edges)
-        return own.select("ord").join(folded, "ord", "left").select("ord", F.coalesce("kept", F.lit(False)).alias("kept"))
-    return greedy_fold(own, edges)
+        blocked = written(similar_pairs(own, recent).select("l_ord").unionByName(signature_pairs(own, recent).select("l_ord")).distinct())
+        free = free.join(blocked, F.col("ord") == F.col("l_ord"), "left_anti")
+    placed = written(rank.placed(free, ["undated", "effective_date", "ord"]).select("ord", "place"))
+    # from here on a row is its place; pairs of blocked rows find none
+    both = pairs.where("l_ord < r_ord").distinct().join(placed.select(F.col("ord").alias("l_ord"), F.col("place").alias("l")), "l_ord").join(placed.select(F.col("ord").alias("r_ord"), F.col("place").alias("r")), "r_ord")
+    folded = greedy_fold(placed.select(F.col("place").alias("ord")), both.select(F.least("l", "r").alias("a"), F.greatest("l", "r").alias("b")))
+    kept = placed.join(folded.select(F.col("ord").alias("place"), "kept"), "place").select("ord", "kept")
+    return own.select("ord").join(kept, "ord", "left").select("ord", F.coalesce("kept", F.lit(False)).alias("kept"))
 
 
 def merge_state(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -162,9 +151,12 @@ def merge_titles(a: DataFrame, b: DataFrame, most: int = fixed.TITLES_KEPT) -> D
 
 
 def merge_log(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Log entries once by (at, url, kind), with the larger corroboration."""
+    """Log entries once by (at, url, kind), with the larger corroboration; the rest is that of one
+    entry which has it, the same one whatever order they arrive in."""
     rest = [c for c in a.columns if c not in ("at", "url", "kind", "corroboration")]
-    return a.unionByName(b).groupBy("at", "url", "kind").agg(F.max("corroboration").alias("corroboration"), *[F.first(c, ignorenulls=True).alias(c) for c in rest])
+    chosen = F.max_by(F.struct(*rest), F.struct("corroboration", F.xxhash64(*rest))).alias("_gz_rest") if rest else F.lit(None).alias("_gz_rest")
+    once = a.unionByName(b).groupBy("at", "url", "kind").agg(F.max("corroboration").alias("corroboration"), chosen)
+    return once.select("at", "url", "kind", "corroboration", *[F.col(f"_gz_rest.{c}").alias(c) for c in rest])
 
 
 def corroboration(log: DataFrame, suppressed: DataFrame, threshold: float = fixed.SIMILARITY) -> DataFrame:

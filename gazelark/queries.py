@@ -579,6 +579,26 @@ def _(t):
     return dedup.signature_pairs(rows, rows)
 
 
+#: Orders as headlines: an amount that all have, and a name that the orders of a customer share.
+ORDER_TITLES = "SELECT o_orderkey AS ord, 'outlet' || o_orderkey % 7 AS outlet, 'order of $5 million by C' || translate(lpad(o_custkey || '', 6, '0'), '0123456789', 'abcdefghij') AS title FROM orders"
+
+
+def _order_titles(t: Tables) -> DataFrame:
+    letters = F.translate(F.lpad(F.col("o_custkey").cast("string"), 6, "0"), "0123456789", "abcdefghij")
+    outlet = F.concat(F.lit("outlet"), (F.col("o_orderkey") % 7).cast("string")).alias("outlet")
+    return t("orders").select(F.col("o_orderkey").alias("ord"), outlet, F.concat(F.lit("order of $5 million by C"), letters).alias("title"))
+
+
+@register(
+    "j04_signature_counts",
+    f"WITH s AS MATERIALIZED (SELECT ord, outlet, amount, unnest(names) AS name FROM (SELECT ord, outlet, unnest({_amounts_sql(fixed.MONEY)}) AS amount, {NAMES_SQL} AS names FROM ({ORDER_TITLES}))), "
+    "p AS (SELECT DISTINCT a.ord AS l, b.ord AS r FROM s a JOIN s b USING (amount, name) WHERE a.outlet <> b.outlet AND a.ord <> b.ord) SELECT l AS ord, count(*) AS n, min(r) AS first FROM p GROUP BY l",
+)
+def _(t):
+    rows = _order_titles(t).select("ord", "outlet", X.money_amounts(F.col("title")).alias("money"), X.proper_nouns(F.col("title")).alias("names"))
+    return dedup.signature_pairs(rows, rows).groupBy(F.col("l_ord").alias("ord")).agg(F.count("*").alias("n"), F.min("r_ord").alias("first"))
+
+
 @register("j05_source_dim", f"SELECT ord, CASE WHEN outlet = 'src1' THEN 30 ELSE 1440 END::BIGINT AS window_minutes FROM ({ITEMS})")
 def _(t):
     dim = t.spark.createDataFrame([("src1", 30, 5), ("src2", None, None)], "source_key string, window_minutes int, threshold int")
@@ -647,7 +667,7 @@ def _(t):
 def _fold_sql(rows: str, blocked: str, adds: str, kind: str, n: str = "") -> str:
     """k and f: a fold row by row over rows(i from 1, ord, ...); blocked and adds speak of f.held, a list, and of k's columns."""
     return (
-        f"k{n} AS ({rows}), f{n} AS (SELECT 0::BIGINT AS i, 0::BIGINT AS ord, false AS kept, []::{kind}[] AS held UNION ALL "
+        f"k{n} AS MATERIALIZED ({rows}), f{n} AS (SELECT 0::BIGINT AS i, 0::BIGINT AS ord, false AS kept, []::{kind}[] AS held UNION ALL "
         f"SELECT k.i, k.ord, NOT ({blocked}), CASE WHEN {blocked} THEN f.held ELSE list_concat(f.held, {adds}) END FROM f{n} f JOIN k{n} k ON k.i = f.i + 1)"
     )
 
@@ -663,15 +683,15 @@ def _(t):
 
 #: a before b: similar headlines of other outlets, or an amount and a name in common.
 EDGES_SQL = (
-    f"s AS (SELECT ord, lower(outlet) AS outlet, {_amounts_sql(fixed.MONEY)} AS money, {NAMES_SQL} AS names FROM ({ITEMS})), "
-    "e AS (SELECT l AS a, r AS b FROM p WHERE overlap >= 0.5 AND l < r UNION SELECT a.ord, b.ord FROM s a JOIN s b ON a.ord < b.ord AND a.outlet <> b.outlet AND list_has_any(a.money, b.money) AND list_has_any(a.names, b.names))"
+    f"s AS MATERIALIZED (SELECT ord, outlet, amount, unnest(names) AS name FROM (SELECT ord, lower(outlet) AS outlet, unnest({_amounts_sql(fixed.MONEY)}) AS amount, {NAMES_SQL} AS names FROM ({ITEMS}))), "
+    "e AS MATERIALIZED (SELECT l AS a, r AS b FROM p WHERE overlap >= 0.5 AND l < r UNION SELECT a.ord, b.ord FROM s a JOIN s b USING (amount, name) WHERE a.ord < b.ord AND a.outlet <> b.outlet)"
 )
 D05_SQL = _fold_sql(
     f"SELECT row_number() OVER (ORDER BY ord) AS i, ord, coalesce(near, []) AS near FROM ({ITEMS}) LEFT JOIN (SELECT b AS ord, list(a) AS near FROM e GROUP BY b) USING (ord)", "list_has_any(f.held, k.near)", "[k.ord]", "BIGINT"
 )
 
 
-@register("d05_dedup_cross_outlet", f"{PAIRS.replace('WITH w AS', 'WITH RECURSIVE w AS')}, {EDGES_SQL}, {D05_SQL} {FOLDED}")
+@register("d05_dedup_cross_outlet", f"{PAIRS.replace('WITH w AS', 'WITH RECURSIVE w AS').replace('p AS (', 'p AS MATERIALIZED (')}, {EDGES_SQL}, {D05_SQL} {FOLDED}")
 def _(t):
     return dedup.dedup_cross_outlet(t.items.withColumn("effective_date", F.col("published")))
 
