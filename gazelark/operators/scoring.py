@@ -179,6 +179,13 @@ def gift_bucket(known: Column, hint: Column, outlet_hint: Column, amount: Column
     return F.when(known, a).when(hint | outlet_hint, b).when(amount >= fixed.LARGE_GIFT, c).otherwise(d)
 
 
+def judged_bucket(known: Column, angle: Column, buckets: list[str] = fixed.JUDGED_BUCKETS) -> Column:
+    """A gift's bucket by a model's verdict: whose angle it has (donor, recipient, both, unclear, or
+    another). buckets: the names for a known person, donor, recipient or both, unclear, and the rest."""
+    person, donor, recipient, unclear, rest = buckets
+    return F.when(known, person).when(angle == "donor", donor).when(angle.isin("recipient", "both"), recipient).when(F.coalesce(angle, F.lit("unclear")) == "unclear", unclear).otherwise(rest)
+
+
 def bucket_rank(bucket: Column, order: list[str]) -> Column:
     out = None
     for i, name in enumerate(order):

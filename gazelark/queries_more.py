@@ -147,8 +147,8 @@ def _(t):
 
 @register("q06_feed_catalogue", "SELECT c_name AS source, 'https://feeds.example/' || c_custkey AS url, c_custkey % 9 = 0 AS own, replace(lower(c_name), '#', '_') AS key FROM customer")
 def _(t):
-    rows = t("customer").select("c_custkey", "c_name").collect()  # a catalogue is a list of the caller's
-    return config.feed_catalogue(t.spark, {r["c_name"]: f"https://feeds.example/{r['c_custkey']}" for r in rows}, [r["c_name"] for r in rows if r["c_custkey"] % 9 == 0])
+    feeds = t("customer").select(F.col("c_name").alias("source"), F.concat(F.lit("https://feeds.example/"), F.col("c_custkey").cast("string")).alias("url"), (F.col("c_custkey") % 9 == 0).alias("own"))
+    return config.feed_catalogue(feeds)
 
 
 @register(
@@ -364,11 +364,10 @@ def _(t):
 
 @register("t03_gift_rank", "SELECT doc_id AS ord, row_number() OVER (ORDER BY CASE lang WHEN 'fr' THEN 0 WHEN 'en' THEN 1 ELSE 2 END, n_chars DESC, doc_id) AS place FROM documents")
 def _(t):
-    from pyspark.sql import Window
-
     rows = t("documents").select(F.col("doc_id").alias("ord"), F.col("lang").alias("bucket"), F.col("n_chars").alias("amount"))
-    order = [scoring.bucket_rank(F.col("bucket"), ["fr", "en"]), F.desc("amount"), F.col("ord")]
-    return rank.gift_rank(rows, ["fr", "en"]).select("ord", F.row_number().over(Window.orderBy(*order)).cast("long").alias("place"))
+    # numbered as the operator's rows come: its ranges one after the other, and in each as it sorted them
+    ordered = rank.gift_rank(rows, ["fr", "en"]).select("ord", F.monotonically_increasing_id().alias("at"))
+    return rank.placed(ordered, ["at"]).select("ord", "place")
 
 
 ORDERED = "SELECT o_orderdate::DATE AS date, o_orderkey % 7 AS news_score, o_orderpriority || ' ' || o_orderkey AS title FROM orders"

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,12 +67,13 @@ def _replace(spark: SparkSession, path: str) -> None:
         raise OSError(f"{path}.next could not be moved to {path}")
 
 
-def feed_catalogue(spark: SparkSession, feeds: dict[str, str], own: list[str] = ()) -> DataFrame:
-    """source, url, own, key: a catalogue of feeds (name -> address); `own` ones serve only to leave out
-    what was published already. Names and addresses must be unique."""
-    twice = {u for u in feeds.values() if list(feeds.values()).count(u) > 1}
-    unknown = set(own) - set(feeds)
-    if twice or unknown:
-        raise ValueError(f"feeds that stand twice: {sorted(twice)}; unknown: {sorted(unknown)}")
-    rows = [(name, url, name in own, re.sub(r"[^a-z0-9]+", "_", name.lower()).strip("_")) for name, url in sorted(feeds.items())]
-    return spark.createDataFrame(rows, "source string, url string, own boolean, key string")
+def feed_catalogue(feeds: DataFrame) -> DataFrame:
+    """source, url, own, key of rows (source, url, own): a catalogue of feeds; `own` ones serve only to leave
+    out what was published already. A name or an address that stands twice is an error where it is read."""
+    key = F.regexp_replace(F.regexp_replace(F.lower("source"), "[^a-z0-9]+", "_"), "^_+|_+$", "")
+    # each name and each address is counted by itself; only those that stand twice go on
+    once = lambda c: feeds.groupBy(F.col(c).alias("twice")).agg(F.count("*").alias("n")).where("n > 1").select("twice")
+    twice = once("source").unionByName(once("url")).agg(F.array_sort(F.collect_set("twice")).alias("twice"))
+    wrong = F.raise_error(F.concat(F.lit("feeds that stand twice: "), F.array_join(F.slice("twice", 1, 20), ", "))).cast("boolean")
+    # one row against all, so that the error is raised whichever part is read
+    return feeds.join(F.broadcast(twice), F.lit(True)).where((F.size("twice") == 0) | wrong).select("source", "url", F.coalesce("own", F.lit(False)).alias("own"), key.alias("key"))

@@ -349,10 +349,11 @@ def test_model_events_without_a_verdict_and_beyond_the_calls(spark):
 
 
 def test_catalogues_refuse_what_they_cannot_mean(spark):
-    with pytest.raises(ValueError):
-        config.feed_catalogue(spark, {"a": "https://x", "b": "https://x"})
-    with pytest.raises(ValueError):
-        config.feed_catalogue(spark, {"a": "https://x"}, own=["c"])
+    table = lambda rows: config.feed_catalogue(spark.createDataFrame(rows, "source string, url string, own boolean"))
+    for rows in ([("a", "https://x", None), ("b", "https://x", None)], [("a", "https://x", None), ("a", "https://y", None)]):
+        with pytest.raises(Exception, match="stand twice"):
+            table(rows).collect()
+    assert [tuple(r) for r in table([("A b!", "https://x", None)]).collect()] == [("A b!", "https://x", False, "a_b")]
     feeds.register(spark)
     with pytest.raises(Exception, match="no web address"):
         spark.read.format("gazelark_feeds").option("catalogue", "one\t/etc/hosts").load().collect()

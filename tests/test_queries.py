@@ -5,7 +5,7 @@ import datetime
 import duckdb
 import pytest
 
-from gazelark import queries, queries_more  # noqa: F401
+from gazelark import queries, queries_more, queries_state  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
