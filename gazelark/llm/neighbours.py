@@ -1,6 +1,8 @@
 """Approximate nearest neighbours by cross-polytope hashing.
 
-A unit vector goes through three rounds of random signs and a fast Hadamard transform; its axis in a
+The mean of all unit vectors of a length is taken off first, so that vectors around one centre are told
+apart by what they differ in; the cosine that ranks is that of the vectors as given. What is left, as a
+unit vector, goes through three rounds of random signs and a fast Hadamard transform; its axis in a
 rotation is the nearest signed one. A table's code joins the axes of as many rotations as give about
 a bucket for every BUCKET_ROWS vectors; the last rotation looks at fewer coordinates, so that the
 number of codes follows the number of vectors smoothly. A query looks up its nearest codes in
@@ -8,7 +10,9 @@ every table, PROBES * n**GROWTH of them, so the vectors that it meets grow far s
 
 Buckets hold ids. Ids met are collected for each query and block of vectors, so vectors travel once,
 and a query's only to the blocks that it met; there the exact cosine in double precision ranks them.
-Of equal vectors the nearest + 1 smallest ids stand for all (no other can be a result), and equal
+A code that more than a HOT_SHARE-th of the vectors have is dealt out in chunks of that size (such
+codes are fewer than HOT_SHARE in a table, so they are broadcast), and a query that looks it up meets
+each of them. Of equal vectors the nearest + 1 smallest ids stand for all (no other can be a result), and equal
 queries are asked once, so a vector that a third of the rows have is no hot bucket. A query that
 finds fewer than it asks for is ranked against all vectors, in blocks.
 
@@ -33,6 +37,7 @@ BUCKET_ROWS = 4
 NEAREST = 5
 BLOCK, BLOCK_PAIRS = 4096, 2_000_000  # vectors of a block at most, and pairs that it is to meet, about
 SEED = 11
+HOT_SHARE = 200
 
 
 def transform(x: np.ndarray) -> np.ndarray:
@@ -134,8 +139,54 @@ def _matrix(column, wide) -> np.ndarray:
     return np.array([np.frombuffer(v, "<f8" if w else "<f4") for v, w in zip(column.to_pylist(), wide.to_pylist())], np.float64)
 
 
-def coded(rows: DataFrame, name: str, sizes: dict[int, int], tables: int, probes: dict[int, int]) -> DataFrame:
-    """name, dim, table, code: the nearest codes of each row (name, dim, wide, vec). sizes: vectors of each length; probes: codes for each."""
+_SUMS = T.StructType([T.StructField("dim", T.IntegerType()), T.StructField("sums", T.ArrayType(T.DoubleType())), T.StructField("n", T.LongType())])
+
+
+def centres(rows: DataFrame) -> dict[int, np.ndarray]:
+    """The mean of the unit vectors of each length; a task adds up its own first."""
+
+    def run(batches):
+        import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        sums: dict[int, np.ndarray] = {}
+        counts: dict[int, int] = {}
+        for batch in batches:
+            dims = batch.column(0).to_numpy()
+            for d in np.unique(dims).tolist():
+                part = batch.take(pa.array(np.flatnonzero(dims == d)))
+                unit = _unit(_matrix(part.column(2), part.column(1)))
+                sums[d], counts[d] = sums.get(d, 0) + unit.sum(axis=0), counts.get(d, 0) + len(unit)
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([v.tolist() for v in sums.values()], pa.list_(pa.float64())), pa.array(list(counts.values()), pa.int64())], schema=to_arrow_schema(_SUMS))
+
+    each = rows.select("dim", "wide", "vec").mapInArrow(run, _SUMS).select("dim", "n", F.posexplode("sums").alias("at", "sum"))
+    means: dict[int, dict[int, float]] = {}
+    for r in each.groupBy("dim", "at").agg((F.sum("sum") / F.sum("n")).alias("mean")).collect():  # as many numbers as a vector has
+        means.setdefault(r["dim"], {})[r["at"]] = r["mean"]
+    # rounded, so that the order in which tasks are added up decides no code
+    return {d: np.round(np.array([m[k] for k in range(d)]), 9) for d, m in means.items()}
+
+
+def _apart(unit: np.ndarray, centre: np.ndarray) -> np.ndarray:
+    """Unit vectors without their centre, as unit vectors; zero where nothing is left."""
+    left = unit - centre
+    size = np.sqrt((left * left).sum(axis=1, keepdims=True))
+    return np.where(size > 1e-9, left / np.maximum(size, 1e-9), 0.0)
+
+
+def chunked(posted: DataFrame, probed: DataFrame, sizes: dict[int, int]) -> tuple[DataFrame, DataFrame]:
+    """Both with `chunk`: postings of a hot code are dealt out, and its lookups go to each chunk."""
+    of_dim = F.coalesce(*[F.when(F.col("dim") == d, F.lit(n)) for d, n in sizes.items()], F.lit(1))
+    counted = posted.groupBy("dim", "table", "code").agg(F.count("*").alias("n"))
+    hot = F.broadcast(counted.where(F.col("n") * HOT_SHARE > of_dim).select("dim", "table", "code", F.ceil(F.col("n") * HOT_SHARE / of_dim).cast("int").alias("chunks")))
+    keys = ["dim", "table", "code"]
+    dealt = posted.join(hot, keys, "left").withColumn("chunk", F.coalesce(F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"), F.lit(0))).drop("chunks")
+    asked = probed.join(hot, keys, "left").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.coalesce("chunks", F.lit(1)) - 1))).drop("chunks")
+    return dealt, asked
+
+
+def coded(rows: DataFrame, name: str, sizes: dict[int, int], tables: int, probes: dict[int, int], middle: dict[int, np.ndarray]) -> DataFrame:
+    """name, dim, table, code: the nearest codes of each row (name, dim, wide, vec). sizes: vectors of each length; probes: codes for each; middle: centres."""
     schema = T.StructType([T.StructField(name, T.LongType()), T.StructField("dim", T.IntegerType()), T.StructField("codes", T.ArrayType(T.LongType()))])
 
     def run(batches):
@@ -149,7 +200,7 @@ def coded(rows: DataFrame, name: str, sizes: dict[int, int], tables: int, probes
                 dims = batch.column(1).to_numpy()
                 for d in np.unique(dims):
                     part = batch.take(pa.array(np.flatnonzero(dims == d)))
-                    unit, looks = _unit(_matrix(part.column(3), part.column(2))), rotations(sizes[int(d)], int(d))
+                    unit, looks = _apart(_unit(_matrix(part.column(3), part.column(2))), middle[int(d)]), rotations(sizes[int(d)], int(d))
                     own = np.hstack([codes(unit, t, looks, probes[int(d)]) for t in range(tables)])
                     yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(list(own), kinds[2].type)], schema=kinds)
 
@@ -218,9 +269,10 @@ def search(vectors: DataFrame, is_query, key: str = "vec_id", column: str = "emb
     lookups = {d: probes or probed_codes(n) for d, n in sizes.items()}
     blocks = max(1, -(-sum(sizes.values()) // BLOCK), min(sum(sizes.values()), n_queries * tables * max(lookups.values(), default=1) * BUCKET_ROWS // BLOCK_PAIRS))
     block = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block")
-    posted = coded(rows, "id", sizes, tables, dict.fromkeys(sizes, 1))
-    probed = coded(queries, "asked", sizes, tables, lookups)
-    met = posted.join(probed, ["dim", "table", "code"]).groupBy("asked", "dim", block).agg(F.collect_set("id").alias("ids"))  # ids of one block
+    middle = centres(rows)
+    posted = checkpointed(coded(rows, "id", sizes, tables, dict.fromkeys(sizes, 1), middle))
+    posted, probed = chunked(posted, coded(queries, "asked", sizes, tables, lookups, middle), sizes)
+    met = posted.join(probed, ["dim", "table", "code", "chunk"]).groupBy("asked", "dim", block).agg(F.collect_set("id").alias("ids"))  # ids of one block
     visits = met.join(queries, ["asked", "dim"]).select("dim", "block", "asked", "wide", "vec", "ids")
     everything = rows.select("dim", block, "id", "wide", "vec")
     rank = _ranker(most)

@@ -275,3 +275,44 @@ def test_align_gives_groups(spark):
     groups = plain_groups("unbelievable tokens")
     assert row[0]["left_ids"] == [x for a, _ in groups for x in a] and row[0]["right_ids"] == [x for _, b in groups for x in b]
     assert row[0]["left_groups"] == [k for k, (a, _) in enumerate(groups) for _ in a] and row[1]["right_ids"] == []
+
+
+# --- 4: vectors around one centre ---
+
+
+def test_neighbours_of_vectors_around_one_centre(spark, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from gazelark.llm import neighbours
+
+    rng = np.random.default_rng(1)
+    centre = rng.standard_normal(64)
+    x = (centre / np.linalg.norm(centre) + rng.standard_normal((20_000, 64)) * 0.02).astype(np.float32)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    assert (unit @ unit.mean(axis=0)).mean() > 0.96
+    pq.write_table(pa.table({"vec_id": pa.array(np.arange(len(x))), "embedding": pa.array(list(x), pa.list_(pa.float32()))}), f"{tmp_path}/v.parquet")
+    df = spark.read.parquet(str(tmp_path))
+    rows = neighbours.usable(df, "vec_id", "embedding")
+    posted = neighbours.coded(rows, "id", {64: len(x)}, neighbours.TABLES, {64: 1}, neighbours.centres(rows))
+    assert posted.groupBy("table", "code").count().agg(F.max("count")).first()[0] < len(x) / 100
+    found = defaultdict(set)
+    for r in neighbours.search(df, lambda key: key % 200 == 0).collect():
+        found[r["query_id"]].add(r["vec_id"])
+    hits = 0
+    for q in found:
+        score = unit @ unit[q]
+        score[q] = -9
+        hits += len(found[q] & set(np.argsort(-score)[:5].tolist()))
+    assert len(found) == 100 and hits >= 0.9 * 500
+
+
+def test_codes_that_most_vectors_have_are_dealt_out(spark):
+    from gazelark.llm import neighbours
+
+    posted = spark.range(1_000).select(F.col("id"), F.lit(2).alias("dim"), F.lit(0).alias("table"), F.when(F.col("id") < 600, 7).otherwise(F.col("id")).cast("long").alias("code"))
+    probed = spark.createDataFrame([(1, 2, 0, 7), (2, 2, 0, 700), (3, 2, 0, 9999)], "asked long, dim int, table int, code long")
+    dealt, asked = neighbours.chunked(posted, probed, {2: 1_000})
+    assert dealt.groupBy("code", "chunk").count().agg(F.max("count")).first()[0] < 30
+    met = dealt.join(asked, ["dim", "table", "code", "chunk"]).groupBy("asked").agg(F.count("*").alias("n"), F.count_distinct("id").alias("ids")).orderBy("asked").collect()
+    assert [tuple(r) for r in met] == [(1, 600, 600), (2, 1, 1)]
