@@ -4,7 +4,9 @@ A text is cut at the values found; each is validated and permuted by a keyed Fei
 within its own format, so that equal values get equal pseudonyms in every document:
 
 - card numbers of 13 to 19 digits with a right check digit keep length, first digit and validity;
-- telephone numbers keep their punctuation and country code, their national digits are permuted;
+- telephone numbers keep their punctuation and country code (by the table of codes), their national
+  digits are permuted; those of the form NXX NXX XXXX among each other, with and without +1, so that
+  both spellings of a number stay linked;
 - social security numbers are permuted among valid ones (walking the cycle);
 - dates of 1900-01-01 plus 72,900 days are permuted among these days and keep their pattern
   (dd/MM/yyyy, or MM/dd/yyyy where the day is over 12);
@@ -44,11 +46,17 @@ PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]++\.){1,127}[A-Za-z]{2,}",
     "ip": rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?![\d]|\.\d)",
     "date": r"(?<![\d/.-])(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})(?![\d/-]|\.\d)",
-    "phone": r"\+\d{1,3}[ .-]?\(?\d{2,4}\)?[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\d)|(?<!\d)\([2-9]\d{2}\) ?[2-9]\d{2}[-. ]\d{4}(?!\d)|(?<![\d-])[2-9]\d{2}([-. ])[2-9]\d{2}\1\d{4}(?![\d-])",
+    "phone": r"\+\d{1,3}[ .-]?\(?\d{1,4}\)?[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\d)|(?<!\d)\([2-9]\d{2}\) ?[2-9]\d{2}[-. ]\d{4}(?!\d)|(?<![\d-])[2-9]\d{2}([-. ])[2-9]\d{2}\1\d{4}(?![\d-])",
     "ssn": r"(?<![\d-])(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}(?![\d-])",
     "card": r"(?<!\d)(?:\d{13,19}|\d{4}([ -])\d{4}\2\d{4}\2\d{1,7}|\d{4}([ -])\d{6}\3\d{5})(?!\d)",
 }
 ALL = "|".join(PATTERNS.values())
+#: The international country codes of one and two digits; all others have three.
+SHORT_CODES = ["1", "7"]
+MIDDLE_CODES = [
+    "20", "27", "30", "31", "32", "33", "34", "36", "39", "40", "41", "43", "44", "45", "46", "47", "48", "49", "51", "52", "53", "54", "55", "56", "57", "58",
+    "60", "61", "62", "63", "64", "65", "66", "81", "82", "84", "86", "90", "91", "92", "93", "94", "95", "98",
+]
 _DATE_FORMATS = {r"^\d{4}-": "yyyy-MM-dd", r"^\d{4}/": "yyyy/MM/dd", r"^\d{2}/(?:1[3-9]|[23]\d)/": "MM/dd/yyyy", r"^\d{2}/": "dd/MM/yyyy", r"^\d{2}\.": "dd.MM.yyyy"}
 
 
@@ -123,11 +131,23 @@ def _card(value: Column, key: Column) -> Column:
     return _let(F.regexp_replace(value, "[^0-9]", ""), body)
 
 
+def country_code_length(digits: Column) -> Column:
+    """How many of an international number's first digits are its country code; no code begins another."""
+    return F.when(F.substring(digits, 1, 1).isin(SHORT_CODES), 1).when(F.substring(digits, 1, 2).isin(MIDDLE_CODES), 2).otherwise(3)
+
+
 def _phone(value: Column, key: Column) -> Column:
+    def american(digits: Column) -> Column:
+        """Ten digits NXX NXX XXXX, as two numbers that any permutation leaves of this form."""
+        n = lambda at, size: F.substring(digits, at, size).cast("long")
+        halves = feistel(n(1, 3) - 200, n(4, 7) - 2_000_000, F.lit(800).cast("long"), F.lit(8_000_000).cast("long"), key, F.lit("phone"))
+        return _let(halves, lambda h: F.concat((h["a"] + 200).cast("string"), (h["b"] + 2_000_000).cast("string")))
+
     def body(digits: Column) -> Column:
-        kept = F.when(value.startswith("+"), F.greatest(F.length(digits) - 10, F.lit(1))).otherwise(0)
-        tail = F.substring(digits, kept + 1, F.length(digits))
-        return F.when(F.length(digits).between(9, 15), refilled(value, F.concat(F.substring(digits, F.lit(1), kept), permuted_digits(tail, key, F.lit("phone")))))
+        kept = F.when(value.startswith("+"), country_code_length(digits)).otherwise(0)
+        code, tail = F.substring(digits, F.lit(1), kept), F.substring(digits, kept + 1, F.length(digits))
+        new = F.when((code.isin("", "1")) & tail.rlike(r"^[2-9]\d{2}[2-9]\d{6}$"), american(tail)).otherwise(permuted_digits(tail, key, F.concat(F.lit("phone"), code)))
+        return F.when(F.length(digits).between(9, 15), refilled(value, F.concat(code, new)))
 
     return _let(F.regexp_replace(value, "[^0-9]", ""), body)
 
@@ -176,12 +196,19 @@ _PERMUTE = {"email": _email, "ip": _ip, "date": _date, "phone": _phone, "ssn": _
 
 def replaced(value: Column, key: Column) -> Column:
     """struct(kind, text): the pseudonym, or the value itself with a null kind where it isn't valid."""
-    kind, new = None, None
+    # what only one kind has is looked at before the patterns
+    kind = F.when(F.contains(value, F.lit("@")), F.lit("email")).when(value.startswith("+"), F.lit("phone"))
     for name, pattern in PATTERNS.items():
-        whole = value.rlike("^(?:" + pattern.replace(r"\2", r"\1").replace(r"\3", r"\2") + ")$")
-        kind = F.when(whole, F.lit(name)) if kind is None else kind.when(whole, F.lit(name))
-        new = F.when(whole, _PERMUTE[name](value, key)) if new is None else new.when(whole, _PERMUTE[name](value, key))
-    return _let(F.struct(kind.alias("kind"), new.alias("text")), lambda x: F.struct(F.when(x["text"].isNotNull(), x["kind"]).alias("kind"), F.coalesce(x["text"], value).alias("text")))
+        if name != "email":
+            kind = kind.when(value.rlike("^(?:" + pattern.replace(r"\2", r"\1").replace(r"\3", r"\2") + ")$"), F.lit(name))
+
+    def body(k: Column) -> Column:
+        new = F.lit(None).cast("string")
+        for name, permute in reversed(_PERMUTE.items()):
+            new = F.when(k == name, permute(value, key)).otherwise(new)
+        return _let(new, lambda text: F.struct(F.when(text.isNotNull(), k).alias("kind"), F.coalesce(text, value).alias("text")))
+
+    return _let(kind, body)
 
 
 def session_key(spark: SparkSession) -> str:

@@ -316,3 +316,61 @@ def test_codes_that_most_vectors_have_are_dealt_out(spark):
     assert dealt.groupBy("code", "chunk").count().agg(F.max("count")).first()[0] < 30
     met = dealt.join(asked, ["dim", "table", "code", "chunk"]).groupBy("asked").agg(F.count("*").alias("n"), F.count_distinct("id").alias("ids")).orderBy("asked").collect()
     assert [tuple(r) for r in met] == [(1, 600, 600), (2, 1, 1)]
+
+
+# --- 7: pseudonyms stay in their format ---
+
+
+def test_pseudonyms_are_of_the_same_kind_form_and_code(spark):
+    import random
+    import re
+
+    from gazelark.llm import personal
+
+    rng, n = random.Random(4), 2_000
+    digits = lambda k: "".join(rng.choice("0123456789") for _ in range(k))
+    area = lambda: f"{rng.randrange(200, 1000)}"
+
+    def card():
+        own = rng.choice("3456") + digits(14)
+        total = sum(d * 2 - 9 * (d > 4) if i % 2 == 0 else d for i, d in enumerate(map(int, own)))
+        return own + str(-total % 10)
+
+    makers = {
+        "american": lambda: f"({area()}) {area()}-{digits(4)}",
+        "dotted": lambda: f"{area()}.{area()}.{digits(4)}",
+        "plus one": lambda: f"+1 {area()} {area()} {digits(4)}",
+        "two digits": lambda: f"+{rng.choice(personal.MIDDLE_CODES)} {rng.randrange(10, 9999)} {digits(3)}{digits(3)}",
+        "three digits": lambda: f"+{rng.choice(['353', '420', '971', '212'])} {rng.randrange(1, 10)} {digits(3)} {digits(4)}",
+        "ssn": lambda: f"{rng.choice(['001', '123', '665', '899'])}-{rng.randrange(1, 100):02d}-{rng.randrange(1, 10000):04d}",
+        "date": lambda: f"{rng.randrange(1950, 2020)}-{rng.randrange(1, 13):02d}-{rng.randrange(1, 29):02d}",
+        "ip": lambda: ".".join(str(rng.randrange(256)) for _ in range(4)),
+        "card": card,
+    }
+    rows = [(f"{name}|{make()}",) for name, make in makers.items() for _ in range(n)]
+    df = spark.createDataFrame(rows, "row string").selectExpr("substring_index(row, '|', 1) AS made", "substring_index(row, '|', -1) AS text").repartition(8)
+    out = personal.pseudonymise(df, "key").select("made", "text", F.col("pseudonymised.text").alias("new"), F.col("pseudonymised.kinds").alias("kinds"))
+    kind_of = {"american": "phone", "dotted": "phone", "plus one": "phone", "two digits": "phone", "three digits": "phone"}
+    code_of = lambda text: (lambda d: d[:1] if d[:1] in personal.SHORT_CODES else d[:2] if d[:2] in personal.MIDDLE_CODES else d[:3])(re.sub("[^0-9]", "", text))
+    same = 0
+    for r in out.collect():
+        kind = kind_of.get(r["made"], r["made"])
+        assert r["kinds"] == [kind], r
+        pattern = personal.PATTERNS[kind].replace(r"\2", r"\1").replace(r"\3", r"\2")
+        assert re.fullmatch(pattern, r["new"]), r
+        if kind != "ip":
+            assert re.sub("[0-9]", "0", r["new"]) == re.sub("[0-9]", "0", r["text"]), r
+        if r["text"].startswith("+"):
+            assert code_of(r["new"]) == code_of(r["text"]), r
+        same += r["new"] == r["text"]
+    assert same < n / 100
+
+
+def test_both_spellings_of_a_number_stay_linked(spark):
+    from gazelark.llm import personal
+
+    rows = [("(212) 555-0100",), ("+1 212-555-0100",), ("212.555.0100",), ("+353 1 234 5678",), ("+49 30 123456",)]
+    got = [r["pseudonymised"]["text"] for r in personal.pseudonymise(spark.createDataFrame(rows, "text string").coalesce(1), "key").collect()]
+    tail = lambda s: "".join(c for c in s if c.isdigit())[-10:]
+    assert tail(got[0]) == tail(got[1]) == tail(got[2]) != "2125550100"
+    assert got[3].startswith("+353 ") and got[3] != rows[3][0] and got[4].startswith("+49 ")
