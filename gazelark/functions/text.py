@@ -67,6 +67,16 @@ def strip_tags(c: Column) -> Column:
     return collapse(unescape(F.regexp_replace(F.coalesce(c, F.lit("")), "<[^>]+>", "")))
 
 
+def clean_archive(c: Column) -> Column:
+    """An archived paragraph as text: tags to nothing, entities, single blanks (one that doesn't break is one)."""
+    return strip_tags(c)
+
+
+def entry_date(published: Column, updated: Column) -> Column:
+    """When a feed's entry was published, else changed."""
+    return F.coalesce(feed_time(published), feed_time(updated))
+
+
 def canonical_url(c: Column) -> Column:
     """Without fragment, query and closing slashes, in lower case."""
     return F.lower(F.regexp_replace(F.regexp_replace(strip(F.coalesce(c, F.lit(""))), r"(?s)[#?].*$", ""), "/+$", ""))

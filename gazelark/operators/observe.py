@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gazelark.functions import text as X
+from gazelark.shared import checkpointed as written
 
 
 def gate_counts(items: DataFrame, gates: list[str]) -> DataFrame:
@@ -52,10 +53,20 @@ def streaks(history: DataFrame, key: str, order: list[str], ok: Column) -> DataF
 
 
 def longest_streaks(history: DataFrame, key: str, order: list[str], ok: Column) -> DataFrame:
-    """key, longest: the longest run of failures (gaps and islands)."""
-    w = Window.partitionBy(key).orderBy(*order)
-    islands = history.withColumn("_gz_island", F.count_if(ok).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return islands.where(~ok).groupBy(key, "_gz_island").agg(F.count("*").alias("n")).groupBy(key).agg(F.max("n").alias("longest"))
+    """key, longest: the longest run of failures (gaps and islands).
+
+    Runs are counted within ranges of (key, order), so that no task holds a key's whole history; a run
+    that goes on in the next range has the same number of ok rows before it, and is put together by it.
+    """
+    # written, as the ranges must hold when a task is repeated
+    ranged = written(history.select(key, *order, ok.alias("_gz_ok")).repartitionByRange(key, *order).withColumn("_gz_range", F.spark_partition_id()))
+    so_far = F.count_if("_gz_ok").over(Window.partitionBy("_gz_range", key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    islands = ranged.withColumn("_gz_island", so_far).groupBy("_gz_range", key, "_gz_island").agg(F.count_if(~F.col("_gz_ok")).alias("n"))
+    goods = ranged.groupBy("_gz_range", key).agg(F.count_if("_gz_ok").alias("_gz_good"))  # a row for each range of a key
+    earlier = Window.partitionBy(key).orderBy("_gz_range").rowsBetween(Window.unboundedPreceding, -1)
+    before = goods.select(F.col("_gz_range").alias("_gz_at"), F.col(key).alias("_gz_of"), F.coalesce(F.sum("_gz_good").over(earlier), F.lit(0)).alias("_gz_before"))
+    numbered = islands.where("n > 0").join(before, (F.col("_gz_range") == F.col("_gz_at")) & F.col(key).eqNullSafe(F.col("_gz_of")))
+    return numbered.groupBy(key, F.col("_gz_before") + F.col("_gz_island")).agg(F.sum("n").alias("n")).groupBy(key).agg(F.max("n").alias("longest"))
 
 
 def counter_topk(rows: DataFrame, column: str, k: int = 12) -> DataFrame:

@@ -23,20 +23,26 @@ def no_judge(batch: list[dict]) -> None:
 
 
 def screened(rows: DataFrame, judge: Callable[[list[dict]], set | None], size: int = 25, id_column: str = "ord") -> DataFrame:
-    """rows with boolean `kept` (null: no verdict), batches of `size` rows within a partition."""
+    """rows with boolean `kept` (null: no verdict), `size` rows a call; only a partition's last call has fewer."""
     schema = T.StructType([*rows.schema, T.StructField("kept", T.BooleanType())])
 
     def run(frames):
         import pandas as pd
 
+        def judged(part):
+            verdict = judge(part.to_dict("records"))
+            kept = [None] * len(part) if verdict is None else [i in verdict for i in part[id_column]]
+            return part.assign(kept=pd.array(kept, dtype="boolean"))
+
+        rest = None  # less than a call's rows, for the frame to come
         for frame in frames:
-            parts = []
-            for a in range(0, len(frame), size):
-                part = frame.iloc[a : a + size]
-                verdict = judge(part.to_dict("records"))
-                kept = [None] * len(part) if verdict is None else [i in verdict for i in part[id_column]]
-                parts.append(part.assign(kept=pd.array(kept, dtype="boolean")))
-            yield pd.concat(parts) if parts else frame.assign(kept=pd.array([], dtype="boolean"))
+            rest = frame if rest is None or rest.empty else pd.concat([rest, frame], ignore_index=True)
+            whole = len(rest) // size * size
+            for a in range(0, whole, size):
+                yield judged(rest.iloc[a : a + size])
+            rest = rest.iloc[whole:]
+        if rest is not None and len(rest):
+            yield judged(rest)
 
     return rows.mapInPandas(run, schema)
 

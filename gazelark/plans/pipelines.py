@@ -11,7 +11,7 @@ from gazelark import fixed
 from gazelark.functions import predicates as P
 from gazelark.functions import text as X
 from gazelark.lexicon import Lexicon
-from gazelark.operators import dedup, joins, rank, scoring
+from gazelark.operators import dedup, joins, rank, scoring, sets
 
 
 def items(documents: DataFrame) -> DataFrame:
@@ -82,7 +82,7 @@ def flagship(documents: DataFrame, lexicon: Lexicon, now: Column, most: int = 25
 def pool(feed_items: DataFrame, own_items: DataFrame, now: Column) -> DataFrame:
     """The two-section pool of rows (ord, source, title, link, published raw, summary): others' items,
     once by headline, not published yet, through the pre-filter, and within 26 hours."""
-    others = feed_items.join(own_items.select("source").distinct(), "source", "left_anti")
+    others = sets.except_self(feed_items, own_items)
     once = dedup.first_by(others, X.norm_title(F.col("title")), "ord")
     fresh = dedup.already_published(once, own_items).where(P.prefilter(F.col("title"), F.col("summary")))
     return fresh.withColumn("age_hours", X.age_hours(F.col("published"), now)).where(P.within_window(F.col("age_hours")))

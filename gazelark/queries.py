@@ -15,7 +15,7 @@ from gazelark import fixed, lexicon
 from gazelark.functions import predicates as P
 from gazelark.functions import text as X
 from gazelark.lexicon import consuming_pattern
-from gazelark.operators import dedup, joins, observe, rank, scoring
+from gazelark.operators import dedup, joins, observe, rank, scoring, sets
 from gazelark.plans import pipelines
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -708,9 +708,9 @@ def _(t):
     return dedup.merge_log(side(F.length("event_type") + F.col("user_id") % 3), side(F.col("user_id") % 5)).select("url", "kind", "corroboration")
 
 
-@register("d09_ordered_distinct", "SELECT user_id, array_to_string(list_sort(list_distinct(list(event_type))), ',') AS kinds FROM events GROUP BY user_id")
+@register("d09_ordered_distinct", "SELECT user_id, string_agg(event_type, ',' ORDER BY first) AS kinds FROM (SELECT user_id, event_type, min(event_id) AS first FROM events GROUP BY user_id, event_type) GROUP BY user_id")
 def _(t):
-    return t("events").groupBy("user_id").agg(F.array_join(F.array_sort(F.collect_set("event_type")), ",").alias("kinds"))
+    return sets.ordered_distinct(t("events"), "user_id", "event_type", "event_id").select("user_id", F.array_join("values", ",").alias("kinds"))
 
 
 @register("a04_corroboration", PAIRS.replace("WHERE a.outlet <> b.outlet AND a.ord <> b.ord", "WHERE a.ord % 3 <> 0 AND b.ord % 3 = 0") + f", best AS (SELECT l, r FROM p QUALIFY row_number() OVER (PARTITION BY l ORDER BY stamp DESC, r DESC) = 1) SELECT i.ord, 1 + count(best.l) AS corroboration FROM ({ITEMS}) i LEFT JOIN best ON best.r = i.ord WHERE i.ord % 3 = 0 GROUP BY i.ord")

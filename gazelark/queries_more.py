@@ -14,9 +14,9 @@ from gazelark import fixed
 from gazelark.functions import predicates as P
 from gazelark.functions import text as X
 from gazelark.lexicon import consuming_pattern, term_pattern
-from gazelark.operators import dedup, joins, observe, rank, scoring, screen
+from gazelark.operators import dedup, joins, observe, rank, scoring, screen, sets
 from gazelark.plans import pipelines, render
-from gazelark.queries import EVENT_TITLES, ITEMS, KEYED, POOL, SCORED, TOY, Inline, now, register, sql_list, sql_words, tick_sql
+from gazelark.queries import EVENT_TITLES, ITEMS, KEYED, POOL, SCORED, TOY, Extended, Inline, now, register, sql_list, sql_words, tick_sql
 from gazelark.shared import shared_folder
 from gazelark.sources import config, markup
 
@@ -24,13 +24,14 @@ from gazelark.sources import config, markup
 
 
 def _feed(t):
-    """documents as one RSS body for each source."""
+    """documents as RSS bodies, one for each source and run of 1,000 documents."""
     item = F.concat(F.lit("<item><title>"), X.escape_markup(F.col("title")), F.lit("</title><link>"), "url", F.lit("</link><pubDate>"), F.date_format("published", "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit("</pubDate></item>"))
     items = F.transform(F.array_sort(F.collect_list(F.struct("ord", item.alias("item")))), lambda x: x["item"])
-    return t.items.groupBy("source_key").agg(F.concat(F.lit("<rss><channel>"), F.array_join(items, ""), F.lit("</channel></rss>")).alias("body"))
+    feed = F.concat_ws(".", "source_key", F.floor(F.col("ord") / 1000).cast("string")).alias("source_key")
+    return t.items.groupBy(feed).agg(F.concat(F.lit("<rss><channel>"), F.array_join(items, ""), F.lit("</channel></rss>")).alias("body"))
 
 
-FEED_SQL = f"SELECT source_key, row_number() OVER (PARTITION BY source_key ORDER BY ord) - 1 AS ord, trim(regexp_replace(title, '\\s+', ' ', 'g')) AS title, url AS link FROM ({ITEMS})"
+FEED_SQL = f"SELECT source_key || '.' || ord // 1000 AS source_key, row_number() OVER (PARTITION BY source_key, ord // 1000 ORDER BY ord) - 1 AS ord, trim(regexp_replace(title, '\\s+', ' ', 'g')) AS title, url AS link FROM ({ITEMS})"
 
 
 @register("s05_feed_entries", f"SELECT * FROM ({FEED_SQL}) WHERE title <> ''")
@@ -93,13 +94,16 @@ def _(t):
     return markup.dated_events(_concerts(t("part")), F.lit("2024-01-01").cast("date")).select("date", "title")
 
 
-ARCHIVE = Inline("id long, html string, expected string", (
+ARCHIVE = Extended(Inline("id long, html string, expected string", (
     (1, "<h2>What we watch</h2><p>" + "The council of the old town meets on Monday to talk about the harbour." + "</p><p>short</p><h2>Else</h2><p>" + "y" * 60 + "</p>", "The council of the old town meets on Monday to talk about the harbour."),
-    (2, "<h3>Other</h3><p>" + "x" * 70 + "</p>", None),
-))
+    (2, "<h3>Other</h3><p>" + "x" * 70 + "</p>", None), (3, "<h2>What we watch</h2><p>" + "The last section, which no other heading ends, isn't one of the archive's." + "</p>", None),
+)),
+    f"SELECT ord + 1000, NULL, CASE WHEN ord % 5 > 1 THEN 'Archived item ' || ord || ': ' || trim(regexp_replace(title, '\\s+', ' ', 'g')) END FROM ({ITEMS})",
+    lambda t: t.items.select((F.col("ord") + 1000).alias("id"), F.concat(F.lit("<h2>Else</h2><p>"), F.lit("z" * 60), F.lit("</p><h3 class='x'> What we Watch </h3><p>"), F.when(F.col("ord") % 5 == 0, "Read more: ").when(F.col("ord") % 5 == 1, "Subscribe to ").otherwise("<b>Archived</b> item&nbsp;"), F.col("ord").cast("string"), F.lit(": "), X.escape_markup(F.col("title")), F.lit("</p><h2>Next</h2><p>"), F.lit("y" * 60), F.lit("</p>")).alias("html"), F.lit(None).cast("string").alias("expected")),
+)
 
 
-@register("s12_archive_sections", f"SELECT id, expected AS text FROM ({ARCHIVE.sql}) WHERE expected IS NOT NULL")
+@register("s12_archive_sections", f"SELECT id, expected AS text FROM ({ARCHIVE.sql}) WHERE length(expected) > 55")
 def _(t):
     posts = ARCHIVE.frame(t).select(F.col("id").alias("date"), F.lit("").alias("link"), "html")
     return markup.archive_sections(posts, "What we watch").select(F.col("date").alias("id"), "text")
@@ -175,10 +179,19 @@ def _(t):
 
 # --- scalar functions and filters ------------------------------------------------------------
 
-PAGE_DATES = Inline("id long, html string, expected string", (
+PAGE_DATES = Extended(Inline("id long, html string, expected string", (
     (1, '<meta property="article:published_time" content="2024-03-05T10:00:00Z">', "2024-03-05 10:00:00"), (2, "<p>Posted 5 March 2024</p>", "2024-03-05 12:00:00"), (3, "no date", None), (4, "31 Feb 2024", None),
     (5, '"datePublished": "2024-01-02"', "2024-01-02 00:00:00"),
-))
+)),
+    "SELECT o_orderkey + 1000, NULL, CASE WHEN o_orderkey % 4 = 0 THEN strftime(o_orderdate, '%Y-%m-%d 00:00:00') WHEN o_orderkey % 4 = 1 THEN strftime(o_orderdate, '%Y-%m-%d 08:30:00') WHEN o_orderkey % 4 = 2 AND year(o_orderdate) >= 2000 THEN strftime(o_orderdate, '%Y-%m-%d 12:00:00') END FROM orders",
+    lambda t: t("orders").select(
+        (F.col("o_orderkey") + 1000).alias("id"),
+        F.when(F.col("o_orderkey") % 4 == 0, F.concat(F.lit('<script>{"datePublished": "'), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit('"}</script>')))
+        .when(F.col("o_orderkey") % 4 == 1, F.concat(F.lit('<meta property="article:published_time" content="'), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit('T08:30:00Z"><p>4 May 2021</p>')))
+        .when(F.col("o_orderkey") % 4 == 2, F.concat(F.lit("<p>Order of "), F.date_format("o_orderdate", "d MMMM yyyy"), F.lit(", paid later</p>"))).otherwise(F.lit("<p>of late</p>")).alias("html"),
+        F.lit(None).cast("string").alias("expected"),
+    ),
+)
 
 
 @register("f21_page_date", f"SELECT id, expected AS at_text FROM ({PAGE_DATES.sql})")
@@ -191,7 +204,11 @@ def _(t):
     return t.items.select(F.explode(X.title_words(F.col("title"))).alias("stem")).distinct()
 
 
-TAGS = Inline("id long, tags string", ((1, "News, Opinion "), (2, "Sport"), (3, ""), (4, "LETTERS TO THE EDITOR,x"), (5, "analysis")))
+TAGS = Extended(
+    Inline("id long, tags string", ((1, "News, Opinion "), (2, "Sport"), (3, ""), (4, "LETTERS TO THE EDITOR,x"), (5, "analysis"))),
+    f"SELECT p_partkey + 1000, p_type || ' , ' || upper(([{sql_list(fixed.OPINION_CATEGORIES)}])[p_partkey % {2 * len(fixed.OPINION_CATEGORIES)} + 1]) || ',' || p_brand FROM part WHERE p_partkey % {2 * len(fixed.OPINION_CATEGORIES)} < {len(fixed.OPINION_CATEGORIES)} UNION ALL SELECT p_partkey + 1000, p_type || ',' || p_brand FROM part WHERE p_partkey % {2 * len(fixed.OPINION_CATEGORIES)} >= {len(fixed.OPINION_CATEGORIES)}",
+    lambda t: t("part").select((F.col("p_partkey") + 1000).alias("id"), F.concat(F.col("p_type"), F.coalesce(F.concat(F.lit(" , "), F.upper(F.get(F.array(*[F.lit(c) for c in fixed.OPINION_CATEGORIES]), (F.col("p_partkey") % (2 * len(fixed.OPINION_CATEGORIES))).cast("int")))), F.lit("")), F.lit(","), "p_brand").alias("tags")),
+)
 TAG_SQL = "list_transform(string_split(tags, ','), lambda x: lower(trim(x)))"
 
 
@@ -205,9 +222,12 @@ def _(t):
     return TAGS.frame(t).where(P.opinion_category(X.feed_categories(F.split("tags", ",")))).select("id")
 
 
-LINKS = Inline("id long, base string, link string, expected string", (
+LINKS = Extended(Inline("id long, base string, link string, expected string", (
     (1, "https://h.org/a/b", "/c", "https://h.org/c"), (2, "https://h.org/a/b", "c", "https://h.org/a/c"), (3, "https://h.org", "c", "https://h.org/c"), (4, "https://h.org/a/b", "https://o.org/x", "https://o.org/x"), (5, "https://h.org/a?x=1", "//cdn.org/y", "https://cdn.org/y"),
-))
+)),
+    "SELECT c_custkey + 1000, NULL, NULL, CASE c_custkey % 3 WHEN 0 THEN 'https://h' || c_nationkey || '.org/c/' || c_custkey WHEN 1 THEN 'https://h' || c_nationkey || '.org/a/' || c_custkey ELSE 'https://o.org/' || c_custkey END FROM customer",
+    lambda t: t("customer").select((F.col("c_custkey") + 1000).alias("id"), F.concat(F.lit("https://h"), F.col("c_nationkey").cast("string"), F.lit(".org/a/b?page=2")).alias("base"), F.concat(F.when(F.col("c_custkey") % 3 == 0, "/c/").when(F.col("c_custkey") % 3 == 1, "").otherwise("https://o.org/"), F.col("c_custkey").cast("string")).alias("link"), F.lit(None).cast("string").alias("expected")),
+)
 
 
 @register("f30_url_join", f"SELECT id, expected AS url FROM ({LINKS.sql})")
@@ -225,7 +245,10 @@ def _(t):
     return t.items.where(F.col("title").rlike(term_pattern(TOY.noise))).select("ord")
 
 
-PROMISES = Inline("id long, title string, vetoed boolean", ((1, "Trader pledges help for the city museum", True), (2, "Trader pledges $2 million for the museum", False), (3, "Trader pledges and donates to museum fund", False), (4, "Nothing given to the city museum today", False)))
+PROMISES = Extended(Inline("id long, title string, vetoed boolean", ((1, "Trader pledges help for the city museum", True), (2, "Trader pledges $2 million for the museum", False), (3, "Trader pledges and donates to museum fund", False), (4, "Nothing given to the city museum today", False))),
+    "SELECT c_custkey + 1000, NULL, c_custkey % 4 = 0 FROM customer",
+    lambda t: t("customer").select((F.col("c_custkey") + 1000).alias("id"), F.concat("c_name", F.get(F.array(*[F.lit(x) for x in (" pledges help for the city museum", " pledges $3 million for the museum", " pledges and donates to the museum fund", " keeps away from the museum")]), (F.col("c_custkey") % 4).cast("int"))).alias("title"), F.lit(None).cast("boolean").alias("vetoed")),
+)
 
 
 @register("p13_promise_only", f"SELECT id, vetoed FROM ({PROMISES.sql})")
@@ -237,7 +260,10 @@ def _(t):
     return PROMISES.frame(t).select("id", v["vetoed"].isNotNull().alias("vetoed"))
 
 
-ONLINE = Inline("id long, title string, place string, score long, expected boolean", ((1, "Talk on Zoom", "", 3, True), (2, "Talk", "Virtual", 3, True), (3, "Summit webinar", "", 7, False), (4, "Talk", "Hall", 1, False)))
+ONLINE = Extended(Inline("id long, title string, place string, score long, expected boolean", ((1, "Talk on Zoom", "", 3, True), (2, "Talk", "Virtual", 3, True), (3, "Summit webinar", "", 7, False), (4, "Talk", "Hall", 1, False))),
+    "SELECT p_partkey + 1000, NULL, NULL, NULL, p_partkey % 3 < 2 AND p_size < 10 FROM part",
+    lambda t: t("part").select((F.col("p_partkey") + 1000).alias("id"), F.concat(F.lit("Talk on "), "p_name", F.when(F.col("p_partkey") % 3 == 0, " by Zoom").otherwise("")).alias("title"), F.when(F.col("p_partkey") % 3 == 1, "Virtual").otherwise("Hall").alias("place"), F.when(F.col("p_size") < 10, 1).otherwise(7).cast("long").alias("score"), F.lit(None).cast("boolean").alias("expected")),
+)
 
 
 @register("p17_online_only", f"SELECT id, expected AS online FROM ({ONLINE.sql})")
@@ -272,7 +298,10 @@ def _(t):
     return scoring.scored(t.items, TOY).where(scoring.admits_stream(s, F.col(s.name), F.col("threshold"))).select("ord")
 
 
-BYLINES = Inline("id long, author string, expected string", ((1, "By Ana Field", "ana field"), (2, "ANA FIELDING", "ana field"), (3, "", None), (4, None, None), (5, "B. Stone", None)))
+BYLINES = Extended(Inline("id long, author string, expected string", ((1, "By Ana Field", "ana field"), (2, "ANA FIELDING", "ana field"), (3, "", None), (4, None, None), (5, "B. Stone", None))),
+    "SELECT c_custkey + 1000, NULL, CASE WHEN c_custkey % 2 = 0 THEN 'ana field' END FROM customer",
+    lambda t: t("customer").select((F.col("c_custkey") + 1000).alias("id"), F.concat(F.lit("By "), "c_name", F.when(F.col("c_custkey") % 2 == 0, " and Ana Field").otherwise(" and Anna Fields")).alias("author"), F.lit(None).cast("string").alias("expected")),
+)
 
 
 @register("c06_byline_bypass", f"SELECT id, expected AS byline FROM ({BYLINES.sql})")
@@ -292,12 +321,12 @@ def _(t):
 
 @register("d08_union_streams", f"SELECT ord FROM ({ITEMS}) WHERE ord % 3 <> 0 UNION ALL SELECT ord FROM ({ITEMS}) WHERE ord % 2 = 0 OR ord % 3 = 0")
 def _(t):
-    return t.items.where("ord % 3 <> 0").unionByName(t.items.where("ord % 2 = 0 OR ord % 3 = 0")).select("ord")
+    return sets.union_streams(t.items.where("ord % 3 <> 0"), t.items.where("ord % 2 = 0 OR ord % 3 = 0").drop("body")).select("ord")
 
 
-@register("d10_except_self", f"SELECT ord FROM ({ITEMS}) WHERE source_key <> 'src1'")
+@register("d10_except_self", f"SELECT ord FROM ({ITEMS}) WHERE source_key NOT IN (SELECT source FROM documents WHERE doc_id % 100 = 1)")
 def _(t):
-    return t.items.where("source_key <> 'src1'").select("ord")
+    return sets.except_self(t.items, t.items.where("ord % 100 = 1"), "source_key").select("ord")
 
 
 @register("d11_array_sets", f"WITH w AS (SELECT ord, {sql_words('title')} AS words FROM ({ITEMS})) SELECT a.ord, array_to_string(list_sort(list_intersect(a.words, b.words)), ' ') AS shared, array_to_string(list_sort(list_distinct(list_concat(a.words, b.words))), ' ') AS both, array_to_string(list_filter(a.words, lambda x: NOT list_contains(b.words, x)), ' ') AS own FROM w a JOIN w b ON b.ord = a.ord + 1")

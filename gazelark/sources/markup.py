@@ -16,7 +16,8 @@ def _tag(block: Column, name: str) -> Column:
 
 
 def feed_entries(bodies: DataFrame) -> DataFrame:
-    """source_key, ord, title, link, published (raw), summary of bodies(source_key, body): RSS items, or Atom entries."""
+    """source_key, ord, title, link, published and updated (raw), summary, publisher, categories of
+    bodies(source_key, body): RSS items, or Atom entries."""
     items = F.regexp_extract_all("body", F.lit(r"(?s)<item(?:\s[^>]*)?>(.*?)</item>"), F.lit(1))
     entries = F.regexp_extract_all("body", F.lit(r"(?s)<entry(?:\s[^>]*)?>(.*?)</entry>"), F.lit(1))
     blocks = bodies.select("source_key", F.posexplode(F.when(F.size(items) > 0, items).otherwise(entries)).alias("ord", "block"))
@@ -27,16 +28,22 @@ def feed_entries(bodies: DataFrame) -> DataFrame:
         "source_key", "ord", X.strip_tags(_tag(b, "title")).alias("title"), link.alias("link"),
         F.coalesce(F.nullif(X.strip_tags(_tag(b, "pubDate")), F.lit("")), X.strip_tags(_tag(b, "updated"))).alias("published"),
         X.truncate(X.strip_tags(F.coalesce(F.nullif(_tag(b, "description"), F.lit("")), _tag(b, "summary"))), 400).alias("summary"),
-        X.strip_tags(_tag(b, "source")).alias("publisher"), categories.alias("categories"),
+        X.strip_tags(_tag(b, "updated")).alias("updated"), X.strip_tags(_tag(b, "source")).alias("publisher"), categories.alias("categories"),
     )
     return out.where("title <> ''")
 
 
+def search_entries(bodies: DataFrame) -> DataFrame:
+    """title, link, source, published (raw), query of a search's answers, bodies(query, body)."""
+    found = feed_entries(bodies.select(F.col("query").alias("source_key"), "body"))
+    return found.select("title", "link", F.col("publisher").alias("source"), "published", F.col("source_key").alias("query"))
+
+
 def feed_items(bodies: DataFrame, since: Column) -> DataFrame:
     """Tolerant feed scan: 80 entries a source, none older than `since` (undated pass), no opinion, with link and title."""
     entries = feed_entries(bodies).where(F.col("ord") < fixed.PER_SOURCE_ENTRIES)
-    at = X.feed_time(F.col("published"))
-    return entries.where((at.isNull() | (at >= since)) & ~P.opinion_category(X.feed_categories(F.col("categories"))) & P.has_title_url(F.col("title"), F.col("link"))).withColumn("published", at)
+    at = X.entry_date(F.col("published"), F.col("updated"))
+    return entries.where((at.isNull() | (at >= since)) & ~P.opinion_category(X.feed_categories(F.col("categories"))) & P.has_title_url(F.col("title"), F.col("link"))).withColumn("published", at).drop("updated")
 
 
 def search_items(bodies: DataFrame, sources: DataFrame, since: Column, self_domains: list[str]) -> DataFrame:
@@ -133,10 +140,15 @@ def dated_events(pages: DataFrame, today: Column) -> DataFrame:
 
 
 def archive_sections(posts: DataFrame, heading: str) -> DataFrame:
-    """date, link, text: paragraphs over 55 characters between a heading of posts(date, link, html) and the next one."""
-    section = F.regexp_extract("html", rf"(?is)<h[23][^>]*>[^<]*{heading}[^<]*</h[23]>(.*?)(?:<h[23]|$)", 1)
-    texts = F.transform(F.regexp_extract_all(section, F.lit(r"(?is)<p[^>]*>(.*?)</p>"), F.lit(1)), X.clean)
-    return posts.select("date", "link", F.explode(F.filter(texts, lambda t: F.length(t) > 55)).alias("text"))
+    """date, link, text: paragraphs over 55 characters between a heading of posts(date, link, html) and the next one.
+
+    heading: a pattern of the heading's whole text. A section that no other heading ends has none;
+    calls to read on or to subscribe aren't items.
+    """
+    section = F.regexp_extract("html", rf"(?is)<h[23][^>]*>\s*(?:{heading})\s*</h[23]>(.*?)<h[23]\b", 1)
+    texts = F.transform(F.regexp_extract_all(section, F.lit(r"(?s)<p[^>]*>(.*?)</p>"), F.lit(1)), X.clean_archive)
+    calls = lambda t: F.exists(F.array(*[F.lit(s) for s in fixed.ARCHIVE_CALLS]), lambda s: F.startswith(F.lower(t), s))
+    return posts.select("date", "link", F.explode(F.filter(texts, lambda t: (F.length(t) > 55) & ~calls(t))).alias("text"))
 
 
 _EVENT = T.StructType([T.StructField(n, T.StringType()) for n in ("date", "title", "place", "link")])

@@ -5,7 +5,7 @@ import datetime
 import duckdb
 import pytest
 
-from gazelark import queries, queries_more, queries_state  # noqa: F401
+from gazelark import queries, queries_more, queries_sources, queries_state  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -85,3 +85,44 @@ def test_caps_of_queue_and_log(spark):
     kept = lambda df: {r["ord"] for r in df.collect()}
     assert kept(rank.log_cap(log, now)) == {1, 2, 3, 4} and kept(rank.log_cap(log, now, most=2)) == {3, 4}
     assert kept(rank.queue_cap(log, 2)) == {3, 4} and kept(rank.queue_cap(spark.range(100).withColumnRenamed("id", "ord"))) == set(range(40, 100))
+
+
+def test_runs_of_failures_across_ranges(spark):
+    from itertools import groupby
+
+    from gazelark.operators import observe
+
+    rows = [(k, i, (i * i + i // 37) % 11 < (2 if k == "a" else 9) if k != "c" else False) for k in ("a", "b", "c", None) for i in range(600)] + [("d", 1, True), ("e", 1, None), ("e", 2, False)]
+    got = {r["key"]: r["longest"] for r in observe.longest_streaks(spark.createDataFrame(rows, "key string, at long, ok boolean").repartition(5), "key", ["at"], queries.F.col("ok")).collect()}
+    longest = lambda k: max(sum(1 for _ in g) for good, g in groupby(ok for key, _, ok in rows if key == k) if good is False)
+    assert got == {k: longest(k) for k in ("a", "b", "c", None, "e")}
+
+
+def test_full_calls_across_frames(spark):
+    from gazelark.operators import screen
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        rows = spark.range(103).withColumnRenamed("id", "ord").coalesce(1)
+        got = screen.screened(rows, lambda batch: None if len(batch) < 25 else {min(r["ord"] for r in batch)}).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert {r["ord"]: r["kept"] for r in got} == {i: None if i >= 100 else i % 25 == 0 for i in range(103)}
+
+
+def test_sets_of_rows(spark):
+    from gazelark.operators import sets
+
+    a = spark.createDataFrame([("x", 1, 3), ("x", 2, 1), ("y", 1, 2), ("x", 1, 9), (None, 5, 4)], "source string, v long, at long")
+    assert {r["source"]: r["values"] for r in sets.ordered_distinct(a, "source", "v", "at").collect()} == {"x": [2, 1], "y": [1], None: [5]}
+    assert sorted(r["at"] for r in sets.except_self(a, a.where("source = 'x' OR source IS NULL")).collect()) == [2, 4]
+    assert sorted((r["v"], r["at"]) for r in sets.union_streams(a.select("v", "at"), a.where("v = 5").select("v")).where("v = 5").collect() if r["at"] is None) == [(5, None)]
+
+
+def test_people_from_documents(spark, tmp_path):
+    from gazelark.sources import config
+
+    (tmp_path / "whole.json").write_text('{\n "Ana": 2,\n "Bo": 1\n}')
+    (tmp_path / "lines.json").write_text('{"Ana": 2}\nnot one\n[1]\n{"Ana": 3, "Bo": 1}\n')
+    read = lambda name, **more: {r["name"]: r["n"] for r in config.people(spark, str(tmp_path / name), **more).collect()}
+    assert read("whole.json", lines=False) == {"Ana": 2, "Bo": 1} and read("lines.json") == {"Ana": 5, "Bo": 1} and read("none.json") == {}
