@@ -3,10 +3,12 @@
 A document's token counts are hashed to a vector, scaled to unit length and projected to three
 fixed random directions; the Hilbert key of the projection range-sorts the documents, and each
 range is packed as one stream, so that neighbours on the curve share sequences. The ranges begin
-at quantiles of (key, tie) over a sample of RANGE_SAMPLE documents a range; the tie, a hash of id
-and text, cuts a large group of copies. The sample's size decides how even the ranges are, and
-nothing else: every document is packed. Over the same files and number of ranges it is the same
-sample, so that sequence_id is reproducible.
+at quantiles of (key, tie) over a sample of RANGE_SAMPLE documents a range; the tie, a hash of id,
+text and the row's place in the input, cuts a large group of copies, also of rows that are repeated
+as a whole. The sample's size decides how even the ranges are, and nothing else: every document is
+packed. Over the same files and number of ranges it is the same sample, so that sequence_id is
+reproducible; for the same reason docs should come from files or a written table, whose rows have
+the same places when a task is repeated, and not straight from a shuffle.
 
 Whole sequences of a document's own tokens are cut off first; what is left (under a sequence) joins
 the stream, which is cut where a sequence is full. The open end of a range is cut into powers of
@@ -131,7 +133,7 @@ def document_points(ids: list[np.ndarray]) -> np.ndarray:
     """Quantised projections of hashed unit vectors; 16 bits over four standard deviations each way."""
     out = np.empty((len(ids), DIMENSIONS))
     for i, own in enumerate(ids):
-        v = np.sqrt(np.bincount(_BUCKET[own & 0xFFFF], minlength=VECTOR_SIZE))
+        v = np.sqrt(np.bincount(_BUCKET[(own ^ (own >> 16)) & 0xFFFF], minlength=VECTOR_SIZE))
         out[i] = v @ _DIRECTIONS / np.sqrt((v * v).sum())
     return np.clip((out + 4) / 8 * (1 << BITS), 0, (1 << BITS) - 1).astype(np.int64)
 
@@ -162,6 +164,17 @@ def _range_starts(own: DataFrame, tokenizer: str, ranges: int) -> np.ndarray:
     return places[(np.arange(1, ranges) * len(places)) // ranges] if len(places) else places
 
 
+def _narrow(ids: bytes) -> bytes:
+    """Ids of 32 bits in two bytes each where all of them fit."""
+    wide = np.frombuffer(ids, "<u4")
+    return wide.astype("<u2").tobytes() if wide.max(initial=0) < 1 << 16 else ids
+
+
+def _widened(ids: bytes, n: int) -> bytes:
+    """The n ids that _narrow() was given."""
+    return np.frombuffer(ids, "<u2").astype("<u4").tobytes() if len(ids) == 2 * n else ids
+
+
 def _tokenised(name: str, sequence: int, shared):
     def compute(texts: list[str | None], ties: np.ndarray) -> list[list]:
         raw, keys = _ids_and_keys(name, texts)
@@ -172,8 +185,7 @@ def _tokenised(name: str, sequence: int, shared):
             keys.tolist(),
             [len(b) // 4 for b in raw],
             [[zlib.crc32(b[k * size : (k + 1) * size]) for k in range(n)] for b, n in zip(raw, full)],
-            # two bytes an id while they fit
-            [np.frombuffer(b[n * size :], "<u4").astype("<u2").tobytes() for b, n in zip(raw, full)],
+            [_narrow(b[n * size :]) for b, n in zip(raw, full)],
         ]
 
     return compute
@@ -228,7 +240,8 @@ class _Stream:
         for k, crc in enumerate(crcs):
             self.rows.append((doc, k * self.sequence, self.sequence, crc, tokens, self.next, 0))
             self.next += 1
-        self.add(doc, len(crcs) * self.sequence, np.frombuffer(rest, "<u2").astype("<u4").tobytes(), tokens, self.sequence)
+        start = len(crcs) * self.sequence
+        self.add(doc, start, _widened(rest, tokens - start), tokens, self.sequence)
 
     def finish(self) -> None:
         left, pieces = self.filled, self.open
@@ -252,10 +265,10 @@ class _Stream:
 def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", tokenizer: str = TOKENIZER, sequence: int = SEQUENCE) -> DataFrame:
     """key, start, length, ids_crc32, doc_tokens, sequence_id, offset: a row for each piece.
 
-    sequence must be a power of two; the tokenizer must have at most 65,536 ids.
+    sequence must be a power of two; ids are those of any tokenizer, up to 32 bits.
     """
     ranges = shuffle_partitions(docs.sparkSession)
-    own = docs.select(F.struct(F.col(key).alias("doc"), F.xxhash64(key, text).alias("tie")).alias("own"), F.col(text).alias("text"))
+    own = docs.select(F.struct(F.col(key).alias("doc"), F.xxhash64(key, text, F.monotonically_increasing_id()).alias("tie")).alias("own"), F.col(text).alias("text"))
     starts = docs.sparkSession.sparkContext.broadcast(_range_starts(own, tokenizer, ranges))  # 16 bytes a range
     tokens = map_texts(own, "own", "text", _TOKENISED, _tokenised(tokenizer, sequence, starts), beside="tie")
     ordered = tokens.repartitionById(ranges, F.col("range")).sortWithinPartitions("range", "curve_key", "own.tie")

@@ -397,6 +397,28 @@ def test_segmentation_query(spark, docs):
 # --- 6 ---
 
 
+def test_packing_of_wide_ids(spark, tmp_path):
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    size = 200_000
+    wide = Tokenizer(models.WordLevel({f"w{i}": i for i in range(size)}, unk_token="w0"))
+    wide.pre_tokenizer = pre_tokenizers.Whitespace()
+    path = tmp_path / "wide.json"
+    wide.save(str(path))
+    own = {d: [(d * 7919 + k * k * 31) % (size if d % 2 else 60_000) for k in range(n)] + [0] for d, n in enumerate([0, 3, 1023, 1024, 5000, 2047, 700, 1])}
+    pieces = packing.pack(spark.createDataFrame([(d, " ".join(f"w{i}" for i in ids[:-1])) for d, ids in own.items()], "doc_id long, text string"), tokenizer=str(path)).collect()
+    assert max(max(ids) for ids in own.values()) > 1 << 16
+    assert all(p["ids_crc32"] == zlib.crc32(np.array(own[p["doc_id"]][p["start"] : p["start"] + p["length"]], "<u4").tobytes()) and p["doc_tokens"] == len(own[p["doc_id"]]) for p in pieces)
+    assert sum(p["length"] for p in pieces) == sum(map(len, own.values()))
+
+
+def test_packing_splits_rows_repeated_as_a_whole(spark):
+    same = spark.range(4000).select(F.lit(1).cast("long").alias("doc_id"), F.lit("one text that every row has").alias("text"))
+    found = packing.pack(same).toPandas()
+    counts = found[found.start == 0].groupby(found.sequence_id.floordiv(2**40)).size()
+    assert counts.sum() == 4000 and counts.max() < 2000
+
+
 def test_packing_invariants(spark, folder):
     import public_tokenizers
     from tokenizers import Tokenizer
