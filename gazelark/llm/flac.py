@@ -597,12 +597,15 @@ def _decode_any(stream: bytes, info: Info) -> bytes:
 def decode(streams: list[bytes]) -> list[bytes]:
     """The samples of each stream; every CRC-8, CRC-16 and MD5 is verified."""
     infos = [stream_info(s) for s in streams]
-    near = [i for i, info in enumerate(infos) if _in_profile(info)]
     out: dict[int, bytes] = {}
-    try:
-        out = dict(zip(near, _decode_profile([streams[i] for i in near])))
-    except CorruptStream:  # damaged, or of another writer; the general reader tells which
-        pass
+    todo = [[i for i, info in enumerate(infos) if _in_profile(info)]]
+    while todo:
+        near = todo.pop()
+        try:
+            out.update(zip(near, _decode_profile([streams[i] for i in near])))
+        except CorruptStream:  # one is damaged or of another writer: halves find it, and the general reader tells which
+            if len(near) > 1:
+                todo += [near[: len(near) // 2], near[len(near) // 2 :]]
     return [out[i] if i in out else _decode_any(streams[i], infos[i]) for i in range(len(streams))]
 
 
@@ -638,9 +641,9 @@ def _digests(texts: list[str | None]) -> list[list]:
 
 
 def pcm_blocks(docs: DataFrame, media: str = "media", key: str = "doc_id", blocks: int = SEEK_EVERY) -> DataFrame:
-    """key, first_sample, n_samples, pcm: `blocks` times BLOCK decoded samples in a row, which readers seek by first_sample.
+    """key, first_sample, n_samples, pcm, error: `blocks` times BLOCK decoded samples in a row, which readers seek by first_sample.
 
-    A null stream gives no rows; a damaged one fails the task with CorruptStream.
+    A null stream gives no rows; a damaged one gives a single row with its error and nulls.
     """
 
     def split(batches):
@@ -651,15 +654,18 @@ def pcm_blocks(docs: DataFrame, media: str = "media", key: str = "doc_id", block
             for i, stream in enumerate(streams):
                 if stream is None:
                     continue
-                parts = _parts([stream], blocks)[0]
-                first, n, pcm = zip(*parts) if parts else ((), (), ())
+                try:
+                    rows = [(*part, None) for part in _parts([stream], blocks)[0]]
+                except CorruptStream as e:
+                    rows = [(None, None, None, str(e))]
+                first, n, pcm, error = zip(*rows) if rows else ((), (), (), ())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([keys[i].as_py()] * len(pcm), keys.type), pa.array(first, pa.int64()), pa.array(n, pa.int32()), pa.array(pcm, pa.binary())],
-                    names=[key, "first_sample", "n_samples", "pcm"],
+                    [pa.array([keys[i].as_py()] * len(pcm), keys.type), pa.array(first, pa.int64()), pa.array(n, pa.int32()), pa.array(pcm, pa.binary()), pa.array(error, pa.string())],
+                    names=[key, "first_sample", "n_samples", "pcm", "error"],
                 )
 
     chosen = docs.select(key, media)
-    schema = T.StructType([chosen.schema[0], T.StructField("first_sample", T.LongType()), T.StructField("n_samples", T.IntegerType()), T.StructField("pcm", T.BinaryType())])
+    schema = T.StructType([chosen.schema[0], T.StructField("first_sample", T.LongType()), T.StructField("n_samples", T.IntegerType()), T.StructField("pcm", T.BinaryType()), T.StructField("error", T.StringType())])
     return chosen.mapInArrow(split, schema)
 
 

@@ -781,6 +781,28 @@ def test_flac_of_other_writers(spark):
         assert b"".join(own.pcm) == samples[i] and (own.first_sample == own.n_samples.cumsum() - own.n_samples).all() and own.n_samples.max() <= 4 * flac.BLOCK
 
 
+def test_a_damaged_stream_costs_itself_only(spark, monkeypatch):
+    payloads = [bytes([i % 251]) * 192 + b"text " * (i * 7 % 90) for i in range(120)]
+    payloads = [p + b" " * (-len(p) % 192) for p in payloads]
+    streams = flac.encode(payloads)
+    bad = dict.fromkeys((0, 57, 119))
+    for i in bad:
+        at = len(streams[i]) - 5
+        bad[i] = streams[i][:at] + bytes([streams[i][at] ^ 4]) + streams[i][at + 1 :]
+    general = []
+    read_any = flac._decode_any
+    monkeypatch.setattr(flac, "_decode_any", lambda stream, info: general.append(stream) or read_any(stream, info))
+    with pytest.raises(flac.CorruptStream):
+        flac.decode([bad.get(i, s) for i, s in enumerate(streams)])
+    assert general == [bad[0]]  # the others were decoded together
+    table = [(i, bytearray(bad.get(i, s))) for i, s in enumerate(streams)] + [(200, bytearray(b"no stream")), (201, None), (202, bytearray())]
+    rows = flac.pcm_blocks(spark.createDataFrame(table, "doc_id long, media binary"), blocks=2).toPandas().sort_values(["doc_id", "first_sample"])
+    wrong = rows[rows.error.notna()]
+    assert sorted(wrong.doc_id) == [0, 57, 119, 200, 202] and wrong.pcm.isna().all() and wrong.first_sample.isna().all()
+    right = rows[rows.error.isna()].groupby("doc_id").pcm.apply(b"".join)
+    assert right.to_dict() == {i: p for i, p in enumerate(payloads) if i not in bad}
+
+
 def test_flac_query_and_blocks(spark, docs):
     got = {r["doc_id"]: r for r in flac.query(spark, SF).collect()}
     for i, text in zip(docs.doc_id, docs.text):
