@@ -1,10 +1,11 @@
 """Licence scan by a positional index of rare words.
 
-Each template is looked up by the word of its key phrase that has the highest IDF (over all
-documents). A place of that word fixes the place of the notice's first word, and a template stands
-where enough of its words and all words of its key phrase agree; as the key phrase must be whole,
-no place is missed, however many notices a text holds. Everything is one projection over the word
-array, without a shuffle but for the words' document counts.
+Each template is posted under the two words of its key phrase that have the highest IDF (over all
+documents), with their places in the notice. Either word's places in a text, less its place in the
+notice, are starts of the notice, and the starts that both words give are the candidates; a template
+stands where enough of its words and all words of its key phrase agree. As the key phrase must be
+whole, no place is missed, however many notices a text holds. Everything is one projection over the
+word array, without a shuffle but for the words' document counts.
 
 Edge cases: a null or empty text has no words, no places, empty labels and score 0; texts of any
 length are scanned whole; repeated rows give repeated results; an empty table gives an empty
@@ -16,6 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gazelark.llm.notices import templates
 from gazelark.llm.tables import read
 
 BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -23,55 +25,7 @@ BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 # Phrases that the base labels are defined by.
 BASE = {"cc-by": "cc by", "gpl": "general public license", "reserved": "all rights reserved"}
 
-# Label, opening words of a notice, mandatory key phrase within them. A label may have several.
-TEMPLATES = [
-    ("afl-3.0", "licensed under the academic free license version 3 0", "academic free license"),
-    ("agpl-3.0", "under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license", "gnu affero general public license"),
-    ("apache-2.0", "licensed under the apache license version 2 0", "apache license version 2"),
-    ("apache-2.0", "you may not use this file except in compliance with the license you may obtain a copy of the license at", "you may not use this file except in compliance with the license"),
-    ("artistic-2.0", "this is free software licensed under the artistic license 2 0", "artistic license 2"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted", "redistribution and use in source and binary forms"),
-    ("bsd-3-clause", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", "may be used to endorse or promote products derived from this software"),
-    ("bsd-4-clause", "all advertising materials mentioning features or use of this software must display the following acknowledgement", "all advertising materials mentioning features"),
-    ("bsd-licence", "licensed under the bsd license", "bsd license"),
-    ("bsl-1.0", "distributed under the boost software license version 1 0", "boost software license"),
-    ("bsl-1.0", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license", "any person or organization obtaining a copy of the software"),
-    ("cc-by-4.0", "licensed under cc by 4 0", "cc by 4"),
-    ("cc-by-nc-4.0", "licensed under cc by nc 4 0", "cc by nc 4"),
-    ("cc-by-nc-nd", "this work is licensed under the creative commons attribution noncommercial noderivatives 4 0 international license", "creative commons attribution noncommercial noderivatives"),
-    ("cc-by-nc-sa", "this work is licensed under the creative commons attribution noncommercial sharealike 4 0 international license", "creative commons attribution noncommercial sharealike"),
-    ("cc-by-nd", "this work is licensed under the creative commons attribution noderivatives 4 0 international license", "creative commons attribution noderivatives"),
-    ("cc-by-sa", "this work is licensed under the creative commons attribution sharealike 4 0 international license", "creative commons attribution sharealike"),
-    ("cc-by-sa-4.0", "licensed under cc by sa 4 0", "cc by sa 4"),
-    ("cc0-1.0", "to the extent possible under law the person who associated cc0 with this work has waived all copyright and related or neighboring rights to this work", "to the extent possible under law"),
-    ("cddl-1.0", "the contents of this file are subject to the terms of the common development and distribution license", "common development and distribution license"),
-    ("cpl-1.0", "made available under the terms of the common public license v1 0 which accompanies this distribution", "common public license"),
-    ("creative-commons", "this work is licensed under a creative commons attribution license", "creative commons attribution"),
-    ("epl", "this program and the accompanying materials are made available under the terms of the eclipse public license", "eclipse public license"),
-    ("eupl-1.2", "licensed under the eupl version 1 2 or as soon they will be approved by the european commission subsequent versions of the eupl", "licensed under the eupl"),
-    ("gfdl-1.3", "permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license version 1 3", "gnu free documentation license"),
-    ("gpl-2.0", "this work is licensed under the gnu general public license version 2", "general public license version 2"),
-    ("gpl-2.0-or-later", "under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version", "general public license as published by the free software foundation either version 2 of the license"),
-    ("gpl-3.0", "this work is licensed under the gnu general public license version 3", "general public license version 3"),
-    ("gpl-3.0-or-later", "under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version", "general public license as published by the free software foundation either version 3 of the license"),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies", "for any purpose with or without fee is hereby granted"),
-    ("lgpl", "licensed under the gnu lesser general public license", "lesser general public license"),
-    ("lgpl-2.1-or-later", "under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version", "lesser general public license as published by the free software foundation either version 2 1 of the license"),
-    ("mit", "released under the mit license", "mit license"),
-    ("mit-text", "permission is hereby granted free of charge to any person obtaining a copy of this software", "permission is hereby granted free of charge"),
-    ("mpl-2.0", "subject to the terms of the mozilla public license v 2 0", "mozilla public license"),
-    ("ms-pl", "this license governs use of the accompanying software if you use the software you accept this license", "this license governs use of the accompanying software"),
-    ("ncsa", "distributed under the university of illinois ncsa open source license", "university of illinois ncsa open source license"),
-    ("ofl-1.1", "this font software is licensed under the sil open font license version 1 1", "sil open font license"),
-    ("openssl", "this product includes software developed by the openssl project for use in the openssl toolkit", "developed by the openssl project"),
-    ("osl-3.0", "licensed under the open software license version 3 0", "open software license"),
-    ("postgresql", "permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted", "without a written agreement is hereby granted"),
-    ("proprietary", "all rights reserved", "all rights reserved"),
-    ("psf-2.0", "licensed under the python software foundation license version 2", "python software foundation license"),
-    ("unlicense", "this is free and unencumbered software released into the public domain", "free and unencumbered software"),
-    ("wtfpl", "everyone is permitted to copy and distribute verbatim or modified copies of this license document and changing it is allowed as long as the name is changed", "changing it is allowed as long as the name is changed"),
-    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software", "in no event will the authors be held liable"),
-]
+TEMPLATES = templates()
 LEAST_SHARE = 0.6
 _SHIFT = 1000  # templates are shorter; starts before the text's first word stay positive
 
@@ -117,10 +71,9 @@ def scan(docs: DataFrame, counts: dict[str, int], text: str = "text", out: str =
     _gz_ are the operator's own; docs' other columns may have any.
     """
     labels, notices, keys = _templates()
-    anchored = [min(range(at, at + n), key=lambda p: (counts.get(notices[t][p], 0), notices[t][p], p)) for t, (at, n) in enumerate(keys)]
-    anchors = sorted({notices[t][p] for t, p in enumerate(anchored)})
-    postings = {w: [t * _SHIFT + p for t, p in enumerate(anchored) if notices[t][p] == w] for w in anchors}
-    postings_map = F.create_map(*[x for w, ps in postings.items() for x in (F.lit(w), F.array(*[F.lit(p).cast("long") for p in ps]))])
+    rarest = [sorted(range(at, at + n), key=lambda p: (counts.get(notices[t][p], 0), notices[t][p], p)) for t, (at, n) in enumerate(keys)]
+    first, second = [r[0] for r in rarest], [r[min(1, len(r) - 1)] for r in rarest]
+    anchors, others = (sorted({notices[t][p] for t, p in enumerate(ps)}) for ps in (first, second))
     texts = F.array(*[_strings(n) for n in notices])
     key_at = F.array(*[F.lit(at) for at, _ in keys])
     key_len = F.array(*[F.lit(n) for _, n in keys])
@@ -139,11 +92,16 @@ def scan(docs: DataFrame, counts: dict[str, int], text: str = "text", out: str =
 
         return F.when(F.array_contains(words, parts[0]) & F.array_contains(words, parts[-1]), F.filter(places, here)).otherwise(none)
 
-    held = F.array_intersect(_strings(anchors), words)
+    def starts(vocabulary: list[str], posted: list[int]) -> Column:
+        """Template and start, packed, for every place of every word that templates are posted under."""
+        postings = {w: [t * _SHIFT + p for t, p in enumerate(posted) if notices[t][p] == w] for w in vocabulary}
+        codes = F.create_map(*[x for w, ps in postings.items() for x in (F.lit(w), F.array(*[F.lit(p).cast("long") for p in ps]))])
 
-    def starts(w: Column) -> Column:
-        at = F.filter(places, lambda i: F.get(words, i) == w)
-        return F.flatten(F.transform(at, lambda i: F.transform(F.element_at(postings_map, w), lambda p: F.floor(p / _SHIFT) * F.lit(2**32) + i - p % _SHIFT + _SHIFT)))
+        def of(w: Column) -> Column:
+            at = F.filter(places, lambda i: F.get(words, i) == w)
+            return F.flatten(F.transform(at, lambda i: F.transform(F.element_at(codes, w), lambda p: F.floor(p / _SHIFT) * F.lit(2**32) + i - p % _SHIFT + _SHIFT)))
+
+        return F.flatten(F.transform(F.array_intersect(_strings(vocabulary), words), of))
 
     def verified(c: Column) -> Column:
         t, start = F.floor(c / 2**32).cast("int"), (c % F.lit(2**32)).cast("int") - _SHIFT
@@ -159,7 +117,7 @@ def scan(docs: DataFrame, counts: dict[str, int], text: str = "text", out: str =
             (agree(F.get(key_at, t), F.get(key_len, t)) == F.get(key_len, t)).alias("key"),
         )
 
-    candidates = F.flatten(F.transform(held, starts))
+    candidates = F.array_intersect(starts(anchors, first), starts(others, second))
     found = F.filter(F.transform(candidates, verified), lambda v: v["key"] & (v["share"] >= LEAST_SHARE))
     empty = F.array().cast("array<struct<label:string,start:int,share:double,key:boolean>>")
     cut = docs.withColumn("_gz_words", words_of(F.col(text)))
@@ -169,7 +127,7 @@ def scan(docs: DataFrame, counts: dict[str, int], text: str = "text", out: str =
         F.size(words).cast("long").alias("n_words"),
         F.concat(*[F.col(f"_gz_at_{k}") for k in range(len(BASE))]).alias("base_starts"),
         hits.alias("base_hits"),
-        F.when(F.arrays_overlap(words, _strings(anchors)), found).otherwise(empty).alias("found"),
+        F.when(F.arrays_overlap(words, _strings(anchors)) & F.arrays_overlap(words, _strings(others)), found).otherwise(empty).alias("found"),
     )
     return cut.withColumn(out, whole).drop("_gz_words", *[f"_gz_at_{k}" for k in range(len(BASE))])
 

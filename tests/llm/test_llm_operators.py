@@ -219,6 +219,20 @@ def test_licence_labels(spark):
     assert found[1] == {"apache-2.0": 1} and set(found[2]) == {"mit"} and found[4] == {} and "gpl-3.0" in found[5] and "cc-by-nc-4.0" in found[7] and "proprietary" in found[6]
 
 
+def test_licence_headings_identifiers_and_pieces(spark):
+    texts = {
+        1: ("GNU GENERAL PUBLIC LICENSE\nVersion 2, June 1991", "gpl-2.0"), 2: ("GNU GENERAL PUBLIC LICENSE\n  Version 3, 29 June 2007", "gpl-3.0"), 3: ("Mozilla Public License Version 2.0\n====", "mpl-2.0"),
+        4: ("// SPDX-License-Identifier: MIT", "mit"), 5: ("# SPDX-License-Identifier: Apache-2.0 WITH LLVM-exception", "apache-2.0"), 6: ("/* SPDX-License-Identifier: GPL-2.0-or-later */", "gpl-2.0,gpl-2.0-or-later"),
+        7: ("Neither the name of ACME Rockets, Inc. nor the names of its contributors may be used to endorse or promote products derived from this software", "bsd-3-clause"),
+        8: ("SPDX-License-Identifier: (BSD-3-Clause OR MIT)", "bsd-3-clause"), 9: ("license identifier MIT, without the other word", ""), 10: ("mit identifier license spdx", ""), 11: ("SPDX-License-Identifier:", ""),
+    }
+    df = spark.createDataFrame([(i, t) for i, (t, _) in texts.items()], "doc_id long, text string")
+    for counts in ({}, {r["word"]: r["df"] for r in licences.document_counts(df).collect()}):
+        found = {r["doc_id"]: ",".join(sorted({f["label"] for f in r["licences"]["found"]})) for r in licences.scan(df, counts).collect()}
+        assert found == {i: label for i, (_, label) in texts.items()}
+    assert len(licences.TEMPLATES) >= 100 and all(f" {k} " in f" {w} " and len(k.split()) > 1 for _, w, k in licences.TEMPLATES)
+
+
 def test_licence_labels_of_many_notices(spark):
     notices = [n for _, n, _ in licences.TEMPLATES]
     rows = [(1, " ; ".join(notices)), (2, " ; ".join(reversed(notices))), (3, " filler ".join(notices * 3))]
