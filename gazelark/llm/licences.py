@@ -166,7 +166,7 @@ d AS (SELECT rid, doc_id, list_filter(regexp_split_to_array(text, '[\\x00-\\x2F\
 w AS (SELECT rid, unnest(words) AS word, unnest(range(len(words))) AS p FROM d),
 n(t, label, p, word, is_key) AS (VALUES {rows}),
 c AS (SELECT DISTINCT w.rid, n.t, w.p - n.p AS start FROM w JOIN n USING (word) WHERE n.is_key),
-v AS (SELECT c.rid, n.label, c.start, count(w.word) / count(*) AS share, bool_and(w.word IS NOT NULL OR NOT is_key) AS whole_key
+v AS (SELECT c.rid, c.t, n.label, c.start, count(w.word) / count(*) AS share, bool_and(w.word IS NOT NULL OR NOT is_key) AS whole_key
   FROM c JOIN n ON n.t = c.t LEFT JOIN w ON w.rid = c.rid AND w.p = c.start + n.p AND w.word = n.word GROUP BY ALL),
 f AS (SELECT * FROM v WHERE whole_key AND share >= {LEAST_SHARE}),
 b AS ({base}),
