@@ -2,7 +2,10 @@
 
 A text's presence set holds its distinct letter n-grams of one to three characters (a blended
 spectrum), hashed to COORDINATES places; the kernel of two texts is the size of their sets'
-intersection over the geometric mean of their sizes. LANDMARKS learned texts give a Nystroem map
+intersection over the geometric mean of their sizes. So that the places never fill up, a text of more
+than PIECE characters is cut into pieces, which overlap by all but one character of the longest
+n-gram, and its kernel is the mean of theirs, weighted by their lengths; where such a text is
+learned from, its piece of most places stands for it. LANDMARKS learned texts give a Nystroem map
 K(x, landmarks) K(landmarks, landmarks)^-1/2, on which one ridge regression for each language is
 fitted against the rest; a text is scored by two matrix products.
 
@@ -29,6 +32,7 @@ from gazelark.llm.tables import map_texts, read
 
 COORDINATES = 1 << 14
 ORDERS = 3
+PIECE = 2048
 SAMPLE_BUCKETS = 400
 LANDMARKS = 96
 RIDGE = 1e-2
@@ -79,6 +83,28 @@ def presence(texts: list[str | None]) -> list[np.ndarray | None]:
     return out
 
 
+def pieces(texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+    """All pieces of all texts, and the number of the text that each is of."""
+    step = PIECE - (ORDERS - 1)
+    parts, owners = [], []
+    for i, text in enumerate(texts):
+        text = text or ""
+        own = [text] if len(text) <= PIECE else [text[a : a + PIECE] for a in range(0, len(text) - (ORDERS - 1), step)]
+        parts += own
+        owners += [i] * len(own)
+    return parts, np.array(owners, np.int64)
+
+
+def richest(texts: list[str | None]) -> list[np.ndarray | None]:
+    """The places of each text's piece of most places, the first of equal ones; None without letters."""
+    parts, owners = pieces(texts)
+    best: list[np.ndarray | None] = [None] * len(texts)
+    for i, own in zip(owners.tolist(), presence(parts)):
+        if own is not None and (best[i] is None or len(own) > len(best[i])):
+            best[i] = own
+    return best
+
+
 def _rows(sets: list[np.ndarray]) -> np.ndarray:
     """Presence vectors of unit length."""
     x = np.zeros((len(sets), COORDINATES), np.float32)
@@ -118,22 +144,30 @@ class Model:
         n-grams by chance would give, to 1 where it is all; null without letters.
         """
         names, scores, known = ["und"] * len(texts), [0.0] * len(texts), [None] * len(texts)
-        sets = presence(texts)
-        lettered = [i for i, s in enumerate(sets) if s is not None]
+        parts, owners = pieces(texts)
+        sets = presence(parts)
+        lettered = np.array([i for i, s in enumerate(sets) if s is not None], np.int64)
+        if not len(lettered):
+            return [names, scores, known]
         if not self.languages:
-            for i in lettered:
+            for i in owners[lettered].tolist():
                 known[i] = 1.0
             return [names, scores, known]
         held = (self.landmarks > 0).any(axis=0)
         chance = min(float(held.mean()), 0.99)
-        for a in range(0, len(lettered), 256):
-            part = lettered[a : a + 256]
-            values = (_rows([sets[i] for i in part]) @ self.landmarks.T) @ self.weights + self.bias
-            shares = np.exp(SHARPNESS * (values - values.max(axis=1, keepdims=True)).astype(np.float64))
-            shares /= shares.sum(axis=1, keepdims=True)
-            for i, row, k in zip(part, shares, values.argmax(axis=1)):
-                names[i], scores[i] = self.languages[k], float(row[k])
-                known[i] = max(0.0, (float(held[sets[i]].mean()) - chance) / (1 - chance))
+        kernels = np.vstack([_rows([sets[i] for i in lettered[a : a + 256]]) @ self.landmarks.T for a in range(0, len(lettered), 256)])
+        values = kernels @ self.weights + self.bias
+        firsts = np.flatnonzero(np.diff(owners[lettered], prepend=-1))
+        lengths = np.array([len(parts[i]) for i in lettered], np.float32)
+        counts = np.diff(np.append(firsts, len(lettered)))
+        lengths /= np.repeat(np.add.reduceat(lengths, firsts), counts)
+        values = np.add.reduceat(values * lengths[:, None], firsts)
+        familiar = np.add.reduceat(np.array([float(held[sets[i]].mean()) for i in lettered]) * lengths, firsts)
+        shares = np.exp(SHARPNESS * (values - values.max(axis=1, keepdims=True)).astype(np.float64))
+        shares /= shares.sum(axis=1, keepdims=True)
+        for i, row, k, f in zip(owners[lettered][firsts].tolist(), shares, values.argmax(axis=1), familiar):
+            names[i], scores[i] = self.languages[k], float(row[k])
+            known[i] = max(0.0, (float(f) - chance) / (1 - chance))
         return [names, scores, known]
 
 
@@ -151,7 +185,7 @@ def fit(docs: DataFrame) -> Model:
     packed = map_texts(
         learned.select(F.struct("doc_id", "lang").alias("own"), "text"), "own", "text",
         [T.StructField("packed", T.BinaryType())],
-        lambda texts: [[None if s is None else np.packbits(np.isin(np.arange(COORDINATES), s)).tobytes() for s in presence(texts)]],
+        lambda texts: [[None if s is None else np.packbits(np.isin(np.arange(COORDINATES), s)).tobytes() for s in richest(texts)]],
     )
     rows = sorted({(r["own"]["doc_id"], r["own"]["lang"], bytes(r["packed"])) for r in packed.where("packed IS NOT NULL").collect()})
     if not rows:

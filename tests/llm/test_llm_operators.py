@@ -622,6 +622,25 @@ def test_presence_against_plain_strings(docs):
     assert [None if s is None else s.tolist() for s in language.presence(texts[::-1])] == expected[::-1]
 
 
+def test_language_of_very_long_texts():
+    rng = np.random.default_rng(5)
+    signs = {name: [chr(low + k) for k in range(6000)] for name, low in (("one", 0x4E00), ("two", 0x4E00 + 6000), ("three", 0x4E00 + 12000))}
+    draw = lambda name, n: "".join(rng.choice(signs[name], n))
+    learned = [(name, draw(name, n)) for name in signs for n in [*[1500] * 30, 20_000]]
+    sets = language.richest([t for _, t in learned])
+    model = language.Model.fit(sets, [name for name, _ in learned])
+    assert max(map(len, sets)) < language.COORDINATES * 0.4
+    texts = [draw(name, n) for name in signs for n in (1500, 100_000)]
+    names, scores, known = model.predict([*texts, None, texts[1] + texts[3][:20_000], "1" * 10_000])
+    assert names == [name for name in signs for _ in range(2)] + ["und", "one", "und"] and known[-1] is None and known[-3] is None
+    parts, owners = language.pieces(["", None, "a" * language.PIECE, texts[1]])
+    whole = parts[3] + "".join(p[language.ORDERS - 1 :] for p in parts[4:])
+    assert whole == texts[1] and owners.tolist() == [0, 1, 2] + [3] * (len(parts) - 3) and max(map(len, parts)) == language.PIECE
+    assert [p for n in range(1, 6) for p in language.pieces(["x" * (language.PIECE + n)])[0] if len(p) < language.ORDERS] == []
+    # a text's result doesn't hang on its neighbours in the batch
+    assert all(model.predict([t])[0] == [n] for t, n in zip(texts, names))
+
+
 def test_language_model_against_plain_kernels(docs):
     """Kernels by set intersections, the map and the regressions as their formulas say, in double precision."""
     known = docs[docs.lang.notna() & docs.text.notna()]
@@ -638,8 +657,14 @@ def test_language_model_against_plain_kernels(docs):
     x = np.hstack([np.array([[kernel(a, b) for b in marks] for a in sets]) @ root, np.ones((len(sets), 1))])
     share = {name: sum(own == name for _, own in order) for name in names}
     weight = np.diag([len(order) / len(names) / share[own] for _, own in order])
-    own = {i: {plain_place(g) for g in plain_grams(t)} for i, t in enumerate(asked) if plain_grams(t)}
-    z = np.hstack([np.array([[kernel(own[i], b) for b in marks] for i in own]) @ root, np.ones((len(own), 1))])
+    def plain_kernels(t):  # a long text's are the mean of its pieces', by their lengths
+        cut = [t[a : a + language.PIECE] for a in range(0, max(1, len(t) - language.ORDERS + 1), language.PIECE - language.ORDERS + 1)] if len(t) > language.PIECE else [t]
+        held = [(len(p), {plain_place(g) for g in plain_grams(p)}) for p in cut if plain_grams(p)]
+        return sum(n * np.array([kernel(own, b) for b in marks]) for n, own in held) / sum(n for n, _ in held)
+
+    own = {i: plain_kernels(t) for i, t in enumerate(asked) if plain_grams(t)}
+    assert any(len(t or "") > 2 * language.PIECE for t in asked)
+    z = np.hstack([np.array(list(own.values())) @ root, np.ones((len(own), 1))])
     scores = np.column_stack([z @ np.linalg.solve(x.T @ weight @ x + language.RIDGE * len(order) / 100 * np.eye(x.shape[1]), x.T @ weight @ np.array([1.0 if o == name else -1.0 for _, o in order])) for name in names])
     shares = np.exp(language.SHARPNESS * scores) / np.exp(language.SHARPNESS * scores).sum(axis=1, keepdims=True)
     pred, score, _ = model.predict(asked.tolist())
