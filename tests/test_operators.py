@@ -2,6 +2,7 @@
 
 import datetime as dt
 import json
+import time
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -386,3 +387,38 @@ def test_entities_as_the_standard_library_has_them(spark):
     assert got == [None if t is None else html.unescape(t) for t in rows]
     odd = spark.range(1).select(X.unescape(F.lit("&#55296;|&#9999999;|&#0;|a&nbsp;b&#160;c")).alias("u")).first()["u"]
     assert odd == "\ufffd|\ufffd|\ufffd|a b c"
+
+
+def test_copies_meet_as_a_class(spark):
+    """20,000 rows of the same words: pair by pair there would be 400 million."""
+    rows = spark.range(20_000).select(F.col("id").alias("ord"), F.concat(F.lit("o"), (F.col("id") % 3).cast("string")).alias("outlet"), F.array(*[F.lit(w) for w in ("harbour", "north", "opens")]).alias("words"), F.col("id").alias("at"))
+    began = time.time()
+    got = dedup.cross_outlet_match(rows, rows).groupBy("match_ord").count().collect()
+    assert {r["match_ord"]: r["count"] for r in got} == {19_999: 13_333, 19_998: 6_667}
+    assert joins.already_shown(rows, rows).count() == 0
+    items = rows.select("ord", "outlet", F.lit("harbour north opens").alias("title"), F.lit(None).cast("timestamp").alias("effective_date"))
+    assert dedup.dedup_cross_outlet(items).where("kept").count() == 6_667
+    assert time.time() - began < 300
+
+
+def test_latest_match_by_brute_force(spark):
+    """Rows that are on both sides, under the same or another outlet, don't meet themselves."""
+    import random
+
+    rng = random.Random(7)
+    side = lambda n, first: [(first + i, f"O{rng.randrange(4)}", sorted(rng.sample("abcdefghij", rng.randrange(2, 8))), rng.randrange(50)) for i in range(n)]
+    left, right = side(120, 0), side(120, 60)
+    frame = lambda rows: spark.createDataFrame(rows, "ord long, outlet string, words array<string>, at long")
+    for threshold, other in ((0.5, True), (0.8, False)):
+        near = {}
+        for o, outlet, words, _ in left:
+            for p, out, more, at in right:
+                fewer = min(len(words), len(more))
+                if o != p and (outlet != out or not other) and fewer >= 3 and len(set(words) & set(more)) / fewer >= threshold:
+                    near.setdefault(o, []).append((at, p, len(set(words) & set(more)) / fewer))
+        pairs = dedup.similar_pairs(frame(left), frame(right), threshold, other).collect()
+        assert sorted((r["l_ord"], r["r_ord"], r["overlap"]) for r in pairs) == sorted((o, p, v) for o, found in near.items() for _, p, v in found)
+        latest = dedup.latest_match(frame(left), frame(right), threshold, other).collect()
+        assert {r["ord"]: (r["match_ord"], r["overlap"]) for r in latest} == {o: max(found)[1:] for o, found in near.items()}
+    shown = joins.already_shown(frame(left), frame(right), threshold).select("ord").collect()
+    assert {r["ord"] for r in shown} == {r[0] for r in left} - set(near)
