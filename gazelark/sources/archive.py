@@ -15,6 +15,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from gazelark.shared import shared_path, within
 from gazelark.sources.feeds import fetch_with_retries, http_answer
 
 SCHEMA = "page int, ord int, id long, date string, link string, html string, error string"
@@ -72,7 +73,7 @@ class ArchiveReader(DataSourceReader):
 
 
 class ArchiveSource(DataSource):
-    """Options: url or folder; per_page; attempts; local, whether folders of this machine may be read."""
+    """Options: url or folder; per_page; attempts; shared, the folder within which folders may be read."""
 
     @classmethod
     def name(cls) -> str:
@@ -83,13 +84,13 @@ class ArchiveSource(DataSource):
 
     def reader(self, schema) -> ArchiveReader:
         base = self.options.get("url", "").removeprefix("file://")
-        if self.options.get("local") != "true" and not re.match("https?://", base):
-            raise ValueError(f"no web address, and folders of one machine are read only where Spark runs on it alone: {base}")
+        if not re.match("https?://", base) and not within(base, self.options.get("shared", "")):
+            raise ValueError(f"no web address, and folders are read only from the one that all executors share, or where Spark runs on one machine: {base}")
         return ArchiveReader(base.rstrip("/"), int(self.options.get("per_page", "100")), int(self.options.get("attempts", "4")))
 
 
 def archive(spark: SparkSession, url: str, per_page: int = 100, attempts: int = 4) -> DataFrame:
     """page, ord, id, date, link, html, error: every post of the archive, a partition a page."""
     spark.dataSource.register(ArchiveSource)
-    alone = re.match(r"local(\[|$)", spark.sparkContext.master) is not None
-    return spark.read.format("gazelark_archive").options(url=url, per_page=str(per_page), attempts=str(attempts), local=str(alone).lower()).load()
+    shared = "" if re.match("https?://", url) else shared_path(spark)
+    return spark.read.format("gazelark_archive").options(url=url, per_page=str(per_page), attempts=str(attempts), shared=shared).load()

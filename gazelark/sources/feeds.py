@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, EqualTo, InputPartition
 
+from gazelark.shared import shared_path, within
+
 SCHEMA = "source_key string, url string, status int, body string, error string"
 
 
@@ -142,7 +144,7 @@ class FeedStreamReader(DataSourceStreamReader):
 
 class FeedSource(DataSource):
     """Options: catalogue, lines of `key<TAB>url`; attempts; every, seconds after which a source of a
-    stream that says nothing of its changes is read again; local, whether paths of this machine may be read."""
+    stream that says nothing of its changes is read again; shared, the folder whose files may be read."""
 
     @classmethod
     def name(cls) -> str:
@@ -154,8 +156,8 @@ class FeedSource(DataSource):
     def _catalogue(self) -> list[tuple[str, str]]:
         rows = [tuple(line.split("\t", 1)) for line in self.options.get("catalogue", "").splitlines() if "\t" in line]
         for _, url in rows:
-            if self.options.get("local") != "true" and not re.match("https?://", url):
-                raise ValueError(f"no web address, and files of one machine are read only where Spark runs on it alone: {url}")
+            if not re.match("https?://", url) and not within(url, self.options.get("shared", "")):
+                raise ValueError(f"no web address, and files are read only from the folder that all executors share, or where Spark runs on one machine: {url}")
         return rows
 
     def reader(self, schema):
@@ -172,8 +174,8 @@ def register(spark: SparkSession) -> None:
 
 def _options(spark: SparkSession, catalogue: list[tuple[str, str]]) -> dict[str, str]:
     register(spark)
-    alone = re.match(r"local(\[|$)", spark.sparkContext.master) is not None
-    return {"local": str(alone).lower(), "catalogue": "\n".join(f"{k}\t{u}" for k, u in catalogue)}
+    files = any(not re.match("https?://", u) for _, u in catalogue)
+    return {"shared": shared_path(spark) if files else "", "catalogue": "\n".join(f"{k}\t{u}" for k, u in catalogue)}
 
 
 def fetch(spark: SparkSession, catalogue: list[tuple[str, str]]) -> DataFrame:

@@ -126,3 +126,17 @@ def test_screening_within_the_ledger(spark, tmp_path):
     again = ledger.screened_within(rows, judge, book, size=20).collect()
     assert sum(r["kept"] is not None for r in again) == 20 and book.left == 1  # two calls granted, one of them failed
     assert ledger.screened_within(rows.limit(0), judge, book).isEmpty() and book.left == 1
+
+
+def test_files_of_the_shared_folder_are_read_on_a_cluster():
+    from gazelark.shared import within
+    from gazelark.sources.archive import ArchiveSource
+    from gazelark.sources.feeds import FeedSource
+
+    lines = "a\t///shared/run/feeds/a.xml\nb\thttps://h.org/b"
+    assert len(FeedSource({"catalogue": lines, "shared": "/shared/run"})._catalogue()) == 2
+    assert ArchiveSource({"url": "file:///shared/run/archive", "shared": "/shared/run"}).reader(None).base == "/shared/run/archive"
+    for refused in ("", "/shared/other", "/shared/ru"):
+        with pytest.raises(ValueError):
+            FeedSource({"catalogue": lines, "shared": refused})._catalogue()
+    assert not within("/shared/run/../x", "/shared/run") and within("/any/x", "/")
