@@ -431,3 +431,14 @@ def test_pages_of_one_address_are_apart(spark):
     assert sorted((r["link"], r["rank"]) for r in links) == [(f"https://h.org/event/{i}", 1) for i in range(6)]
     dated = markup.dated_events(pages, F.lit("2024-01-01").cast("date")).collect()
     assert sorted((str(r["date"]), r["title"]) for r in dated) == [(f"2024-01-{i + 10}", f"Evening of chamber music number {i}") for i in range(6)]
+
+
+def test_known_people_of_any_length_without_broadcasts(spark):
+    """Names may be many, and so stay off the driver; each is met by a run of its own length."""
+    names = ["Ana", "Boris", "Celine", "Customer#000000017", "Customer#000000018", "Maximiliana von der Heide-Lindenau", "Xy"]
+    people = spark.createDataFrame([(n,) for n in names], "name string")
+    titles = [(1, "Banana customer#000000018 opens"), (2, "maximiliana VON der heide-lindenau"), (3, "Xy gives"), (4, None), (5, "An")]
+    found = scoring.known_people(spark.createDataFrame(titles, "ord int, title string"), people)
+    assert {r["ord"]: r["known_person"] for r in found.collect()} == {1: ["ana", "customer#000000018"], 2: ["ana", "maximiliana von der heide-lindenau"], 3: [], 4: [], 5: []}
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    assert scoring.known_people(found.drop("known_person"), people.limit(0)).where(F.size("known_person") > 0).isEmpty()
