@@ -210,6 +210,29 @@ def test_digest_holds_the_rest(spark):
     assert render.send(spark.createDataFrame([("a", "x"), ("b", "y")], "stream string, text string"), lambda s, text: sent.append(s) if s == "a" else 1 / 0) == {"a": True, "b": False}
 
 
+def test_patterns_are_matched_once_a_row_whatever_is_asked(spark):
+    rows = [(i, "Museum endowment pledge of $2 million", f"body {i}", "") for i in range(4)]
+    df = spark.createDataFrame(rows, "ord long, title string, body string, author string").withColumn("threshold", F.lit(None).cast("int"))
+    routed = scoring.route(df, SCORED)
+    plan = routed.where("stream IS NOT NULL").groupBy("stream").count()._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("million") == 1 and "regexp_extract_all" not in routed.select("ord", "watching.score")._jdf.queryExecution().optimizedPlan().toString().split("inline(")[0]
+
+
+def test_digest_makes_its_items_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def stream(s):
+        made.add(1)
+        return s
+
+    rows = [(i, f"s{i % 8}", f"Headline number {i} of the day", f"https://x/{i}", "major_gift", dt.datetime(2024, 1, 1, 0, i)) for i in range(40)]
+    df = spark.createDataFrame(rows, "ord long, source_key string, title string, url string, stream string, published timestamp")
+    df = df.withColumns({"stream": stream("stream"), "outlet": F.col("source_key"), "body": F.lit(""), "desk": F.lit(""), "paywall": F.lit(False), "effective_date": F.lit(None).cast("timestamp")})
+    out = render.digest(df, F.lit("2024-01-01 01:00:00").cast("timestamp")).collect()
+    assert len(out[0]["included"]) == fixed.MAX_ITEMS and out[0]["held"] == 8 * 4 - fixed.MAX_ITEMS and made.value == 40
+
+
 def test_queue_and_screening(spark):
     now = F.lit("2024-01-01 12:00:00").cast("timestamp")
     at = lambda m: dt.datetime(2024, 1, 1, 12) - dt.timedelta(minutes=m)
