@@ -126,3 +126,16 @@ def test_people_from_documents(spark, tmp_path):
     (tmp_path / "lines.json").write_text('{"Ana": 2}\nnot one\n[1]\n{"Ana": 3, "Bo": 1}\n')
     read = lambda name, **more: {r["name"]: r["n"] for r in config.people(spark, str(tmp_path / name), **more).collect()}
     assert read("whole.json", lines=False) == {"Ana": 2, "Bo": 1} and read("lines.json") == {"Ana": 5, "Bo": 1} and read("none.json") == {}
+
+
+@pytest.mark.parametrize("name", ["f20_page_title"])
+def test_titles_with_other_entities_as_in_sql(spark, tmp_path, name):
+    titles = ["Gala &quot;ball&quot; opens", "Fish &amp; chips &lt;now&gt;", "A &amp;quot; B &#39;c&#39; &copy; today", "Harbour & sea &nbsp;trip &; &amp;amp;", "Plain words of one title"]
+    rows = [(i, f"https://h.org/{i}", f"<html><title>{t}</title><p>text &quot;more&quot;</p></html>") for i, t in enumerate(titles)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    ours = queries.QUERIES[name](spark, str(tmp_path))
+    columns = sorted(ours.columns)
+    theirs = con.sql(f"SELECT {', '.join(chr(34) + c + chr(34) for c in columns)} FROM ({queries.ORACLE_SQL[name]})").fetchall()
+    assert canonical(ours.select(*columns).collect()) == canonical(theirs) and theirs
