@@ -465,3 +465,26 @@ def test_known_people_of_any_length_without_broadcasts(spark):
     assert {r["ord"]: r["known_person"] for r in found.collect()} == {1: ["ana", "customer#000000018"], 2: ["ana", "maximiliana von der heide-lindenau"], 3: [], 4: [], 5: []}
     assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
     assert scoring.known_people(found.drop("known_person"), people.limit(0)).where(F.size("known_person") > 0).isEmpty()
+
+
+def test_ranges_give_what_all_pairs_give(spark, monkeypatch):
+    """With small ranges, and with words met in tasks, latest matches and folds are those of plain comparisons."""
+    import random
+
+    monkeypatch.setattr(dedup, "FIRST", 12)
+    monkeypatch.setattr(dedup, "RARE", 3)
+    rng = random.Random(5)
+    rows = [(i, f"o{rng.randrange(4)}", " ".join(rng.sample(["harbour", "north", "opens", "bridge", "school", "museum", "river", "market", "tower", "garden"] + [f"word{k}x" for k in range(30)], rng.randrange(3, 9)))) for i in range(90)]
+    df = spark.createDataFrame(rows, "ord long, outlet string, title string")
+    worded = df.select("ord", "outlet", X.title_words(F.col("title")).alias("words"), F.col("ord").alias("at"))
+    words = {r["ord"]: set(r["words"]) for r in worded.collect()}
+    outlet = {o: out for o, out, _ in rows}
+    alike = lambda a, b: outlet[a] != outlet[b] and min(len(words[a]), len(words[b])) >= 3 and len(words[a] & words[b]) / min(len(words[a]), len(words[b])) >= 0.5
+    found = {a: max((b for b in words if alike(a, b)), default=None) for a in words}
+    assert {r["ord"]: r["match_ord"] for r in dedup.cross_outlet_match(worded, worded).collect()} == {a: b for a, b in found.items() if b is not None}
+    kept = []
+    for a in sorted(words):
+        if not any(alike(a, b) for b in kept):
+            kept.append(a)
+    got = dedup.dedup_cross_outlet(df.withColumn("effective_date", F.lit(None).cast("timestamp"))).where("kept").collect()
+    assert sorted(r["ord"] for r in got) == kept and len(kept) < 80
